@@ -21,12 +21,13 @@ def unmet_items(edges: DataFrame, done: DataFrame, item: str = "id", dep: str =
     return pairs.join(finished, dep, "left_anti").select(item).distinct()
 
 
-def ready_items(items: DataFrame, done: DataFrame | None = None, done_status: str = "done",
-                exclude: Sequence[object] = ()) -> DataFrame:
-    """Items not done whose every dependency is; no dependencies means ready. `items` has id, status and
-    depends_on; `done` defaults to the items in `done_status`."""
+def ready_items(items: DataFrame, edges: DataFrame | None = None, done: DataFrame | None = None,
+                done_status: str = "done", exclude: Sequence[object] = ()) -> DataFrame:
+    """Items not done whose every dependency is; no dependencies means ready. Dependencies come from the
+    `depends_on` array or as `edges` (id, dep); `done` defaults to the items in `done_status`."""
     finished = items.where(F.col("status") == done_status).select("id") if done is None else done
-    edges = items.select("id", F.explode("depends_on").alias("dep"))
+    if edges is None:
+        edges = items.select("id", F.explode("depends_on").alias("dep"))
     open_items = items.where(~F.coalesce(F.col("status") == done_status, F.lit(False)))
     if exclude:
         open_items = open_items.where(~F.col("id").isin(*exclude))

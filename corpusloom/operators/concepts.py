@@ -43,7 +43,7 @@ def match_context(text: Column, patterns: Sequence[str], around: int = 20, limit
     return F.left(F.replace(F.coalesce(*[one(p) for p in patterns]), F.lit("\n"), F.lit(" / ")), F.lit(limit))
 
 
-def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column, *extra) -> Column:
+def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column) -> Column:
     rows = [F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("concept"),
                      hit_count(text, c, lowered).alias("hits")) for c in dictionary]
     return F.filter(F.array(*rows), lambda t: t["hits"] > 0)
@@ -55,9 +55,16 @@ def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str]) -> D
               .withColumn("_lower", F.lower("_text")))
 
 
+def with_tags(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
+              keep: Sequence[str]) -> DataFrame:
+    """`keep` and `tags`, the (category, concept, hits) found in each row, possibly none."""
+    texts = with_text(df, text_cols, keep)
+    return texts.select(*keep, _tags(F.col("_text"), dictionary, F.col("_lower")).alias("tags"))
+
+
 def tag_concepts(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
                  keep: Sequence[str]) -> DataFrame:
-    """Rows with at least one concept; `tags` lists (category, concept, hits, evidence)."""
+    """One row per table row and concept it mentions: `tag` is (_no, category, concept, hits, evidence)."""
     texts = with_text(df, text_cols, keep)
     tagged = texts.withColumn("tags", _tags(F.col("_text"), dictionary, F.col("_lower"))).where(F.size("tags") > 0)
     evidence = reduce(
@@ -83,7 +90,7 @@ def concept_scan(df: DataFrame, text_cols: Sequence[str], source: str, dictionar
 
     Counts are reduced per (concept, source) first, so the last step sees one row per source.
     """
-    hits = concept_hits(df, text_cols, dictionary, [F.col(source).alias("_source")])
+    hits = concept_hits(df.withColumn("_source", F.col(source)), text_cols, dictionary, ["_source"])
     per_source = hits.groupBy("category", "concept", "_source").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum("hits").alias("_hits"))
     label = F.coalesce(F.col("_source").cast("string"), F.lit("null"))

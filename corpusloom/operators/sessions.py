@@ -63,7 +63,7 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
         F.when(~is_object, F.array(_event("raw_line", text=F.left("_s", F.lit(RAW_LINE_CHARS)))))
         .when(kind == "assistant",
               F.when(F.size(blocks) > 0, F.array(_event("assistant_message", text=spoken, blocks=blocks)))
-              .otherwise(F.array().cast(F"array<struct<block_no:int,event_type:string,text:string,tool_use_id:string,blocks:{_BLOCKS},payload:string>>")))
+              .otherwise(F.array().cast(f"array<struct<block_no:int,event_type:string,text:string,tool_use_id:string,blocks:{_BLOCKS},payload:string>>")))
         .when(kind == "user", F.transform(tool_results, lambda b, i: _event(
             "tool_result", block_no=i, text=F.left(F.coalesce(_get(b, "$.content"), F.lit("")), F.lit(TOOL_RESULT_CHARS)),
             tool_use_id=_get(b, "$.tool_use_id"))))

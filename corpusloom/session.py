@@ -66,3 +66,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return plan_bytes(df) <= limit
+
+
+def spread(df: DataFrame, limit: int = 256 * 1024 * 1024) -> DataFrame:
+    """Share a small scan among all cores ahead of CPU-heavy work. A file with one row group is one
+    task; past `limit` a scan has splits enough and stays as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) <= limit else df
