@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.values import get_field, is_filled, kind_of, normalise_value, tally_items
+from ..functions.values import get_field, is_filled, kind_of, list_items, normalise_value, tally_items
 from .ordering import first_per_key, top_k, top_k_per_group
 from .profile import row_total
 from .rules import FieldRule
@@ -48,11 +48,16 @@ def _name(r: FieldRule) -> str:
     return f"{GROUP_PREFIX.get(r.group, r.group)}.{r.field}"
 
 
+def _raw_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
+    """ARRAY<STRUCT<field, v>>: the contract's fields as VARIANT. One lambda over it keeps plans small
+    where an expression per field would repeat its logic 22 times."""
+    return F.array(*[F.struct(F.lit(_name(r)).alias("field"), get_field(record, r.group, r.field).alias("v"))
+                     for r in fields])
+
+
 def record_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
     """ARRAY<STRUCT<field, filled, value>> in contract order; `value` is the comparable form."""
-    raw = F.array(*[F.struct(F.lit(_name(r)).alias("field"), get_field(record, r.group, r.field).alias("v"))
-                    for r in fields])
-    return F.transform(raw, lambda x: F.struct(
+    return F.transform(_raw_fields(record, fields), lambda x: F.struct(
         x["field"].alias("field"), is_filled(x["v"]).alias("filled"), normalise_value(x["v"]).alias("value")))
 
 
@@ -90,9 +95,8 @@ def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5
                      small: bool | None = None) -> DataFrame:
     """Most frequent values of each field, ties by value."""
     rec = F.col("record")
-    lists = records.select(F.inline(F.array(*[
-        F.struct(F.lit(_name(r)).alias("field"), tally_items(get_field(rec, r.group, r.field)).alias("values"))
-        for r in fields])))
+    lists = records.select(F.inline(F.transform(_raw_fields(rec, fields), lambda x: F.struct(
+        x["field"].alias("field"), tally_items(x["v"]).alias("values")))))
     counts = lists.select("field", F.explode("values").alias("value")).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n"))
     return top_k_per_group(counts, ["field"], [F.desc("n"), F.asc("value")], k, small=small)
@@ -106,67 +110,77 @@ def conflict_counts(records: DataFrame, by: str, k: int | None = None) -> DataFr
     return counts if k is None else top_k(counts, [F.desc("n"), F.asc("value")], k)
 
 
+def _rule_rows(record: Column, contract: Sequence[FieldRule]) -> Column:
+    text, number, names = F.lit(None).cast("string"), F.lit(None).cast("bigint"), "array<string>"
+    return F.array(*[F.struct(
+        F.lit(_name(r)).alias("field"), F.lit(r.kind).alias("kind"),
+        (F.array(*[F.lit(a) for a in r.allowed]) if r.allowed else F.array(text)).cast(names).alias("allowed"),
+        (number if r.minimum is None else F.lit(r.minimum).cast("bigint")).alias("lo"),
+        (number if r.maximum is None else F.lit(r.maximum).cast("bigint")).alias("hi"),
+        get_field(record, r.group, r.field).alias("v")) for r in contract])
+
+
+def _breaches(r: Column) -> Column:
+    """Breaches of one field as ARRAY<STRUCT<field, rule, value>>."""
+    v, kind = r["v"], kind_of(r["v"])
+    shown = F.try_variant_get(v, "$", "string")
+    # scalars may come wrapped as {value, source_field, evidence_substring}
+    bare = F.when(kind == "object", F.try_variant_get(v, "$.value", "variant")).otherwise(v)
+    bare_kind, bare_text = kind_of(bare), F.try_variant_get(bare, "$", "string")
+    number = F.try_variant_get(bare, "$", "bigint")
+    is_list = r["kind"] == "list"
+    wanted = F.when(r["kind"] == "enum", "string").otherwise(r["kind"])
+    outside = F.array_except(tally_items(v), r["allowed"])
+
+    def report(rule: str, bad: Column, value: Column) -> Column:
+        return F.when(F.coalesce(bad, F.lit(False)),
+                      F.struct(r["field"].alias("field"), F.lit(rule).alias("rule"), value.alias("value")))
+
+    checks = F.array(
+        report("null_list", is_list & (kind == "null"), shown),
+        report("type", is_list & ~kind.isin("null", "list"), shown),
+        report("enum", is_list & (kind == "list") & (F.size(outside) > 0), F.array_join(F.array_sort(outside), ",")),
+        report("type", ~is_list & (bare_kind != "null") & (bare_kind != wanted), shown),
+        report("enum", (r["kind"] == "enum") & (bare_kind == "string") & ~F.array_contains(r["allowed"], bare_text), bare_text),
+        report("range", (r["kind"] == "int") & (bare_kind == "int") &
+               (F.coalesce(number < r["lo"], F.lit(False)) | F.coalesce(number > r["hi"], F.lit(False))), bare_text))
+    return F.when(v.isNotNull(), F.array_compact(checks)).otherwise(
+        F.array().cast("array<struct<field:string,rule:string,value:string>>"))
+
+
+def _unknown_fields(record: Column, contract: Sequence[FieldRule], group: str) -> Column:
+    names = F.array(*[F.lit(r.field) for r in contract if r.group == group])
+    keys = F.map_keys(F.try_variant_get(record, f"$.{group}", "map<string,variant>"))
+    extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), names)
+    prefix = F.lit(GROUP_PREFIX.get(group, group) + ".")
+    return F.transform(extra, lambda x: F.struct(
+        F.concat(prefix, x).alias("field"), F.lit("unknown_field").alias("rule"),
+        F.lit(None).cast("string").alias("value")))
+
+
 def validate_contract(records: DataFrame, contract: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, rule, value) of every breach: type, enum, range, null_list, unknown_field."""
     rec = F.col("record")
-    checks = []
-
-    def report(r: FieldRule, rule: str, bad: Column, shown: Column) -> Column:
-        return F.when(F.coalesce(bad, F.lit(False)),
-                      F.struct(F.lit(_name(r)).alias("field"), F.lit(rule).alias("rule"), shown.alias("value")))
-
-    for r in contract:
-        value = get_field(rec, r.group, r.field)
-        kind = kind_of(value)
-        present = value.isNotNull()
-        shown = F.try_variant_get(value, "$", "string")
-        # scalars may come wrapped as {value, source_field, evidence_substring}
-        bare = F.when(kind == "object", F.try_variant_get(value, "$.value", "variant")).otherwise(value)
-        bare_kind, bare_text = kind_of(bare), F.try_variant_get(bare, "$", "string")
-        if r.kind == "list":
-            items = tally_items(value)
-            outside = F.array_except(items, F.array(*[F.lit(a) for a in r.allowed or []]))
-            checks += [report(r, "null_list", present & (kind == "null"), shown),
-                       report(r, "type", present & ~kind.isin("null", "list"), shown),
-                       report(r, "enum", (kind == "list") & (F.size(outside) > 0), F.array_join(F.array_sort(outside), ","))]
-            continue
-        want = {"int": "int", "bool": "bool", "enum": "string"}[r.kind]
-        checks.append(report(r, "type", present & ~bare_kind.isin("null", want), shown))
-        if r.kind == "enum":
-            checks.append(report(r, "enum", (bare_kind == "string") & ~bare_text.isin(*(r.allowed or [])), bare_text))
-        if r.kind == "int":
-            number = F.try_variant_get(bare, "$", "bigint")
-            below = number < r.minimum if r.minimum is not None else F.lit(False)
-            above = number > r.maximum if r.maximum is not None else F.lit(False)
-            checks.append(report(r, "range", (bare_kind == "int") & (below | above), bare_text))
-    unknown = []
-    for group in dict.fromkeys(r.group for r in contract):
-        names = [F.lit(r.field) for r in contract if r.group == group]
-        keys = F.map_keys(F.try_variant_get(rec, f"$.{group}", "map<string,variant>"))
-        extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*names))
-        prefix = GROUP_PREFIX.get(group, group)
-        unknown.append(F.transform(extra, lambda x, p=prefix: F.struct(
-            F.concat(F.lit(f"{p}."), x).alias("field"), F.lit("unknown_field").alias("rule"),
-            F.lit(None).cast("string").alias("value"))))
-    return records.select("id", F.inline(F.concat(F.array_compact(F.array(*checks)), *unknown)))
+    known = F.flatten(F.transform(_rule_rows(rec, contract), _breaches))
+    groups = dict.fromkeys(r.group for r in contract)
+    return records.select("id", F.inline(F.concat(known, *[_unknown_fields(rec, contract, g) for g in groups])))
 
 
 def evidence_items(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, source_field, evidence) of every extracted value, list items included.
     Bare scalars show up with null evidence."""
-    rec = F.col("record")
-
-    def item(r: FieldRule, v: Column) -> Column:
-        return F.struct(F.lit(_name(r)).alias("field"), F.try_variant_get(v, "$.source_field", "string").alias("source_field"),
+    def item(field: Column, v: Column) -> Column:
+        return F.struct(field.alias("field"), F.try_variant_get(v, "$.source_field", "string").alias("source_field"),
                         F.try_variant_get(v, "$.evidence_substring", "string").alias("evidence"))
 
-    def items(r: FieldRule) -> Column:
-        v = get_field(rec, r.group, r.field)
-        many = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: item(r, x))
-        return F.when(kind_of(v) == "list", many).when(is_filled(v), F.array(item(r, v)))
+    def items(x: Column) -> Column:
+        v = x["v"]
+        many = F.transform(list_items(v), lambda y: item(x["field"], y))
+        return (F.when(kind_of(v) == "list", many).when(is_filled(v), F.array(item(x["field"], v)))
+                .otherwise(F.array().cast("array<struct<field:string,source_field:string,evidence:string>>")))
 
-    per_field = F.array_compact(F.array(*[items(r) for r in fields]))
-    return records.select("id", F.inline(F.flatten(per_field)))
+    found = F.flatten(F.transform(_raw_fields(F.col("record"), fields), items))
+    return records.select("id", F.inline(found))
 
 
 def validate_evidence(items: DataFrame, corpus: DataFrame, id_col: str, sources: Mapping[str, str]) -> DataFrame:

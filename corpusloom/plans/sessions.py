@@ -11,7 +11,7 @@ from .catalog import oracle, query, table, view
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _LINES = rf"""lines AS (SELECT run_id, line_no, {_STRIP.format(x='line')} AS s, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j
    FROM session_lines_v WHERE {_STRIP.format(x='line')} <> ''),
-blocks AS (SELECT run_id, line_no, unnest(json_extract(j, '$.message.content[*]')) AS b, unnest(range(json_array_length(j->'$.message.content'))) AS no
+blocks AS (SELECT run_id, line_no, unnest(json_extract(j, '$.message.content[*]')) AS b, unnest(range(CAST(json_array_length(j->'$.message.content') AS BIGINT))) AS no
    FROM lines WHERE j->>'$.type' IN ('assistant', 'user')),
 spoken AS (SELECT run_id, line_no, string_agg({_STRIP.format(x="b->>'$.text'")}, chr(10) || chr(10) ORDER BY no) AS text FROM blocks JOIN lines USING (run_id, line_no)
    WHERE j->>'$.type' = 'assistant' AND b->>'$.type' = 'text' AND {_STRIP.format(x="b->>'$.text'")} <> '' GROUP BY run_id, line_no),
