@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
+from .values import let
 
 # The schemes an input location may have.
 INPUT_SCHEMES = ("s3", "https")
@@ -68,14 +69,13 @@ def payload_text(c: str | Column, key: str = "prompt") -> Column:
 
     A key holding anything but a non-blank string is an error, never raw text.
     """
+    def unpack(b: Column) -> Column:
+        value = F.try_variant_get(b["doc"], f"$.{key}", "variant")
+        kind, text = F.schema_of_variant(value), F.try_variant_get(b["doc"], f"$.{key}", "string")
+        good = F.coalesce((kind == "STRING") & (strip(text) != ""), F.lit(False))
+        return F.struct(
+            F.when(value.isNull(), b["body"]).when(good, text).alias("text"),
+            F.when(value.isNotNull() & ~good, f"`{key}` must be a non-empty string").alias("error"))
+
     body = F.regexp_replace(_col(c), "^\ufeff", "")
-    doc = F.try_parse_json(body)
-    value = F.try_variant_get(doc, f"$.{key}", "variant")
-    has_key = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT<"), F.lit(False)) & value.isNotNull()
-    text = F.try_variant_get(doc, f"$.{key}", "string")
-    good = (F.schema_of_variant(value) == "STRING") & (strip(text) != "")
-    ok = F.coalesce(good, F.lit(False))
-    return F.struct(
-        F.when(has_key & ~ok, None).when(has_key, text).otherwise(body).alias("text"),
-        F.when(has_key & ~ok, f"`{key}` must be a non-empty string").alias("error"),
-    )
+    return let(F.struct(body.alias("body"), F.try_parse_json(body).alias("doc")), unpack)

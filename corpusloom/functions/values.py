@@ -1,43 +1,50 @@
-"""Dynamic record values held as VARIANT: fill test, comparable form, tally items."""
+"""Dynamic record values held as VARIANT: fill test, comparable form, tally items.
+
+Tests on a value's type work on `describe(value)`, a struct of the value and its schema text, so the
+schema of a value is derived once. Wrap it in `let` or `transform` to evaluate it once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def get_field(record: Column, group: str, field: str) -> Column:
     """Value at group.field as VARIANT; null when the group is absent or not an object."""
     return F.try_variant_get(record, f"$.{group}.{field}", "variant")
 
 
-def kind_of(value: Column) -> Column:
-    """null / bool / int / float / string / list / object."""
-    schema = F.schema_of_variant(value)
-    return (F.when(value.isNull() | (schema == "VOID"), "null")
-            .when(schema == "BOOLEAN", "bool")
-            .when(schema == "BIGINT", "int")
-            .when(schema == "STRING", "string")
-            .when(schema.startswith("ARRAY<"), "list")
-            .when(schema.startswith("OBJECT<"), "object")
-            .otherwise("float"))
+def describe(value: Column) -> Column:
+    return F.struct(value.alias("v"), F.coalesce(F.schema_of_variant(value), F.lit("VOID")).alias("schema"))
 
 
-def is_filled(value: Column) -> Column:
-    """Not null, not `[]`, not `{}`; false, 0 and "" are filled."""
-    schema = F.schema_of_variant(value)
-    return F.coalesce(~schema.isin("VOID", "ARRAY<VOID>", "OBJECT<>"), F.lit(False)) | \
-        F.coalesce((schema == "ARRAY<VOID>") & (F.try_variant_get(value, "$[0]", "variant").isNotNull()), F.lit(False))
+def kind_of(d: Column) -> Column:
+    """null / bool / int / float / string / list / object of a described value."""
+    schema = d["schema"]
+    return (F.when(schema == "VOID", "null").when(schema == "STRING", "string")
+            .when(schema.startswith("ARRAY<"), "list").when(schema.startswith("OBJECT<"), "object")
+            .when(schema == "BOOLEAN", "bool")
+            .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\(\d+,0\)$"), "int").otherwise("float"))
 
 
-def _has_value_key(value: Column) -> Column:
-    inner = F.try_variant_get(value, "$.value", "variant")
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<") & inner.isNotNull(), F.lit(False))
+def is_filled(d: Column) -> Column:
+    """Not null, not `[]`, not `{}`; false, 0 and "" are filled."""
+    # [] and [null] have the same schema text
+    lone_null = (d["schema"] == "ARRAY<VOID>") & F.try_variant_get(d["v"], "$[0]", "variant").isNotNull()
+    return ~d["schema"].isin("VOID", "ARRAY<VOID>", "OBJECT<>") | lone_null
 
 
 def unwrap(value: Column) -> Column:
     """`{value: x}` becomes x; anything else stays."""
-    return F.when(_has_value_key(value), F.try_variant_get(value, "$.value", "variant")).otherwise(value)
+    return F.coalesce(F.try_variant_get(value, "$.value", "variant"), value)
 
 
 def as_text(value: Column) -> Column:
@@ -45,13 +52,13 @@ def as_text(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("null"))
 
 
-def signature(value: Column) -> Column:
+def signature(d: Column) -> Column:
     """Comparable scalar: kind tag plus text, numbers on one scale, so 1 = 1.0 but 1 <> '1'."""
-    kind = kind_of(value)
+    kind = kind_of(d)
+    number = F.coalesce(F.try_variant_get(d["v"], "$", "double").cast("string"), as_text(d["v"]))
     return (F.when(kind == "null", "null")
-            .when(kind.isin("int", "float"),
-                  F.concat(F.lit("number:"), F.coalesce(F.try_variant_get(value, "$", "double").cast("string"), as_text(value))))
-            .otherwise(F.concat(kind, F.lit(":"), as_text(value))))
+            .when(kind.isin("int", "float"), F.concat(F.lit("number:"), number))
+            .otherwise(F.concat(kind, F.lit(":"), as_text(d["v"]))))
 
 
 def list_items(value: Column) -> Column:
@@ -59,20 +66,25 @@ def list_items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def normalise_value(value: Column) -> Column:
+def normalise_value(d: Column) -> Column:
     """One string per value for equality: lists as sorted multisets, `{value}` wrappers removed."""
-    inner = unwrap(value)
-    many = F.array_sort(F.transform(list_items(value), lambda x: signature(unwrap(x))))
-    return (F.when(kind_of(value) == "list", F.concat(F.lit("["), F.array_join(many, "\u001f"), F.lit("]")))
-            .when(kind_of(value) == "null", None)
-            .otherwise(signature(inner)))
+    is_list, is_null = d["schema"].startswith("ARRAY<"), d["schema"] == "VOID"
+    items = F.when(is_list, F.transform(list_items(d["v"]), unwrap)).otherwise(F.array(unwrap(d["v"])))
+    signed = F.transform(F.transform(items, describe), signature)
+    return (F.when(is_null, None)
+            .when(is_list, F.concat(F.lit("["), F.array_join(F.array_sort(signed), "\u001f"), F.lit("]")))
+            .otherwise(F.get(signed, F.lit(0))))
 
 
-def tally_items(value: Column) -> Column:
+def tally_items(d: Column) -> Column:
     """Texts counted for a value: list items that are strings or `{value}`, the wrapped value, or a bare
     string, integer or boolean. Floats and objects without `value` are not counted."""
-    countable = F.filter(list_items(value), lambda x: _has_value_key(x) | (kind_of(x) == "string"))
-    return (F.when(kind_of(value) == "list", F.transform(countable, lambda x: as_text(unwrap(x))))
-            .when(_has_value_key(value), F.array(as_text(unwrap(value))))
-            .when(kind_of(value).isin("string", "int", "bool"), F.array(as_text(value)))
+    def countable(x: Column) -> Column:
+        return (F.schema_of_variant(x) == "STRING") | F.try_variant_get(x, "$.value", "variant").isNotNull()
+
+    kind = kind_of(d)
+    wrapped = (kind == "object") & F.try_variant_get(d["v"], "$.value", "variant").isNotNull()
+    return (F.when(kind == "null", F.array().cast("array<string>"))
+            .when(kind == "list", F.transform(F.filter(list_items(d["v"]), countable), lambda x: as_text(unwrap(x))))
+            .when(wrapped | kind.isin("string", "int", "bool"), F.array(as_text(unwrap(d["v"]))))
             .otherwise(F.array().cast("array<string>")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .compute import once
 from .ordering import top_k
 from .records import conflict_items, record_fields
 from .rules import FieldRule
@@ -34,7 +35,7 @@ def paired(a: DataFrame, b: DataFrame, fields: Sequence[FieldRule], key: str = "
                         x["value"].alias("a"), y["value"].alias("b"))
 
     joined = side(a, "a").join(side(b, "b"), key, "inner")
-    return joined.select(key, "conflicts_a", "conflicts_b", F.zip_with("_fa", "_fb", pair).alias("pairs"))
+    return once(joined, pairs=F.zip_with("_fa", "_fb", pair)).drop("_fa", "_fb")
 
 
 def compare_fields(pairs: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def compare_coverage(pairs: DataFrame) -> DataFrame:
 def top_disagreements(pairs: DataFrame, k: int = 10, details: int = 8, key: str = "id") -> DataFrame:
     """The `k` ids with most differing fields, highest id first on ties, and their first `details`."""
     differing = F.filter("pairs", lambda p: (p["filled_a"] | p["filled_b"]) & ~p["a"].eqNullSafe(p["b"]))
-    counted = pairs.select(key, differing.alias("_d")).withColumn("diffs_n", F.size("_d"))
+    counted = once(pairs.select(key, "pairs"), _d=differing).withColumn("diffs_n", F.size("_d"))
     return top_k(counted.select(key, "diffs_n", F.slice("_d", 1, details).alias("details")),
                  [F.desc("diffs_n"), F.desc(key)], k)
 

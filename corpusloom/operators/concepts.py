@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, ignore_case, joined_text
+from .compute import once
 from .ordering import top_k_per_group
 from .profile import row_total
 from .rules import Concept, ConflictRule, literal_rows
@@ -57,16 +58,15 @@ def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str]) -> D
 
 def with_tags(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
               keep: Sequence[str]) -> DataFrame:
-    """`keep` and `tags`, the (category, concept, hits) found in each row, possibly none."""
+    """`keep`, the joined `_text` and `tags`, the (category, concept, hits) found in each row, possibly none."""
     texts = with_text(df, text_cols, keep)
-    return texts.select(*keep, _tags(F.col("_text"), dictionary, F.col("_lower")).alias("tags"))
+    return once(texts, tags=_tags(F.col("_text"), dictionary, F.col("_lower"))).drop("_lower")
 
 
 def tag_concepts(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
                  keep: Sequence[str]) -> DataFrame:
     """One row per table row and concept it mentions: `tag` is (_no, category, concept, hits, evidence)."""
-    texts = with_text(df, text_cols, keep)
-    tagged = texts.withColumn("tags", _tags(F.col("_text"), dictionary, F.col("_lower"))).where(F.size("tags") > 0)
+    tagged = with_tags(df, text_cols, dictionary, keep)
     evidence = reduce(
         lambda rest, c: F.when((F.col("_tag")["category"] == c.category) & (F.col("_tag")["concept"] == c.name),
                                first_match(F.col("_text"), c.patterns)).otherwise(rest),
@@ -81,8 +81,7 @@ def tag_concepts(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[C
 def concept_hits(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
                  keep: Sequence[str]) -> DataFrame:
     """Long form: one row per table row and concept with hits > 0."""
-    texts = with_text(df, text_cols, keep)
-    return texts.select(*keep, F.inline(_tags(F.col("_text"), dictionary, F.col("_lower"))))
+    return with_tags(df, text_cols, dictionary, keep).select(*keep, F.inline("tags"))
 
 
 def concept_scan(df: DataFrame, text_cols: Sequence[str], source: str, dictionary: Sequence[Concept]) -> DataFrame:
@@ -117,7 +116,7 @@ def concept_examples(df: DataFrame, id_col: str, text_cols: Sequence[str], dicti
     rows = [F.when(hit_count(text, c, lowered) > 0,
                    F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("concept"),
                             match_context(text, c.patterns).alias("context"))) for c in dictionary]
-    found = texts.select(id_col, F.inline(F.array_compact(F.array(*rows))))
+    found = once(texts, _found=F.array_compact(F.array(*rows))).select(id_col, F.inline("_found"))
     return top_k_per_group(found, ["category", "concept"], [id_col], k, small=small)
 
 
@@ -183,4 +182,5 @@ def detect_conflicts(tagged: DataFrame, id_col: str, concepts: str, normalised:
                                     F.lit(r.normalized_value).alias("normalized_value"),
                                     F.lit(r.concept).alias("concept")))
 
-    return tagged.select(id_col, F.inline(F.array_compact(F.array(*[broken(r) for r in rules]))))
+    found = once(tagged, _found=F.array_compact(F.array(*[broken(r) for r in rules])))
+    return found.select(id_col, F.inline("_found"))

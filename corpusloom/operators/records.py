@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.values import get_field, is_filled, kind_of, list_items, normalise_value, tally_items
+from ..functions.values import describe, get_field, is_filled, kind_of, list_items, normalise_value, tally_items, unwrap
+from .compute import once
 from .ordering import first_per_key, top_k, top_k_per_group
 from .profile import row_total
 from .rules import FieldRule
@@ -20,15 +21,14 @@ GROUP_PREFIX = {"publics_extended": "pub", "prerequis_extended": "pre"}
 def parse_lines(lines: DataFrame, line: str = "line", id_field: str = "service_id") -> DataFrame:
     """Add `record` (VARIANT), `id` and `problem` to non-blank lines. `problem` is null for a usable record,
     else bad_json, not_object or no_id."""
-    text = lines.where(strip(F.col(line)) != "")
-    parsed = text.withColumn("record", F.try_parse_json(strip(F.col(line))))
-    with_id = parsed.withColumn("id", F.try_variant_get("record", f"$.{id_field}", "string"))
+    text = once(lines, _text=strip(F.col(line))).where(F.col("_text") != "")
+    parsed = once(text, record=F.try_parse_json("_text")).drop("_text")
+    key = F.try_variant_get("record", f"$.{id_field}", "string")
     is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT<"), F.lit(False))
-    return with_id.withColumn(
-        "problem",
-        F.when(F.col("record").isNull(), "bad_json")
-        .when(~is_object, "not_object")
-        .when(F.coalesce(F.col("id"), F.lit("")) == "", "no_id"))
+    problem = (F.when(F.col("record").isNull(), "bad_json")
+               .when(F.coalesce(key, F.lit("")) != "", None)  # only objects have a key
+               .when(~is_object, "not_object").otherwise("no_id"))
+    return once(parsed, id=key, problem=problem)
 
 
 def good_records(parsed: DataFrame) -> DataFrame:
@@ -49,16 +49,17 @@ def _name(r: FieldRule) -> str:
 
 
 def _raw_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
-    """ARRAY<STRUCT<field, v>>: the contract's fields as VARIANT. One lambda over it keeps plans small
-    where an expression per field would repeat its logic 22 times."""
-    return F.array(*[F.struct(F.lit(_name(r)).alias("field"), get_field(record, r.group, r.field).alias("v"))
-                     for r in fields])
+    """ARRAY<STRUCT<field, d>>: the contract's fields as described values. One lambda over it keeps plans
+    small where an expression per field would repeat its logic 22 times."""
+    raw = F.array(*[F.struct(F.lit(_name(r)).alias("field"), get_field(record, r.group, r.field).alias("v"))
+                    for r in fields])
+    return F.transform(raw, lambda x: F.struct(x["field"].alias("field"), describe(x["v"]).alias("d")))
 
 
 def record_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
     """ARRAY<STRUCT<field, filled, value>> in contract order; `value` is the comparable form."""
     return F.transform(_raw_fields(record, fields), lambda x: F.struct(
-        x["field"].alias("field"), is_filled(x["v"]).alias("filled"), normalise_value(x["v"]).alias("value")))
+        x["field"].alias("field"), is_filled(x["d"]).alias("filled"), normalise_value(x["d"]).alias("value")))
 
 
 def conflict_items(record: Column) -> Column:
@@ -66,8 +67,7 @@ def conflict_items(record: Column) -> Column:
 
 
 def _any_filled(record: Column, fields: Sequence[FieldRule], group: str) -> Column:
-    flags = [is_filled(get_field(record, r.group, r.field)) for r in fields if r.group == group]
-    return F.exists(F.array(*flags), lambda x: x) if flags else F.lit(False)
+    return F.exists(_raw_fields(record, [r for r in fields if r.group == group]), lambda x: is_filled(x["d"]))
 
 
 def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
@@ -85,8 +85,9 @@ def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFram
 
 def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
     """Filled records per field, zero counts included, in one pass."""
-    rec = F.col("record")
-    counts = records.agg(*[F.count_if(is_filled(get_field(rec, r.group, r.field))).alias(_name(r)) for r in fields])
+    flags = F.transform(_raw_fields(F.col("record"), fields), lambda x: is_filled(x["d"]))
+    counts = once(records.select("record"), _f=flags).agg(
+        *[F.count_if(F.get("_f", F.lit(i))).alias(_name(r)) for i, r in enumerate(fields)])
     return counts.select(F.inline(F.array(*[
         F.struct(F.lit(_name(r)).alias("field"), F.col(f"`{_name(r)}`").alias("n")) for r in fields])))
 
@@ -94,9 +95,9 @@ def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
 def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5,
                      small: bool | None = None) -> DataFrame:
     """Most frequent values of each field, ties by value."""
-    rec = F.col("record")
-    lists = records.select(F.inline(F.transform(_raw_fields(rec, fields), lambda x: F.struct(
-        x["field"].alias("field"), tally_items(x["v"]).alias("values")))))
+    tallies = F.transform(_raw_fields(F.col("record"), fields), lambda x: F.struct(
+        x["field"].alias("field"), tally_items(x["d"]).alias("values")))
+    lists = once(records.select("record"), _t=tallies).select(F.inline("_t"))
     counts = lists.select("field", F.explode("values").alias("value")).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n"))
     return top_k_per_group(counts, ["field"], [F.desc("n"), F.asc("value")], k, small=small)
@@ -104,7 +105,7 @@ def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5
 
 def conflict_counts(records: DataFrame, by: str, k: int | None = None) -> DataFrame:
     """Conflicts per `field` or `type`; a missing key counts under `?`."""
-    items = records.select(F.explode(conflict_items(F.col("record"))).alias("c"))
+    items = once(records.select("record"), _c=conflict_items(F.col("record"))).select(F.explode("_c").alias("c"))
     key = F.coalesce(F.try_variant_get("c", f"$.{by}", "string"), F.lit("?")).alias("value")
     counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return counts if k is None else top_k(counts, [F.desc("n"), F.asc("value")], k)
@@ -120,17 +121,23 @@ def _rule_rows(record: Column, contract: Sequence[FieldRule]) -> Column:
         get_field(record, r.group, r.field).alias("v")) for r in contract])
 
 
+def _described(r: Column) -> Column:
+    """The rule with its value, and the value without its {value, source_field, evidence_substring} wrapper."""
+    bare = F.when(r["v"].isNotNull(), unwrap(r["v"]))
+    return F.struct(*[r[c].alias(c) for c in ("field", "kind", "allowed", "lo", "hi", "v")],
+                    describe(r["v"]).alias("d"), describe(bare).alias("b"))
+
+
 def _breaches(r: Column) -> Column:
     """Breaches of one field as ARRAY<STRUCT<field, rule, value>>."""
-    v, kind = r["v"], kind_of(r["v"])
+    v, kind = r["v"], kind_of(r["d"])
     shown = F.try_variant_get(v, "$", "string")
-    # scalars may come wrapped as {value, source_field, evidence_substring}
-    bare = F.when(kind == "object", F.try_variant_get(v, "$.value", "variant")).otherwise(v)
-    bare_kind, bare_text = kind_of(bare), F.try_variant_get(bare, "$", "string")
+    bare, bare_kind = r["b"]["v"], kind_of(r["b"])
+    bare_text = F.try_variant_get(bare, "$", "string")
     number = F.try_variant_get(bare, "$", "bigint")
     is_list = r["kind"] == "list"
     wanted = F.when(r["kind"] == "enum", "string").otherwise(r["kind"])
-    outside = F.array_except(tally_items(v), r["allowed"])
+    outside = F.array_except(tally_items(r["d"]), r["allowed"])
 
     def report(rule: str, bad: Column, value: Column) -> Column:
         return F.when(F.coalesce(bad, F.lit(False)),
@@ -161,9 +168,10 @@ def _unknown_fields(record: Column, contract: Sequence[FieldRule], group: str) -
 def validate_contract(records: DataFrame, contract: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, rule, value) of every breach: type, enum, range, null_list, unknown_field."""
     rec = F.col("record")
-    known = F.flatten(F.transform(_rule_rows(rec, contract), _breaches))
+    known = F.flatten(F.transform(F.transform(_rule_rows(rec, contract), _described), _breaches))
     groups = dict.fromkeys(r.group for r in contract)
-    return records.select("id", F.inline(F.concat(known, *[_unknown_fields(rec, contract, g) for g in groups])))
+    found = F.concat(known, *[_unknown_fields(rec, contract, g) for g in groups])
+    return once(records.select("id", "record"), _b=found).select("id", F.inline("_b"))
 
 
 def evidence_items(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
@@ -174,13 +182,13 @@ def evidence_items(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame
                         F.try_variant_get(v, "$.evidence_substring", "string").alias("evidence"))
 
     def items(x: Column) -> Column:
-        v = x["v"]
+        v = x["d"]["v"]
         many = F.transform(list_items(v), lambda y: item(x["field"], y))
-        return (F.when(kind_of(v) == "list", many).when(is_filled(v), F.array(item(x["field"], v)))
+        return (F.when(kind_of(x["d"]) == "list", many).when(is_filled(x["d"]), F.array(item(x["field"], v)))
                 .otherwise(F.array().cast("array<struct<field:string,source_field:string,evidence:string>>")))
 
     found = F.flatten(F.transform(_raw_fields(F.col("record"), fields), items))
-    return records.select("id", F.inline(found))
+    return once(records.select("id", "record"), _e=found).select("id", F.inline("_e"))
 
 
 def validate_evidence(items: DataFrame, corpus: DataFrame, id_col: str, sources: Mapping[str, str]) -> DataFrame:

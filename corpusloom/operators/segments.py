@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import bucket_predicate
+from .compute import once
 from .profile import row_total, with_share
 from .rules import Bucket, literal_rows
 
@@ -17,7 +18,7 @@ def tag_buckets(parents: DataFrame, rules: Sequence[Bucket], codes_col: str | Co
     """Add `buckets`: every (tier, bucket) a parent matches. One pass for all rules."""
     hits = [F.when(bucket_predicate(r.codes, r.patterns, codes_col, text_cols),
                    F.struct(F.lit(r.tier).alias("tier"), F.lit(r.label).alias("bucket"))) for r in rules]
-    return parents.withColumn("buckets", F.array_compact(F.array(*hits)))
+    return once(parents, buckets=F.array_compact(F.array(*hits)))
 
 
 def _pairs(tagged: DataFrame, parent_id: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import RAW_LINE_CHARS, SUMMARY_CHARS, TOOL_RESULT_CHARS
 from ..functions.text import strip
+from .compute import once
 from .ordering import top_k_per_group
 
 EVENT_FIELDS = ("block_no", "event_type", "text", "tool_use_id", "blocks", "payload")
@@ -41,7 +42,7 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
     Blank lines vanish, unreadable ones become `raw_line`. Stateless: the same call serves streams.
     """
     keep = [c for c in lines.columns if c != line]
-    text = lines.withColumn("_s", strip(F.col(line))).where(F.col("_s") != "").withColumn("_v", F.try_parse_json("_s"))
+    text = once(once(lines, _s=strip(F.col(line))).where(F.col("_s") != ""), _v=F.try_parse_json("_s"))
     v = F.col("_v")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
     kind = _get(v, "$.type")
@@ -71,7 +72,7 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
         .when(kind == "system", F.array(_event("system", text=_get(v, "$.subtype"), payload=_get(v, "$.message"))))
         .when(kind == "error", F.array(_event("claude_error", payload=F.to_json(v))))
         .otherwise(F.array(_event("message", text=kind))))
-    return text.select(*keep, F.inline(events))
+    return once(text, _events=events).select(*keep, F.inline("_events"))
 
 
 def session_fragments(events: DataFrame) -> DataFrame:
