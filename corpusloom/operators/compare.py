@@ -27,7 +27,7 @@ def paired(a: DataFrame, b: DataFrame, fields: Sequence[FieldRule], key: str = "
     The runs are joined with one row per id; fields are unfolded only afterwards.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, record_fields(F.col("record"), fields).alias(f"_f{name}"),
+        return df.select(key, record_fields(fields).alias(f"_f{name}"),
                          F.size(conflict_items(F.col("record"))).alias(f"conflicts_{name}"))
 
     def pair(x: Column, y: Column) -> Column:

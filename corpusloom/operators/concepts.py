@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, ignore_case, joined_text
+from ..session import spread
 from .compute import once
 from .ordering import top_k_per_group
 from .profile import row_total
@@ -52,8 +53,9 @@ def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column) -> Colum
 
 def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """`keep` plus one newline-joined text column and its lower-case form."""
-    return (df.select(*keep, joined_text(text_cols, "\n").alias("_text"))
-              .withColumn("_lower", F.lower("_text")))
+    columns = list(dict.fromkeys([*keep, *text_cols]))
+    return (spread(df.select(*columns)).select(*keep, joined_text(text_cols, "\n").alias("_text"))
+                                       .withColumn("_lower", F.lower("_text")))
 
 
 def with_tags(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],

@@ -48,17 +48,18 @@ def _name(r: FieldRule) -> str:
     return f"{GROUP_PREFIX.get(r.group, r.group)}.{r.field}"
 
 
-def _raw_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
+def _raw_fields(fields: Sequence[FieldRule], record: str = "record") -> Column:
     """ARRAY<STRUCT<field, d>>: the contract's fields as described values. One lambda over it keeps plans
     small where an expression per field would repeat its logic 22 times."""
-    raw = F.array(*[F.struct(F.lit(_name(r)).alias("field"), get_field(record, r.group, r.field).alias("v"))
-                    for r in fields])
-    return F.transform(raw, lambda x: F.struct(x["field"].alias("field"), describe(x["v"]).alias("d")))
+    rows = [f"named_struct('field', '{_name(r)}', 'v', try_variant_get({record}, '$.{r.group}.{r.field}', 'variant'))"
+            for r in fields]
+    return F.transform(F.expr(f"array({', '.join(rows)})"),
+                       lambda x: F.struct(x["field"].alias("field"), describe(x["v"]).alias("d")))
 
 
-def record_fields(record: Column, fields: Sequence[FieldRule]) -> Column:
+def record_fields(fields: Sequence[FieldRule]) -> Column:
     """ARRAY<STRUCT<field, filled, value>> in contract order; `value` is the comparable form."""
-    return F.transform(_raw_fields(record, fields), lambda x: F.struct(
+    return F.transform(_raw_fields(fields), lambda x: F.struct(
         x["field"].alias("field"), is_filled(x["d"]).alias("filled"), normalise_value(x["d"]).alias("value")))
 
 
@@ -66,8 +67,8 @@ def conflict_items(record: Column) -> Column:
     return F.coalesce(F.try_variant_get(record, "$.conflicts", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _any_filled(record: Column, fields: Sequence[FieldRule], group: str) -> Column:
-    return F.exists(_raw_fields(record, [r for r in fields if r.group == group]), lambda x: is_filled(x["d"]))
+def _any_filled(fields: Sequence[FieldRule], group: str) -> Column:
+    return F.exists(_raw_fields([r for r in fields if r.group == group]), lambda x: is_filled(x["d"]))
 
 
 def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
@@ -75,7 +76,7 @@ def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFram
     rec = F.col("record")
     groups = list(dict.fromkeys(r.group for r in fields))
     flags = records.select(
-        *[_any_filled(rec, fields, g).alias(g) for g in groups], F.size(conflict_items(rec)).alias("_c"))
+        *[_any_filled(fields, g).alias(g) for g in groups], F.size(conflict_items(rec)).alias("_c"))
     return flags.agg(
         F.count(F.lit(1)).alias("records_n"),
         *[F.count_if(F.col(g)).alias(f"{GROUP_PREFIX.get(g, g)}_filled_n") for g in groups],
@@ -85,7 +86,7 @@ def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFram
 
 def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
     """Filled records per field, zero counts included, in one pass."""
-    flags = F.transform(_raw_fields(F.col("record"), fields), lambda x: is_filled(x["d"]))
+    flags = F.transform(_raw_fields(fields), lambda x: is_filled(x["d"]))
     counts = once(records.select("record"), _f=flags).agg(
         *[F.count_if(F.get("_f", F.lit(i))).alias(_name(r)) for i, r in enumerate(fields)])
     return counts.select(F.inline(F.array(*[
@@ -95,7 +96,7 @@ def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
 def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5,
                      small: bool | None = None) -> DataFrame:
     """Most frequent values of each field, ties by value."""
-    tallies = F.transform(_raw_fields(F.col("record"), fields), lambda x: F.struct(
+    tallies = F.transform(_raw_fields(fields), lambda x: F.struct(
         x["field"].alias("field"), tally_items(x["d"]).alias("values")))
     lists = once(records.select("record"), _t=tallies).select(F.inline("_t"))
     counts = lists.select("field", F.explode("values").alias("value")).groupBy("field", "value").agg(
@@ -111,14 +112,14 @@ def conflict_counts(records: DataFrame, by: str, k: int | None = None) -> DataFr
     return counts if k is None else top_k(counts, [F.desc("n"), F.asc("value")], k)
 
 
-def _rule_rows(record: Column, contract: Sequence[FieldRule]) -> Column:
-    text, number, names = F.lit(None).cast("string"), F.lit(None).cast("bigint"), "array<string>"
-    return F.array(*[F.struct(
-        F.lit(_name(r)).alias("field"), F.lit(r.kind).alias("kind"),
-        (F.array(*[F.lit(a) for a in r.allowed]) if r.allowed else F.array(text)).cast(names).alias("allowed"),
-        (number if r.minimum is None else F.lit(r.minimum).cast("bigint")).alias("lo"),
-        (number if r.maximum is None else F.lit(r.maximum).cast("bigint")).alias("hi"),
-        get_field(record, r.group, r.field).alias("v")) for r in contract])
+def _rule_rows(contract: Sequence[FieldRule], record: str = "record") -> Column:
+    def row(r: FieldRule) -> str:
+        allowed = f"array({', '.join(repr(a) for a in r.allowed)})" if r.allowed else "CAST(array() AS ARRAY<STRING>)"
+        low, high = ("NULL" if x is None else str(x) for x in (r.minimum, r.maximum))
+        return (f"named_struct('field', '{_name(r)}', 'kind', '{r.kind}', 'allowed', {allowed}, 'lo', CAST({low} AS BIGINT), "
+                f"'hi', CAST({high} AS BIGINT), 'v', try_variant_get({record}, '$.{r.group}.{r.field}', 'variant'))")
+
+    return F.expr(f"array({', '.join(row(r) for r in contract)})")
 
 
 def _described(r: Column) -> Column:
@@ -168,7 +169,7 @@ def _unknown_fields(record: Column, contract: Sequence[FieldRule], group: str) -
 def validate_contract(records: DataFrame, contract: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, rule, value) of every breach: type, enum, range, null_list, unknown_field."""
     rec = F.col("record")
-    known = F.flatten(F.transform(F.transform(_rule_rows(rec, contract), _described), _breaches))
+    known = F.flatten(F.transform(F.transform(_rule_rows(contract), _described), _breaches))
     groups = dict.fromkeys(r.group for r in contract)
     found = F.concat(known, *[_unknown_fields(rec, contract, g) for g in groups])
     return once(records.select("id", "record"), _b=found).select("id", F.inline("_b"))
@@ -187,7 +188,7 @@ def evidence_items(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame
         return (F.when(kind_of(x["d"]) == "list", many).when(is_filled(x["d"]), F.array(item(x["field"], v)))
                 .otherwise(F.array().cast("array<struct<field:string,source_field:string,evidence:string>>")))
 
-    found = F.flatten(F.transform(_raw_fields(F.col("record"), fields), items))
+    found = F.flatten(F.transform(_raw_fields(fields), items))
     return once(records.select("id", "record"), _e=found).select("id", F.inline("_e"))
 
 

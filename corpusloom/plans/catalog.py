@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Plan] = {}
@@ -170,13 +172,14 @@ _PLUS = re.compile(r"PLUS_S\(([^,]+), ([^)]+)\)")
 _TABLE = re.compile(r"\{([a-z]+)\}")
 
 
-def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The mapping view over the tables of `sf`."""
+def view(spark: SparkSession, sf: str, name: str, wide: bool = False) -> DataFrame:
+    """The mapping view over the tables of `sf`; `wide` spreads small files over all cores first."""
     sql = _PLUS.sub(r"(\1 + make_dt_interval(0, 0, 0, \2))", VIEWS[name])
     tables = set(_TABLE.findall(sql))
     for t in tables:
         # resolved at once, so a later call for another folder cannot change this plan
-        table(spark, sf, t).createOrReplaceTempView(f"corpusloom_{t}")
+        base = table(spark, sf, t)
+        (spread(base) if wide else base).createOrReplaceTempView(f"corpusloom_{t}")
     return spark.sql(_TABLE.sub(r"corpusloom_\1", sql))
 
 

@@ -229,4 +229,4 @@ _BODY = "regexp_replace(body, '^﻿', '')"
     coalesce(json_type(j, '$.prompt') = 'VARCHAR' AND trim(j->>'$.prompt') <> '', false) AS good
    FROM (SELECT id, {_BODY} AS b, CASE WHEN json_valid({_BODY}) THEN CAST({_BODY} AS JSON) END AS j FROM bodies_v))""", "bodies_v"))
 def payload_extract(spark, sf):
-    return view(spark, sf, "bodies_v").select("id", payload_text("body").alias("p")).select("id", "p.text", "p.error")
+    return view(spark, sf, "bodies_v", wide=True).select("id", payload_text("body").alias("p")).select("id", "p.text", "p.error")

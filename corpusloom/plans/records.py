@@ -16,7 +16,7 @@ EVIDENCE_SOURCES = {"description": "text"}
 
 
 def parsed(spark: SparkSession, sf: str, run: str) -> DataFrame:
-    return records.parse_lines(view(spark, sf, f"records_{run}_v"))
+    return records.parse_lines(view(spark, sf, f"records_{run}_v", wide=True))
 
 
 def final(spark: SparkSession, sf: str, run: str = "a") -> DataFrame:

@@ -29,13 +29,13 @@ used AS (SELECT DISTINCT run_id, line_no FROM blocks WHERE b->>'$.type' = 'tool_
   UNION ALL SELECT run_id, line_no, 0, 'message', j->>'$.type', NULL FROM lines WHERE j->>'$.type' NOT IN ('assistant', 'user', 'result', 'system', 'error')""",
                                 "session_lines_v", extra=_LINES))
 def session_events(spark, sf):
-    events = sessions.normalise_session(view(spark, sf, "session_lines_v"))
+    events = sessions.normalise_session(view(spark, sf, "session_lines_v", wide=True))
     return events.select("run_id", "line_no", "block_no", "event_type", "text", "tool_use_id")
 
 
 @query("session_text", oracle("SELECT run_id, line_no, 0 AS block_no, text FROM spoken", "session_lines_v", extra=_LINES))
 def session_text(spark, sf):
-    return sessions.session_fragments(sessions.normalise_session(view(spark, sf, "session_lines_v")))
+    return sessions.session_fragments(sessions.normalise_session(view(spark, sf, "session_lines_v", wide=True)))
 
 
 _FRAGMENTS = rf"""fragments AS (SELECT conv_id AS run_id, turn AS seq, CASE WHEN role = 'assistant' THEN {_STRIP.format(x='text')} ELSE '' END AS t FROM conversations),
