@@ -141,6 +141,7 @@ AGE_MAX = [r"\bjusqu'?\s*[àa]\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*ans\s*(
            r"\b[0-9]{1,3}\s*(?:-|à|a)\s*([0-9]{1,3})\s*ans"]
 AGE_MIN = [r"\b([0-9]{1,3})\s*ans\s*(?:et\s*\+|et\s*plus|minimum|ou\s*plus)", r"[àa]\s*partir\s*de\s*([0-9]{1,3})\s*ans",
            r"\bplus\s*de\s*([0-9]{1,3})\s*ans", r"\+\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*(?:-|à|a)\s*[0-9]{1,3}\s*ans"]
+AGE_ANY = r"[0-9]\s*ans"  # part of every wording above
 AGE_SENTINEL = (0, 120)
 AGE_SENTINEL_TEXT = r"[âa]ge\s+minimum\s*:\s*0\s+[âa]ge\s+maximum\s*:\s*120"
 
@@ -153,8 +154,9 @@ def _ages(text: Column, patterns: Sequence[str]) -> Column:
 def age_bounds(text: Column) -> Column:
     """struct(age_min, age_max). "Less than N" is N - 1; several mentions give the widest range; the
     0..120 placeholder means no bound."""
-    low = F.array_min(_ages(text, AGE_MIN))
-    high = F.array_max(F.concat(F.transform(_ages(text, AGE_BELOW), lambda x: x - 1), _ages(text, AGE_MAX)))
+    mentioned = text.rlike(ignore_case(AGE_ANY))
+    low = F.when(mentioned, F.array_min(_ages(text, AGE_MIN)))
+    high = F.when(mentioned, F.array_max(F.concat(F.transform(_ages(text, AGE_BELOW), lambda x: x - 1), _ages(text, AGE_MAX))))
     placeholder = text.rlike(ignore_case(AGE_SENTINEL_TEXT)) | \
         F.coalesce((low == AGE_SENTINEL[0]) & (high == AGE_SENTINEL[1]), F.lit(False))
     return F.struct(F.when(~placeholder, low).alias("age_min"), F.when(~placeholder, high).alias("age_max"))

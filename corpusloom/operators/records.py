@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.values import describe, get_field, is_filled, kind_of, list_items, normalise_value, tally_items, unwrap
+from ..functions.values import (
+    bare_text,
+    describe,
+    field_value,
+    is_filled,
+    kind_of,
+    list_items,
+    normalise_value,
+    tally_items,
+    unwrap,
+)
 from .compute import once
 from .ordering import first_per_key, top_k, top_k_per_group
 from .profile import row_total
@@ -48,19 +58,16 @@ def _name(r: FieldRule) -> str:
     return f"{GROUP_PREFIX.get(r.group, r.group)}.{r.field}"
 
 
-def _raw_fields(fields: Sequence[FieldRule], record: str = "record") -> Column:
-    """ARRAY<STRUCT<field, d>>: the contract's fields as described values. One lambda over it keeps plans
-    small where an expression per field would repeat its logic 22 times."""
-    rows = [f"named_struct('field', '{_name(r)}', 'v', try_variant_get({record}, '$.{r.group}.{r.field}', 'variant'))"
-            for r in fields]
-    return F.transform(F.expr(f"array({', '.join(rows)})"),
-                       lambda x: F.struct(x["field"].alias("field"), describe(x["v"]).alias("d")))
+def _each_field(fields: Sequence[FieldRule], body: str) -> Column:
+    """ARRAY of `body` over the contract's fields, which it sees as x.field and the described value x.d.
+    One lambda keeps plans small where an expression per field would repeat its logic 22 times."""
+    raw = ", ".join(f"named_struct('field', '{_name(r)}', 'v', {field_value(r.group, r.field)})" for r in fields)
+    return F.expr(f"transform(transform(array({raw}), x -> named_struct('field', x.field, 'd', {describe('x.v')})), x -> {body})")
 
 
 def record_fields(fields: Sequence[FieldRule]) -> Column:
     """ARRAY<STRUCT<field, filled, value>> in contract order; `value` is the comparable form."""
-    return F.transform(_raw_fields(fields), lambda x: F.struct(
-        x["field"].alias("field"), is_filled(x["d"]).alias("filled"), normalise_value(x["d"]).alias("value")))
+    return _each_field(fields, f"named_struct('field', x.field, 'filled', {is_filled('x.d')}, 'value', {normalise_value('x.d')})")
 
 
 def conflict_items(record: Column) -> Column:
@@ -68,7 +75,7 @@ def conflict_items(record: Column) -> Column:
 
 
 def _any_filled(fields: Sequence[FieldRule], group: str) -> Column:
-    return F.exists(_raw_fields([r for r in fields if r.group == group]), lambda x: is_filled(x["d"]))
+    return F.exists(_each_field([r for r in fields if r.group == group], is_filled("x.d")), lambda x: x)
 
 
 def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
@@ -86,8 +93,7 @@ def record_coverage(records: DataFrame, fields: Sequence[FieldRule]) -> DataFram
 
 def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
     """Filled records per field, zero counts included, in one pass."""
-    flags = F.transform(_raw_fields(fields), lambda x: is_filled(x["d"]))
-    counts = once(records.select("record"), _f=flags).agg(
+    counts = once(records.select("record"), _f=_each_field(fields, is_filled("x.d"))).agg(
         *[F.count_if(F.get("_f", F.lit(i))).alias(_name(r)) for i, r in enumerate(fields)])
     return counts.select(F.inline(F.array(*[
         F.struct(F.lit(_name(r)).alias("field"), F.col(f"`{_name(r)}`").alias("n")) for r in fields])))
@@ -96,8 +102,7 @@ def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
 def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5,
                      small: bool | None = None) -> DataFrame:
     """Most frequent values of each field, ties by value."""
-    tallies = F.transform(_raw_fields(fields), lambda x: F.struct(
-        x["field"].alias("field"), tally_items(x["d"]).alias("values")))
+    tallies = _each_field(fields, f"named_struct('field', x.field, 'values', {tally_items('x.d')})")
     lists = once(records.select("record"), _t=tallies).select(F.inline("_t"))
     counts = lists.select("field", F.explode("values").alias("value")).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n"))
@@ -112,84 +117,69 @@ def conflict_counts(records: DataFrame, by: str, k: int | None = None) -> DataFr
     return counts if k is None else top_k(counts, [F.desc("n"), F.asc("value")], k)
 
 
-def _rule_rows(contract: Sequence[FieldRule], record: str = "record") -> Column:
+def _rule_rows(contract: Sequence[FieldRule]) -> str:
+    """ARRAY of the rules, each with its value `v` in the record."""
     def row(r: FieldRule) -> str:
         allowed = f"array({', '.join(repr(a) for a in r.allowed)})" if r.allowed else "CAST(array() AS ARRAY<STRING>)"
         low, high = ("NULL" if x is None else str(x) for x in (r.minimum, r.maximum))
         return (f"named_struct('field', '{_name(r)}', 'kind', '{r.kind}', 'allowed', {allowed}, 'lo', CAST({low} AS BIGINT), "
-                f"'hi', CAST({high} AS BIGINT), 'v', try_variant_get({record}, '$.{r.group}.{r.field}', 'variant'))")
-
-    return F.expr(f"array({', '.join(row(r) for r in contract)})")
-
-
-def _described(r: Column) -> Column:
-    """The rule with its value, and the value without its {value, source_field, evidence_substring} wrapper."""
-    bare = F.when(r["v"].isNotNull(), unwrap(r["v"]))
-    return F.struct(*[r[c].alias(c) for c in ("field", "kind", "allowed", "lo", "hi", "v")],
-                    describe(r["v"]).alias("d"), describe(bare).alias("b"))
-
-
-def _breaches(r: Column) -> Column:
-    """Breaches of one field as ARRAY<STRUCT<field, rule, value>>."""
-    v, kind = r["v"], kind_of(r["d"])
-    shown = F.try_variant_get(v, "$", "string")
-    bare, bare_kind = r["b"]["v"], kind_of(r["b"])
-    bare_text = F.try_variant_get(bare, "$", "string")
-    number = F.try_variant_get(bare, "$", "bigint")
-    is_list = r["kind"] == "list"
-    wanted = F.when(r["kind"] == "enum", "string").otherwise(r["kind"])
-    outside = F.array_except(tally_items(r["d"]), r["allowed"])
-
-    def report(rule: str, bad: Column, value: Column) -> Column:
-        return F.when(F.coalesce(bad, F.lit(False)),
-                      F.struct(r["field"].alias("field"), F.lit(rule).alias("rule"), value.alias("value")))
-
-    checks = F.array(
-        report("null_list", is_list & (kind == "null"), shown),
-        report("type", is_list & ~kind.isin("null", "list"), shown),
-        report("enum", is_list & (kind == "list") & (F.size(outside) > 0), F.array_join(F.array_sort(outside), ",")),
-        report("type", ~is_list & (bare_kind != "null") & (bare_kind != wanted), shown),
-        report("enum", (r["kind"] == "enum") & (bare_kind == "string") & ~F.array_contains(r["allowed"], bare_text), bare_text),
-        report("range", (r["kind"] == "int") & (bare_kind == "int") &
-               (F.coalesce(number < r["lo"], F.lit(False)) | F.coalesce(number > r["hi"], F.lit(False))), bare_text))
-    return F.when(v.isNotNull(), F.array_compact(checks)).otherwise(
-        F.array().cast("array<struct<field:string,rule:string,value:string>>"))
-
-
-def _unknown_fields(record: Column, contract: Sequence[FieldRule], group: str) -> Column:
-    names = F.array(*[F.lit(r.field) for r in contract if r.group == group])
-    keys = F.map_keys(F.try_variant_get(record, f"$.{group}", "map<string,variant>"))
-    extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), names)
-    prefix = F.lit(GROUP_PREFIX.get(group, group) + ".")
-    return F.transform(extra, lambda x: F.struct(
-        F.concat(prefix, x).alias("field"), F.lit("unknown_field").alias("rule"),
-        F.lit(None).cast("string").alias("value")))
+                f"'hi', CAST({high} AS BIGINT), 'v', {field_value(r.group, r.field)})")
+
+    return f"array({', '.join(row(r) for r in contract)})"
+
+
+def _breaches() -> str:
+    """ARRAY<STRUCT<field, rule, value>> of one rule row r: r.d is the described value, r.b the same without
+    its {value, source_field, evidence_substring} wrapper, r.outside the tallied items not allowed."""
+    kind, bare_kind = kind_of("r.d"), kind_of("r.b")
+    text, number = bare_text("r.b.v"), "try_variant_get(r.b.v, '$', 'bigint')"
+    wanted = "CASE r.kind WHEN 'enum' THEN 'string' ELSE r.kind END"
+    checks = [
+        ("null_list", f"r.kind = 'list' AND {kind} = 'null'", bare_text("r.d.v")),
+        ("type", f"r.kind = 'list' AND {kind} NOT IN ('null', 'list')", bare_text("r.d.v")),
+        ("enum", f"r.kind = 'list' AND {kind} = 'list' AND size(r.outside) > 0", "array_join(array_sort(r.outside), ',')"),
+        ("type", f"r.kind <> 'list' AND {bare_kind} <> 'null' AND {bare_kind} <> {wanted}", bare_text("r.d.v")),
+        ("enum", f"r.kind = 'enum' AND {bare_kind} = 'string' AND NOT array_contains(r.allowed, {text})", text),
+        ("range", f"r.kind = 'int' AND {bare_kind} = 'int' AND (coalesce({number} < r.lo, false) OR coalesce({number} > r.hi, false))", text),
+    ]
+    rows = ", ".join(f"CASE WHEN {bad} THEN named_struct('field', r.field, 'rule', '{rule}', 'value', {shown}) END"
+                     for rule, bad, shown in checks)
+    return f"array_compact(array({rows}))"
+
+
+def _unknown_fields(contract: Sequence[FieldRule], group: str) -> str:
+    names = ", ".join(f"'{r.field}'" for r in contract if r.group == group)
+    keys = f"coalesce(map_keys(try_variant_get(record, '$.{group}', 'map<string,variant>')), CAST(array() AS ARRAY<STRING>))"
+    prefix = GROUP_PREFIX.get(group, group)
+    return (f"transform(array_except({keys}, array({names})), k -> named_struct('field', concat('{prefix}.', k), "
+            "'rule', 'unknown_field', 'value', CAST(NULL AS STRING)))")
 
 
 def validate_contract(records: DataFrame, contract: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, rule, value) of every breach: type, enum, range, null_list, unknown_field."""
-    rec = F.col("record")
-    known = F.flatten(F.transform(F.transform(_rule_rows(contract), _described), _breaches))
-    groups = dict.fromkeys(r.group for r in contract)
-    found = F.concat(known, *[_unknown_fields(rec, contract, g) for g in groups])
-    return once(records.select("id", "record"), _b=found).select("id", F.inline("_b"))
+    present = f"filter({_rule_rows(contract)}, r -> r.v IS NOT NULL)"
+    described = (f"transform({present}, r -> named_struct('field', r.field, 'kind', r.kind, 'allowed', r.allowed, 'lo', r.lo, 'hi', r.hi, "
+                 f"'d', {describe('r.v')}, 'b', {describe(unwrap('r.v'))}))")
+    judged = (f"transform({described}, r -> named_struct('field', r.field, 'kind', r.kind, 'allowed', r.allowed, 'lo', r.lo, 'hi', r.hi, "
+              f"'d', r.d, 'b', r.b, 'outside', CASE r.kind WHEN 'list' THEN array_except({tally_items('r.d')}, r.allowed) END))")
+    known = f"flatten(transform({judged}, r -> {_breaches()}))"
+    unknown = [_unknown_fields(contract, g) for g in dict.fromkeys(r.group for r in contract)]
+    found = once(records.select("id", "record"), _b=F.expr(f"concat({', '.join([known, *unknown])})"))
+    return found.select("id", F.inline("_b"))
 
 
 def evidence_items(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
     """Long rows (id, field, source_field, evidence) of every extracted value, list items included.
     Bare scalars show up with null evidence."""
-    def item(field: Column, v: Column) -> Column:
-        return F.struct(field.alias("field"), F.try_variant_get(v, "$.source_field", "string").alias("source_field"),
-                        F.try_variant_get(v, "$.evidence_substring", "string").alias("evidence"))
-
-    def items(x: Column) -> Column:
-        v = x["d"]["v"]
-        many = F.transform(list_items(v), lambda y: item(x["field"], y))
-        return (F.when(kind_of(x["d"]) == "list", many).when(is_filled(x["d"]), F.array(item(x["field"], v)))
-                .otherwise(F.array().cast("array<struct<field:string,source_field:string,evidence:string>>")))
-
-    found = F.flatten(F.transform(_raw_fields(fields), items))
-    return once(records.select("id", "record"), _e=found).select("id", F.inline("_e"))
+    def item(v: str) -> str:
+        return (f"named_struct('field', x.field, 'source_field', try_variant_get({v}, '$.source_field', 'string'), "
+                f"'evidence', try_variant_get({v}, '$.evidence_substring', 'string'))")
+
+    body = (f"CASE WHEN {kind_of('x.d')} = 'list' THEN transform({list_items('x.d.v')}, y -> {item('y')}) "
+            f"WHEN {is_filled('x.d')} THEN array({item('x.d.v')}) "
+            "ELSE CAST(array() AS ARRAY<STRUCT<field: STRING, source_field: STRING, evidence: STRING>>) END")
+    found = once(records.select("id", "record"), _e=F.flatten(_each_field(fields, body)))
+    return found.select("id", F.inline("_e"))
 
 
 def validate_evidence(items: DataFrame, corpus: DataFrame, id_col: str, sources: Mapping[str, str]) -> DataFrame:

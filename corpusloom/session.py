@@ -23,6 +23,10 @@ def build_session(app_name: str = "corpusloom", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # lets `row_number() <= k` prune inside each map task for larger k than the default 1000
         "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+        # record checks are heavy per byte, so small shuffles keep more tasks than the 1 MB default allows
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
+        # building a column asks the JVM for its call site otherwise; wide rule sets build thousands
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **{k.replace("__", "."): v for k, v in conf.items()},
@@ -60,8 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimised plan; for file scans this is the size of the files read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the files and ranges a plan reads, before any filter or column choice.
+
+    Sources of unknown size, such as local rows, count as unbounded and so take the large path.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
