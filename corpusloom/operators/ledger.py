@@ -17,7 +17,7 @@ from ..fixed_values import (
     SCRUB_AFTER_S,
     TERMINAL_STATUSES,
 )
-from .ordering import first_per_key, positions, top_k
+from .ordering import HOT_ROWS, first_per_key, positions, top_k
 
 # Event types that set a status. Others, such as worker errors, leave it alone.
 STATUS_EVENTS = {
@@ -69,14 +69,15 @@ def dedupe_first(events: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 def dedupe_idempotent(runs: DataFrame, scope: str, key: str, order: Sequence[str | Column]) -> DataFrame:
     """First run per (scope, key); runs without a key are all kept and never shuffled together."""
-    keyed = F.coalesce(F.col(key), F.lit("")) != ""
-    return first_per_key(runs.where(keyed), [scope, key], order).unionByName(runs.where(~keyed))
+    keyed = runs.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    free = runs.where(F.col(key).isNull() | (F.col(key) == ""))
+    return first_per_key(keyed, [scope, key], order).unionByName(free)
 
 
 def number_events(events: DataFrame, run: str, order: Sequence[str | Column], out: str = "seq",
-                  small: bool | None = None) -> DataFrame:
+                  small: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sequence number per run from 1; 0 is left for the dispatch event."""
-    return positions(events, order, by=[run], out=out, small=small)
+    return positions(events, order, by=[run], out=out, small=small, hot_rows=hot_rows)
 
 
 def status_code(names: Mapping[str, str] = STATUS_EVENTS) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut, is_small
 
+# A group up to this many rows is left to one task, which sorts it with spill; larger ones are split.
+HOT_ROWS = 5_000_000
+# A table is broadcast only after its rows were counted and found to be at most this many.
+MAX_BROADCAST_ROWS = 100_000
+
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -82,11 +87,60 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], by: Sequence[st
     return joined.select(*keep, (inside["_in"] + offsets["_off"]).alias(out))
 
 
+def counted_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`df`, hinted for broadcast when it has at most `max_rows` rows. Pass a materialised table."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of groups above `hot_rows` or None). There can be no more hot groups
+    than rows / hot_rows, so the list of them stays small however large the table is."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = cut(counts.select(*keys))
+    if hot.isEmpty():
+        return df, None
+    listed = counted_broadcast(hot)
+    match = same_keys(df, listed, keys)
+    return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
+
+
+def _sliced_positions(df: DataFrame, order: list[Column], by: list[str], out: str) -> DataFrame:
+    """Row numbers from one range shuffle: the place inside a slice comes with the sort, the offset of
+    the slice from the first row of each (group, slice)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *_cols(by), *order).sortWithinPartitions(*_cols(by), *order)
+    placed = cut(ranged.withColumn("_mid", F.monotonically_increasing_id())
+                       .withColumn("_slice", F.shiftright("_mid", 33)))
+    heads = placed.groupBy(*by, "_slice").agg(F.min("_mid").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    # one row per (group, slice): at most `parts` rows in any group
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    heads = cut(heads.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    listed = counted_broadcast(heads)
+    joined = placed.join(listed, same_keys(placed, listed, [*by, "_slice"]), "inner")
+    return joined.select(*[placed[c] for c in df.columns], (F.col("_off") + F.col("_mid") - F.col("_head") + 1).alias(out))
+
+
 def positions(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "position",
-              small: bool | None = None) -> DataFrame:
-    """1-based row number per group in a total `order`."""
-    ranked = running_totals(df, order, by=by, out=out, small=small)
-    return ranked.withColumn(out, F.col(out) + 1)
+              small: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """1-based row number per group in a total `order`.
+
+    Ordinary groups are numbered by a window. A table numbered as a whole, or a group above `hot_rows`,
+    is cut into ranges instead.
+    """
+    order, by = _cols(order), list(by)
+    if small is None:
+        small = is_small(df)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
+
+    if small:
+        return windowed(df)
+    if not by:
+        return _sliced_positions(df, order, by, out)
+    ordinary, hot = split_hot(df, by, hot_rows)
+    numbered = windowed(ordinary)
+    return numbered if hot is None else numbered.unionByName(_sliced_positions(hot, order, by, out))
 
 
 def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:

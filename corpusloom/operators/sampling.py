@@ -11,33 +11,28 @@ from ..fixed_values import SAMPLE_ALPHA, SAMPLE_QUOTAS, SAMPLE_SEED
 from ..functions.keys import seeded_hash, weighted_key
 from ..functions.predicates import score_boost
 from ..session import cut
-from .ordering import top_k_per_group
-
-# A count table of at most this many rows is broadcast; more rows take a shuffled join.
-MAX_BROADCAST_ROWS = 100_000
+from .ordering import HOT_ROWS, MAX_BROADCAST_ROWS, top_k_per_group
 
 
 def with_group_count(df: DataFrame, key: str, out: str = "source_count", keep_null: bool = False,
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Attach the row count of each key. Rows with a null key are dropped unless `keep_null`.
 
-    The counts are materialised once and measured: few keys are broadcast, so the big side is never
-    shuffled by a key one value of which may hold a third of the rows. With many keys the join
-    shuffles on key and salt, every count row being repeated once per salt.
+    The counts are materialised once and measured. Few keys are broadcast, so the big side is never
+    shuffled by a key one value of which may hold a third of the rows. Among many keys only the hot ones
+    are broadcast, of which there are at most rows / hot_rows; the others are joined by shuffle.
     """
     counts = cut(df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias(out)))
-    few = counts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-
-    def on(left: DataFrame, right: DataFrame) -> Column:
-        return left[key].eqNullSafe(right["_k"]) if keep_null else left[key] == right["_k"]
-
-    if few:
-        return df.join(F.broadcast(counts), on(df, counts), "inner").drop("_k")
-    salts = 16
-    spread = counts.withColumn("_cs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return (salted.join(spread, on(salted, spread) & (salted["_s"] == spread["_cs"]), "inner")
-                  .drop("_k", "_s", "_cs"))
+
+    def attach(rows: DataFrame, side: DataFrame) -> DataFrame:
+        match = rows[key].eqNullSafe(side["_k"]) if keep_null else rows[key] == side["_k"]
+        return rows.join(side, match, "inner").drop("_k")
+
+    if counts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return attach(df, F.broadcast(counts))
+    hot = F.broadcast(counts.where(F.col(out) > hot_rows))
+    rest = df.join(hot, df[key].eqNullSafe(hot["_k"]), "left_anti")
+    return attach(df, hot).unionByName(attach(rest, counts.where(F.col(out) <= hot_rows)))
 
 
 def sample_weights(df: DataFrame, source: str, score: str, alpha: float = SAMPLE_ALPHA,

@@ -14,7 +14,7 @@ EVENT_FIELDS = ("block_no", "event_type", "text", "tool_use_id", "blocks", "payl
 _BLOCKS = "array<struct<type:string,text:string,name:string,id:string,input:string>>"
 
 # A transcript longer than this many sequence numbers is written in parts.
-PART_ROWS = 10_000
+PART_ROWS = 2_000
 
 # Keys kept from a result line.
 RESULT_KEYS = ("duration_ms", "duration_api_ms", "num_turns", "total_cost_usd", "usage", "subtype")

@@ -30,14 +30,23 @@ def test_top_k_per_group(skewed):
 
 @pytest.mark.parametrize("by", [(), ("grp",)])
 def test_positions(skewed, by):
-    a, b = (ordering.positions(skewed, ["v", "id"], by=by, small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    want = rows_of(ordering.positions(skewed, ["v", "id"], by=by, small=True))
+    for hot_rows in (0, 100, 10_000):  # every group hot, one hot, none hot
+        got = ordering.positions(skewed, ["v", "id"], by=by, small=False, hot_rows=hot_rows)
+        assert rows_of(got) == want
     if not by:
-        assert sorted(r.position for r in b.collect()) == list(range(1, 3001))
+        assert sorted(r.position for r in got.collect()) == list(range(1, 3001))
 
 
 def test_number_events(skewed):
-    assert rows_of(number_events(skewed, "grp", ["id"], small=True)) == rows_of(number_events(skewed, "grp", ["id"], small=False))
+    want = number_events(skewed, "grp", ["id"], small=True)
+    assert rows_of(want) == rows_of(number_events(skewed, "grp", ["id"], small=False, hot_rows=500))
+
+
+@pytest.mark.parametrize("by", [(), ("grp",)])
+def test_running_totals(skewed, by):
+    a, b = (ordering.running_totals(skewed, ["v", "id"], by=by, weight=F.col("id"), small=s) for s in (True, False))
+    assert rows_of(a) == rows_of(b)
 
 
 @pytest.mark.parametrize("by", [None, "grp"])
@@ -66,9 +75,10 @@ def test_chunks(skewed, k):
 @pytest.mark.parametrize("keep_null", [False, True])
 def test_group_count_without_broadcast(skewed, keep_null):
     a = sampling.with_group_count(skewed, "grp", keep_null=keep_null)
-    b = sampling.with_group_count(skewed, "grp", keep_null=keep_null, max_broadcast_rows=0)
-    assert rows_of(a) == rows_of(b)
-    assert a.where("grp is null").count() == (111 * 3 + 1 if keep_null else 0) or keep_null
+    for hot_rows in (100, 10_000):
+        b = sampling.with_group_count(skewed, "grp", keep_null=keep_null, max_broadcast_rows=0, hot_rows=hot_rows)
+        assert rows_of(a) == rows_of(b)
+    assert (a.where("grp is null").count() > 0) is keep_null
 
 
 def test_samples_nest_and_fill_quotas(skewed):
