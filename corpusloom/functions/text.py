@@ -16,9 +16,13 @@ def ignore_case(pattern: str) -> str:
     return UNICODE_IGNORE_CASE + pattern
 
 
+# every character Unicode calls whitespace; the last is U+3000
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(col: Column) -> Column:
     """Drop leading and trailing whitespace of every kind; SQL `trim` removes spaces only."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.trim(col, F.lit(WHITESPACE))
 
 
 def joined_text(cols: Sequence[str | Column], sep: str = " ") -> Column:

@@ -21,7 +21,7 @@ def with_share(counts: DataFrame, n: str, total: DataFrame | None = None, out: s
     The total is a scalar subquery: one value, no join and no single-task window.
     """
     whole = (total if total is not None else counts.agg(F.sum(n))).scalar()
-    return counts.withColumn(out, F.when(whole > 0, F.col(n) / whole).otherwise(F.lit(0.0)))
+    return counts.withColumn(out, F.coalesce(F.try_divide(F.col(n), whole), F.lit(0.0)))
 
 
 def row_total(df: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def assemble_transcript(fragments: DataFrame, run: str, seq: str, text: str, par
     as consecutive parts, so no task ever collects more than `part_rows` fragments. `(empty)` stands
     for a run without text.
     """
-    trimmed = fragments.select(F.col(run).alias("run_id"), F.col(seq).alias("_seq"),
-                               strip(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    trimmed = once(fragments.select(F.col(run).alias("run_id"), F.col(seq).alias("_seq"), F.col(text).alias("_text")),
+                   _t=strip(F.coalesce("_text", F.lit("")))).drop("_text")
     spoken = trimmed.where(F.col("_t") != "").withColumn("part", F.floor(F.col("_seq") / part_rows))
     parts = spoken.groupBy("run_id", "part").agg(F.array_sort(F.collect_list(F.struct("_seq", "_t"))).alias("_a"))
     texts = parts.select("run_id", "part", F.array_join(F.transform("_a", lambda x: x["_t"]), "\n\n").alias("transcript"))

@@ -148,3 +148,24 @@ def test_checklists(spark):
     got = backlog.checklist_state(df, "id", "text").orderBy("id").collect()
     assert [(r.checked_n, r.open_n, r.complete) for r in got] == [
         (2, 0, True), (1, 1, False), (0, 0, False), (0, 0, False), (0, 0, False), (1, 0, True)]
+
+
+def test_session_stream_equals_batch(spark, sf):
+    from corpusloom.operators.sessions import normalise_session
+    from corpusloom.plans.catalog import VIEWS, table, view
+    stream = stream_events(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
+    stream.createOrReplaceTempView("conversations_stream")
+    lines = spark.sql(VIEWS["session_lines_v"].replace("{conversations}", "conversations_stream"))
+    live = append_to_files(normalise_session(lines).drop("blocks"), "session")
+    batch = normalise_session(view(spark, sf, "session_lines_v")).drop("blocks")
+    assert batch.count() > 0 and sorted(map(repr, live.collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_artifact_folders(spark, tmp_path):
+    from corpusloom.sources.tables import read_corpus, write_artifacts
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2026-05-04 10:00:00' ts, 'p' p, explode(array('r1', 'r2')) r, 'body' text")
+    write_artifacts(df, str(tmp_path / "runs"), "ts", "p", "r", "text")
+    folder = tmp_path / "runs" / "year=2026" / "month=05" / "day=04" / "pipeline=p" / "run_id=r2"
+    assert "".join(f.read_text() for f in folder.glob("part-*")) == "body\n"
+    df.select("r", "text").write.parquet(str(tmp_path / "c"))
+    assert read_corpus(spark, str(tmp_path / "c"), ["r", "absent"]).columns == ["r"]
