@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import is_small
 from .ordering import positions
 from .profile import row_total
 
-# Up to this many chunk starts are held as one array and compared row by row.
-MAX_START_ARRAY = 512
+# Up to this many chunk starts are read back and compared as constants; more are joined on the order key.
+MAX_STARTS = 512
+
+
+def _search(here: Column, starts: list[Column], lo: int, hi: int) -> Column:
+    """Number of the last start at or before `here`, by halving."""
+    if lo == hi:
+        return F.lit(lo + 1)
+    mid = (lo + hi + 1) // 2
+    return F.when(here >= starts[mid], _search(here, starts, mid, hi)).otherwise(_search(here, starts, lo, mid - 1))
 
 
 def chunk(df: DataFrame, k: int, order: Sequence[str], out: str = "chunk_id", small: bool | None = None) -> DataFrame:
@@ -23,20 +31,28 @@ def chunk(df: DataFrame, k: int, order: Sequence[str], out: str = "chunk_id", sm
     """
     order = list(order)
     size = F.ceil(row_total(df).scalar() / F.lit(k))
+
+    def numbered(rows: DataFrame, small: bool) -> DataFrame:
+        ranked = positions(rows, order, out="_pos", small=small)
+        return ranked.withColumn(out, (F.floor((F.col("_pos") - 1) / size) + 1).cast("int"))
+
     if small is None:
         small = is_small(df)
     if small:
-        ranked = positions(df, order, out="_pos", small=True)
-        return ranked.withColumn(out, (F.floor((F.col("_pos") - 1) / size) + 1).cast("int")).drop("_pos")
-    keys = positions(df.select(*order), order, out="_pos", small=False)
-    if k > MAX_START_ARRAY:
-        placed = keys.withColumn(out, (F.floor((F.col("_pos") - 1) / size) + 1).cast("int")).drop("_pos")
-        return df.join(placed, order, "inner").select(*df.columns, out)
-    starts = (keys.where((F.col("_pos") - 1) % size == 0)
-                  .agg(F.array_sort(F.collect_list(F.struct(*order)))).scalar())
+        return numbered(df, True).drop("_pos")
+    placed = numbered(df.select(*order), False)
+    if k > MAX_STARTS:
+        return df.join(placed.drop("_pos"), order, "inner").select(*df.columns, out)
+    types = df.select(*order).schema
+    first = [tuple(r)[:len(order)] for r in placed.where((F.col("_pos") - 1) % size == 0).orderBy("_pos").collect()]
+    if not first:
+        return df.withColumn(out, F.lit(1))
+    rows = [[F.lit(v).cast(f.dataType) for v, f in zip(r, types)] for r in first]
+    if len(order) == 1:
+        return df.withColumn(out, _search(F.col(order[0]), [r[0] for r in rows], 0, len(rows) - 1))
     here = F.struct(*order)
-    return (df.withColumn("_starts", starts)
-              .withColumn(out, F.size(F.filter("_starts", lambda s: s <= here)).cast("int")).drop("_starts"))
+    starts = [F.struct(*[v.alias(c) for v, c in zip(r, order)]) for r in rows]
+    return df.withColumn(out, _search(here, starts, 0, len(rows) - 1))
 
 
 def chunk_manifest(chunks: DataFrame, id_col: str, batch_id: str, chunk_col: str = "chunk_id",

@@ -15,27 +15,29 @@ from .rules import Bucket, literal_rows
 
 def tag_buckets(parents: DataFrame, rules: Sequence[Bucket], codes_col: str | Column,
                 text_cols: Sequence[str]) -> DataFrame:
-    """Add `buckets`: every (tier, bucket) a parent matches. One pass for all rules."""
+    """Add `buckets`: (no, tier, bucket) of every rule a parent matches. One pass for all rules."""
     hits = [F.when(bucket_predicate(r.codes, r.patterns, codes_col, text_cols),
-                   F.struct(F.lit(r.tier).alias("tier"), F.lit(r.label).alias("bucket"))) for r in rules]
+                   F.struct(F.lit(no).alias("no"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("bucket")))
+            for no, r in enumerate(rules)]
     return once(parents, buckets=F.array_compact(F.array(*hits)))
 
 
-def _pairs(tagged: DataFrame, parent_id: str) -> DataFrame:
-    return tagged.select(F.col(parent_id).alias("_pid"), F.inline("buckets")).distinct()
-
-
 def segment_counts(children: DataFrame, tagged: DataFrame, rules: Sequence[Bucket], child_id: str,
                    child_parent: str, parent_id: str = "id") -> DataFrame:
-    """Distinct parents and children of every bucket, zero counts included; buckets may overlap."""
-    pairs = _pairs(tagged, parent_id)
-    parents_n = pairs.groupBy("tier", "bucket").agg(F.count_distinct("_pid").alias("parents_n"))
+    """Distinct parents and children of every bucket, zero counts included; buckets may overlap.
+
+    Only rule numbers travel through the joins and shuffles; labels come back at the end.
+    """
+    pairs = (tagged.select(F.col(parent_id).alias("_pid"), F.explode("buckets").alias("_b"))
+                   .select("_pid", F.col("_b.no").alias("no")).distinct())
+    parents_n = pairs.groupBy("no").agg(F.count_distinct("_pid").alias("parents_n"))
     kids = children.select(F.col(child_id).alias("_cid"), F.col(child_parent).alias("_pid"))
-    children_n = (kids.join(pairs, "_pid", "inner").groupBy("tier", "bucket")
+    children_n = (kids.join(pairs, "_pid", "inner").groupBy("no")
                       .agg(F.count_distinct("_cid").alias("children_n")))
-    names = literal_rows(children.sparkSession, ["tier", "bucket"], [(r.tier, r.label) for r in rules])
-    counts = (names.join(parents_n, ["tier", "bucket"], "left").join(children_n, ["tier", "bucket"], "left")
-                   .fillna(0, ["parents_n", "children_n"]))
+    names = literal_rows(children.sparkSession, ["no", "tier", "bucket"],
+                         [(no, r.tier, r.label) for no, r in enumerate(rules)])
+    counts = (names.join(parents_n, "no", "left").join(children_n, "no", "left")
+                   .fillna(0, ["parents_n", "children_n"]).drop("no"))
     return with_share(counts, "children_n", total=row_total(children))
 
 

@@ -72,6 +72,16 @@ def test_chunks(skewed, k):
     assert sum(sizes) == 3000 and set(sizes[:-1]) <= {-(-3000 // k)} and min(sizes) > 0
 
 
+def test_chunks_by_two_columns(skewed):
+    rows = skewed.where("grp is not null")
+    a, b = (chunking.chunk(rows, 9, ["grp", "id"], small=s) for s in (True, False))
+    assert rows_of(a) == rows_of(b)
+    text = rows.withColumn("key", F.concat(F.lit("k-"), F.col("id").cast("string")))
+    a, b = (chunking.chunk(text, 9, ["key"], small=s) for s in (True, False))
+    assert rows_of(a) == rows_of(b)
+    assert chunking.chunk(rows.where("id < 0"), 3, ["id"], small=False).count() == 0
+
+
 @pytest.mark.parametrize("keep_null", [False, True])
 def test_group_count_without_broadcast(skewed, keep_null):
     a = sampling.with_group_count(skewed, "grp", keep_null=keep_null)
