@@ -200,10 +200,11 @@ def coverage_states(expected: DataFrame, actual: DataFrame, key: str = "id") ->
     """Distinct ids matched, missing from `actual`, or extra in it, with the share of the expected set."""
     e = expected.select(key).distinct().withColumn("_e", F.lit(True))
     a = actual.select(key).distinct().withColumn("_a", F.lit(True))
-    state = (F.when(F.col("_e").isNull(), "extra").when(F.col("_a").isNull(), "missing").otherwise("matched"))
-    counts = e.join(a, key, "full_outer").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    want = row_total(expected.select(key).distinct()).scalar()
-    return counts.withColumn("share", F.try_divide("n", want))
+    found = {"matched": F.col("_e") & F.col("_a"), "missing": F.col("_a").isNull(), "extra": F.col("_e").isNull()}
+    totals = e.join(a, key, "full_outer").agg(*[F.count_if(test).alias(s) for s, test in found.items()])
+    share = [F.try_divide(F.col(s), F.col("matched") + F.col("missing")).alias("share") for s in found]
+    rows = [F.struct(F.lit(s).alias("state"), F.col(s).alias("n"), part) for s, part in zip(found, share)]
+    return totals.select(F.inline(F.array(*rows))).where(F.col("n") > 0)
 
 
 def missing_ids(expected: DataFrame, actual: DataFrame, key: str = "id", k: int | None = None) -> DataFrame:

@@ -96,8 +96,10 @@ def subset_violations(inner: DataFrame, outer: DataFrame, id_col: str) -> DataFr
 def sampling_manifest(picks: DataFrame, stratum: str, source: str, score: str) -> DataFrame:
     """Per sample and stratum: rows, median and mean score, rows per source as a map.
 
-    Rows are reduced per source first; the map holds the sources of a sample, not of the corpus.
+    The sample is materialised once, so the corpus is not sampled again for the second aggregate. The map
+    holds the sources of a sample, not of the corpus.
     """
+    picks = cut(picks.select("sample", stratum, source, score))
     scores = picks.groupBy("sample", stratum).agg(
         F.count(F.lit(1)).alias("n"), F.percentile(F.col(score), 0.5).alias("score_p50"),
         F.avg(score).alias("score_mean"))

@@ -180,15 +180,19 @@ _PLUS = re.compile(r"PLUS_S\(([^,]+), ([^)]+)\)")
 _TABLE = re.compile(r"\{([a-z]+)\}")
 
 
-def view(spark: SparkSession, sf: str, name: str, wide: bool = False) -> DataFrame:
-    """The mapping view over the tables of `sf`; `wide` spreads small files over all cores first."""
+def mapped(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """A mapping view over the given tables, which may be streams."""
     sql = _PLUS.sub(r"(\1 + make_dt_interval(0, 0, 0, \2))", VIEWS[name])
-    tables = set(_TABLE.findall(sql))
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
-        # resolved at once, so a later call for another folder cannot change this plan
-        base = table(spark, sf, t)
-        (spread(base) if wide else base).createOrReplaceTempView(f"corpusloom_{t}")
-    return spark.sql(_TABLE.sub(r"corpusloom_\1", sql))
+        sql = sql.replace(f"{{{{{t}}}}}", f"{{{t}}}")
+    return spark.sql(sql, **tables)
+
+
+def view(spark: SparkSession, sf: str, name: str, wide: bool = False) -> DataFrame:
+    """The mapping view over the tables of `sf`; `wide` spreads small files over all cores first."""
+    tables = {t: table(spark, sf, t) for t in set(_TABLE.findall(VIEWS[name]))}
+    return mapped(spark, name, **{t: spread(df) if wide else df for t, df in tables.items()})
 
 
 def oracle(body: str, *views: str, extra: str = "") -> str:

@@ -9,6 +9,7 @@ from ..fixed_values import SAMPLE_ALPHA, SAMPLE_QUOTAS, SAMPLE_SEED, SAMPLE_SIZE
 from ..functions.predicates import coverage_bucket, filled, richness_stratum, score_boost
 from ..functions.text import within_size
 from ..operators import chunking, profile, sampling
+from ..session import cut
 from ..sources.tables import json_rows, read_corpus, subset_by_ids
 from .catalog import oracle, query, table, view
 
@@ -202,7 +203,7 @@ def nested_sample(spark, sf):
   count(*) FILTER (sample = 'discovery' AND id NOT IN (SELECT id FROM nested WHERE sample = 'validation')) AS outside_n FROM nested""",
                                      "services_v", extra=_WEIGHTED))
 def nested_sample_check(spark, sf):
-    picks = _nested(spark, sf)
+    picks = cut(_nested(spark, sf).select("sample", "id"))
     inner, outer = picks.where("sample = 'discovery'"), picks.where("sample = 'validation'")
     outside = sampling.subset_violations(inner, outer, "id").agg(F.count(F.lit(1))).scalar()
     return picks.agg(F.count_if(F.col("sample") == "discovery").alias("inner_n"),

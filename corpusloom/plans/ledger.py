@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.uris import normalise_uri, payload_text, redact_uri, split_s3, strip_query
-from ..operators import ledger
+from ..operators import ledger, records
 from ..streaming import append_to_files, latest_status, stream_dedupe, stream_events, stream_status
-from .catalog import oracle, query, table, view
+from .catalog import mapped, oracle, query, table, view
 
 NOW = "1998-06-01 00:01:40"
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -55,9 +55,8 @@ def dedupe_first(spark, sf):
 @query("dedupe_last", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in ['l_shipdate', 'l_linenumber', *_ALL[:-1]])}) = 1""")
 def dedupe_last(spark, sf):
-    from ..operators.records import dedupe_last as last
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_ALL)
-    return last(rows, "l_orderkey", ["l_shipdate", "l_linenumber", *_ALL[:-1]]).select(
+    return records.dedupe_last(rows, "l_orderkey", ["l_shipdate", "l_linenumber", *_ALL[:-1]]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
@@ -181,10 +180,7 @@ def stream_dedup(spark, sf):
 
 @query("stream_status", oracle(_status_sql("event_id"), "raw_events_v", extra="log AS (SELECT * FROM raw_events_v)"))
 def stream_state(spark, sf):
-    from .catalog import VIEWS
-    # the same mapping as the batch view, read from the stream
-    _event_stream(spark, sf).createOrReplaceTempView("corpusloom_events_stream")
-    log = spark.sql(VIEWS["raw_events_v"].replace("{events}", "corpusloom_events_stream"))
+    log = mapped(spark, "raw_events_v", events=_event_stream(spark, sf))
     return latest_status(stream_status(log.withColumnRenamed("event_id", "seq")))
 
 
@@ -221,7 +217,7 @@ def uri_split(spark, sf):
     return view(spark, sf, "uris_v").select("id", split_s3("uri").alias("s")).select("id", "s.bucket", "s.key", "s.valid")
 
 
-_BODY = "regexp_replace(body, '^﻿', '')"
+_BODY = "regexp_replace(body, '^\ufeff', '')"
 
 
 @query("payload_extract", oracle(f"""SELECT id, CASE WHEN NOT has THEN b WHEN good THEN j->>'$.prompt' END AS text, CASE WHEN has AND NOT good THEN '`prompt` must be a non-empty string' END AS error

@@ -102,7 +102,7 @@ def test_strip_query_and_split(spark):
 
 
 def test_payload_text(spark):
-    bodies = ['{"prompt": "go", "x": 1}', "plain", '﻿{"prompt":"bom"}', '{"a":1}\n{"a":2}', '["prompt"]', '{"x":1}', None]
+    bodies = ['{"prompt": "go", "x": 1}', "plain", '\ufeff{"prompt":"bom"}', '{"a":1}\n{"a":2}', '["prompt"]', '{"x":1}', None]
     got = column(spark, bodies, "string", payload_text("v"))
     assert [r.text for r in got] == ["go", "plain", "bom", '{"a":1}\n{"a":2}', '["prompt"]', '{"x":1}', None]
     assert all(r.error is None for r in got)

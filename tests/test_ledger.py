@@ -152,10 +152,9 @@ def test_checklists(spark):
 
 def test_session_stream_equals_batch(spark, sf):
     from corpusloom.operators.sessions import normalise_session
-    from corpusloom.plans.catalog import VIEWS, table, view
+    from corpusloom.plans.catalog import mapped, table, view
     stream = stream_events(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
-    stream.createOrReplaceTempView("conversations_stream")
-    lines = spark.sql(VIEWS["session_lines_v"].replace("{conversations}", "conversations_stream"))
+    lines = mapped(spark, "session_lines_v", conversations=stream)
     live = append_to_files(normalise_session(lines).drop("blocks"), "session")
     batch = normalise_session(view(spark, sf, "session_lines_v")).drop("blocks")
     assert batch.count() > 0 and sorted(map(repr, live.collect())) == sorted(map(repr, batch.collect()))
