@@ -75,30 +75,24 @@ def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence
                  small: bool | None = None) -> DataFrame:
     """Per group: n, null_n, min, max, mean and exact interpolated quantiles p<percent> of `value`.
 
-    Small inputs are reduced to one row per distinct (group, value) and use `percentile` weighted by the
-    count. Large ones find each quantile's two neighbours by running totals over those rows, so no task
-    holds all distinct values of a group.
+    Small inputs use `percentile`, which keeps the distinct values of a group in one task. Large ones count
+    each distinct (group, value) and find a quantile's two neighbours by running totals over those counts.
     """
     by = list(by)
     names = [f"p{round(p * 100):02d}" for p in probs]
     if small is None:
         small = is_small(df)
     rows = df.select(*by, F.col(value).alias("_v"))
-    freq = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    basics = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v").isNull()).alias("null_n"),
+              F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean")]
     if small:
-        n_known = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
-        return freq.groupBy(*by).agg(
-            F.sum("_n").alias("n"),
-            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("null_n"),
-            F.min("_v").alias("min"), F.max("_v").alias("max"),
-            (F.sum(F.col("_v") * F.col("_n")) / n_known).alias("mean"),
-            F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_n")).alias("_q"),
-        ).select(*by, "n", "null_n", "min", "max", "mean", *[F.get("_q", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
-
-    placed = running_totals(freq.where(F.col("_v").isNotNull()), ["_v"], by=by, weight=F.col("_n"), out="_before", small=False)
-    groups = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v").isNull()).alias("null_n"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"))
+        marks = F.percentile(F.col("_v"), [float(p) for p in probs]).alias("_q")
+        return rows.groupBy(*by).agg(*basics, marks).select(
+            *by, "n", "null_n", "min", "max", "mean", *[F.get("_q", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
+
+    freq = rows.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(freq, ["_v"], by=by, weight=F.col("_n"), out="_before", small=False)
+    groups = rows.groupBy(*by).agg(*basics)
     if by:
         sizes = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
         placed = placed.join(sizes, same_keys(placed, sizes, by)).select(placed["*"], "_size")
