@@ -5,6 +5,8 @@ from oracle import connect, differences
 
 import __spark_entry__ as entry
 
+from corpusloom.plans import QUERIES as PLANS  # noqa: E402
+
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -13,7 +15,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(PLANS))
 def test_query_matches_sql(spark, sf, con, name):
     assert name in ORACLES
     assert differences(QUERIES[name](spark, sf), con, ORACLES[name]) == []
