@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .language import op8_language_id
 from .quality import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_language_id)}
 ORACLES: dict[str, str] = {}
