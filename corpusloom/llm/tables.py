@@ -19,11 +19,15 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def bounded_sample(keys: DataFrame, group: str, per_group: int, seed: int) -> DataFrame:
     """At most `per_group` rows of each value of `group`, chosen by a hash of doc_id: the rows a classifier is
-    fitted on. Keys only; the window keeps `per_group` rows per task and group before it shuffles."""
+    fitted on. Keys only. Each group is split by the hash, so that every task keeps a few rows of a slice and a hot
+    group is not one task's work."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    return keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_group).drop("_rank")
+    slices = -(-per_group // 500)
+    turn = F.xxhash64("doc_id", F.lit(seed))
+    order = Window.partitionBy(group, "_slice").orderBy(turn, "doc_id")
+    return (keys.withColumn("_slice", F.pmod(F.xxhash64("doc_id", F.lit(-seed)), F.lit(slices)))
+            .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_group // slices).drop("_rank", "_slice"))
 
 
 def components(edges: DataFrame) -> DataFrame:
