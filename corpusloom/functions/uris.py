@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import parse_json, strip
 
 # The schemes an input location may have.
 INPUT_SCHEMES = ("s3", "https")
@@ -77,6 +77,6 @@ def payload_text(c: str | Column, key: str = "prompt") -> Column:
             F.when(value.isNotNull() & ~good, f"`{key}` must be a non-empty string").alias("error"))
 
     body = F.regexp_replace(_col(c), "^\ufeff", "")
-    parsed = F.struct(body.alias("body"), F.try_parse_json(body).alias("doc"))
+    parsed = F.struct(body.alias("body"), parse_json(body).alias("doc"))
     # a one-element transform parses each body once for all its uses
     return F.get(F.transform(F.array(parsed), unpack), F.lit(0))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import ACTIVE_STATUSES
-from .ordering import positions, top_k
+from .ordering import top_k
 
 
 def unmet_items(edges: DataFrame, done: DataFrame, item: str = "id", dep: str = "dep") -> DataFrame:
@@ -50,7 +50,8 @@ def active_counts(runs: DataFrame, pipelines: DataFrame, statuses: Sequence[str]
 def clamp_pick(candidates: DataFrame, active: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
     """The first `cap` - active candidates; never more than `cap` rows are ranked."""
     used = active.agg(F.count(F.lit(1))).scalar()
-    first = positions(top_k(candidates, order, cap), order, out="slot", small=True)
+    slot = F.row_number().over(Window.orderBy(*order)).cast("bigint")  # of at most `cap` rows
+    first = top_k(candidates, order, cap).withColumn("slot", slot)
     return first.where(F.col("slot") <= F.greatest(F.lit(cap) - used, F.lit(0)))
 
 

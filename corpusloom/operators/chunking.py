@@ -4,55 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small
 from .ordering import positions
 from .profile import row_total
 
-# Up to this many chunk starts are read back and compared as constants; more are joined on the order key.
-MAX_STARTS = 512
 
+def chunk(df: DataFrame, k: int, order: Sequence[str], out: str = "chunk_id") -> DataFrame:
+    """Slices of ceil(n / k) rows in a total order; the last is short and empty ones do not occur.
 
-def _search(here: Column, starts: list[Column], lo: int, hi: int) -> Column:
-    """Number of the last start at or before `here`, by halving."""
-    if lo == hi:
-        return F.lit(lo + 1)
-    mid = (lo + hi + 1) // 2
-    return F.when(here >= starts[mid], _search(here, starts, mid, hi)).otherwise(_search(here, starts, lo, mid - 1))
-
-
-def chunk(df: DataFrame, k: int, order: Sequence[str], out: str = "chunk_id", small: bool | None = None) -> DataFrame:
-    """Slices of ceil(n / k) rows in the (unique) order; the last is short and empty ones do not occur.
-
-    Large tables rank the order columns alone, then place whole rows by comparing them with the k
-    chunk starts, so the payload is neither sorted nor shuffled.
+    Rows are cut into ranges of the order, null keys first, and numbered range by range: one plan for any k.
     """
-    order = list(order)
     size = F.ceil(row_total(df).scalar() / F.lit(k))
-
-    def numbered(rows: DataFrame, small: bool) -> DataFrame:
-        ranked = positions(rows, order, out="_pos", small=small)
-        return ranked.withColumn(out, (F.floor((F.col("_pos") - 1) / size) + 1).cast("int"))
-
-    if small is None:
-        small = is_small(df)
-    if small:
-        return numbered(df, True).drop("_pos")
-    placed = numbered(df.select(*order), False)
-    if k > MAX_STARTS:
-        return df.join(placed.drop("_pos"), order, "inner").select(*df.columns, out)
-    types = df.select(*order).schema
-    first = [tuple(r)[:len(order)] for r in placed.where((F.col("_pos") - 1) % size == 0).orderBy("_pos").collect()]
-    if not first:
-        return df.withColumn(out, F.lit(1))
-    rows = [[F.lit(v).cast(f.dataType) for v, f in zip(r, types)] for r in first]
-    if len(order) == 1:
-        return df.withColumn(out, _search(F.col(order[0]), [r[0] for r in rows], 0, len(rows) - 1))
-    here = F.struct(*order)
-    starts = [F.struct(*[v.alias(c) for v, c in zip(r, order)]) for r in rows]
-    return df.withColumn(out, _search(here, starts, 0, len(rows) - 1))
+    ranked = positions(df, list(order), out="_pos")
+    return ranked.withColumn(out, (F.floor((F.col("_pos") - 1) / size) + 1).cast("int")).drop("_pos")
 
 
 def chunk_manifest(chunks: DataFrame, id_col: str, batch_id: str, chunk_col: str = "chunk_id",
@@ -61,8 +27,9 @@ def chunk_manifest(chunks: DataFrame, id_col: str, batch_id: str, chunk_col: str
     base = F.format_string(f"{prefix}/{batch_id}/chunk_%02d", F.col(chunk_col))
     per_chunk = chunks.groupBy(chunk_col).agg(
         F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
+    per_chunk = per_chunk.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))  # k rows
     return per_chunk.select(
-        F.lit(batch_id).alias("batch_id"), chunk_col, "n", row_total(chunks).scalar().alias("total"),
+        F.lit(batch_id).alias("batch_id"), chunk_col, "n", "total",
         "first_id", "last_id",
         F.concat(base, F.lit("/services.jsonl")).alias("services_uri"),
         F.concat(base, F.lit("/run.json")).alias("run_uri"))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, ignore_case, joined_text
-from ..session import spread
 from .compute import once
 from .ordering import top_k_per_group
 from .profile import row_total
@@ -38,7 +37,7 @@ def match_context(text: Column, patterns: Sequence[str], around: int = 20, limit
     """First match with `around` characters on both sides, line breaks shown as ` / `."""
     def one(p: str) -> Column:
         # group 1 is everything ahead of the first match, counted in characters
-        lead = F.length(F.regexp_extract(text, f"(?isU)^(.*?)(?:{p})", 1))
+        lead = F.length(F.regexp_extract(text, rf"(?iU)^([\s\S]*?)(?:{p})", 1))
         size = F.length(F.regexp_extract(text, ignore_case(p), 0))
         start = F.greatest(lead - around, F.lit(0))
         return F.when(text.rlike(ignore_case(p)), F.substring(text, start + 1, lead + size + around - start))
@@ -54,7 +53,7 @@ def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column) -> Colum
 def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """`keep` plus one newline-joined text column and its lower-case form."""
     columns = list(dict.fromkeys([*keep, *text_cols]))
-    return (spread(df.select(*columns)).select(*keep, joined_text(text_cols, "\n").alias("_text"))
+    return (df.select(*columns).select(*keep, joined_text(text_cols, "\n").alias("_text"))
                                        .withColumn("_lower", F.lower("_text")))
 
 
@@ -111,7 +110,7 @@ def concept_scan(df: DataFrame, text_cols: Sequence[str], source: str, dictionar
 
 
 def concept_examples(df: DataFrame, id_col: str, text_cols: Sequence[str], dictionary: Sequence[Concept],
-                     k: int = 2, small: bool | None = None) -> DataFrame:
+                     k: int = 2) -> DataFrame:
     """Up to `k` contexts per concept, lowest ids first. Only ids and short contexts are ranked."""
     texts = with_text(df, text_cols, [id_col])
     text, lowered = F.col("_text"), F.col("_lower")
@@ -119,15 +118,14 @@ def concept_examples(df: DataFrame, id_col: str, text_cols: Sequence[str], dicti
                    F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("concept"),
                             match_context(text, c.patterns).alias("context"))) for c in dictionary]
     found = once(texts, _found=F.array_compact(F.array(*rows))).select(id_col, F.inline("_found"))
-    return top_k_per_group(found, ["category", "concept"], [id_col], k, small=small)
+    return top_k_per_group(found, ["category", "concept"], [id_col], k)
 
 
-def value_tally(df: DataFrame, value: str, example: str, order: str, k: int = 3,
-                small: bool | None = None) -> DataFrame:
+def value_tally(df: DataFrame, value: str, example: str, order: str, k: int = 3) -> DataFrame:
     """Frequency of each value with up to `k` literal examples, the first in `order`."""
     rows = df.select(F.col(value).alias("value"), F.col(example).alias("example"), F.col(order).alias("_ord"))
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    picked = top_k_per_group(rows, ["value"], ["_ord"], k, small=small)
+    picked = top_k_per_group(rows, ["value"], ["_ord"], k)
     examples = picked.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("_ex"))
     joined = counts.join(examples, counts["value"].eqNullSafe(examples["value"]), "inner")
     return joined.select(counts["value"], "n", F.transform("_ex", lambda x: x["example"]).alias("examples"))
@@ -137,10 +135,11 @@ def value_tally(df: DataFrame, value: str, example: str, order: str, k: int = 3,
 
 # Wordings of an age limit. Group 1 is the age.
 AGE_BELOW = [r"\bmoins\s*de\s*([0-9]{1,3})\s*ans"]
-AGE_MAX = [r"\bjusqu'?\s*[àa]\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*ans\s*(?:inclus|maximum)",
-           r"\b[0-9]{1,3}\s*(?:-|à|a)\s*([0-9]{1,3})\s*ans"]
+AGE_MAX = [r"\bjusqu['’]?\s*[àa]\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*ans\s*(?:inclus|max\b|maximum)",
+           r"\b[0-9]{1,3}\s*(?:-|–|à|a)\s*([0-9]{1,3})\s*ans", r"\bmaximum\s*([0-9]{1,3})\s*ans",
+           r"\bdans\s+la\s+limite\s+de\s*([0-9]{1,3})\s*ans"]
 AGE_MIN = [r"\b([0-9]{1,3})\s*ans\s*(?:et\s*\+|et\s*plus|minimum|ou\s*plus)", r"[àa]\s*partir\s*de\s*([0-9]{1,3})\s*ans",
-           r"\bplus\s*de\s*([0-9]{1,3})\s*ans", r"\+\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*(?:-|à|a)\s*[0-9]{1,3}\s*ans"]
+           r"\bplus\s*de\s*([0-9]{1,3})\s*ans", r"\+\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*(?:-|–|à|a)\s*[0-9]{1,3}\s*ans"]
 AGE_ANY = r"[0-9]\s*ans"  # part of every wording above
 AGE_SENTINEL = (0, 120)
 AGE_SENTINEL_TEXT = r"[âa]ge\s+minimum\s*:\s*0\s+[âa]ge\s+maximum\s*:\s*120"

@@ -74,10 +74,9 @@ def dedupe_idempotent(runs: DataFrame, scope: str, key: str, order: Sequence[str
     return first_per_key(keyed, [scope, key], order).unionByName(free)
 
 
-def number_events(events: DataFrame, run: str, order: Sequence[str | Column], out: str = "seq",
-                  small: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_events(events: DataFrame, run: str, order: Sequence[str | Column], out: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sequence number per run from 1; 0 is left for the dispatch event."""
-    return positions(events, order, by=[run], out=out, small=small, hot_rows=hot_rows)
+    return positions(events, order, by=[run], out=out, hot_rows=hot_rows)
 
 
 def status_code(names: Mapping[str, str] = STATUS_EVENTS) -> Column:
@@ -154,7 +153,8 @@ def skew_gate(df: DataFrame, event_ts: str, ingest_s: str | Column, allowed_s: i
     """Add `accepted`: the sent epoch second is an integer within `allowed_s` of the receipt, late or early."""
     sent = F.col(event_ts).cast("string").try_cast("bigint")
     received = F.col(ingest_s) if isinstance(ingest_s, str) else ingest_s
-    return df.withColumn("accepted", F.coalesce(F.abs(received - sent) <= allowed_s, F.lit(False)))
+    late = F.try_subtract(received, sent)  # null where the difference is beyond a long
+    return df.withColumn("accepted", F.coalesce(late.between(-allowed_s, allowed_s), F.lit(False)))
 
 
 def stale_runs(runs: DataFrame, now: str, after_s: int = HEARTBEAT_STALE_S) -> DataFrame:

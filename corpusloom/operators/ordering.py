@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, is_small
+from ..session import cut
 
 # A group up to this many rows is left to one task, which sorts it with spill; larger ones are split.
 HOT_ROWS = 5_000_000
 # A table is broadcast only after its rows were counted and found to be at most this many.
 MAX_BROADCAST_ROWS = 100_000
+# Groups are pre-ranked in so many parts; one task ranks up to SALTS x RANKED_K rows of a group.
+SALTS, RANKED_K = 16, 100_000
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -34,44 +36,35 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int,
-                    out: str = "rank", small: bool | None = None) -> DataFrame:
+                    out: str = "rank") -> DataFrame:
     """The first `k` rows of every group in a total `order`, ranked from 1.
 
-    Large inputs are ranked twice: within (group, salt) and then within the group, so that the last
-    task of a group sees k rows per salt instead of k rows per map task. The salt follows the input
-    partition and cannot change which rows win.
+    Rows are ranked within (group, salt) and then within the group, so that the last task of a group sees k rows
+    per salt. The salt follows the input partition and cannot change which rows win. Beyond `RANKED_K` rows a
+    group's ranks come from range slices instead, as its first rows alone may be too many for a task.
     """
     order = _cols(order)
-    if small is None:
-        small = is_small(df)
-    if not small:
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = W.partitionBy(*by, "_salt").orderBy(*order)
-        df = (df.withColumn("_salt", F.spark_partition_id() % salts)
-                .withColumn("_pre", F.row_number().over(salted))
+    if k > RANKED_K:
+        return positions(df, order, by=by, out=out, hot_rows=RANKED_K).withColumn(out, F.col(out).cast("int")).where(F.col(out) <= k)
+    salted = W.partitionBy(*by, "_salt").orderBy(*order)
+    pruned = (df.withColumn("_salt", F.spark_partition_id() % SALTS).withColumn("_pre", F.row_number().over(salted))
                 .where(F.col("_pre") <= k).drop("_pre", "_salt"))
-    return (df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-              .where(F.col(out) <= k))
+    return (pruned.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+                  .where(F.col(out) <= k))
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
-                   weight: Column | None = None, out: str = "before", small: bool | None = None) -> DataFrame:
+                   weight: Column | None = None, out: str = "before") -> DataFrame:
     """Sum of `weight` (default: row count) over the rows ahead of each row in its group.
 
-    Large inputs are range-partitioned on group and order, so a hot group spans many slices; the sum
-    inside a slice is a window, the sum of earlier slices comes from one small row per (group, slice).
+    Rows are range-partitioned on group and order, so a hot group spans many slices; the sum inside a
+    slice is a window, the sum of earlier slices comes from one small row per (group, slice).
     """
     order = _cols(order)
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     by = list(by)
     ahead = (W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    if small is None:
-        small = is_small(df)
-    if small:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(*ahead)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w), zero))
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = cut(df.withColumn("_w", weight)
                    .repartitionByRange(parts, *_cols(by), *order)
@@ -121,21 +114,17 @@ def _sliced_positions(df: DataFrame, order: list[Column], by: list[str], out: st
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "position",
-              small: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """1-based row number per group in a total `order`.
 
     Ordinary groups are numbered by a window. A table numbered as a whole, or a group above `hot_rows`,
     is cut into ranges instead.
     """
     order, by = _cols(order), list(by)
-    if small is None:
-        small = is_small(df)
 
     def windowed(rows: DataFrame) -> DataFrame:
         return rows.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
 
-    if small:
-        return windowed(df)
     if not by:
         return _sliced_positions(df, order, by, out)
     ordinary, hot = split_hot(df, by, hot_rows)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.predicates import card_bucket, fill_state, filled, richness_stratum, score_bucket
-from ..session import is_small
 from .ordering import running_totals, same_keys, top_k
 
 STRATA = ("rich", "norm_only", "sparse")
@@ -71,33 +70,25 @@ def fill_rates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                 small: bool | None = None) -> DataFrame:
+def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Per group: n, null_n, min, max, mean and exact interpolated quantiles p<percent> of `value`.
 
-    Small inputs use `percentile`, which keeps the distinct values of a group in one task. Large ones count
-    each distinct (group, value) and find a quantile's two neighbours by running totals over those counts.
+    Each distinct (group, value) is counted, and a quantile's two neighbours are found by running totals over
+    those counts, so no task holds the values of a group.
     """
     by = list(by)
     names = [f"p{round(p * 100):02d}" for p in probs]
-    if small is None:
-        small = is_small(df)
     rows = df.select(*by, F.col(value).alias("_v"))
     basics = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v").isNull()).alias("null_n"),
               F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean")]
-    if small:
-        marks = F.percentile(F.col("_v"), [float(p) for p in probs]).alias("_q")
-        return rows.groupBy(*by).agg(*basics, marks).select(
-            *by, "n", "null_n", "min", "max", "mean", *[F.get("_q", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
-
     freq = rows.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(freq, ["_v"], by=by, weight=F.col("_n"), out="_before", small=False)
+    placed = running_totals(freq, ["_v"], by=by, weight=F.col("_n"), out="_before")
     groups = rows.groupBy(*by).agg(*basics)
     if by:
         sizes = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
         placed = placed.join(sizes, same_keys(placed, sizes, by)).select(placed["*"], "_size")
     else:
-        placed = placed.withColumn("_size", placed.agg(F.sum("_n")).scalar())
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("_n").alias("_size"))))  # one row
 
     def neighbour(p: float, up: bool) -> Column:
         at = p * (F.col("_size") - 1)
@@ -118,24 +109,22 @@ def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence
     if by:
         joined = groups.join(marks, same_keys(groups, marks, by), "left")
         return joined.select(groups["*"], *[marks[nm] for nm in names])
-    return groups.select("*", *[marks.select(nm).scalar().alias(nm) for nm in names])
+    return groups.crossJoin(F.broadcast(marks))  # one row each
 
 
-def length_profile(df: DataFrame, fields: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95),
-                   small: bool | None = None) -> DataFrame:
+def length_profile(df: DataFrame, fields: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Character-length distribution of every non-blank text field, one scan."""
     present = [f for f in fields if f in df.columns]
     lengths = df.select(F.inline(F.array(*[
         F.struct(F.lit(f).alias("field"), F.when(filled(f), F.length(f)).alias("_len")) for f in present])))
-    dist = distribution(lengths.where(F.col("_len").isNotNull()), "_len", probs, by=["field"],
-                        small=is_small(df) if small is None else small)
+    dist = distribution(lengths.where(F.col("_len").isNotNull()), "_len", probs, by=["field"])
     return dist.drop("null_n", "mean")
 
 
 def numeric_profile(df: DataFrame, col: str, by: str | None = None,
-                    probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), small: bool | None = None) -> DataFrame:
+                    probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     narrow = df.select(*([by] if by else []), col)
-    return distribution(narrow, col, probs, by=[by] if by else [], small=small)
+    return distribution(narrow, col, probs, by=[by] if by else [])
 
 
 def card_buckets(df: DataFrame, col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import parse_json, strip
 from ..functions.values import (
     bare_text,
     describe,
@@ -19,6 +19,7 @@ from ..functions.values import (
     tally_items,
     unwrap,
 )
+from ..session import last_key_wins
 from .compute import once
 from .ordering import first_per_key, top_k, top_k_per_group
 from .profile import row_total
@@ -31,8 +32,9 @@ GROUP_PREFIX = {"publics_extended": "pub", "prerequis_extended": "pre"}
 def parse_lines(lines: DataFrame, line: str = "line", id_field: str = "service_id") -> DataFrame:
     """Add `record` (VARIANT), `id` and `problem` to non-blank lines. `problem` is null for a usable record,
     else bad_json, not_object or no_id."""
+    last_key_wins(lines.sparkSession)
     text = once(lines, _text=strip(F.col(line))).where(F.col("_text") != "")
-    parsed = once(text, record=F.try_parse_json("_text")).drop("_text")
+    parsed = once(text, record=parse_json("_text")).drop("_text")
     key = F.try_variant_get("record", f"$.{id_field}", "string")
     is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT<"), F.lit(False))
     problem = (F.when(F.col("record").isNull(), "bad_json")
@@ -99,14 +101,13 @@ def field_fill(records: DataFrame, fields: Sequence[FieldRule]) -> DataFrame:
         F.struct(F.lit(_name(r)).alias("field"), F.col(f"`{_name(r)}`").alias("n")) for r in fields])))
 
 
-def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5,
-                     small: bool | None = None) -> DataFrame:
+def field_top_values(records: DataFrame, fields: Sequence[FieldRule], k: int = 5) -> DataFrame:
     """Most frequent values of each field, ties by value."""
     tallies = _each_field(fields, f"named_struct('field', x.field, 'values', {tally_items('x.d')})")
     lists = once(records.select("record"), _t=tallies).select(F.inline("_t"))
     counts = lists.select("field", F.explode("values").alias("value")).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    return top_k_per_group(counts, ["field"], [F.desc("n"), F.asc("value")], k, small=small)
+    return top_k_per_group(counts, ["field"], [F.desc("n"), F.asc("value")], k)
 
 
 def conflict_counts(records: DataFrame, by: str, k: int | None = None) -> DataFrame:

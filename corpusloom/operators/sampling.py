@@ -53,36 +53,33 @@ def _within_quota(stratum: str, rank: str, quotas: Mapping[str, int]) -> Column:
     return F.col(rank) <= limit
 
 
-def quota_pick(df: DataFrame, stratum: str, order: Sequence[Column | str], quotas: Mapping[str, int],
-               small: bool | None = None) -> DataFrame:
+def quota_pick(df: DataFrame, stratum: str, order: Sequence[Column | str], quotas: Mapping[str, int]) -> DataFrame:
     """First `quotas[s]` rows of every stratum s; strata without a quota give none."""
     wanted = df.where(F.col(stratum).isin(*quotas))
-    ranked = top_k_per_group(wanted, [stratum], order, max(quotas.values()), small=small)
+    ranked = top_k_per_group(wanted, [stratum], order, max(quotas.values()))
     return ranked.where(_within_quota(stratum, "rank", quotas))
 
 
 def seeded_pick(df: DataFrame, id_col: str, stratum: str, quotas: Mapping[str, int],
-                seed: int | str = SAMPLE_SEED, small: bool | None = None) -> DataFrame:
+                seed: int | str = SAMPLE_SEED) -> DataFrame:
     """Uniform pick per stratum, ordered by a seeded hash of the id."""
     keyed = df.withColumn("_key", seeded_hash(id_col, seed))
-    return quota_pick(keyed, stratum, ["_key", id_col], quotas, small=small).drop("_key")
+    return quota_pick(keyed, stratum, ["_key", id_col], quotas).drop("_key")
 
 
 def weighted_stratified_sample(df: DataFrame, id_col: str, stratum: str, weight: str, n: int,
-                               shares: Mapping[str, float] = SAMPLE_QUOTAS, seed: int | str = SAMPLE_SEED,
-                               small: bool | None = None) -> DataFrame:
+                               shares: Mapping[str, float] = SAMPLE_QUOTAS, seed: int | str = SAMPLE_SEED) -> DataFrame:
     """Weighted sample without replacement per stratum: the k smallest of -ln(u)/w, u from the id's hash."""
     keyed = df.withColumn("_key", weighted_key(id_col, F.col(weight), seed))
-    return quota_pick(keyed, stratum, ["_key", id_col], quota_sizes(n, shares), small=small).drop("_key")
+    return quota_pick(keyed, stratum, ["_key", id_col], quota_sizes(n, shares)).drop("_key")
 
 
 def nested_sample(df: DataFrame, id_col: str, stratum: str, weight: str, sizes: Mapping[str, int],
-                  shares: Mapping[str, float] = SAMPLE_QUOTAS, seed: int | str = SAMPLE_SEED,
-                  small: bool | None = None) -> DataFrame:
+                  shares: Mapping[str, float] = SAMPLE_QUOTAS, seed: int | str = SAMPLE_SEED) -> DataFrame:
     """Samples of several sizes as long rows (sample, ...). The same key ranks all of them, so the
     smaller is contained in the larger by construction."""
     largest = max(sizes.values())
-    picked = weighted_stratified_sample(df, id_col, stratum, weight, largest, shares, seed, small)
+    picked = weighted_stratified_sample(df, id_col, stratum, weight, largest, shares, seed)
     labels = F.array(*[F.when(_within_quota(stratum, "rank", quota_sizes(n, shares)), F.lit(name))
                        for name, n in sizes.items()])
     return picked.withColumn("sample", F.explode(F.array_compact(labels)))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import RAW_LINE_CHARS, SUMMARY_CHARS, TOOL_RESULT_CHARS
-from ..functions.text import strip
+from ..functions.text import parse_json, strip
+from ..session import last_key_wins
 from .compute import once
 from .ordering import top_k_per_group
 
 EVENT_FIELDS = ("block_no", "event_type", "text", "tool_use_id", "blocks", "payload")
 _BLOCKS = "array<struct<type:string,text:string,name:string,id:string,input:string>>"
 
-# A transcript longer than this many sequence numbers is written in parts.
-PART_ROWS = 2_000
+# Sequence numbers whose fragments are joined in one step.
+PIECE_ROWS = 2_000
 
 # Keys kept from a result line.
 RESULT_KEYS = ("duration_ms", "duration_api_ms", "num_turns", "total_cost_usd", "usage", "subtype")
@@ -41,8 +42,9 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Blank lines vanish, unreadable ones become `raw_line`. Stateless: the same call serves streams.
     """
+    last_key_wins(lines.sparkSession)
     keep = [c for c in lines.columns if c != line]
-    text = once(once(lines, _s=strip(F.col(line))).where(F.col("_s") != ""), _v=F.try_parse_json("_s"))
+    text = once(once(lines, _s=strip(F.col(line))).where(F.col("_s") != ""), _v=parse_json("_s"))
     v = F.col("_v")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
     kind = _get(v, "$.type")
@@ -59,7 +61,8 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
                       lambda b: ((b["type"] == "text") & (b["text"] != "")) | (b["type"] == "tool_use"))
     spoken = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n\n")
     tool_results = F.filter(content, lambda b: _get(b, "$.type") == "tool_result")
-    usage = F.to_json(F.struct(*[_get(v, f"$.{k}").alias(k) for k in RESULT_KEYS]), {"ignoreNullFields": "false"})
+    # numbers and objects keep their type
+    usage = F.to_json(F.struct(*[_get(v, f"$.{k}", "variant").alias(k) for k in RESULT_KEYS]), {"ignoreNullFields": "false"})
     events = (
         F.when(~is_object, F.array(_event("raw_line", text=F.left("_s", F.lit(RAW_LINE_CHARS)))))
         .when(kind == "assistant",
@@ -81,32 +84,29 @@ def session_fragments(events: DataFrame) -> DataFrame:
     return events.where((F.col("event_type") == "assistant_message") & (F.col("text") != "")).select(*keep, "block_no", "text")
 
 
-def assemble_transcript(fragments: DataFrame, run: str, seq: str, text: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Non-blank trimmed texts of a run in order, joined by a blank line: (run, part, transcript).
+def assemble_transcript(fragments: DataFrame, run: str, seq: str, text: str, piece: int = PIECE_ROWS) -> DataFrame:
+    """Non-blank trimmed texts of a run in order, joined by a blank line: (run_id, transcript), `(empty)` for a run
+    without text. `seq` is unique in a run.
 
-    `seq` is unique in a run. Runs under `part_rows` sequence numbers come as one part 0; longer ones
-    as consecutive parts, so no task ever collects more than `part_rows` fragments. `(empty)` stands
-    for a run without text.
+    Pieces of `piece` sequence numbers are joined first, in any task, then the pieces of a run.
     """
     trimmed = once(fragments.select(F.col(run).alias("run_id"), F.col(seq).alias("_seq"), F.col(text).alias("_text")),
                    _t=strip(F.coalesce("_text", F.lit("")))).drop("_text")
-    spoken = trimmed.where(F.col("_t") != "").withColumn("part", F.floor(F.col("_seq") / part_rows))
-    parts = spoken.groupBy("run_id", "part").agg(F.array_sort(F.collect_list(F.struct("_seq", "_t"))).alias("_a"))
-    texts = parts.select("run_id", "part", F.array_join(F.transform("_a", lambda x: x["_t"]), "\n\n").alias("transcript"))
-    silent = (trimmed.groupBy("run_id").agg(F.max(F.col("_t") != "").alias("_any")).where(~F.col("_any"))
-                     .select("run_id", F.lit(0).cast("bigint").alias("part"), F.lit("(empty)").alias("transcript")))
-    return texts.unionByName(silent)
+    spoken = F.collect_list(F.when(F.col("_t") != "", F.struct("_seq", "_t")))
+    pieces = (trimmed.groupBy("run_id", F.floor(F.col("_seq") / piece).alias("_piece")).agg(F.array_sort(spoken).alias("_a"))
+              .select("run_id", "_piece", F.when(F.size("_a") > 0, F.array_join(F.transform("_a", lambda x: x["_t"]), "\n\n")).alias("_t")))
+    whole = pieces.groupBy("run_id").agg(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_piece", "_t")))).alias("_a"))
+    return whole.select("run_id", F.when(F.size("_a") == 0, "(empty)").otherwise(F.array_join(F.transform("_a", lambda x: x["_t"]), "\n\n")).alias("transcript"))
 
 
-def transcript_summary(fragments: DataFrame, run: str, seq: str, text: str, chars: int = SUMMARY_CHARS,
-                       small: bool | None = None) -> DataFrame:
+def transcript_summary(fragments: DataFrame, run: str, seq: str, text: str, chars: int = SUMMARY_CHARS) -> DataFrame:
     """First `chars` characters of each transcript. Every fragment adds at least one character and a
     two-character break, so the first (chars + 2) / 3 fragments are enough whatever the run's length."""
     enough = (chars + 2 + 2) // 3
     trimmed = fragments.select(F.col(run).alias("run_id"), F.col(seq).alias("_seq"),
                                F.left(strip(F.coalesce(F.col(text), F.lit(""))), F.lit(chars)).alias("_t"))
     ordered = trimmed.withColumn("_blank", F.col("_t") == "")
-    first = top_k_per_group(ordered, ["run_id"], ["_blank", "_seq"], enough, small=small)
+    first = top_k_per_group(ordered, ["run_id"], ["_blank", "_seq"], enough)
     joined = first.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.when(~F.col("_blank"), F.struct("_seq", "_t")))).alias("_a"))
     whole = F.left(F.array_join(F.transform("_a", lambda x: x["_t"]), "\n\n"), F.lit(chars))

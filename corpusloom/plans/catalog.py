@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import spread
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -189,10 +188,10 @@ def mapped(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-def view(spark: SparkSession, sf: str, name: str, wide: bool = False) -> DataFrame:
-    """The mapping view over the tables of `sf`; `wide` spreads small files over all cores first."""
+def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The mapping view over the tables of `sf`."""
     tables = {t: table(spark, sf, t) for t in set(_TABLE.findall(VIEWS[name]))}
-    return mapped(spark, name, **{t: spread(df) if wide else df for t, df in tables.items()})
+    return mapped(spark, name, **tables)
 
 
 def oracle(body: str, *views: str, extra: str = "") -> str:

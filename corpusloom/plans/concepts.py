@@ -90,7 +90,7 @@ def _conflict_sql(r: ConflictRule) -> str:
 
 @query("detect_conflicts", oracle(" UNION ALL ".join(map(_conflict_sql, CONFLICTS)), "services_v", extra=_found("")))
 def detect_conflicts(spark, sf):
-    rows = view(spark, sf, "services_v", wide=True).select("id", "publics", "description")
+    rows = view(spark, sf, "services_v").select("id", "publics", "description")
     tagged = concepts.with_tags(rows, ["description"], DICTIONARY, ["id", "publics"])
     named = tagged.select("id", "publics", F.transform("tags", lambda t: t["concept"]).alias("concepts"))
     return concepts.detect_conflicts(named, "id", "concepts", "publics", CONFLICTS)
@@ -115,16 +115,16 @@ _AGES = f"""ages AS (SELECT id, list_min({_age_list(concepts.AGE_MIN)}) AS low,
 @query("age_bounds", oracle("""SELECT id, CASE WHEN NOT fake AND NOT coalesce(low = 0 AND high = 120, false) THEN low END AS age_min,
   CASE WHEN NOT fake AND NOT coalesce(low = 0 AND high = 120, false) THEN high END AS age_max FROM ages""", "phrases_v", extra=_AGES))
 def age_bounds(spark, sf):
-    return view(spark, sf, "phrases_v", wide=True).select("id", concepts.age_bounds(F.col("text")).alias("a")).select("id", "a.age_min", "a.age_max")
+    return view(spark, sf, "phrases_v").select("id", concepts.age_bounds(F.col("text")).alias("a")).select("id", "a.age_min", "a.age_max")
 
 
 @query("tri_state", oracle(f"""SELECT id, CASE WHEN regexp_matches(text, {_q(LIMIT_ABSENT[0])}) THEN false WHEN regexp_matches(text, {_q(LIMIT_PRESENT[0])}) THEN true END AS resource_limit
   FROM phrases_v""", "phrases_v"))
 def tri_state(spark, sf):
-    return view(spark, sf, "phrases_v", wide=True).select("id", concepts.tri_state(F.col("text"), LIMIT_PRESENT, LIMIT_ABSENT).alias("resource_limit"))
+    return view(spark, sf, "phrases_v").select("id", concepts.tri_state(F.col("text"), LIMIT_PRESENT, LIMIT_ABSENT).alias("resource_limit"))
 
 
 @query("concept_role", oracle(f"""SELECT id, CASE WHEN regexp_matches(text, {_q(CDI_GOAL[0])}) THEN 'goal' WHEN regexp_matches(text, {_q(CDI_STATUS[0])}) THEN 'status' END AS role
   FROM phrases_v""", "phrases_v"))
 def concept_role(spark, sf):
-    return view(spark, sf, "phrases_v", wide=True).select("id", concepts.concept_role(F.col("text"), CDI_STATUS, CDI_GOAL).alias("role"))
+    return view(spark, sf, "phrases_v").select("id", concepts.concept_role(F.col("text"), CDI_STATUS, CDI_GOAL).alias("role"))

@@ -29,13 +29,13 @@ used AS (SELECT DISTINCT run_id, line_no FROM blocks WHERE b->>'$.type' = 'tool_
   UNION ALL SELECT run_id, line_no, 0, 'message', j->>'$.type', NULL FROM lines WHERE j->>'$.type' NOT IN ('assistant', 'user', 'result', 'system', 'error')""",
                                 "session_lines_v", extra=_LINES))
 def session_events(spark, sf):
-    events = sessions.normalise_session(view(spark, sf, "session_lines_v", wide=True))
+    events = sessions.normalise_session(view(spark, sf, "session_lines_v"))
     return events.select("run_id", "line_no", "block_no", "event_type", "text", "tool_use_id")
 
 
 @query("session_text", oracle("SELECT run_id, line_no, 0 AS block_no, text FROM spoken", "session_lines_v", extra=_LINES))
 def session_text(spark, sf):
-    return sessions.session_fragments(sessions.normalise_session(view(spark, sf, "session_lines_v", wide=True)))
+    return sessions.session_fragments(sessions.normalise_session(view(spark, sf, "session_lines_v")))
 
 
 _FRAGMENTS = rf"""fragments AS (SELECT conv_id AS run_id, turn AS seq, CASE WHEN role = 'assistant' THEN {_STRIP.format(x='text')} ELSE '' END AS t FROM conversations),
@@ -47,7 +47,7 @@ def _fragments(spark, sf):
         "conv_id", "turn", F.when(F.col("role") == "assistant", F.col("text")).alias("spoken"))
 
 
-@query("transcripts", oracle("SELECT run_id, 0::BIGINT AS part, transcript FROM whole", extra=_FRAGMENTS))
+@query("transcripts", oracle("SELECT run_id, transcript FROM whole", extra=_FRAGMENTS))
 def transcripts(spark, sf):
     return sessions.assemble_transcript(_fragments(spark, sf), "conv_id", "turn", "spoken")
 
@@ -57,7 +57,7 @@ def transcript_summary(spark, sf):
     return sessions.transcript_summary(_fragments(spark, sf), "conv_id", "turn", "spoken")
 
 
-@query("stream_transcript", oracle("SELECT run_id, 0::BIGINT AS part, transcript FROM whole", extra=_FRAGMENTS))
+@query("stream_transcript", oracle("SELECT run_id, transcript FROM whole", extra=_FRAGMENTS))
 def stream_text(spark, sf):
     stream = stream_events(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
     return stream_transcript(stream_fragments(stream, "conv_id", "turn", "text", "role = 'assistant'"))

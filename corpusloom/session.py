@@ -1,19 +1,11 @@
-"""Session defaults, the shared scratch folder, and size checks read from the plan."""
+"""Session defaults and the shared scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast, or a single-task plan chosen, only under this many bytes of
-# estimated input. Anything above takes the shuffled path.
-SMALL_BYTES = 32 * 1024 * 1024
-
-_fallback_dirs: dict[str, str] = {}
-
-
 def build_session(app_name: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators were tuned for; `conf` wins over them."""
     settings = {
@@ -40,14 +32,10 @@ def build_session(app_name: str = "corpusloom", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one where that is unset."""
+    """Folder every executor can reach: `spark.checkpoint.dir`, or where that is unset one in the warehouse, which
+    tables of the session share already."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback_dirs:
-        _fallback_dirs[app] = tempfile.mkdtemp(prefix="corpusloom-")
-    return _fallback_dirs[app]
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -64,20 +52,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of the files and ranges a plan reads, before any filter or column choice.
-
-    Sources of unknown size, such as local rows, count as unbounded and so take the large path.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return plan_bytes(df) <= limit
-
-
-def spread(df: DataFrame, limit: int = 256 * 1024 * 1024) -> DataFrame:
-    """Share a small scan among all cores ahead of CPU-heavy work. A file with one row group is one
-    task; past `limit` a scan has splits enough and stays as it is."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) <= limit else df
+def last_key_wins(spark: SparkSession) -> None:
+    """JSON objects that repeat a key keep its last value, instead of being unreadable."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..fixed_values import TERMINAL_STATUSES
 from ..operators.ledger import status_aggregates, status_columns
@@ -75,7 +75,7 @@ def latest_status(status: DataFrame, label: str = "status") -> DataFrame:
     query = (status.writeStream.outputMode("update").foreachBatch(keep)
              .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start())
     drain(query)
-    updates = spark.read.schema(status.schema.add("batch", "long")).parquet(f"{out}/data")
+    updates = spark.read.schema(StructType([*status.schema.fields, StructField("batch", LongType())])).parquet(f"{out}/data")
     return first_per_key(updates, ["run_id"], [F.desc("batch")]).drop("batch")
 
 

@@ -46,10 +46,23 @@ def test_scan_counts_overlaps_and_sources(spark):
 def test_examples_show_the_first_match_in_context(spark):
     text = "x" * 30 + " étudiant " + "\n" + "y" * 30 + " étudiant"
     df = spark.createDataFrame([(i, text) for i in range(5)], "id int, t string")
-    for small in (True, False):
-        rows = concepts.concept_examples(df, "id", ["t"], DICTIONARY, 2, small=small).where("concept = 'etudiant'").collect()
-        assert sorted(r.id for r in rows) == [0, 1]
-        assert rows[0].context == "x" * 19 + " étudiant  / " + "y" * 18
+    rows = concepts.concept_examples(df, "id", ["t"], DICTIONARY, 2).where("concept = 'etudiant'").collect()
+    assert sorted(r.id for r in rows) == [0, 1]
+    assert rows[0].context == "x" * 19 + " étudiant  / " + "y" * 18
+
+
+def test_context_of_a_pattern_with_a_dot(spark):
+    df = spark.createDataFrame([("revenu fiscal\nune part " + "z" * 30 + " revenu par part",)], "t string")
+    got = df.select(concepts.match_context(F.col("t"), ["revenu.{0,40}part"], around=2)).first()[0]
+    assert got == "z revenu par part"
+
+
+def test_age_wordings(spark):
+    cases = {"18–25 ans": (18, 25), "dans la limite de 25 ans": (None, 25), "maximum 25 ans": (None, 25), "25 ans max.": (None, 25),
+             "jusqu’à 30 ans": (None, 30), "jusqu'à 30 ans": (None, 30)}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: (r.a.age_min, r.a.age_max) for r in df.select("t", concepts.age_bounds(F.col("t")).alias("a")).collect()}
+    assert got == cases
 
 
 def test_stem_gate_changes_nothing(spark):
@@ -87,7 +100,7 @@ def test_session_lines(spark):
     assert [(b.type, b.text, b.name, b.input) for b in by_line[4, 0].blocks] == [
         ("text", "hi", None, None), ("tool_use", None, "grep", '{"q":1}'), ("text", "yo", None, None)]
     assert len(by_line[8, 0].text) == 2000 and by_line[8, 1].text == "[1]" and by_line[8, 1].tool_use_id == "t2"
-    assert json.loads(by_line[9, 0].payload) == {"duration_ms": "5", "duration_api_ms": None, "num_turns": None, "total_cost_usd": None,
+    assert json.loads(by_line[9, 0].payload) == {"duration_ms": 5, "duration_api_ms": None, "num_turns": None, "total_cost_usd": None,
                                                  "usage": None, "subtype": "success"}
     assert json.loads(by_line[11, 0].payload) == {"type": "error", "code": 7} and by_line[12, 0].text == "odd" and by_line[13, 0].text is None
 

@@ -168,3 +168,10 @@ def test_artifact_folders(spark, tmp_path):
     assert "".join(f.read_text() for f in folder.glob("part-*")) == "body\n"
     df.select("r", "text").write.parquet(str(tmp_path / "c"))
     assert read_corpus(spark, str(tmp_path / "c"), ["r", "absent"]).columns == ["r"]
+
+
+def test_skew_gate_survives_extreme_timestamps(spark):
+    rows = [("-9223372036854775808",), ("9223372036854775807",), ("1000",), ("1e3",), (None,)]
+    df = spark.createDataFrame(rows, "sent string").withColumn("got", F.lit(1100).cast("long"))
+    accepted = {r.sent: r.accepted for r in ledger.skew_gate(df, "sent", "got", 300).collect()}
+    assert accepted == {"-9223372036854775808": False, "9223372036854775807": False, "1000": True, "1e3": False, None: False}

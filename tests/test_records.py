@@ -90,11 +90,18 @@ def test_evidence(spark):
 
 def test_top_values(spark):
     lines = [record(str(i), {"qualificateurs": ["femme", 2.5, {"value": None}, {"x": 1}], "age_min": i % 2, "age_max": 1.5}) for i in range(3)]
-    for small in (True, False):
-        rows = records.field_top_values(records.good_records(parse(spark, lines)), FIELDS, small=small).collect()
-        assert sorted((r.field, r.value, r.n, r["rank"]) for r in rows) == [
-            ("pub.age_min", "0", 2, 1), ("pub.age_min", "1", 1, 2),
-            ("pub.qualificateurs", "femme", 3, 1), ("pub.qualificateurs", "null", 3, 2)]
+    rows = records.field_top_values(records.good_records(parse(spark, lines)), FIELDS).collect()
+    assert sorted((r.field, r.value, r.n, r["rank"]) for r in rows) == [
+        ("pub.age_min", "0", 2, 1), ("pub.age_min", "1", 1, 2),
+        ("pub.qualificateurs", "femme", 3, 1), ("pub.qualificateurs", "null", 3, 2)]
+
+
+def test_long_strings_repeated_keys_and_nan(spark):
+    rows = parse(spark, ['{"service_id":"a","service_id":"b"}', '{"service_id":"n","x":NaN}']).select("id", "problem").collect()
+    assert {(r.id, r.problem) for r in rows} == {("b", None), ("n", None)}
+    from pyspark.sql import functions as F
+    big = spark.range(1).select(F.concat(F.lit('{"service_id":"'), F.repeat(F.lit("x"), 20_000_001), F.lit('"}')).alias("line"))
+    assert records.parse_lines(big).select(F.length("id").alias("n"), "problem").first() == (20_000_001, None)
 
 
 def test_comparison_invariants(spark):

@@ -1,8 +1,9 @@
-"""The plans for large inputs give the rows of the plans for small ones, hot groups included."""
+"""Operators that split hot groups give the rows of one plain window or aggregate."""
 
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, ordering, profile, sampling
@@ -24,62 +25,70 @@ def rows_of(df):
 
 
 def test_top_k_per_group(skewed):
-    a, b = (ordering.top_k_per_group(skewed, ["grp"], ["v", "id"], 7, small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    rank = F.row_number().over(W.partitionBy("grp").orderBy("v", "id"))
+    for k in (7, 1500):
+        want = skewed.withColumn("rank", rank).where(F.col("rank") <= k)
+        assert rows_of(ordering.top_k_per_group(skewed, ["grp"], ["v", "id"], k)) == rows_of(want)
+
+
+def test_top_k_beyond_one_task(skewed, monkeypatch):
+    monkeypatch.setattr(ordering, "RANKED_K", 100)
+    want = skewed.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy("v", "id"))).where("rank <= 700")
+    assert rows_of(ordering.top_k_per_group(skewed, ["grp"], ["v", "id"], 700)) == rows_of(want)
 
 
 @pytest.mark.parametrize("by", [(), ("grp",)])
 def test_positions(skewed, by):
-    want = rows_of(ordering.positions(skewed, ["v", "id"], by=by, small=True))
+    want = rows_of(skewed.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy("v", "id")).cast("bigint")))
     for hot_rows in (0, 100, 10_000):  # every group hot, one hot, none hot
-        got = ordering.positions(skewed, ["v", "id"], by=by, small=False, hot_rows=hot_rows)
+        got = ordering.positions(skewed, ["v", "id"], by=by, hot_rows=hot_rows)
         assert rows_of(got) == want
     if not by:
         assert sorted(r.position for r in got.collect()) == list(range(1, 3001))
 
 
 def test_number_events(skewed):
-    want = number_events(skewed, "grp", ["id"], small=True)
-    assert rows_of(want) == rows_of(number_events(skewed, "grp", ["id"], small=False, hot_rows=500))
+    want = number_events(skewed, "grp", ["id"])
+    assert rows_of(want) == rows_of(number_events(skewed, "grp", ["id"], hot_rows=500))
 
 
 @pytest.mark.parametrize("by", [(), ("grp",)])
 def test_running_totals(skewed, by):
-    a, b = (ordering.running_totals(skewed, ["v", "id"], by=by, weight=F.col("id"), small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    before = F.sum("id").over(W.partitionBy(*by).orderBy("v", "id").rowsBetween(W.unboundedPreceding, -1))
+    want = skewed.withColumn("before", F.coalesce(before, F.lit(0)))
+    assert rows_of(ordering.running_totals(skewed, ["v", "id"], by=by, weight=F.col("id"))) == rows_of(want)
 
 
 @pytest.mark.parametrize("by", [None, "grp"])
 def test_quantiles(skewed, by):
-    def rounded(small):
-        out = profile.numeric_profile(skewed, "v", by=by, small=small)
-        return rows_of(out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes]))
-    assert rounded(True) == rounded(False)
+    keys = [by] if by else []
+    got = profile.numeric_profile(skewed, "v", by=by, probs=(0.25, 0.5))
+    marks = F.percentile("v", [0.25, 0.5])
+    want = skewed.groupBy(*keys).agg(F.round(marks[0], 9).alias("p25"), F.round(marks[1], 9).alias("p50"), F.count("*").alias("n"))
+    assert rows_of(got.select(*keys, F.round("p25", 9).alias("p25"), F.round("p50", 9).alias("p50"), "n")) == rows_of(want)
 
 
 def test_quantiles_of_empty_groups(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "grp string, v double")
-    a, b = (profile.numeric_profile(df, "v", by="grp", small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    got = {r.grp: (r.n, r.null_n, r.p50) for r in profile.numeric_profile(df, "v", by="grp").collect()}
+    assert got == {"a": (1, 1, None), "b": (1, 0, 1.0)}
+    none = profile.numeric_profile(df.where("v > 5"), "v").first()
+    assert (none.n, none.p50) == (0, None)
 
 
 @pytest.mark.parametrize("k", [1, 4, 7, 2999, 4000])
 def test_chunks(skewed, k):
-    want = chunking.chunk(skewed, k, ["id"], small=True)
-    got = chunking.chunk(skewed, k, ["id"], small=False)
-    assert rows_of(want) == rows_of(got)
+    got = chunking.chunk(skewed, k, ["id"])
+    assert all(r.chunk_id == r.id // -(-3000 // k) + 1 for r in got.collect())
     sizes = [r["count"] for r in got.groupBy("chunk_id").count().orderBy("chunk_id").collect()]
     assert sum(sizes) == 3000 and set(sizes[:-1]) <= {-(-3000 // k)} and min(sizes) > 0
 
 
-def test_chunks_by_two_columns(skewed):
-    rows = skewed.where("grp is not null")
-    a, b = (chunking.chunk(rows, 9, ["grp", "id"], small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
-    text = rows.withColumn("key", F.concat(F.lit("k-"), F.col("id").cast("string")))
-    a, b = (chunking.chunk(text, 9, ["key"], small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
-    assert chunking.chunk(rows.where("id < 0"), 3, ["id"], small=False).count() == 0
+def test_chunks_with_null_and_repeated_keys(skewed):
+    for k in (9, 700):
+        sizes = [r["count"] for r in chunking.chunk(skewed, k, ["grp"]).groupBy("chunk_id").count().orderBy("chunk_id").collect()]
+        assert sum(sizes) == 3000 and set(sizes[:-1]) <= {-(-3000 // k)}
+    assert chunking.chunk(skewed.where("id < 0"), 3, ["id"]).count() == 0
 
 
 @pytest.mark.parametrize("keep_null", [False, True])
@@ -95,8 +104,7 @@ def test_samples_nest_and_fill_quotas(skewed):
     weighted = (skewed.withColumn("stratum", F.when(F.col("id") % 50 == 0, "sparse").when(F.col("id") % 2 == 0, "rich").otherwise("norm_only"))
                 .withColumn("weight", F.lit(1.0) + F.col("id") % 3))
     sizes = {"big": 400, "small": 100}
-    a, b = (sampling.nested_sample(weighted, "id", "stratum", "weight", sizes, small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    b = sampling.nested_sample(weighted, "id", "stratum", "weight", sizes)
     n = {(r["sample"], r.stratum): r["count"] for r in b.groupBy("sample", "stratum").count().collect()}
     assert n == {("big", "rich"): 260, ("big", "norm_only"): 80, ("big", "sparse"): 60, ("small", "rich"): 65,
                  ("small", "norm_only"): 20, ("small", "sparse"): 15}
@@ -121,19 +129,16 @@ def test_quota_rounds_halves_to_even():
     assert sampling.quota_sizes(1500, {"rich": 0.65, "norm_only": 0.2, "sparse": 0.15}) == {"rich": 975, "norm_only": 300, "sparse": 225}
 
 
-def test_transcript_parts_join_to_the_whole(spark):
-    rows = [("long", i, f" t{i} " if i % 4 else "  ") for i in range(500)] + [("mute", 0, None), ("mute", 900, "\n"), ("one", 5, "x")]
+def test_transcript_is_whole_whatever_the_numbers(spark):
+    rows = [("long", i * 50, f" t{i} " if i % 4 else "  ") for i in range(500)] + [("mute", 0, None), ("mute", 9000, "\n"), ("one", 5, "x"),
+            ("far", 2500, "a"), ("far", 5000, "b")]
     df = spark.createDataFrame(rows, "run string, seq long, text string")
     whole = {r.run_id: r.transcript for r in assemble_transcript(df, "run", "seq", "text").collect()}
-    parts = assemble_transcript(df, "run", "seq", "text", part_rows=60).orderBy("run_id", "part").collect()
-    joined = {}
-    for r in parts:
-        joined.setdefault(r.run_id, []).append(r.transcript)
-    assert {k: "\n\n".join(v) for k, v in joined.items()} == whole
-    assert whole["mute"] == "(empty)" and whole["one"] == "x" and len(joined["long"]) == 9
-    for small in (True, False):
-        summary = {r.run_id: r.summary for r in transcript_summary(df, "run", "seq", "text", small=small).collect()}
-        assert summary == {k: v[:280] for k, v in whole.items()}
+    assert whole == {r.run_id: r.transcript for r in assemble_transcript(df, "run", "seq", "text", piece=60).collect()}
+    assert whole["mute"] == "(empty)" and whole["one"] == "x" and whole["far"] == "a\n\nb"
+    assert whole["long"] == "\n\n".join(f"t{i}" for i in range(500) if i % 4)
+    summary = {r.run_id: r.summary for r in transcript_summary(df, "run", "seq", "text").collect()}
+    assert summary == {k: v[:280] for k, v in whole.items()}
 
 
 def test_summary_of_one_character_fragments(spark):
@@ -148,8 +153,8 @@ def test_transcript_of_a_long_text(spark):
 
 
 def test_value_tally(skewed):
-    a, b = (value_tally(skewed, "grp", "v", "id", 3, small=s) for s in (True, False))
-    assert rows_of(a) == rows_of(b)
+    got = {r.value: (r.n, len(r.examples)) for r in value_tally(skewed, "grp", "v", "id", 3).collect()}
+    assert got["hot"] == (2000, 3) and sum(n for n, _ in got.values()) == 3000
 
 
 def test_array_and_scalar_frequency(spark):
