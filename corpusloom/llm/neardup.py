@@ -12,10 +12,13 @@ close to the Jaccard similarity.
    never with every other member.
 4. A pair is dropped only if the likelihood of its registers peaks below `FLOOR`, far under the threshold;
    others are verified on the shingle sets of their whole texts.
-5. Connected components. Buckets that still hold more than one component then pair their members across
-   components, so no link is missed because of a centre; components again.
+5. Connected components. In buckets that still hold more than one, a link may have been missed because its ends
+   were not the centre. Their members get a second sketch of `FINE` registers, and blocks of at most `BLOCK`
+   members compare registers in place; only pairs across components whose fine likelihood reaches the threshold
+   less its error come out, each in the first band that it shares. They are verified like the others: first the
+   likeliest pair of each member and component, then what is still apart.
 
-With 16 bands of 4 a pair at 0.85 shares a bucket with probability 1 - (1 - 0.85^4)^16 = 0.999993.
+With 20 bands of 4 a pair at 0.85 shares a bucket with probability 1 - (1 - 0.85^4)^20 = 0.9999996, at 0.8 0.99997.
 
 Defined results: null and empty texts and texts without words have no set, link with nothing and are kept. A null
 doc_id links with nothing, its component is null and it is kept. Rows that repeat a doc_id are one vertex.
@@ -34,10 +37,11 @@ from ..session import cut
 from .arrow_text import Words, mix, random_u64, runs, shingles, text_bytes
 from .tables import components, read
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.001, 65_534  # spacing of register values and the largest one
 RATE = 20.0
+FINE, BLOCK = 1_024, 1_024
 FLOOR_SIGMAS = 6.0  # an estimate so many standard errors under the threshold ends a pair
 
 _U64, _U32 = np.uint64, np.uint32
@@ -109,13 +113,18 @@ def sketches(documents: DataFrame, width: int, lower: bool = True) -> DataFrame:
         run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>")
 
 
+def floor_of(percent: int, registers: int) -> float:
+    """The least estimate that doesn't rule out the threshold."""
+    t = percent / 100
+    return t - FLOOR_SIGMAS * (t * (1 - t) / registers) ** 0.5
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule out the threshold; set sizes are an exact bound."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
     both = (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    t = percent / 100
-    floor = t - FLOOR_SIGMAS * (t * (1 - t) / REGISTERS) ** 0.5
+    floor = floor_of(percent, REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +138,90 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def fine_sketches(documents: DataFrame, width: int, lower: bool) -> DataFrame:
+    """(id, fine): `FINE` registers of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(17, lower)
+        salt, odd = random_u64(FINE, 37).astype(np.uint32), random_u64(FINE, 43).astype(np.uint32) | _U32(1)
+        for batch in batches:
+            data, offsets = text_bytes(batch["text"])
+            out = []
+            for i, j in runs(offsets, 1 << 18):
+                _, _, hashes, word_at = words.of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                found, at = shingles(hashes, word_at, width)
+                small = (found >> _U64(20)).astype(np.uint32)
+                for d in range(j - i):
+                    own = np.unique(small[at[d]:at[d + 1]])
+                    minima = np.full(FINE, 0xFFFFFFFF, np.uint32)
+                    for k in range(0, len(own), 256):  # a part of the set at a time
+                        minima = np.minimum(minima, ((own[k:k + 256, None] ^ salt) * odd).min(0))
+                    out.append(registers(minima).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["id", "fine"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "id long, fine binary")
+
+
+def across_components(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, likeness) of the pairs of `members` (band, key, id, component, n_shingles, regs, bands, fine) that share
+    a bucket, lie in different components and whose fine sketches don't rule out the threshold."""
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (members.join(sizes, ["band", "key"]).withColumn("own", own).withColumn("other", other)
+             .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")))
+    coarse, fine = floor_of(percent, REGISTERS), floor_of(percent, FINE)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
+
+    def compare(rows: list[dict]) -> pa.RecordBatch:
+        rows = list({r["id"]: r for r in rows}.values())
+        ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in ("id", "component", "n_shingles"))
+        own = np.array([r["own"] for r in rows])
+        regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        sharp = np.frombuffer(b"".join(r["fine"] for r in rows), np.uint16).reshape(len(rows), -1)
+        band, x, y = rows[0]["band"], rows[0]["x"], rows[0]["y"]
+        left, right = (np.arange(len(rows)),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
+        first, second, like = [], [], []
+        for lo in range(0, len(left), 256):
+            i = left[lo:lo + 256]
+            ok = (comp[i][:, None] != comp[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
+            ok &= ids[i][:, None] < ids[right] if x == y else True
+            for k in range(band):  # an earlier band has the pair
+                ok &= bands[i, k][:, None] != bands[right, k]
+            if not ok.any():
+                continue
+            same = np.zeros(ok.shape, np.uint8)
+            for k in range(REGISTERS):
+                same += regs[i, k][:, None] == regs[right, k]
+            p, q = np.nonzero(ok & (same >= coarse * REGISTERS))
+            for s in range(0, len(p), 2000):
+                a, b = i[p[s:s + 2000]], right[q[s:s + 2000]]
+                estimate = jaccard_estimate(sharp[a], sharp[b], n[a].astype(float), n[b].astype(float))
+                good = estimate >= fine
+                first.append(np.minimum(ids[a], ids[b])[good])
+                second.append(np.maximum(ids[a], ids[b])[good])
+                like.append(estimate[good])
+        cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
+        return pa.RecordBatch.from_arrays([cat(first, pa.int64()), cat(second, pa.int64()), cat(like, pa.float64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = (row["band"], row["key"], row["x"], row["y"])
+                if now != key and held:
+                    yield compare(held)
+                    held = []
+                key = now
+                held.append(row)
+        if held:
+            yield compare(held)
+
+    keys = ["band", "key", "x", "y"]
+    return (dealt.select(*keys, "own", "id", "component", "n_shingles", "regs", "bands", "fine").repartition(*keys).sortWithinPartitions(*keys)
+            .mapInArrow(run, "a long, b long, likeness double"))
+
+
 def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, lower: bool = True) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -173,18 +266,26 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, low
                .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
     edges = cut(verified(cut(likely(starred, classes, percent)), documents, width, percent, lower))
     found = components(edges)
-    # buckets of more than one component: what a centre has not joined meets across components
-    placed = members.select("id", "band", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # buckets of more than one component: what a centre has not joined is compared across components
+    placed = cut(members.select("id", "band", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = (placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("band", "key"))
-    left = cut(placed.join(open_, ["band", "key"]).join(classes.select("id", "n_shingles"), "id"))
-    x = left.select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = left.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    across = (x.join(y, (x.band == y.band) & (x.key == y.key) & (x.a < y.b) & (x.ca != y.cb)
-                     & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-              .join(starred, ["a", "b"], "left_anti"))
-    more = cut(verified(cut(likely(across, classes, percent)), documents, width, percent, lower))
+    left = cut(placed.join(open_, ["band", "key"]))
+    some = left.select(F.col("id").alias("doc_id")).distinct()
+    fine = fine_sketches(documents.select("doc_id", "text").join(some, "doc_id", "left_semi"), width, lower).groupBy("id").agg(F.first("fine").alias("fine"))
+    dressed = cut(classes.join(fine, "id").select("id", "n_shingles", "regs", "bands", "fine"))
+    across = cut(across_components(left.join(dressed, "id"), percent))
+    sides = across.union(across.select(F.col("b"), F.col("a"), "likeness"))
+    label = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    best = (sides.join(label, "b", "left").groupBy("a", F.coalesce("cb", "b").alias("cb")).agg(F.max_by("b", F.struct("likeness", "b")).alias("b"))
+            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).withColumnRenamed("x", "a").distinct())
+    more = cut(verified(cut(best), documents, width, percent, lower))
     joined = components(edges.union(more))
+    side = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    apart = (across.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti"))
+    last = cut(verified(cut(apart), documents, width, percent, lower))
+    joined = components(edges.union(more).union(last))
     final = (classes.select("d1", "d2", "id").join(joined, "id", "left")
              .select("d1", "d2", F.coalesce("component", "id").alias("component_id")))
     # a table's own rows find their class by the digest; rows without a set stand alone
