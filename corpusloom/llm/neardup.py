@@ -8,16 +8,16 @@ close to the Jaccard similarity.
 1. One pass over the texts: set size, a 128-bit digest of the set, registers. Written to the shared folder; texts
    are not kept.
 2. Documents with equal sets are one class, gathered by a partial aggregate, so a huge group of copies is one row.
-3. Bands of `ROWS` registers: in each bucket every class is paired with three centres (aggregates of the bucket),
-   never with every other member.
-4. A pair is dropped only if the likelihood of its registers peaks below `FLOOR`, far under the threshold;
-   others are verified on the shingle sets of their whole texts.
-5. Connected components. In buckets that still hold more than one, a link may have been missed because its ends
-   were not the centre. Their members get a second sketch of `FINE` registers, and blocks of at most `BLOCK`
-   members compare registers in place; only pairs across components whose fine likelihood reaches the threshold
-   less its error come out, each in the first band that it shares. They are verified like the others: first the
-   likeliest pair of each member and component, then what is still apart.
-
+3. Bands of `ROWS` registers: the classes of a bucket are compared register by register inside a task, in tiles of
+   two blocks of at most `BLOCK`. Only a spanning forest of the plausible pairs leaves the task, at most a row for
+   each member, so no task and no join emits the pairs of a group. Its components are clusters: both ends of
+   every link are in one.
+4. Whole texts of the clusters meet by cluster, again in tiles of blocks, bounded in rows and bytes. Pairs that the
+   registers don't rule out are estimated by likelihood from `FINE` registers, and from the likeliest down every
+   pair that is not connected yet is verified on the full shingle sets. A spanning forest of the links leaves.
+5. Connected components of the links, brought back to all rows by the digests.
+
+A pair is ruled out only `FLOOR_SIGMAS` standard errors under the threshold.
 With 20 bands of 4 a pair at 0.85 shares a bucket with probability 1 - (1 - 0.85^4)^20 = 0.9999996, at 0.8 0.99997.
 
 Defined results: null and empty texts and texts without words have no set, link with nothing and are kept. A null
@@ -41,7 +41,7 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.001, 65_534  # spacing of register values and the largest one
 RATE = 20.0
-FINE, BLOCK = 1_024, 1_024
+FINE, BLOCK, BLOCK_BYTES = 1_024, 1_024, 8 << 20
 FLOOR_SIGMAS = 6.0  # an estimate so many standard errors under the threshold ends a pair
 
 _U64, _U32 = np.uint64, np.uint32
@@ -119,136 +119,153 @@ def floor_of(percent: int, registers: int) -> float:
     return t - FLOOR_SIGMAS * (t * (1 - t) / registers) ** 0.5
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule out the threshold; set sizes are an exact bound."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
-    both = (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    floor = floor_of(percent, REGISTERS)
+def close(left: np.ndarray, right: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (members of left, members of right) that set sizes and registers don't rule out, some rows of left at a time."""
+    least = floor_of(percent, regs.shape[1]) * regs.shape[1]
+    for lo in range(0, len(left), 128):
+        i = left[lo:lo + 128]
+        ok = 100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right])
+        ok &= i[:, None] < right if left is right else True
+        if not ok.any():
+            continue
+        same = np.zeros(ok.shape, np.uint8)
+        for k in range(regs.shape[1]):
+            same += regs[i, k][:, None] == regs[right, k]
+        p, q = np.nonzero(ok & (same >= least))
+        yield i[p], right[q]
+
+
+class Forest:
+    """Joins members; remembers which joins connected something new."""
+
+    def __init__(self, size: int):
+        self.up, self.edges = list(range(size)), []
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x0, y0 = self.root(x), self.root(y)
+        if x0 != y0:
+            self.up[y0] = x0
+            self.edges.append((x, y))
+
+
+def tiles(rows: DataFrame, keys: list[str], blocks: str) -> DataFrame:
+    """`rows` dealt into the pairs (x, y) of their group's `blocks` blocks, sorted by group and tile; `own` is a row's block."""
+    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+             .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other"))
+    return dealt.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Runs of rows with equal keys."""
+    held, key = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if now != key and held:
+                yield held
+                held = []
+            key = now
+            held.append(row)
+    if held:
+        yield held
+
+
+def sides(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Members to compare with each other: all of a block, or those of one block with those of the other."""
+    own = np.array([r["own"] for r in rows])
+    x, y = rows[0]["x"], rows[0]["y"]
+    if x == y:
+        every = np.arange(len(rows))
+        return every, every
+    return np.flatnonzero(own == x), np.flatnonzero(own == y)
+
+
+def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def plausible(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the plausible pairs of each tile of `members` (band, key, id, n_shingles, regs, blocks)."""
+    keys = ["band", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-            na, nb = (np.asarray(batch[c], dtype=np.float64) for c in ("n_a", "n_b"))
-            keep = np.concatenate([jaccard_estimate(a[k:k + 2000], b[k:k + 2000], na[k:k + 2000], nb[k:k + 2000]) for k in range(0, len(a), 2000)]) >= floor
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def fine_sketches(documents: DataFrame, width: int, lower: bool) -> DataFrame:
-    """(id, fine): `FINE` registers of each document."""
+        found: list[tuple[int, int]] = []
+        for rows in groups(batches, [*keys, "x", "y"]):
+            n = np.array([r["n_shingles"] for r in rows], np.int64)
+            regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
+            forest = Forest(len(rows))
+            for p, q in close(*sides(rows), n, regs, percent):
+                label = np.array([forest.root(k) for k in range(len(rows))])
+                apart = label[p] != label[q]  # most pairs of a tight group are connected after the first rows
+                for i, j in zip(p[apart].tolist(), q[apart].tolist()):
+                    forest.join(i, j)
+            found += [(rows[i]["id"], rows[j]["id"]) for i, j in forest.edges]
+            if len(found) > 10_000:
+                yield edges_of(found)
+                found = []
+        yield edges_of(found)
+
+    return tiles(members, keys, "blocks").select(*keys, "x", "y", "own", "id", "n_shingles", "regs").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
+    """(a, b): a spanning forest of the links of each tile of `texts` (component, id, text, blocks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(17, lower)
         salt, odd = random_u64(FINE, 37).astype(np.uint32), random_u64(FINE, 43).astype(np.uint32) | _U32(1)
-        for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            out = []
-            for i, j in runs(offsets, 1 << 18):
-                _, _, hashes, word_at = words.of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                found, at = shingles(hashes, word_at, width)
-                small = (found >> _U64(20)).astype(np.uint32)
-                for d in range(j - i):
-                    own = np.unique(small[at[d]:at[d + 1]])
-                    minima = np.full(FINE, 0xFFFFFFFF, np.uint32)
-                    for k in range(0, len(own), 256):  # a part of the set at a time
-                        minima = np.minimum(minima, ((own[k:k + 256, None] ^ salt) * odd).min(0))
-                    out.append(registers(minima).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["id", "fine"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "id long, fine binary")
-
-
-def across_components(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, likeness) of the pairs of `members` (band, key, id, component, n_shingles, regs, bands, fine) that share
-    a bucket, lie in different components and whose fine sketches don't rule out the threshold."""
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (members.join(sizes, ["band", "key"]).withColumn("own", own).withColumn("other", other)
-             .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")))
-    coarse, fine = floor_of(percent, REGISTERS), floor_of(percent, FINE)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
-
-    def compare(rows: list[dict]) -> pa.RecordBatch:
-        rows = list({r["id"]: r for r in rows}.values())
-        ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in ("id", "component", "n_shingles"))
-        own = np.array([r["own"] for r in rows])
-        regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
-        bands = np.array([r["bands"] for r in rows], np.int64)
-        sharp = np.frombuffer(b"".join(r["fine"] for r in rows), np.uint16).reshape(len(rows), -1)
-        band, x, y = rows[0]["band"], rows[0]["x"], rows[0]["y"]
-        left, right = (np.arange(len(rows)),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
-        first, second, like = [], [], []
-        for lo in range(0, len(left), 256):
-            i = left[lo:lo + 256]
-            ok = (comp[i][:, None] != comp[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
-            ok &= ids[i][:, None] < ids[right] if x == y else True
-            for k in range(band):  # an earlier band has the pair
-                ok &= bands[i, k][:, None] != bands[right, k]
-            if not ok.any():
-                continue
-            same = np.zeros(ok.shape, np.uint8)
-            for k in range(REGISTERS):
-                same += regs[i, k][:, None] == regs[right, k]
-            p, q = np.nonzero(ok & (same >= coarse * REGISTERS))
-            for s in range(0, len(p), 2000):
-                a, b = i[p[s:s + 2000]], right[q[s:s + 2000]]
-                estimate = jaccard_estimate(sharp[a], sharp[b], n[a].astype(float), n[b].astype(float))
-                good = estimate >= fine
-                first.append(np.minimum(ids[a], ids[b])[good])
-                second.append(np.maximum(ids[a], ids[b])[good])
-                like.append(estimate[good])
-        cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
-        return pa.RecordBatch.from_arrays([cat(first, pa.int64()), cat(second, pa.int64()), cat(like, pa.float64())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["band"], row["key"], row["x"], row["y"])
-                if now != key and held:
-                    yield compare(held)
-                    held = []
-                key = now
-                held.append(row)
-        if held:
-            yield compare(held)
-
-    keys = ["band", "key", "x", "y"]
-    return (dealt.select(*keys, "own", "id", "component", "n_shingles", "regs", "bands", "fine").repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, "a long, b long, likeness double"))
-
-
-def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, lower: bool = True) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi"))
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(17, lower)
-
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            data, offsets = text_bytes(column)
-            for i, j in runs(offsets, 1 << 18):
-                _, _, hashes, word_at = words.of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                found, at = shingles(hashes, word_at, width)
-                for d in range(j - i):
-                    yield np.unique(found[at[d]:at[d + 1]])
-
-        for batch in batches:
-            keep = []
-            for a, b in zip(sets(batch["text_a"]), sets(batch["text_b"])):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common) and common > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").distinct()
+        fine_floor = floor_of(percent, FINE)
+
+        def minhashes(own: np.ndarray, k: int) -> np.ndarray:
+            small, out = (own >> _U64(20)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
+            for s in range(0, len(small), 256):  # a part of the set at a time
+                out = np.minimum(out, ((small[s:s + 256, None] ^ salt[:k]) * odd[:k]).min(0))
+            return registers(out)
+
+        found: list[tuple[int, int]] = []
+        for rows in groups(batches, ["component", "x", "y"]):
+            left, right = sides(rows)
+            sets = []
+            for r in rows:
+                data, offsets = text_bytes(pa.array([r.pop("text")], pa.string()))
+                _, _, hashes, at = words.of(data, offsets)
+                sets.append(np.unique(shingles(hashes, at, width)[0]))
+            n = np.array([len(s) for s in sets], np.int64)
+            regs = np.stack([minhashes(s, REGISTERS) for s in sets]) if len(rows) > 8 else np.zeros((len(rows), 1), np.uint16)
+            fine: dict[int, np.ndarray] = {}
+            forest = Forest(len(rows))
+
+            def sharp(k: int) -> np.ndarray:
+                if k not in fine:
+                    fine[k] = minhashes(sets[k], FINE)
+                return fine[k]
+
+            p, q = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *close(left, right, n, regs, percent)))
+            estimate = np.ones(len(p))
+            if len(p) > 64:
+                for s in range(0, len(p), 1000):
+                    a, b = (np.stack([sharp(k) for k in side[s:s + 1000].tolist()]) for side in (p, q))
+                    estimate[s:s + 1000] = jaccard_estimate(a, b, n[p[s:s + 1000]].astype(float), n[q[s:s + 1000]].astype(float))
+            for k in np.argsort(-estimate, kind="stable"):
+                if estimate[k] < fine_floor:
+                    break
+                i, j = int(p[k]), int(q[k])
+                if forest.root(i) != forest.root(j):
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common and 100 * common >= percent * (n[i] + n[j] - common):
+                        forest.join(i, j)
+            found += [(rows[i]["id"], rows[j]["id"]) for i, j in forest.edges]
+            if len(found) > 10_000:
+                yield edges_of(found)
+                found = []
+        yield edges_of(found)
+
+    return tiles(texts, ["component"], "blocks").select("component", "x", "y", "own", "id", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -257,35 +274,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, low
     classes = cut(table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
                   .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
                        F.first("bands").alias("bands")))
-    rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    turn = F.xxhash64("id", "band")
-    shared = (rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("c1"), F.max("id").alias("c2"),
-                                              F.min_by("id", turn).alias("c3")).where("n > 1"))
-    members = cut(rows.join(shared, ["band", "key"]))
-    starred = (members.select("id", F.explode(F.array("c1", "c2", "c3")).alias("c")).where(F.col("id") != F.col("c"))
-               .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-    edges = cut(verified(cut(likely(starred, classes, percent)), documents, width, percent, lower))
-    found = components(edges)
-    # buckets of more than one component: what a centre has not joined is compared across components
-    placed = cut(members.select("id", "band", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    open_ = (placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("band", "key"))
-    left = cut(placed.join(open_, ["band", "key"]))
-    some = left.select(F.col("id").alias("doc_id")).distinct()
-    fine = fine_sketches(documents.select("doc_id", "text").join(some, "doc_id", "left_semi"), width, lower).groupBy("id").agg(F.first("fine").alias("fine"))
-    dressed = cut(classes.join(fine, "id").select("id", "n_shingles", "regs", "bands", "fine"))
-    across = cut(across_components(left.join(dressed, "id"), percent))
-    sides = across.union(across.select(F.col("b"), F.col("a"), "likeness"))
-    label = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    best = (sides.join(label, "b", "left").groupBy("a", F.coalesce("cb", "b").alias("cb")).agg(F.max_by("b", F.struct("likeness", "b")).alias("b"))
-            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).withColumnRenamed("x", "a").distinct())
-    more = cut(verified(cut(best), documents, width, percent, lower))
-    joined = components(edges.union(more))
-    side = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    apart = (across.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    last = cut(verified(cut(apart), documents, width, percent, lower))
-    joined = components(edges.union(more).union(last))
+    rows = classes.select("id", "n_shingles", "regs", F.posexplode("bands").alias("band", "key"))
+    shared = (rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+              .select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    clusters = cut(components(cut(plausible(rows.join(shared, ["band", "key"]), percent))))
+    texts = cut(documents.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id")).select("component", "id", "text"))
+    sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
+    joined = components(cut(linked(texts.join(sizes, "component"), width, percent, lower)))
     final = (classes.select("d1", "d2", "id").join(joined, "id", "left")
              .select("d1", "d2", F.coalesce("component", "id").alias("component_id")))
     # a table's own rows find their class by the digest; rows without a set stand alone
