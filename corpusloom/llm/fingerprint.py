@@ -31,11 +31,12 @@ RANGE_ROWS = 4_000
 _U64 = np.uint64
 
 
-def phrase_ends(data: bytes) -> list[int]:
-    """End of each LZ78 phrase of `data`; the last one may be a repeated phrase."""
-    nodes: dict[int, int] = {}
-    get, ends, fresh, node, at = nodes.get, [], 256, 0, 0
-    for at, byte in enumerate(data, 1):
+def phrase_ends(data: bytes, start: int = 0, nodes: dict[int, int] | None = None) -> list[int]:
+    """End of each LZ78 phrase of `data` from `start`, a phrase boundary; the last one may be a repeated phrase.
+    `nodes` is the dictionary so far and takes the new phrases."""
+    nodes = {} if nodes is None else nodes
+    get, ends, fresh, node, at = nodes.get, [], 256 * (len(nodes) + 1), 0, start
+    for at, byte in enumerate(data[start:] if start else data, start + 1):
         key = node + byte
         node = get(key, 0)
         if not node:  # a new phrase ends here
@@ -47,12 +48,22 @@ def phrase_ends(data: bytes) -> list[int]:
     return ends
 
 
+def both_ends(data: bytes, other: bytes, common: int) -> tuple[list[int], list[int]]:
+    """Phrase ends of two texts that agree in their first `common` bytes, which are parsed once."""
+    nodes: dict[int, int] = {}
+    head = phrase_ends(data[:common], 0, nodes)
+    if head and len(head) > len(nodes):  # the last phrase is unfinished: it may go on differently
+        head.pop()
+    at = head[-1] if head else 0
+    return head + phrase_ends(data, at, dict(nodes)), head + phrase_ends(other, at, nodes)
+
+
 class Hasher:
     """Hashes slices of a text by one prefix sum, and takes the least hash per register."""
 
     def __init__(self, registers: int = REGISTERS, seed: int = 41):
         self.table, self.base = random_u64(256, seed), 0x9E3779B97F4A7C15
-        self.salt, self.odd = random_u64(registers, seed + 1), random_u64(registers, seed + 2) | _U64(1)
+        self.salt, self.odd = (random_u64(registers, seed + k).astype(np.uint32) | np.uint32(k - 1) for k in (1, 2))
         self.up = self.down = np.zeros(0, np.uint64)
 
     def slices(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -71,18 +82,17 @@ class Hasher:
             i = j
         return mix(out + (ends - starts).astype(np.uint64))
 
-    def fingerprint(self, data: bytes) -> np.ndarray:
+    def fingerprint(self, data: bytes, ends: list[int]) -> np.ndarray:
         """The last 16 bits of the least hash of each register over the phrases of `data`; zeros without phrases."""
-        out = np.zeros(len(self.salt), np.uint16)
+        least = np.full(len(self.salt), 0xFFFFFFFF, np.uint32)
         if not data:
-            return out
-        ends = np.array(phrase_ends(data), np.int64)
-        starts = np.append(0, ends[:-1])
+            return np.zeros(len(self.salt), np.uint16)
+        stop = np.array(ends, np.int64)
         with np.errstate(over="ignore"):
-            h = np.unique(self.slices(np.frombuffer(data, np.uint8), starts, ends))
-            for k in range(len(out)):
-                out[k] = ((h ^ self.salt[k]) * self.odd[k]).min() & _U64(0xFFFF)
-        return np.maximum(out, 1)  # zero is kept for empty texts
+            h = (self.slices(np.frombuffer(data, np.uint8), np.append(0, stop[:-1]), stop) >> _U64(32)).astype(np.uint32)
+            for k in range(0, len(h), 512):
+                least = np.minimum(least, ((h[k:k + 512, None] ^ self.salt) * self.odd).min(0))
+        return np.maximum(least & np.uint32(0xFFFF), 1).astype(np.uint16)  # zero is kept for empty texts
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -121,22 +131,38 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, text, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    names = ("doc_id", "text", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), None  # the row that waits for its next: part, doc_id, text, fingerprint
+        hasher, held, due = Hasher(), None, None  # a row waits for its next text, then for that one's fingerprint
+
+        def finished(doc_id, text, following):
+            """The row without the likeness to the next text, and its fingerprint."""
+            new = edited(text, following)
+            data, other = text.encode(), new.encode()
+            common = len(text[:len(text) - len(text) // 2].encode())
+            own_ends, new_ends = both_ends(data, other, common) if new != text else (phrase_ends(data),) * 2
+            own = hasher.fingerprint(data, own_ends)
+            changed = hasher.fingerprint(other, new_ends) if new != text else own
+            return [doc_id, text, new, own.astype(">u2").tobytes().hex(), changed.astype(">u2").tobytes().hex(), likeness(own, changed)], own
 
-        names = ("doc_id", "text", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-        schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))))
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[list] = []
             for part, doc_id, text, guest in zip(*(batch[c].to_pylist() for c in ("part", "doc_id", "text", "guest"))):
-                own = hasher.fingerprint(text.encode())
                 if held is not None and held[0] == part:
-                    new = edited(held[2], text)
-                    changed = hasher.fingerprint(new.encode()) if new != held[2] else held[3]
-                    rows.append((held[1], held[2], new, held[3].astype(">u2").tobytes().hex(), changed.astype(">u2").tobytes().hex(),
-                                 likeness(held[3], changed), likeness(held[3], own)))
-                held = None if guest else (part, doc_id, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
+                    row, own = finished(*held[1:], text)
+                    if due is not None:
+                        rows.append([*due[0], likeness(due[1], own)])
+                    due = (row, own)
+                if guest:  # the last text of its part: fingerprinted for the row before it only
+                    if due is not None:
+                        data = text.encode()
+                        rows.append([*due[0], likeness(due[1], hasher.fingerprint(data, phrase_ends(data)))])
+                    held = due = None
+                else:
+                    held = (part, doc_id, text)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
     return with_next(documents).select("part", "doc_id", "text", "guest").mapInArrow(
         run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
