@@ -2,8 +2,9 @@
 
 Documents are linked when their texts are equal. Every document starts in a shard chosen by a hash of its id; the
 documents of a group in one shard move as a piece, so a group is at most as many rows as there are shards however many
-copies it has. In each round a group wishes for the shard that already holds most of it, of those with room for the
-rest; wishes are granted in hash order up to the shard's quota, the equal share less what it holds. Rounds end when
+copies it has. In each round a group wishes for the shard that already holds most of it, first among those with room for
+the rest, and pieces move only to where more of their group is; wishes are granted in hash order up to the shard's
+quota, the equal share less what it holds. Rounds end when
 no piece moves. A piece beyond its shard's equal share is let go again.
 
 Documents without links, and those let go, then level the shards: from large to small size classes, each class is
@@ -51,14 +52,20 @@ def gathered(pieces: DataFrame, share: int, shards: int, slices: int) -> DataFra
     for _ in range(ROUNDS):
         room = (every.join(pieces.groupBy("label").agg(F.sum("bytes").alias("load")), "label", "left")
                 .select("label", (F.lit(share) - F.coalesce("load", F.lit(0))).alias("room")))  # a row per shard
-        held = pieces.groupBy("k1", "k2", "label").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
+        held = (pieces.groupBy("k1", "k2", "label").agg(F.sum("bytes").alias("b"), F.min("bytes").alias("least"))
+                .withColumn("pull", F.struct("b", F.xxhash64("k1", "k2", "label"))))
         group = Window.partitionBy("k1", "k2")  # a row per shard at most
-        fits = held.withColumn("rest", F.sum("b").over(group) - F.col("b")).join(F.broadcast(room), "label")
-        wish = (fits.where("rest <= room").groupBy("k1", "k2")
-                .agg(F.max_by("label", F.struct("b", F.xxhash64("k1", "k2", "label"))).alias("target")))
-        moves = pieces.join(wish, ["k1", "k2"]).where(F.col("label") != F.col("target"))
-        granted = (running(moves, ["target"], F.col("bytes"), turn, slices, "before")
-                   .join(F.broadcast(room.withColumnRenamed("label", "target")), "target")
+        rest = F.sum("b").over(group) - F.col("b")
+        fits = (held.withColumn("rest", rest).withColumn("least", F.min("least").over(group)).join(F.broadcast(room), "label")
+                .where(F.col("room") >= F.col("least")))
+        # a shard with room for all the rest goes first; a group too large for any gathers as far as quotas allow
+        wish = fits.groupBy("k1", "k2").agg(F.max_by(F.struct(F.col("label").alias("target"), F.col("pull").alias("there")),
+                                                     F.struct(F.col("rest") <= F.col("room"), "pull")).alias("w")).select("k1", "k2", "w.*")
+        # only towards more of the group, so that no two pieces change places
+        moves = (pieces.join(held.select("k1", "k2", "label", "pull"), ["k1", "k2", "label"]).join(wish, ["k1", "k2"])
+                 .where((F.col("label") != F.col("target")) & (F.col("there") > F.col("pull"))).drop("pull", "there"))
+        able = moves.join(F.broadcast(room.withColumnRenamed("label", "target")), "target").where("bytes <= room")
+        granted = (running(able, ["target"], F.col("bytes"), turn, slices, "before")
                    .where(F.col("before") + F.col("bytes") <= F.col("room")).select("k1", "k2", "s0", "target"))
         after = cut(pieces.join(granted, ["k1", "k2", "s0"], "left")
                     .select("k1", "k2", "s0", "bytes", F.coalesce("target", "label").alias("label"), F.col("target").isNotNull().alias("moved")))
