@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,6 +50,10 @@ FURNITURE = set("""nav navbar navigation menu menubar breadcrumb breadcrumbs hea
 ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
 notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus
 respond reply replies related recommended recommendations pagination pager skip copyright legal disclaimer search toolbar""".split())
+ASIDE_ARTICLES = set("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
+# Deeper elements are laid into the last block of this depth.
+MAX_DEPTH = 150
+BARRIERS = set("table ul ol div article section body nav main".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # An open element ends where one of these begins inside it.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -69,15 +74,16 @@ def attributes(tag: str, raw: str) -> tuple[str, bool]:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
     words = {w.lower() for k in ("class", "id") for w in NAME.findall(found.get(k, ""))}
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    whole = tag not in ("html", "body", "article", "main", "h1")  # a page-wide name says nothing of these
+    whole = tag not in ("html", "body", "main", "h1")  # a page-wide name says nothing of these
     return found.get("class", ""), (tag in FURNITURE_TAGS or found.get("role", "").lower() in FURNITURE_ROLES or hidden
-                                    or whole and bool(words & FURNITURE))
+                                    or whole and bool(words & (ASIDE_ARTICLES if tag == "article" else FURNITURE)))
 
 
 def parse(page: str) -> Node:
     """The block tree of a page; an item of a node is a child or a (text, link characters) block."""
     root = Node("#root")
-    stack: list[tuple[str, Node]] = [("#root", root)]  # every open element and the block it belongs to
+    stack: list[tuple[str, Node]] = [("#root", root)]  # the open blocks
+    still: Counter[str] = Counter()  # open blocks by tag
     node, text, linked, links = root, [], 0, 0
 
     def flush() -> None:
@@ -119,37 +125,48 @@ def parse(page: str) -> Node:
                 text.append(" ")
                 continue
             name, furniture = attributes(tag, raw)
-            if tag in BLOCKS or furniture:
-                flush()
-                while len(stack) > 1:  # implied ends
-                    inner = max((k for k in range(len(stack)) if stack[k][0] in ENDS and tag in ENDS[stack[k][0]]), default=0)
-                    barrier = max((k for k in range(len(stack)) if stack[k][0] in ("table", "ul", "ol", "div", "article", "section", "body", "nav", "main")), default=0)
-                    if inner <= barrier:
-                        break
-                    del stack[inner:]
-                    node = stack[-1][1]
+            links += tag == "a"
+            if tag not in BLOCKS and not furniture:
+                continue  # inline: its text belongs to the block
+            flush()
+            nearby = range(max(1, len(stack) - 32), len(stack))
+            inner = max((k for k in nearby if tag in ENDS.get(stack[k][0], ())), default=0)
+            if inner > max((k for k in nearby if stack[k][0] in BARRIERS), default=0):  # implied ends
+                for closed, _ in stack[inner:]:
+                    still[closed] -= 1
+                del stack[inner:]
+                node = stack[-1][1]
+            if len(stack) < MAX_DEPTH:
                 child = Node(tag, name, furniture)
                 node.items.append(child)
                 node = child
-            links += tag == "a"
-            if not raw.endswith("/"):
-                stack.append((tag, node))
-            elif tag in BLOCKS or furniture:
+            if raw.endswith("/"):
                 node = stack[-1][1]
+            else:
+                stack.append((tag, node))
+                still[tag] += 1
         else:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if not k:
-                continue
-            before = stack[k - 1][1]
             links = 0 if tag == "a" else links
-            if before is not node:
-                flush()
+            if not still[tag]:
+                continue
+            flush()
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+            for closed, _ in stack[k:]:
+                still[closed] -= 1
             del stack[k:]
-            node = before
+            node = stack[-1][1]
     flush()
+    _pardon(root)
     return root
 
 
+def _pardon(node: Node) -> bool:
+    """Whether a node holds an article or main element that counts; names of what is around it then say nothing."""
+    holds = [_pardon(item) for item in node.items if isinstance(item, Node)]
+    node.furniture = node.furniture and not any(holds)
+    return any(holds) or node.tag in ("article", "main") and not node.furniture
+
+
 def skeleton(node: Node, counter: list[int], stats: list[list]) -> list:
     """[tag, class, children] with runs of equal siblings folded. Numbers the nodes; stats gets characters, link
     characters and texts of each number."""
