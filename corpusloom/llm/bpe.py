@@ -63,10 +63,9 @@ class Encoder:
 
     def __init__(self, vocabulary: dict, chunk_bytes: int = CHUNK_BYTES, cache_chunks: int = CACHE_CHUNKS):
         import tiktoken
-        from tokenizers import Tokenizer
 
         self.fast = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=vocabulary["ranks"], special_tokens=vocabulary["special"])
-        self.whole = Tokenizer.from_str(vocabulary["file"])
+        self.file, self.whole = vocabulary["file"], None
         self.known = re.compile("[\x00-ɏ‐-‧€™]*").fullmatch
         self.safe = re.compile(r"(?<=\S) (?=\S)")
         self.mask, self.table = np.uint32(chunk_bytes - 1), random_u64(256, 31).astype(np.uint32)
@@ -79,6 +78,10 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.known(text):
             return self.fast.encode_to_numpy(text, allowed_special="all")
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.file)
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -127,9 +130,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
-        parts, counts = [], np.zeros(len(offsets), np.int64)
+        blocks, counts = [np.zeros(0, np.int32)], np.zeros(len(offsets), np.int64)
         for i, j in runs(offsets):
-            lo = offsets[i]
+            lo, parts = offsets[i], [np.zeros(0, np.uint32)]
             block = data[lo:offsets[j]]
             raw, cuts = block.tobytes(), self.cuts(block)
             for d in range(i, j):
@@ -138,8 +141,8 @@ class Encoder:
                 got = self.document(raw[s:e], own)
                 counts[d + 1] = sum(map(len, got))
                 parts += got
-        flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
+            blocks.append(np.concatenate(parts).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(blocks)))
 
 
 class Decoder:
