@@ -136,10 +136,10 @@ def close(left: np.ndarray, right: np.ndarray, n: np.ndarray, regs: np.ndarray,
 
 
 class Forest:
-    """Joins members; remembers which joins connected something new."""
+    """Joins members into trees."""
 
-    def __init__(self, size: int):
-        self.up, self.edges = list(range(size)), []
+    def __init__(self, ids: list[int]):
+        self.up, self.ids = list(range(len(ids))), ids
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -147,10 +147,15 @@ class Forest:
         return x
 
     def join(self, x: int, y: int) -> None:
-        x0, y0 = self.root(x), self.root(y)
-        if x0 != y0:
-            self.up[y0] = x0
-            self.edges.append((x, y))
+        """The root of a tree is its member of the smallest id, so that every tile that finds a tree names it alike."""
+        x, y = self.root(x), self.root(y)
+        low, high = (x, y) if self.ids[x] <= self.ids[y] else (y, x)
+        self.up[high] = low
+
+    def edges(self) -> list[tuple[int, int]]:
+        """(root, member) of every member that is not a root."""
+        roots = [self.root(k) for k in range(len(self.up))]
+        return [(self.ids[r], self.ids[k]) for k, r in enumerate(roots) if r != k]
 
 
 def tiles(rows: DataFrame, keys: list[str], blocks: str) -> DataFrame:
@@ -199,13 +204,13 @@ def plausible(members: DataFrame, percent: int) -> DataFrame:
         for rows in groups(batches, [*keys, "x", "y"]):
             n = np.array([r["n_shingles"] for r in rows], np.int64)
             regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
-            forest = Forest(len(rows))
+            forest = Forest([r["id"] for r in rows])
             for p, q in close(*sides(rows), n, regs, percent):
                 label = np.array([forest.root(k) for k in range(len(rows))])
                 apart = label[p] != label[q]  # most pairs of a tight group are connected after the first rows
                 for i, j in zip(p[apart].tolist(), q[apart].tolist()):
                     forest.join(i, j)
-            found += [(rows[i]["id"], rows[j]["id"]) for i, j in forest.edges]
+            found += forest.edges()
             if len(found) > 10_000:
                 yield edges_of(found)
                 found = []
@@ -238,7 +243,7 @@ def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame
             n = np.array([len(s) for s in sets], np.int64)
             regs = np.stack([minhashes(s, REGISTERS) for s in sets]) if len(rows) > 8 else np.zeros((len(rows), 1), np.uint16)
             fine: dict[int, np.ndarray] = {}
-            forest = Forest(len(rows))
+            forest = Forest([r["id"] for r in rows])
 
             def sharp(k: int) -> np.ndarray:
                 if k not in fine:
@@ -259,7 +264,7 @@ def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if common and 100 * common >= percent * (n[i] + n[j] - common):
                         forest.join(i, j)
-            found += [(rows[i]["id"], rows[j]["id"]) for i, j in forest.edges]
+            found += forest.edges()
             if len(found) > 10_000:
                 yield edges_of(found)
                 found = []
@@ -274,10 +279,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, low
     classes = cut(table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
                   .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
                        F.first("bands").alias("bands")))
-    rows = classes.select("id", "n_shingles", "regs", F.posexplode("bands").alias("band", "key"))
+    rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = (rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
               .select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    clusters = cut(components(cut(plausible(rows.join(shared, ["band", "key"]), percent))))
+    # registers are looked up only for the members of a bucket
+    members = rows.join(shared, ["band", "key"]).join(classes.select("id", "n_shingles", "regs"), "id")
+    clusters = cut(components(cut(plausible(members, percent))))
     texts = cut(documents.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id")).select("component", "id", "text"))
     sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
     joined = components(cut(linked(texts.join(sizes, "component"), width, percent, lower)))
