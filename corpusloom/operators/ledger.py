@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (
     CLOCK_SKEW_S,
+    ERROR_TAIL_CHARS,
     HEARTBEAT_STALE_S,
     JOB_STATE_MAP,
     ORPHAN_AFTER_S,
@@ -17,6 +18,7 @@ from ..fixed_values import (
     SCRUB_AFTER_S,
     TERMINAL_STATUSES,
 )
+from ..functions.text import tail
 from .ordering import HOT_ROWS, first_per_key, positions, top_k
 
 # Event types that set a status. Others, such as worker errors, leave it alone.
@@ -147,6 +149,15 @@ def run_outcome(events: DataFrame) -> DataFrame:
     return flags.select("run_id", outcome.alias("outcome"), (outcome != "error").alias("reports_result"))
 
 
+def error_events(events: DataFrame, stderr: str, chars: int = ERROR_TAIL_CHARS) -> DataFrame:
+    """The error event of every non-zero exit of a run that was not cancelled: exit code and the end of the error
+    stream. Exits are few, so they meet the cancelled runs after both are cut down."""
+    exits = events.where((F.col("event_type") == "exit") & (F.coalesce("exit_code", F.lit(0)) != 0))
+    cancelled = events.where(F.col("event_type") == "cancelled").select("run_id").distinct()
+    return exits.join(cancelled, "run_id", "left_anti").select(
+        "run_id", "event_id", "exit_code", tail(F.coalesce(stderr, F.lit("")), chars).alias("error_tail"))
+
+
 # -- time rules; `now` is always a parameter -------------------------------------------------------
 
 def skew_gate(df: DataFrame, event_ts: str, ingest_s: str | Column, allowed_s: int = CLOCK_SKEW_S) -> DataFrame:

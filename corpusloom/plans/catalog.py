@@ -85,9 +85,11 @@ SELECT d.doc_id AS id, CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE d.source END A
        split(nullif(concat_ws(',', CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END,
                                    CASE WHEN d.lang <> 'en' THEN d.lang END), ''), ',') AS publics,
        CASE WHEN d.lang = 'fr' THEN d.text WHEN d.doc_id % 11 = 0 THEN '   ' WHEN d.doc_id % 13 = 0 THEN '' END AS precisions,
-       CASE WHEN l.toxic = 1 THEN substr(d.text, 1, 80) END AS conditions,
+       CASE WHEN l.toxic = 1 THEN d.text END AS conditions,
        d.text AS description
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
+    "sources_v": """
+SELECT doc_id AS id, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE source END AS source FROM {documents}""",
     "structures_v": """
 SELECT p_partkey AS id, p_name AS nom, p_type AS description, split(lower(concat_ws(',', p_type, p_brand)), ',') AS codes
 FROM {part}""",
@@ -130,7 +132,7 @@ FROM {events}""",
 SELECT user_id * 16 + event_id % 16 AS run_id, event_id,
        CASE event_type WHEN 'error' THEN 'exit' WHEN 'signup' THEN 'cancelled'
             WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'error' ELSE 'message' END ELSE 'message' END AS event_type,
-       CASE WHEN event_type = 'error' THEN event_id % 3 END AS exit_code
+       CASE WHEN event_type = 'error' THEN event_id % 3 END AS exit_code, props AS stderr
 FROM {events}""",
     "records_a_v": _record_lines(0),
     "records_b_v": _record_lines(1),

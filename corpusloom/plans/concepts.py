@@ -97,9 +97,9 @@ def detect_conflicts(spark, sf):
 
 
 @query("value_tally", """SELECT lang AS value, count(*) AS n, (SELECT string_agg(ex, '|' ORDER BY doc_id) FROM
-    (SELECT doc_id, left(text, 20) AS ex FROM documents i WHERE i.lang = d.lang ORDER BY doc_id LIMIT 3)) AS examples FROM documents d GROUP BY lang""")
+    (SELECT doc_id, text AS ex FROM documents i WHERE i.lang = d.lang ORDER BY doc_id LIMIT 3)) AS examples FROM documents d GROUP BY lang""")
 def value_tally(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang", F.left("text", F.lit(20)).alias("ex"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("ex"))
     return concepts.value_tally(rows, "lang", "ex", "doc_id", 3).withColumn("examples", F.array_join("examples", "|"))
 
 

@@ -87,10 +87,10 @@ def numeric_profile_by(spark, sf):
     return _rounded(profile.numeric_profile(services(spark, sf), "score", by="source"))
 
 
-@query("source_share", oracle("SELECT source AS value, count(*) AS n, count(*) / (SELECT count(*) FROM services_v) AS share"
-                              " FROM services_v GROUP BY source", "services_v"))
+@query("source_share", oracle("SELECT source AS value, count(*) AS n, count(*) / (SELECT count(*) FROM sources_v) AS share"
+                              " FROM sources_v GROUP BY source", "sources_v"))
 def source_share(spark, sf):
-    return profile.value_counts(services(spark, sf), "source")
+    return profile.value_counts(view(spark, sf, "sources_v"), "source")
 
 
 @query("array_value_counts", oracle("SELECT value, count(*) AS n FROM (SELECT unnest(publics) AS value FROM services_v)"
@@ -224,21 +224,21 @@ def sample_manifest(spark, sf):
 
 CHUNKS = 7
 _CHUNKED = f"""chunked AS (SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1)
-  / ceil((SELECT count(*) FROM services_v) / {CHUNKS})) + 1 AS INTEGER) AS chunk_id FROM services_v)"""
+  / ceil((SELECT count(*) FROM sources_v) / {CHUNKS})) + 1 AS INTEGER) AS chunk_id FROM sources_v)"""
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk(services(spark, sf).select("id"), CHUNKS, ["id"])
+    return chunking.chunk(view(spark, sf, "sources_v").select("id"), CHUNKS, ["id"])
 
 
-@query("chunk_assign", oracle("SELECT id, chunk_id FROM chunked", "services_v", extra=_CHUNKED))
+@query("chunk_assign", oracle("SELECT id, chunk_id FROM chunked", "sources_v", extra=_CHUNKED))
 def chunk_assign(spark, sf):
     return _chunks(spark, sf)
 
 
 @query("chunk_manifest", oracle("""SELECT 'batch-1' AS batch_id, chunk_id, count(*) AS n, (SELECT count(*) FROM chunked) AS total,
   min(id) AS first_id, max(id) AS last_id, format('inputs/batch-1/chunk_{:02d}/services.jsonl', chunk_id) AS services_uri,
-  format('inputs/batch-1/chunk_{:02d}/run.json', chunk_id) AS run_uri FROM chunked GROUP BY chunk_id""", "services_v", extra=_CHUNKED))
+  format('inputs/batch-1/chunk_{:02d}/run.json', chunk_id) AS run_uri FROM chunked GROUP BY chunk_id""", "sources_v", extra=_CHUNKED))
 def chunk_manifest(spark, sf):
     return chunking.chunk_manifest(_chunks(spark, sf), "id", "batch-1")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.uris import normalise_uri, payload_text, redact_uri, split_s3, strip_query
 from ..operators import ledger, records
+from ..sources.tables import read_events, read_runs
 from ..streaming import append_to_files, latest_status, stream_dedupe, stream_events, stream_status
 from .catalog import mapped, oracle, query, table, view
 
@@ -107,6 +108,23 @@ def run_outcome(spark, sf):
     return ledger.run_outcome(view(spark, sf, "outcome_events_v"))
 
 
+@query("run_errors", oracle("""SELECT run_id, event_id, exit_code, right(coalesce(stderr, ''), 3000) AS error_tail FROM outcome_events_v e
+  WHERE event_type = 'exit' AND exit_code <> 0 AND NOT EXISTS (SELECT 1 FROM outcome_events_v c WHERE c.run_id = e.run_id AND c.event_type = 'cancelled')""",
+                             "outcome_events_v"))
+def run_errors(spark, sf):
+    return ledger.error_events(view(spark, sf, "outcome_events_v"), "stderr")
+
+
+@query("events_read", "SELECT user_id AS run_id, event_id AS seq, event_type, ts FROM events")
+def events_read(spark, sf):
+    return read_events(spark, f"{sf}/events.parquet", {"run_id": "user_id", "seq": "event_id"})
+
+
+@query("runs_read", """SELECT o_orderkey AS id, o_custkey AS pipeline_id, o_orderstatus AS status, o_orderdate AS created_at FROM orders""")
+def runs_read(spark, sf):
+    return read_runs(spark, f"{sf}/orders.parquet", {"id": "o_orderkey", "pipeline_id": "o_custkey", "status": "o_orderstatus", "created_at": "o_orderdate"})
+
+
 _SKEW = "CASE WHEN event_id % 29 = 0 THEN 'soon' WHEN event_id % 31 = 0 THEN NULL ELSE CAST(1704067200 + event_id * 259 + (event_id % 13 - 6) * 60 AS VARCHAR{n}) END"
 
 

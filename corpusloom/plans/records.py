@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import CONTRACT
 from ..operators import compare, records
 from ..operators.rules import field_rules
-from ..sources.records import merge_runs, resolve_outputs
+from ..sources.records import merge_runs, records_per_run, resolve_outputs
 from .catalog import oracle, query, table, view
 
 FIELDS = field_rules(CONTRACT)
@@ -94,6 +94,13 @@ def merge_counts(spark, sf):
     return merge_runs(found.unionByName(absent), view(spark, sf, "records_a_v").select("run_id", "line"))
 
 
+@query("records_per_run", oracle("""SELECT run_id AS run, CAST(count(*) AS BIGINT) AS loaded, count(DISTINCT id) AS distinct_n
+   FROM good_a JOIN (SELECT line_no, run_id FROM records_a_v) USING (line_no) GROUP BY run_id
+  UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT id) FROM good_a""", "records_a_v", extra=_final_sql("a")))
+def per_run(spark, sf):
+    return records_per_run(records.good_records(parsed(spark, sf, "a")))
+
+
 _CANDIDATES = """candidates AS (SELECT o_orderkey AS run_id, p AS priority, concat('runs/', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '/', d, '/', o_orderkey) AS path
   FROM orders, (VALUES (1, 'main'), (2, 'other'), (3, 'strict')) v(p, d)),
 listing AS (SELECT path FROM candidates JOIN orders ON o_orderkey = run_id

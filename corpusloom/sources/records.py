@@ -52,6 +52,16 @@ def merge_runs(manifest: DataFrame, lines: DataFrame) -> DataFrame:
     return per_run.unionByName(total)
 
 
+def records_per_run(records: DataFrame, run: str = "run_id", key: str = "id") -> DataFrame:
+    """Usable records per run before dedupe, and a TOTAL row with all records and the distinct ids: one read, counts
+    are reduced to (run, id) and then to (run) and id."""
+    each = records.groupBy(run, key).agg(F.count(F.lit(1)).alias("_n"))
+    both = each.select(F.inline(F.array(F.struct(F.col(run).cast("string").alias("run"), F.col(key).alias("_id"), "_n"),
+                                        F.struct(F.lit("TOTAL").alias("run"), F.col(key).alias("_id"), "_n"))))
+    return (both.groupBy("run", "_id").agg(F.sum("_n").alias("_n"))
+            .groupBy("run").agg(F.sum("_n").alias("loaded"), F.count(F.lit(1)).alias("distinct_n")))
+
+
 def merged_lines(lines: DataFrame) -> DataFrame:
     """All non-blank lines, trimmed."""
     return lines.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")

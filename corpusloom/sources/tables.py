@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,26 @@ def read_corpus(spark: SparkSession, path: str, cols: Sequence[str] | None = Non
     return df if cols is None else df.select(*[c for c in cols if c in df.columns])
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+# Columns of the run ledger and its event log, with the types that the operators rely on.
+RUN_COLUMNS = {"id": "bigint", "pipeline_id": "bigint", "status": "string", "created_at": "timestamp_ntz"}
+EVENT_COLUMNS = {"run_id": "bigint", "seq": "bigint", "event_type": "string", "ts": "timestamp_ntz"}
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _contract(df: DataFrame, columns: Mapping[str, str], names: Mapping[str, str]) -> DataFrame:
+    missing = [c for c in columns if names.get(c, c) not in df.columns]
+    if missing:
+        raise ValueError(f"the table lacks {', '.join(missing)}")
+    return df.select(*[F.col(names.get(c, c)).cast(t).alias(c) for c, t in columns.items()])
+
+
+def read_runs(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
+    """The run ledger, in its contract's columns and types; `names` says which column of the files is which."""
+    return _contract(spark.read.parquet(path), RUN_COLUMNS, names or {})
+
+
+def read_events(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
+    """The event log, in its contract's columns and types."""
+    return _contract(spark.read.parquet(path), EVENT_COLUMNS, names or {})
 
 
 def subset_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -44,10 +58,9 @@ def export_jsonl(df: DataFrame, keep: Sequence[str], path: str, partition_by: Se
     writer.option("ignoreNullFields", "false").json(path)
 
 
-def write_artifacts(df: DataFrame, path: str, ts: str, pipeline: str, run_id: str, text: str) -> None:
-    """Texts under runs/yyyy/mm/dd style partitions: date parts, pipeline, run."""
-    parts = df.select(
-        F.date_format(ts, "yyyy").alias("year"), F.date_format(ts, "MM").alias("month"),
-        F.date_format(ts, "dd").alias("day"), F.col(pipeline).alias("pipeline"), F.col(run_id).alias("run_id"),
-        F.col(text).alias("value"))
-    parts.write.mode("overwrite").partitionBy("year", "month", "day", "pipeline", "run_id").text(path)
+def write_artifacts(df: DataFrame, path: str, key: str, text: str, files: int = 200) -> None:
+    """Texts with their artifact keys, many runs to a file: `path` gets (key, text) rows sorted by key within at most
+    `files` ranges of it, so one artifact is found by the row groups' statistics. A folder and a file for each of
+    millions of runs would be all listing."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(path)

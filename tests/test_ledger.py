@@ -160,14 +160,24 @@ def test_session_stream_equals_batch(spark, sf):
     assert batch.count() > 0 and sorted(map(repr, live.collect())) == sorted(map(repr, batch.collect()))
 
 
-def test_artifact_folders(spark, tmp_path):
-    from corpusloom.sources.tables import read_corpus, write_artifacts
-    df = spark.sql("SELECT TIMESTAMP_NTZ'2026-05-04 10:00:00' ts, 'p' p, explode(array('r1', 'r2')) r, 'body' text")
-    write_artifacts(df, str(tmp_path / "runs"), "ts", "p", "r", "text")
-    folder = tmp_path / "runs" / "year=2026" / "month=05" / "day=04" / "pipeline=p" / "run_id=r2"
-    assert "".join(f.read_text() for f in folder.glob("part-*")) == "body\n"
+def test_artifacts_keep_their_keys(spark, tmp_path):
+    from corpusloom.sources.tables import read_corpus, read_events, write_artifacts
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2026-05-04 10:00:00' ts, 'p' p, explode(array('r1', 'r2')) r, 'md' f, 'body' text")
+    keyed = df.withColumn("key", ledger.artifact_key("ts", "p", "r", F.col("f")))
+    write_artifacts(keyed, str(tmp_path / "runs"), "key", "text", files=1)
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "runs")).collect()]
+    assert got == [(f"runs/2026/05/04/p/{r}/output.md", "body") for r in ("r1", "r2")]
     df.select("r", "text").write.parquet(str(tmp_path / "c"))
     assert read_corpus(spark, str(tmp_path / "c"), ["r", "absent"]).columns == ["r"]
+    with pytest.raises(ValueError, match="run_id"):
+        read_events(spark, str(tmp_path / "c"))
+
+
+def test_error_events(spark):
+    rows = [(1, 1, "exit", 2, "x" * 4000 + "end"), (2, 2, "exit", 0, "fine"), (3, 3, "exit", 1, "gone"), (3, 4, "cancelled", None, None), (4, 5, "exit", 9, None)]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, event_type string, exit_code int, err string")
+    got = {r.run_id: (r.exit_code, r.error_tail) for r in ledger.error_events(df, "err").collect()}
+    assert got == {1: (2, "x" * 2997 + "end"), 4: (9, "")}
 
 
 def test_skew_gate_survives_extreme_timestamps(spark):
