@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import bucket_predicate
+from ..session import cut
 from .compute import once
 from .profile import row_total, with_share
 from .rules import Bucket, literal_rows
@@ -28,8 +29,9 @@ def segment_counts(children: DataFrame, tagged: DataFrame, rules: Sequence[Bucke
 
     Only rule numbers travel through the joins and shuffles; labels come back at the end.
     """
-    pairs = (tagged.select(F.col(parent_id).alias("_pid"), F.explode("buckets").alias("_b"))
-                   .select("_pid", F.col("_b.no").alias("no")).distinct())
+    # both counts read the pairs, so they are written once instead of matching every rule twice
+    pairs = cut(tagged.select(F.col(parent_id).alias("_pid"), F.explode("buckets").alias("_b"))
+                      .select("_pid", F.col("_b.no").alias("no")).distinct())
     parents_n = pairs.groupBy("no").agg(F.count_distinct("_pid").alias("parents_n"))
     kids = children.select(F.col(child_id).alias("_cid"), F.col(child_parent).alias("_pid"))
     children_n = (kids.join(pairs, "_pid", "inner").groupBy("no")
@@ -65,17 +67,21 @@ def min_tier(children: DataFrame, tagged: DataFrame, child_id: str, child_parent
              parent_id: str = "id") -> DataFrame:
     """Highest-ranked (lowest) tier of every child id, null when no parent matches.
 
-    Parents without a bucket are left out of the join, and null parents bypass it, so neither makes a
-    hot partition.
+    Parents without a bucket are left out of the join, and null parents are spread over it, so neither makes
+    a hot partition.
     """
     best = (tagged.where(F.size("buckets") > 0)
                   .select(F.col(parent_id).alias("_pid"),
                           F.array_min(F.transform("buckets", lambda b: b["tier"])).alias("tier"))
                   .groupBy("_pid").agg(F.min("tier").alias("tier")))
-    kids = children.select(F.col(child_id).alias("id"), F.col(child_parent).alias("_pid"))
-    joined = kids.where(F.col("_pid").isNotNull()).join(best, "_pid", "left").select("id", "tier")
-    orphans = kids.where(F.col("_pid").isNull()).select("id", F.lit(None).cast("int").alias("tier"))
-    return joined.unionByName(orphans).groupBy("id").agg(F.min("tier").alias("tier"))
+    kids = children.select(F.col(child_id).alias("id"), F.col(child_parent).alias("_pid"), _spread(child_parent, child_id).alias("_salt"))
+    joined = kids.join(best.withColumn("_salt", F.lit(0)), ["_pid", "_salt"], "left")
+    return joined.groupBy("id").agg(F.min("tier").alias("tier"))
+
+
+def _spread(key: str, by: str) -> Column:
+    """0 for a row with a key; rows without one are spread over as many numbers as a shuffle may have tasks."""
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(10_000)).cast("int")).otherwise(0)
 
 
 def tier_coverage(children: DataFrame, tagged: DataFrame, tiers: Sequence[int], child_id: str,
@@ -88,24 +94,24 @@ def tier_coverage(children: DataFrame, tagged: DataFrame, tiers: Sequence[int],
     return with_share(rows, "children_n", total=row_total(children))
 
 
-def unmatched(children: DataFrame, tagged: DataFrame, child_parent: str, parent_id: str = "id") -> DataFrame:
-    """Children with no parent, or with a parent row that matches no bucket."""
+def unmatched(children: DataFrame, tagged: DataFrame, child_parent: str, parent_id: str = "id",
+              child_id: str | None = None) -> DataFrame:
+    """Children with no parent, or with a parent row that matches no bucket. `child_id` spreads rows without a parent."""
     inside = (tagged.select(F.col(parent_id).alias(child_parent), (F.size("buckets") > 0).alias("_in"))
                     .groupBy(child_parent).agg(F.bool_and("_in").alias("_in"))
                     .where("_in").select(child_parent))
-    known = children.where(F.col(child_parent).isNotNull())
-    lost = children.where(F.col(child_parent).isNull())
-    return known.join(inside, child_parent, "left_anti").select(*children.columns).unionByName(lost)
+    salted = children.withColumn("_salt", _spread(child_parent, child_id or child_parent))
+    return salted.join(inside.withColumn("_salt", F.lit(0)), [child_parent, "_salt"], "left_anti").select(*children.columns)
 
 
 def out_of_scope(children: DataFrame, tagged: DataFrame, child_id: str, child_parent: str,
                  parent_id: str = "id") -> DataFrame:
-    rest = unmatched(children, tagged, child_parent, parent_id)
+    rest = unmatched(children, tagged, child_parent, parent_id, child_id)
     counts = rest.agg(F.count_distinct(child_id).alias("children_n"))
     return with_share(counts, "children_n", total=row_total(children))
 
 
 def out_of_scope_by(children: DataFrame, tagged: DataFrame, by: str, child_id: str, child_parent: str,
                     parent_id: str = "id") -> DataFrame:
-    rest = unmatched(children, tagged, child_parent, parent_id)
+    rest = unmatched(children, tagged, child_parent, parent_id, child_id)
     return rest.groupBy(by).agg(F.count_distinct(child_id).alias("children_n"))
