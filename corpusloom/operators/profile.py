@@ -88,7 +88,7 @@ def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence
         sizes = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
         placed = placed.join(sizes, same_keys(placed, sizes, by)).select(placed["*"], "_size")
     else:
-        placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("_n").alias("_size"))))  # one row
+        placed = placed.withColumn("_size", placed.agg(F.sum("_n")).scalar())
 
     def neighbour(p: float, up: bool) -> Column:
         at = p * (F.col("_size") - 1)
@@ -109,7 +109,8 @@ def distribution(df: DataFrame, value: str, probs: Sequence[float], by: Sequence
     if by:
         joined = groups.join(marks, same_keys(groups, marks, by), "left")
         return joined.select(groups["*"], *[marks[nm] for nm in names])
-    return groups.crossJoin(F.broadcast(marks))  # one row each
+    # one struct-valued subquery for all quantiles
+    return groups.withColumn("_q", marks.select(F.struct(*names)).scalar()).select("*", "_q.*").drop("_q")
 
 
 def length_profile(df: DataFrame, fields: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
