@@ -43,9 +43,10 @@ def tokens(text: Column) -> Column:
 def totals(sized: DataFrame) -> DataFrame:
     """(source, tokens, all_tokens, share) of each source."""
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    whole = sums.agg(F.sum("tokens").alias("all_tokens"))
-    return cut(sums.crossJoin(F.broadcast(whole)).withColumn(  # one row
-        "share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)))
+    sums = cut(sums)
+    whole = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    share = F.col("tokens") / whole if whole else F.lit(0.0)
+    return sums.select("source", "tokens", F.lit(whole).alias("all_tokens"), share.alias("share"))
 
 
 def exponent(sources: DataFrame, entropy: float | None = None, repeat_limit: float | None = None) -> float:
@@ -80,11 +81,10 @@ def plan(sized: DataFrame, entropy: float | None = None, repeat_limit: float | N
     sources = totals(sized)
     t = exponent(sources, entropy, repeat_limit)
     power = F.when(F.col("share") > 0, F.pow("share", F.lit(t))).otherwise(0.0)
-    norm = sources.agg(F.sum(power).alias("z"), F.max("share").alias("top"))
+    z, top = sources.agg(F.sum(power), F.max("share")).first()
     budget = (F.col("all_tokens") * F.col("weight") if repeat_limit is None
-              else F.col("tokens") * F.pow(F.col("share") / F.col("top"), F.lit(t - 1)))
-    quotas = (sources.crossJoin(F.broadcast(norm))  # one row
-              .withColumn("weight", F.when(F.col("z") > 0, power / F.col("z")).otherwise(0.0))
+              else F.col("tokens") * F.pow(F.col("share") / F.lit(top), F.lit(t - 1)))
+    quotas = (sources.withColumn("weight", power / z if z else F.lit(0.0))
               .withColumn("budget", F.when(F.col("share") > 0, budget).otherwise(0.0))
               .withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(MIN_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))))
               .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(1))
