@@ -1,14 +1,15 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-A template of n words is sought in windows of 2L words that start every L words, L the least power of two not under
-n: wherever it stands, some window holds it whole. Windows and templates are sets of `WIDTH`-word shingles. A template
-of which `CONTAINED` percent is in a window has a Jaccard similarity of at least 0.8 n / (2L + 0.2 n) > 0.17 with it,
-typically 0.3 to 0.4; each of `HASHES` minimum hashes is a band of its own, so a pair at 0.3 meets with probability
-1 - 0.7^48 = 1 - 4e-8, one at the least, 0.17, with 0.9999. Every pair that meets is checked on its shingles.
+A template of n words is sought in windows of 2n words that start every n words: wherever it stands, some window holds
+it whole. Windows and templates are sets of `WIDTH`-word shingles. Each of `HASHES` minimum hashes is a band of its
+own. A template of s shingles that a window holds has a similarity of at least s / (2n - 2) with it, 0.25 for the
+shortest notices and towards 0.5 for long ones, so they meet with probability 1 - 0.75^32 = 0.9999 or more; at
+`CONTAINED` percent of a ten-word template, 0.34, with 0.999998. Every pair that meets is checked on its shingles.
 
 Documents are read once. Before windows are cut, one lossless test: a template cannot be contained unless one of any
 floor(0.2 s) + 1 of its s shingles is there (pigeonhole), so a text without the longest word of each of these shingles is
-done. It leaves out no match and keeps ordinary prose from being hashed.
+done. It leaves out no match and keeps ordinary prose from being hashed. Long texts are worked on in segments of
+`SEGMENT` words; shingles are hashed once for a segment, and windows take minima of slices.
 
 Words are runs of letters and digits, in lower case. Defined results: null and empty texts have no match. Matching
 windows of one license are one row, with the best containment and the first word of the first such window.
@@ -27,7 +28,8 @@ from .tables import read
 
 WIDTH = 3
 CONTAINED = 80
-HASHES = 48
+HASHES = 32
+SEGMENT = 4_096
 SEED = 131
 
 # Fixed texts: public license notices by their identifiers.
@@ -69,47 +71,57 @@ def anchors(templates: dict[str, str]) -> list[str]:
     return sorted(w for w in found if not any(o != w and o in w for o in found))
 
 
-def minima(shingles: Column) -> Column:
-    """The minimum hashes of an array of shingles."""
-    keyed = F.transform(shingles, lambda s: F.xxhash64(s, F.lit(SEED)))
-    band = lambda k: F.array_min(F.transform(keyed, lambda h: F.xxhash64(h, F.lit(k))))
-    return F.array(*map(band, range(HASHES)))
+def keyed(words: Column) -> Column:
+    """A hash of the `WIDTH`-word shingle that starts at each word; fewer words are one shingle."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WIDTH - 1)))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WIDTH)]))
 
 
-def shingled(words: Column) -> Column:
-    """Distinct `WIDTH`-word shingles of an array of words; fewer words are one shingle."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WIDTH - 1))),
-                       lambda i: F.array_join(F.slice(words, i, WIDTH), " "))
-    return F.array_distinct(each)
+def permuted(keys: Column) -> Column:
+    """`HASHES` arrays of the keys, hashed anew for each band."""
+    return F.array(*[F.transform(keys, lambda h: F.xxhash64(h, F.lit(SEED + k))) for k in range(HASHES)])  # noqa: B023
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, windows, first_word) of every license that a document holds."""
     templates = TEMPLATES if templates is None else templates
     spark = documents.sparkSession
-    sizes: dict[int, list[tuple[str, list[str]]]] = {}
-    for name, text in sorted(templates.items()):
-        words = template_words(text)
-        sizes.setdefault(1 << max(2, (len(words) - 1).bit_length()), []).append((name, sorted(set(grams(words)))))
+    held = [(name, template_words(text)) for name, text in sorted(templates.items())]
+    if not held or min(len(w) for _, w in held) < WIDTH:
+        raise ValueError(f"templates have at least {WIDTH} words")
+    sizes = sorted({len(w) for _, w in held})
     lowered = once(documents.select("doc_id", "text"), lower=F.lower(F.col("text"))).drop("text")
-    held = lowered.where(F.greatest(*[F.contains("lower", F.lit(w)).cast("int") for w in anchors(templates)], F.lit(0), F.lit(0)) == 1)
+    found = lowered.where(F.greatest(*[F.contains("lower", F.lit(w)).cast("int") for w in anchors(templates)], F.lit(0), F.lit(0)) == 1)
     words = F.filter(F.split("lower", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    docs = once(held, words=words).drop("lower").where(F.size("words") > 0)
-    cut_up = F.array(*[F.struct(F.lit(size).alias("size"), F.sequence(F.lit(1), F.size("words"), F.lit(size)).alias("starts")) for size in sorted(sizes)])
-    windows = docs.select("doc_id", "words", F.explode(cut_up).alias("c")).select("doc_id", "words", "c.size", F.explode("c.starts").alias("start"))
-    windows = once(windows, shingles=shingled(F.slice("words", F.col("start"), 2 * F.col("size")))).drop("words")
-    bands = windows.select("doc_id", "size", "start", "shingles", F.posexplode(minima(F.col("shingles"))).alias("band", "least"))
-    rows = [(size, name, own) for size, found in sizes.items() for name, own in found]
-    table = spark.createDataFrame(rows or [(0, "", [""])], "t_size int, license string, own array<string>").where(F.lit(bool(rows)))
-    keys = table.select("t_size", "license", "own", F.posexplode(minima(F.col("own"))).alias("t_band", "t_least"))
-    # templates x HASHES rows, a parameter's size
-    met = bands.join(F.broadcast(keys), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_least")))
-    share = F.size(F.array_intersect("shingles", "own")) / F.size("own")
-    pairs = met.withColumn("share", share).where(F.col("share") * 100 >= CONTAINED).select("doc_id", "license", "start", "share")
+    docs = once(found, words=words).drop("lower").where(F.size("words") > 0)
+    segments = docs.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(SEGMENT))))
+    segments = once(segments, part=F.slice("words", F.col("at") + 1, SEGMENT + 2 * sizes[-1]), left=F.size("words") - F.col("at")).drop("words")
+    segments = once(segments, hashes=permuted(keyed(F.col("part"))))
+
+    def starts(n: int) -> Column:
+        """Windows of 2n words that begin in the segment, with their minima."""
+        first = (F.ceil(F.col("at") / n) * n - F.col("at")).cast("int")
+        last = F.least(F.lit(SEGMENT), F.col("left")) - 1
+        begin = F.when(first <= last, F.sequence(first, last, F.lit(n))).otherwise(F.array().cast("array<int>"))
+        least = lambda s: F.transform("hashes", lambda h: F.array_min(F.slice(h, s + 1, 2 * n - (WIDTH - 1))))
+        return F.transform(begin, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), least(s).alias("least")))
+
+    table = spark.createDataFrame([(len(w), name, w, sorted(set(grams(w)))) for name, w in held], "t_size int, license string, t_words array<string>, own array<string>")
+    table = table.withColumn("t_least", F.transform(permuted(keyed(F.col("t_words"))), lambda h: F.array_min(h))).drop("t_words")
+    windows = segments.select("doc_id", "at", "part", F.explode(F.concat(*map(starts, sizes))).alias("w"))
+    bands = windows.select("doc_id", "at", "w.size", "w.start", "part", F.arrays_zip(F.sequence(F.lit(0), F.lit(HASHES - 1)).alias("band"), F.col("w.least").alias("least")).alias("b"))
+    # a window goes on only if some template has one of its minima: templates x HASHES literals, a parameter's size
+    known = sorted({v for r in table.select("t_least").collect() for v in r[0]})
+    near = bands.where(F.arrays_overlap(F.transform("b", lambda x: x["least"]), F.array(*map(F.lit, known))))
+    keys = table.select("t_size", "license", "own", F.posexplode("t_least").alias("t_band", "t_value"))
+    met = (near.select("doc_id", "at", "size", "start", "part", F.inline("b"))
+           .join(F.broadcast(keys), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_value"))))
+    shingles = F.transform(F.sequence(F.lit(1), 2 * F.col("size") - (WIDTH - 1)), lambda i: F.array_join(F.slice("part", F.col("start") + i, WIDTH), " "))
+    share = F.size(F.array_intersect(shingles, "own")) / F.size("own")
+    pairs = met.withColumn("share", share).where(F.col("share") * 100 >= CONTAINED).withColumn("word", F.col("at") + F.col("start"))
     # bands that met in the same window are one window
-    once_each = pairs.groupBy("doc_id", "license", "start").agg(F.max("share").alias("share"))
-    return once_each.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.count("*").alias("windows"),
-                                                      (F.min("start") - 1).cast("long").alias("first_word"))
+    once_each = pairs.groupBy("doc_id", "license", "word").agg(F.max("share").alias("share"))
+    return once_each.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.count("*").alias("windows"), F.min("word").cast("long").alias("first_word"))
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from edge import clashing, edge, empty
 
 from corpusloom.llm import licenses
@@ -10,7 +11,7 @@ def plain(rows, templates=licenses.TEMPLATES):
         words = licenses.template_words(text or "")
         for name, template in templates.items():
             own = set(licenses.grams(licenses.template_words(template)))
-            size = 1 << max(2, (len(licenses.template_words(template)) - 1).bit_length())
+            size = len(licenses.template_words(template))
             for k in range(0, len(words), size):
                 share = len(set(licenses.grams(words[k:k + 2 * size])) & own) / len(own)
                 if share * 100 >= licenses.CONTAINED:
@@ -19,7 +20,9 @@ def plain(rows, templates=licenses.TEMPLATES):
     return found
 
 
-def test_planted_licenses(spark):
+@pytest.mark.parametrize("segment", [4096, 64])
+def test_planted_licenses(spark, segment, monkeypatch):
+    monkeypatch.setattr(licenses, "SEGMENT", segment)
     filler = " ".join(f"w{k}" for k in range(97))
     rows = [(i, f"{filler[:i * 7]} {text.upper() if i % 2 else text}. {filler}") for i, text in enumerate(licenses.TEMPLATES.values())]
     rows += [(100, "Permission is hereby granted free of charge to any man obtaining a copy of this software and associated documentation files"),
