@@ -126,7 +126,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     firsts = (placed.drop("part").join(F.broadcast(guest_of), "key").groupBy("key", "guest_part")  # a row per part
               .agg(F.min(F.struct("text", "doc_id")).alias("r")).select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), F.col("guest_part").alias("part")))
     every = placed.select("part", "key", "doc_id", "text", F.lit(0).alias("guest")).union(firsts.select("part", "key", "doc_id", "text", F.lit(1)))
-    return every.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "guest", "key", "text")
+    return every.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "key", "text")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:

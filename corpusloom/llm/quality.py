@@ -102,9 +102,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
     picks = bounded_sample(known, "y", SAMPLE_PER_LABEL, 1)
     # at most 2 x SAMPLE_PER_LABEL keys by construction, so the broadcast has a fixed bound and texts stay put
     rows = (documents.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-            .join(F.broadcast(picks), "doc_id").select("y", "text").toArrow())
-    order = np.argsort(np.asarray(rows["y"]), kind="stable")
-    order = order[np.argsort(np.arange(len(order)) % 7, kind="stable")]
+            .join(F.broadcast(picks), "doc_id").select("y", "text").toArrow().sort_by([("y", "ascending"), ("text", "ascending")]))
+    order = np.argsort(np.arange(rows.num_rows) % 7, kind="stable")  # labels and lengths in every fifth row alike
     return fit(rows["text"].take(pa.array(order)).combine_chunks(), np.asarray(rows["y"])[order], share)
 
 
