@@ -6,7 +6,8 @@ compress alike share phrases, so the share of equal registers is a likeness from
 
 The next document, for `near_next` and the edited text, comes from a shuffle of rows into ranges of doc_id: each
 range is sorted in its task, and the first row of a range is sent to the range before it as well, so no order passes
-through one task. The bounds are the distinct quantiles of the ids, a list as long as the number of ranges.
+through one task. The bounds are the distinct quantiles of the ids, a list as long as the number of
+ranges, `MAX_RANGES` at most; beyond, ranges grow and are still read as a stream.
 
 Defined results: a null text is empty. The empty text's fingerprint is all zeros; two empty texts have likeness 1, an empty
 and another text 0. Rows with equal doc_id are ordered by text. Rows with a null doc_id come first in the order. In a
@@ -15,18 +16,19 @@ table of one row the next document is itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import mix, random_u64
 from .tables import read
 
 REGISTERS = 64
-RANGE_ROWS = 4_000
+RANGE_ROWS, MAX_RANGES = 4_000, 20_000
 
 _U64 = np.uint64
 
@@ -106,19 +108,28 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+def _bounds_passed(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at or under the key: counted among the heads of chunks, then in one chunk."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[k:k + width] for k in range(0, len(bounds), width)]
+    under = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    chunk = under(F.array(*[F.lit(c[0]) for c in chunks]))
+    inner = F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), chunk - 1)
+    return F.when(chunk == 0, 0).otherwise((chunk - 1) * width + under(inner)).cast("int")
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """Rows (part, doc_id, text, guest) of `documents`: each part is a range of ids, its guest row the first of the
     next part, or for the last part the first row of all."""
     spark = documents.sparkSession
     keyed = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = keyed.count()
-    parts = max(1, -(-rows // RANGE_ROWS))
+    parts = min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS)))
     step = [k / parts for k in range(1, parts)]
     bounds = sorted(set(keyed.select(F.percentile_approx("key", step, 10 * parts)).first()[0] or [])) if step and rows else []
-    limits = F.lit(np.array(bounds, np.int64).tolist()).cast("array<long>") if bounds else F.array().cast("array<long>")
-    # number of bounds at or under the key, by width of the sorted list
-    part = F.size(F.filter(limits, lambda b: b <= F.col("key"))).cast("int")
-    placed = keyed.withColumn("part", part)
+    placed = keyed.withColumn("part", _bounds_passed(F.col("key"), bounds))
     first = {r["part"]: r["key"] for r in placed.groupBy("part").agg(F.min("key").alias("key")).collect()}  # a row per part
     order = sorted(first)
     guests = [(first[p], order[k - 1]) for k, p in enumerate(order)]  # the first row of all goes to the last part

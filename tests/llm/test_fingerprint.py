@@ -71,3 +71,10 @@ def test_edited_texts_are_nearer_than_the_next(spark, sf):
 def test_edited():
     assert fp.edited("abcdef", "xyz123") == "abcxyz" and fp.edited("abcde", "x") == "abcx" and fp.edited("a", "x") == "a" and fp.edited("", "x") == ""
     assert hashlib.sha256(fp.edited("é€ab", "ßß").encode()).hexdigest() == hashlib.sha256("é€ßß".encode()).hexdigest()
+
+
+def test_bounds(spark):
+    from pyspark.sql import functions as F
+    for bounds in ([], [5], [1, 4, 9], list(range(0, 300, 7))):
+        got = spark.range(-3, 310).select("id", fp._bounds_passed(F.col("id"), bounds).alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
