@@ -35,10 +35,6 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | (F.length(F.trim(col)) == 0)
 
 
-def head(col: Column, n: int) -> Column:
-    return F.left(col, F.lit(n))
-
-
 def tail(col: Column, n: int) -> Column:
     return F.right(col, F.lit(n))
 

@@ -60,8 +60,3 @@ def records_per_run(records: DataFrame, run: str = "run_id", key: str = "id") ->
                                         F.struct(F.lit("TOTAL").alias("run"), F.col(key).alias("_id"), "_n"))))
     return (both.groupBy("run", "_id").agg(F.sum("_n").alias("_n"))
             .groupBy("run").agg(F.sum("_n").alias("loaded"), F.count(F.lit(1)).alias("distinct_n")))
-
-
-def merged_lines(lines: DataFrame) -> DataFrame:
-    """All non-blank lines, trimmed."""
-    return lines.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")
