@@ -69,7 +69,6 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float | None = None, steps:
     rows, cols, vals = map(np.concatenate, (rows, cols, vals))
     y, held = labels.astype(np.float64), np.arange(n) % 5 == 4
     share = np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * ~held
-    # families differ in spread: scale each so that an average n-gram weighs alike
     w, m, v, bias = np.zeros(5 * BUCKETS), np.zeros(5 * BUCKETS + 1), np.zeros(5 * BUCKETS + 1), 0.0
     for t in range(1, steps + 1):
         z = np.bincount(rows, weights=vals * w[cols], minlength=n) + bias
