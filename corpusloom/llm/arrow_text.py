@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Bytes worked on at a time, so that temporaries stay some tens of MB whatever the batch holds.
-PIECE_BYTES = 1 << 20
+# Bytes worked on at a time, so that temporaries stay some MB whatever the batch holds.
+PIECE_BYTES = 1 << 18
 
 _U64 = np.uint64
 

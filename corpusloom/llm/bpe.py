@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import random_u64, runs, text_bytes
-from .tables import read
+from .tables import bounded_batches, read
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK_BYTES = 1024  # mean distance of cuts
@@ -197,7 +197,7 @@ def decode(ids: Column, vocabulary: dict) -> Column:
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     vocabulary = load(path or public_tokenizers.path(VOCABULARY))
-    encoded = documents.select("doc_id", encode(F.col("text"), vocabulary).alias("ids"))
+    encoded = bounded_batches(documents).select("doc_id", encode(F.col("text"), vocabulary).alias("ids"))
     both = encoded.withColumn("decoded", decode(F.col("ids"), vocabulary))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

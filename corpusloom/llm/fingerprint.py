@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import mix, random_u64
-from .tables import read
+from .tables import bounded_batches, read
 
 REGISTERS = 64
 RANGE_ROWS, MAX_RANGES = 4_000, 20_000
@@ -175,7 +175,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                     held = (part, doc_id, text)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
-    return with_next(documents).select("part", "doc_id", "text", "guest").mapInArrow(
+    return with_next(bounded_batches(documents)).select("part", "doc_id", "text", "guest").mapInArrow(
         run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

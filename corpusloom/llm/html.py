@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import read
+from .tables import bounded_batches, read
 
 CONSTANT_SHARE, MIN_PAGES = 0.5, 4
 LINK_SHARE = 0.7
@@ -376,7 +376,7 @@ def content(root: Node, slot: list[int], menus: set[int], constants: set[str]) -
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of `pages` (page_id, url, html)."""
-    rules = wrappers(pages)
+    rules = wrappers(bounded_batches(pages))
     # Spark broadcasts the rules where they are small; beyond, pages meet their host's rules by a shuffle with skew splits
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(rules, "host", "left")
 

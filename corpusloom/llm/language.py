@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import runs, sums, text_bytes
-from .tables import bounded_sample, crc_mod, read
+from .tables import bounded_batches, bounded_sample, crc_mod, read
 
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_TEXT_BYTES = 32_768
@@ -145,7 +145,7 @@ def predicted(text: Column, model: dict) -> Column:
 
 def identify(documents: DataFrame, model: dict) -> DataFrame:
     """`documents` with a struct `_l`: lang_pred, score, bits (per byte), accepted."""
-    found = documents.withColumn("_l", predicted(F.col("text"), model))
+    found = bounded_batches(documents).withColumn("_l", predicted(F.col("text"), model))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model["names"]))
     name, score = F.when(letters, F.col("_l.lang_pred")).otherwise(UNKNOWN), F.when(letters, F.col("_l.score")).otherwise(0.0)
     return found.withColumn("_l", F.struct(name.alias("lang_pred"), score.alias("score"), F.col("_l.bits").alias("bits"),

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .arrow_text import Words, mix, random_u64, runs, shingles, text_bytes
-from .tables import components, read
+from .tables import bounded_batches, components, read
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
@@ -275,7 +275,7 @@ def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `documents`."""
-    table = cut(sketches(documents, width, lower))
+    table = cut(sketches(bounded_batches(documents), width, lower))
     classes = cut(table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
                   .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
                        F.first("bands").alias("bands")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, code_points, is_space, mix, random_u64, runs, shingles, sums, text_bytes
-from .tables import bounded_sample, read
+from .tables import bounded_batches, bounded_sample, read
 
 SAMPLE_PER_LABEL = 2_000
 SAMPLE_TEXT_BYTES = 32_768
@@ -186,7 +186,7 @@ FIELDS_STRUCT = f"struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>"
 
 def quality(documents: DataFrame, model: dict, keep_at: float = KEEP_AT) -> DataFrame:
     """`documents` with a struct `_q`: counts, score, base_failed and kept."""
-    q = documents.withColumn("_q", scored(F.col("text"), model))
+    q = bounded_batches(documents).withColumn("_q", scored(F.col("text"), model))
     failed = (F.col("_q.n_words") < MIN_WORDS) | (100 * F.col("_q.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q.n_words"))
     return q.withColumn("_q", F.col("_q").withField("base_failed", failed)
                         .withField("kept", ~failed & (F.col("_q.score") >= keep_at)))

@@ -12,6 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Rows and bytes of an Arrow batch on its way to a Python worker: the worker's memory follows them.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends Python workers batches of at most `BATCH_ROWS` rows and about `BATCH_BYTES`."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % n

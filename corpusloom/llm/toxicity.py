@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import bounded_sample, crc_mod, read
+from .tables import bounded_batches, bounded_sample, crc_mod, read
 
 SAMPLE_PER_LABEL = 3_000
 SAMPLE_TEXT_BYTES = 32_768
@@ -272,7 +272,7 @@ def scored(text: Column, model: dict) -> Column:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents")
+    documents = bounded_batches(read(spark, sf_dir, "documents"))
     model = fit_on(documents, read(spark, sf_dir, "labels"))
     rows = documents.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), scored(F.col("text"), model).alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
