@@ -9,7 +9,8 @@ shortest notices and towards 0.5 for long ones, so they meet with probability 1
 Documents are read once. Before windows are cut, one lossless test: a template cannot be contained unless one of any
 floor(0.2 s) + 1 of its s shingles is there (pigeonhole), so a text without the longest word of each of these shingles is
 done. It leaves out no match and keeps ordinary prose from being hashed. Long texts are worked on in segments of
-`SEGMENT` words; shingles are hashed once for a segment, and windows take minima of slices.
+`SEGMENT` words, whose shingles are hashed once; only windows that hold some template's shingle are sketched, as
+no other can contain one.
 
 Words are runs of letters and digits, in lower case. Defined results: null and empty texts have no match. Matching
 windows of one license are one row, with the best containment and the first word of the first such window.
@@ -77,9 +78,12 @@ def keyed(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WIDTH)]))
 
 
-def permuted(keys: Column) -> Column:
-    """`HASHES` arrays of the keys, hashed anew for each band."""
-    return F.array(*[F.transform(keys, lambda h: F.xxhash64(h, F.lit(SEED + k))) for k in range(HASHES)])  # noqa: B023
+def minima(keys: Column) -> Column:
+    """The least hash of the keys in each band."""
+    def band(k: int) -> Column:
+        return F.array_min(F.transform(keys, lambda h: F.xxhash64(h, F.lit(SEED + k))))
+
+    return F.array(*map(band, range(HASHES)))
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -96,23 +100,27 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
     docs = once(found, words=words).drop("lower").where(F.size("words") > 0)
     segments = docs.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(SEGMENT))))
     segments = once(segments, part=F.slice("words", F.col("at") + 1, SEGMENT + 2 * sizes[-1]), left=F.size("words") - F.col("at")).drop("words")
-    segments = once(segments, hashes=permuted(keyed(F.col("part"))))
+    table = spark.createDataFrame([(len(w), name, w, sorted(set(grams(w)))) for name, w in held], "t_size int, license string, t_words array<string>, own array<string>")
+    table = table.withColumn("t_keys", keyed(F.col("t_words"))).withColumn("t_least", minima(F.col("t_keys"))).drop("t_words")
+    told = table.select("t_keys", "t_least").collect()  # templates x (shingles + HASHES) numbers, a parameter's size
+    shingle_keys, known = (F.array(*map(F.lit, sorted({v for r in told for v in r[k]}))) for k in (0, 1))
+    segments = once(segments, keys=keyed(F.col("part")))
+    # a window without any template's shingle holds no template
+    hits = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.array_contains(shingle_keys, F.get("keys", i)))
+    segments = once(segments, hits=hits).where(F.size("hits") > 0)
 
     def starts(n: int) -> Column:
-        """Windows of 2n words that begin in the segment, with their minima."""
-        first = (F.ceil(F.col("at") / n) * n - F.col("at")).cast("int")
+        """The windows of 2n words that begin in the segment and hold a hit, with their minima."""
         last = F.least(F.lit(SEGMENT), F.col("left")) - 1
-        begin = F.when(first <= last, F.sequence(first, last, F.lit(n))).otherwise(F.array().cast("array<int>"))
-        least = lambda s: F.transform("hashes", lambda h: F.array_min(F.slice(h, s + 1, 2 * n - (WIDTH - 1))))
-        return F.transform(begin, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), least(s).alias("least")))
+        holding = F.flatten(F.transform("hits", lambda i: F.transform(F.array(F.lit(0), F.lit(n)), lambda back: (
+            F.floor((F.col("at") + i) / n) * n - F.col("at") - back).cast("int"))))
+        begin = F.filter(F.array_distinct(holding), lambda s: (s >= 0) & (s <= last))
+        return F.transform(begin, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), minima(F.slice("keys", s + 1, 2 * n - (WIDTH - 1))).alias("least")))
 
-    table = spark.createDataFrame([(len(w), name, w, sorted(set(grams(w)))) for name, w in held], "t_size int, license string, t_words array<string>, own array<string>")
-    table = table.withColumn("t_least", F.transform(permuted(keyed(F.col("t_words"))), lambda h: F.array_min(h))).drop("t_words")
     windows = segments.select("doc_id", "at", "part", F.explode(F.concat(*map(starts, sizes))).alias("w"))
     bands = windows.select("doc_id", "at", "w.size", "w.start", "part", F.arrays_zip(F.sequence(F.lit(0), F.lit(HASHES - 1)).alias("band"), F.col("w.least").alias("least")).alias("b"))
-    # a window goes on only if some template has one of its minima: templates x HASHES literals, a parameter's size
-    known = sorted({v for r in table.select("t_least").collect() for v in r[0]})
-    near = bands.where(F.arrays_overlap(F.transform("b", lambda x: x["least"]), F.array(*map(F.lit, known))))
+    # a window goes on only if some template has one of its minima
+    near = bands.where(F.arrays_overlap(F.transform("b", lambda x: x["least"]), known))
     keys = table.select("t_size", "license", "own", F.posexplode("t_least").alias("t_band", "t_value"))
     met = (near.select("doc_id", "at", "size", "start", "part", F.inline("b"))
            .join(F.broadcast(keys), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_value"))))
