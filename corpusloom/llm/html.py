@@ -7,9 +7,10 @@
    merge what they hold, then a host's partial templates merge; both see trees, never texts.
 3. Each distinct tree is aligned to its host's template, so every node of every page has a slot. Over all pages of the
    host and slot: a digest found in at least `CONSTANT_SHARE` of the pages, and on `MIN_PAGES` different ones, is
-   template text; a slot whose text is mostly links is a menu. Copies of a page count as one.
-4. Every page is parsed again and its nodes are judged by slot: template text, menus and elements whose tag, role,
-   class or id names page furniture go; the rest is content, within the article or main element if there is one.
+   template text; a slot whose own text is mostly links is a menu. Copies of a page count as one.
+4. Every page is parsed again and its nodes are judged by slot: template text, the own text of menus and elements whose
+   tag, role, class or id names page furniture go; the rest is content, within the article or main element if there is
+   one. What is nested in a menu is judged by its own slot, so a link beside an article does not take it along.
 
 Defined results: a null html is empty and gives the empty text, 0 characters; so does a page without content. A null url
 belongs to the host ''. Hosts with fewer than `MIN_PAGES` different pages have no constant text, only step 4's names.
@@ -345,25 +346,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return cut(made.join(menus, "host", "left").join(constants, "host", "left"))
 
 
-def content(root: Node, slot: list[int], menus: set[int], constants: set[str]) -> str:
-    """The blocks of a page that are neither furniture nor template."""
-    def good(node: Node) -> bool:
-        return not node.furniture and (slot[node.index] not in menus or node.tag in ("article", "main", "body"))
+def areas(node: Node, tags: tuple[str, ...]) -> Iterator[Node]:
+    """The outermost elements of `tags` that no furniture holds."""
+    for item in node.items:
+        if isinstance(item, Node) and not item.furniture:
+            if item.tag in tags:
+                yield item
+            else:
+                yield from areas(item, tags)
 
-    def areas(node: Node, tags: tuple[str, ...]) -> Iterator[Node]:
-        for item in node.items:
-            if isinstance(item, Node) and good(item):
-                if item.tag in tags:
-                    yield item
-                else:
-                    yield from areas(item, tags)
 
+def content(root: Node, slot: list[int], menus: set[int], constants: set[str]) -> str:
+    """The blocks of a page that are neither furniture nor template."""
     def blocks(node: Node, heading_only: bool, inside: bool) -> Iterator[str]:
+        menu = slot[node.index] in menus and node.tag not in ("#root", "article", "main", "body")
         for item in node.items:
             if isinstance(item, tuple):
-                if not heading_only and (not constants or f"{slot[node.index]}:{digest(item[0])}" not in constants):
+                if not heading_only and not menu and (not constants or f"{slot[node.index]}:{digest(item[0])}" not in constants):
                     yield item[0]
-            elif good(item) and (inside or item.tag != "header"):  # an article's own header keeps its headings
+            elif not item.furniture and (inside or item.tag != "header"):  # an article's own header keeps its headings
                 heading = len(item.tag) == 2 and item.tag[0] == "h" and item.tag[1].isdigit()
                 yield from blocks(item, (heading_only or item.tag == "header") and not heading, inside or item.tag in ("article", "main"))
 

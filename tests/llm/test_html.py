@@ -63,6 +63,14 @@ def test_constant_nodes_and_menus_are_template(spark):
     assert got[9] == "Title 9\nBody of page number 9.\nRead our terms of use."  # a single page has no constant text
 
 
+def test_a_link_in_a_wrapper_keeps_what_it_wraps(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><div class=page><a href=#c>Skip to content</a><article><h1>T{i}</h1><p>Body of {i}.</p></article></div></body>")
+            for i in range(6)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><div class=col><a href=/{i}>Permalink {i}</a><p>Text of {i}.</p></div></body>") for i in range(6)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"T{i}\nBody of {i}." and got[100 + i] == f"Text of {i}." for i in range(6))
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://h.example/same", "<article><h1>T</h1><p>All of it.</p></article>") for i in range(40)]
     rows += [(100 + i, "http://h.example/o", f"<article><h1>U{i}</h1><p>p{i}</p></article>") for i in range(5)]
