@@ -7,7 +7,8 @@
    merge what they hold, then a host's partial templates merge; both see trees, never texts.
 3. Each distinct tree is aligned to its host's template, so every node of every page has a slot. Over all pages of the
    host and slot: a digest found in at least `CONSTANT_SHARE` of the pages, and on `MIN_PAGES` different ones, is
-   template text; a slot whose own text is mostly links is a menu. Copies of a page count as one.
+   template text; a slot whose own text is mostly links is a menu. Pages of one main text count as one:
+   copies, and near copies that differ in what is around the article or in blocks of a `MINOR_SHARE` of its characters.
 4. Every page is parsed again and its nodes are judged by slot: template text, the own text of menus and elements whose
    tag, role, class or id names page furniture go; the rest is content, within the article or main element if there is
    one. What is nested in a menu is judged by its own slot, so a link beside an article does not take it along.
@@ -36,6 +37,7 @@ from .tables import bounded_batches, read
 
 CONSTANT_SHARE, MIN_PAGES = 0.5, 4
 LINK_SHARE = 0.7
+MINOR_SHARE = 0.1
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -276,16 +278,17 @@ def digest(text: str) -> int:
 
 
 def structures(pages: DataFrame) -> DataFrame:
-    """(host, tree, page, chars, links, digests) of every page: arrays by the tree's nodes, no text."""
+    """(host, tree, page, chars, links, digests) of every page: the digest of its main text, arrays by the tree's nodes, no text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("host", "tree", "page", "chars", "links", "digests")}
             for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
                 stats: list[list] = []
-                tree = skeleton(parse(page or ""), [0], stats)
+                root = parse(page or "")
+                tree = skeleton(root, [0], stats)
                 rows["host"].append(host)
                 rows["tree"].append(json.dumps(tree, ensure_ascii=False, separators=(",", ":")))
-                rows["page"].append(digest("\n".join(t for s in stats for t in s[2])))
+                rows["page"].append(digest(main_text(root)))
                 rows["chars"].append([s[0] for s in stats])
                 rows["links"].append([s[1] for s in stats])
                 rows["digests"].append([[digest(t) for t in set(s[2])] for s in stats])
@@ -356,6 +359,31 @@ def areas(node: Node, tags: tuple[str, ...]) -> Iterator[Node]:
                 yield from areas(item, tags)
 
 
+def main_text(root: Node) -> str:
+    """What makes a page another page than its near copies: the blocks of its article or main element, else all that are
+    not mostly links, without furniture and without its shortest blocks of together `MINOR_SHARE` of the characters, like
+    a date."""
+    def blocks(node: Node) -> Iterator[tuple[str, int]]:
+        for item in node.items:
+            if isinstance(item, tuple):
+                yield item
+            elif not item.furniture:
+                yield from blocks(item)
+
+    for tags in (("article",), ("main",), ()):
+        found = [b for node in (areas(root, tags) if tags else (root,)) for b in blocks(node)]
+        texts = [text for text, linked in found if tags or linked <= LINK_SHARE * len(text)]
+        if texts:
+            break
+    minor, left = set(), MINOR_SHARE * sum(map(len, texts))
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k])):
+        left -= len(texts[k])
+        if left < 0:
+            break
+        minor.add(k)
+    return "\n".join(t for k, t in enumerate(texts) if k not in minor)
+
+
 def content(root: Node, slot: list[int], menus: set[int], constants: set[str]) -> str:
     """The blocks of a page that are neither furniture nor template."""
     def blocks(node: Node, heading_only: bool, inside: bool) -> Iterator[str]:

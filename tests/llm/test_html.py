@@ -78,6 +78,18 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got[0] == "T\nAll of it." and got[101] == "U1\np1"
 
 
+@pytest.mark.parametrize("inside,around", [("", "<div class=x>Buy thing {i}</div>"), ("", "<section class=comments><p>I say {i}</p></section>"),
+                                           ("<p>{i} May</p>", ""), ("<p>{i} May</p>", "<div class=x>Buy thing {i}</div>")])
+def test_near_copies_of_an_article_are_no_template(spark, inside, around):
+    body = [f"Paragraph {k} of the article that many pages hold, long enough to be told from a date." for k in range(3)]
+    article = "<article><h1>Title</h1>" + inside + "".join(f"<p>{b}</p>" for b in body) + "</article>"
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=y>Our terms.</div>{article}{around}</body>".replace("{i}", str(i))) for i in range(30)]
+    rows += [(100 + i, f"http://h.example/o{i}", f"<body><div class=y>Our terms.</div><article><h1>U{i}</h1><p>p{i}</p><p>Read on.</p></article></body>") for i in range(6)]
+    got = extracted(spark, rows)
+    assert all(set(["Title", *body]) <= set(got[i].split("\n")) for i in range(30))
+    assert all(got[100 + i] == f"U{i}\np{i}" for i in range(6))
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, None, "<p>x</p>"), (None, "u", ""), (3, "http://h/", None), (3, "http://h/", "<p>" + "long text " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
