@@ -2,10 +2,17 @@
 
 Documents are linked when their texts are equal. Every document starts in a shard chosen by a hash of its id; the
 documents of a group in one shard move as a piece, so a group is at most as many rows as there are shards however many
-copies it has. In each round a group wishes for the shard that already holds most of it, first among those with room for
+copies it has. Groups beyond a shard's equal share come first: their pieces fill as few shards as they can. In each round
+any other group wishes for the shard that already holds most of it, first among those with room for
 the rest, and pieces move only to where more of their group is; wishes are granted in hash order up to the shard's
 quota, the equal share less what it holds. Rounds end when
-no piece moves. A piece beyond its shard's equal share is let go again.
+no piece moves, and a piece beyond its shard's equal share is let go again.
+
+Where shards are full of linked documents few pieces can move. So groups that are still in several shards then leave
+them and are packed whole into the room that this makes: those of at least a `LARGE`th of a share from the largest down,
+each into the least room that takes it, then the others along a running sum of bytes. Of these the few that would lie
+across the end of a shard go to the shard with most room, which they may fill beyond its share by less than a
+`LARGE`th. Only a group for which no shard has room is split.
 
 Documents without links, and those let go, then level the shards: from large to small size classes, each class is
 dealt along a running sum of bytes into the shards' deficits, so that what one class leaves uneven the next evens out.
@@ -19,6 +26,8 @@ crc32 0; null and empty texts are equal texts. Null and repeated ids are rows li
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +35,7 @@ from ..session import cut
 from .tables import read
 
 SHARDS = 24
-ROUNDS = 12
+LARGE = 64
 SLICE_ROWS, MIN_SLICES, MAX_SLICES = 20_000, 32, 262_144
 CLASS_FACTOR = 8  # sizes of a class differ by this factor at most
 SEED = 71
@@ -43,15 +52,43 @@ def running(rows: DataFrame, parts: list[str], value: Column, turn: Column, slic
             .withColumn(name, F.col("_b") + F.col("_o")).drop("_v", "_t", "_slice", "_b", "_o"))
 
 
-def gathered(pieces: DataFrame, share: int, shards: int, slices: int) -> DataFrame:
-    """`pieces` (k1, k2, s0, bytes) with `label`: the shard of each after label propagation under quotas."""
+def beyond(pieces: DataFrame, share: int, shards: int) -> list[tuple]:
+    """(k1, k2, s0, label, bytes) of the pieces of groups beyond a share that find room, each group in as few shards as it can."""
+    rows = pieces.collect()  # less than `shards` groups are so large, each of at most `shards` pieces
+    groups: dict[tuple, list] = {}
+    for r in rows:
+        groups.setdefault((r["k1"], r["k2"]), []).append(r)
+    room, out = dict.fromkeys(range(shards), share), []
+    for key, left in sorted(groups.items(), key=lambda g: (-sum(r["bytes"] for r in g[1]), g[0])):
+        left.sort(key=lambda r: (-r["bytes"], r["s0"]))
+        here = {r["s0"]: r["bytes"] for r in left}
+        for label in sorted(room, key=lambda x: (-room[x], -here.get(x, 0), x)):
+            for r in list(left):
+                if r["bytes"] <= room[label]:
+                    room[label] -= r["bytes"]
+                    out.append((*key, r["s0"], label, r["bytes"]))
+                    left.remove(r)
+    return out
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of integers as a table."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
+def propagated(pieces: DataFrame, loads: dict[int, int], share: int, shards: int, slices: int) -> DataFrame:
+    """`pieces` (k1, k2, s0, bytes) with `label`, the shard of each after label propagation under quotas, and `stays`,
+    whether its shard has room for it beside `loads`."""
     spark = pieces.sparkSession
     pieces = cut(pieces.withColumn("label", F.col("s0")))
+    quota = F.element_at(F.array(*[F.lit(share - loads.get(s, 0)) for s in range(shards)]), F.col("label") + 1)
     every = spark.range(shards).select(F.col("id").cast("int").alias("label"))
     turn = F.xxhash64("k1", "k2", "s0", F.lit(SEED + 1))
-    for _ in range(ROUNDS):
+    while True:  # every move adds to the sum of squares of a group's bytes by shard, so rounds end
         room = (every.join(pieces.groupBy("label").agg(F.sum("bytes").alias("load")), "label", "left")
-                .select("label", (F.lit(share) - F.coalesce("load", F.lit(0))).alias("room")))  # a row per shard
+                .select("label", (quota - F.coalesce("load", F.lit(0))).alias("room")))  # a row per shard
         held = (pieces.groupBy("k1", "k2", "label").agg(F.sum("bytes").alias("b"), F.min("bytes").alias("least"))
                 .withColumn("pull", F.struct("b", F.xxhash64("k1", "k2", "label"))))
         group = Window.partitionBy("k1", "k2")  # a row per shard at most
@@ -73,8 +110,60 @@ def gathered(pieces: DataFrame, share: int, shards: int, slices: int) -> DataFra
         pieces = after.drop("moved")
         if not moved:
             break
-    kept = running(pieces, ["label"], F.col("bytes"), turn, slices, "before")
-    return kept.where(F.col("before") + F.col("bytes") <= share).select("k1", "k2", "s0", "label")
+    return running(pieces, ["label"], F.col("bytes"), turn, slices, "before").withColumn("stays", F.col("before") + F.col("bytes") <= quota).drop("before")
+
+
+def packed(groups: DataFrame, loads: dict[int, int], share: int, shards: int, slices: int) -> DataFrame:
+    """(k1, k2, label) of whole `groups` (k1, k2, bytes) in the room beside `loads`, without those that no shard has room for."""
+    spark = groups.sparkSession
+    groups = cut(groups)
+    room = {s: max(0, share - loads.get(s, 0)) for s in range(shards)}
+    out = []
+    # shards hold a share each, so at most shards * LARGE groups are large
+    for g in sorted(groups.where(F.col("bytes") * LARGE >= share).collect(), key=lambda g: (-g["bytes"], g["k1"], g["k2"])):
+        if fits := [s for s in room if room[s] >= g["bytes"]]:
+            label = min(fits, key=lambda s: (room[s], s))
+            room[label] -= g["bytes"]
+            out.append((g["k1"], g["k2"], label))
+    ends, at = [], 0
+    for s in range(shards):
+        at += room[s]
+        ends.append(at)
+    line = F.array(*map(F.lit, ends))
+    small = groups.where(F.col("bytes") * LARGE < share).withColumn("_all", F.lit(0))
+    lain = cut(running(small, ["_all"], F.col("bytes"), F.xxhash64("k1", "k2", F.lit(SEED + 4)), slices, "before").select(
+        "k1", "k2", "bytes", F.size(F.filter(line, lambda e: e <= F.col("before"))).alias("label"),
+        F.size(F.filter(line, lambda e: e < F.col("before") + F.col("bytes"))).alias("last")))
+    inside = lain.where(F.col("label") == F.col("last"))
+    for r in inside.groupBy("label").agg(F.sum("bytes").alias("b")).collect():  # a row per shard
+        room[r["label"]] -= r["b"]
+    across = lain.where(F.col("label") != F.col("last")).collect()  # one for each end of a shard
+    for g in sorted(across, key=lambda g: (-g["bytes"], g["k1"], g["k2"])):
+        label = max(room, key=lambda s: (room[s], -s))
+        room[label] -= g["bytes"]
+        out.append((g["k1"], g["k2"], label))
+    return inside.select("k1", "k2", "label").union(rows_of(spark, out, "k1 long, k2 long, label int"))
+
+
+def gathered(pieces: DataFrame, share: int, shards: int, slices: int) -> DataFrame:
+    """(k1, k2, s0, label): the shard of each of `pieces` (k1, k2, s0, bytes) that is not let go."""
+    spark = pieces.sparkSession
+    group = Window.partitionBy("k1", "k2")  # a row per shard at most
+    pieces = cut(pieces.withColumn("_whole", F.sum("bytes").over(group)))
+    large = beyond(pieces.where(F.col("_whole") > share).drop("_whole"), share, shards)
+    loads: dict[int, int] = {}
+    for *_, label, size in large:
+        loads[label] = loads.get(label, 0) + size
+    moved = propagated(pieces.where(F.col("_whole") <= share).drop("_whole"), loads, share, shards, slices)
+    one = F.min("stays").over(group) & (F.min("label").over(group) == F.max("label").over(group))
+    moved = cut(moved.withColumn("one", one).drop("stays"))
+    for r in moved.where("one").groupBy("label").agg(F.sum("bytes").alias("b")).collect():  # a row per shard
+        loads[r["label"]] = loads.get(r["label"], 0) + r["b"]
+    apart = moved.where(~F.col("one"))
+    places = packed(apart.groupBy("k1", "k2").agg(F.sum("bytes").alias("bytes")), loads, share, shards, slices)
+    return (moved.where("one").select("k1", "k2", "s0", "label")
+            .union(apart.select("k1", "k2", "s0").join(places, ["k1", "k2"]).select("k1", "k2", "s0", "label"))
+            .union(rows_of(spark, [g[:4] for g in large], "k1 long, k2 long, s0 int, label int")))
 
 
 def levelled(free: DataFrame, loads: dict[int, int], share: float, shards: int, slices: int) -> DataFrame:

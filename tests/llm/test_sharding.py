@@ -40,6 +40,30 @@ def test_a_group_beyond_a_shards_share_is_split(spark):
     assert len(same) < 24  # gathered as far as the quotas allow
 
 
+def test_a_table_of_copies_only_keeps_its_groups_whole(spark):
+    rows = [(10 * g + c, f"text of group {g:05d} " + "x" * (g % 40)) for g in range(2_000) for c in range(2 + g % 2)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    load, where = Counter(), defaultdict(set)
+    for r in out:
+        load[r.shard] += r.size
+        where[r.doc_id // 10].add(r.shard)
+    assert len(out) == len(rows) and gapless(out) and len(load) == 24
+    assert all(len(s) == 1 for s in where.values())
+    assert max(load.values()) < 1.03 * min(load.values())
+
+
+def test_a_large_group_gathers_where_all_others_are_copies(spark):
+    rows = [(i, "same text of the large group") for i in range(700)] + [(1000 + 10 * g + c, f"text of group {g:05d} of the rest") for g in range(700) for c in range(2)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    load, where = Counter(), defaultdict(set)
+    for r in out:
+        load[r.shard] += r.size
+        where[max(99, r.doc_id // 10)].add(r.shard)
+    large = {r.shard for r in out if r.doc_id < 1000}
+    assert len(out) == len(rows) and gapless(out) and len(large) < 16
+    assert sum(len(s) > 1 for k, s in where.items() if k > 99) < 30 and max(load.values()) < 1.1 * min(load.values())
+
+
 def test_edges(spark):
     docs = clashing(spark)
     out = sharding.sharded(docs).collect()
