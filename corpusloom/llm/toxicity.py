@@ -8,7 +8,8 @@ and a document the calibrated sum over its clauses.
 Words of the target, negation, reported-speech and threat classes are fixed lists. Insult terms are learned from
 labelled rows: words, and stems of three to eight letters with several words, whose share among toxic documents is
 `MIN_RATIO` times that among others and `MIN_SIGMAS` standard errors over chance; a word's own weight goes before its
-stem's. Documents that begin alike count once, so a group of copies teaches nothing. The
+stem's. Copies and near copies, by sketches of their three-word shingles, count once, so a group of copies teaches
+nothing; texts that only begin alike count each. The
 rows are a bounded sample, `SAMPLE_PER_LABEL` of each label chosen by hash, of texts up to `SAMPLE_TEXT_BYTES`.
 The weight of each mark and the calibration are a logistic regression on the same rows.
 
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_text import Words, random_u64, shingles, text_bytes
+from .neardup import Forest
 from .tables import bounded_batches, bounded_sample, crc_mod, read
 
 SAMPLE_PER_LABEL = 3_000
@@ -38,6 +41,7 @@ SAMPLE_TEXT_BYTES = 32_768
 MIN_DOCUMENTS, MIN_RATIO, MIN_SIGMAS = 4, 8.0, 5.0
 STEM_WORDS, STEM_SIZES = 3, (3, 4, 5, 6, 7, 8)
 MAX_TERMS = 4_000
+BANDS, ROWS, COPY_SHARE = 20, 4, 0.7  # of a sketch; copies agree in such a share of its minima
 TOXIC_AT = 0.3
 NEGATION_REACH = 3
 
@@ -180,24 +184,43 @@ def vector(total: dict[int, float], length: int) -> list[float]:
     return [math.log1p(plain), math.log1p(1000 * plain / (length + 500)), math.log1p(aimed), math.log1p(sum(w for m, w in total.items() if m & soft))]
 
 
+def originals(texts: list[str]) -> list[int]:
+    """A number for each text, equal for copies and near copies."""
+    words, forest = Words(17, True), Forest(list(range(len(texts))))
+    n = BANDS * ROWS
+    salt, odd = random_u64(n, 47).astype(np.uint32), random_u64(n, 53).astype(np.uint32) | np.uint32(1)
+    first: dict[tuple, int] = {}
+    sketches: list[np.ndarray | None] = []
+    for k, text in enumerate(texts):
+        data, offsets = text_bytes(pa.array([text], pa.string()))
+        _, _, hashes, at = words.of(data, offsets)
+        small = (np.unique(shingles(hashes, at, 3)[0]) >> np.uint64(20)).astype(np.uint32)
+        sketches.append(((small[:, None] ^ salt) * odd).min(0) if len(small) else None)
+        if (same := first.setdefault((-1, text), k)) != k:
+            forest.join(same, k)
+        for band in range(BANDS) if len(small) else ():
+            other = first.setdefault((band, sketches[k][band * ROWS:(band + 1) * ROWS].tobytes()), k)
+            if forest.root(other) != forest.root(k) and (sketches[other] == sketches[k]).mean() >= COPY_SHARE:
+                forest.join(other, k)
+    return [forest.root(k) for k in range(len(texts))]
+
+
 def learn_terms(texts: list[str], labels: list[int]) -> dict[tuple[str, bool], tuple[int, float]]:
-    """Insult words and stems with their weights, by the share of distinct openings that hold them."""
+    """Insult words and stems with their weights, by the share of distinct documents that hold them."""
     holds: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
     stems: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
     forms: dict[str, set[str]] = defaultdict(set)
-    openings: tuple[set, set] = (set(), set())
-    for text, y in zip(texts, labels):
-        words = WORD.findall(text.lower())
-        opening = hash(tuple(words[:4]))
-        openings[y].add(opening)
-        for w in set(words):
-            holds[y][w].add(opening)
+    seen: tuple[set, set] = (set(), set())
+    for text, y, original in zip(texts, labels, originals(texts)):
+        seen[y].add(original)
+        for w in set(WORD.findall(text.lower())):
+            holds[y][w].add(original)
             for n in STEM_SIZES:
                 if len(w) > n:
-                    stems[y][w[:n]].add(opening)
+                    stems[y][w[:n]].add(original)
                     if y:
                         forms[w[:n]].add(w)
-    size = [len(o) + 1 for o in openings]
+    size = [len(o) + 1 for o in seen]
 
     def weight(found: tuple[dict, dict], key: str) -> float:
         yes, no = len(found[1].get(key, ())), len(found[0].get(key, ()))

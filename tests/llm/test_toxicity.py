@@ -49,6 +49,18 @@ def test_learned_terms_are_those_of_toxic_texts():
     assert any(stem and term.startswith("gru") for term, stem in terms) and ("plain", False) not in terms
 
 
+def test_texts_with_a_common_opening_count_each_and_copies_once():
+    import random
+    rnd = random.Random(7)
+    plain = lambda n: " ".join(f"w{rnd.choice('abcdefghij')}{rnd.choice('klmnopqrst')}" for _ in range(n))
+    banner = "the forum of our town "
+    toxic = [f"{banner}{plain(30)} grumbler {plain(10)}" for _ in range(30)]
+    copy = f"{plain(200)} copyword {plain(200)}"
+    toxic += [f"{copy} {k}" for k in range(30)]
+    terms = tox.learn_terms(toxic + [banner + plain(40) for _ in range(200)], [1] * 60 + [0] * 200)
+    assert ("grumbler", False) in terms and ("copyword", False) not in terms
+
+
 def test_held_out_rows(spark, sf):
     out = tox.op2_toxicity(spark, f"{sf}/../sf0.1").join(spark.read.parquet(f"{sf}/../sf0.1/labels.parquet"), "doc_id").where("held_out")
     toxic, clean = out.where("toxic = 1"), out.where("toxic = 0")
