@@ -29,17 +29,45 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % n
 
 
-def bounded_sample(keys: DataFrame, group: str, per_group: int, seed: int) -> DataFrame:
-    """At most `per_group` rows of each value of `group`, chosen by a hash of doc_id: the rows a classifier is
-    fitted on. Keys only. Each group is split by the hash, so that every task keeps a few rows of a slice and a hot
-    group is not one task's work."""
+def threshold_sample(rows: DataFrame, group: str, per_group: int, key: Column) -> DataFrame:
+    """At most `per_group` rows of each value of `group`, the least by the 64-bit hash `key`. Groups are counted first,
+    so that only rows under a threshold of the key (the limit and five deviations over the count) are ranked: a task
+    reads little more than the limit of a group, however many rows and partitions there are. Rows of equal key
+    are in or out together until the rank cuts them."""
     from pyspark.sql import Window
 
-    slices = -(-per_group // 500)
-    turn = F.xxhash64("doc_id", F.lit(seed))
-    order = Window.partitionBy(group, "_slice").orderBy(turn, "doc_id")
-    return (keys.withColumn("_slice", F.pmod(F.xxhash64("doc_id", F.lit(-seed)), F.lit(slices)))
-            .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_group // slices).drop("_rank", "_slice"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    slack = per_group + 5 * per_group ** 0.5 + 25
+    unit = F.pmod(F.col("_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    near = rows.withColumn("_key", key).join(sizes, group).where(unit * F.col("_rows") <= slack)
+    return (near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_key"))).where(F.col("_rank") <= per_group)
+            .drop("_rank", "_rows", "_key"))
+
+
+PIECE_CHARS = 8_192  # of a text that a model learns from
+
+
+def piece_of(text: Column, key: Column) -> Column:
+    """The text, or of a longer one `PIECE_CHARS` characters from a place that `key` chooses."""
+    room = F.greatest(F.char_length(text) - F.lit(PIECE_CHARS) + 1, F.lit(1))
+    return F.substring(text, F.lit(1) + F.pmod(key, room).cast("int"), F.lit(PIECE_CHARS))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_label: int, seed: int, allowed: Column | None = None):
+    """(table of y and text, share of label 1): at most `per_label` documents of each label 0 and 1 in `column`, one row
+    for a doc_id, texts by a piece (`piece_of`), sorted by label and text. The bound holds whatever repeats: ids that
+    are labelled both ways or have no text teach nothing, and of rows that repeat an id the least piece is taken,
+    added up within each task first."""
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if allowed is None else allowed))
+    known = (known.groupBy("doc_id").agg(F.min(column).alias("y"), F.max(column).alias("_other")).where(F.col("y") == F.col("_other")).select("doc_id", "y"))
+    here = documents.where(F.col("text").isNotNull()).select("doc_id").distinct()
+    known = cut(known.join(here, "doc_id", "left_semi"))
+    picks = threshold_sample(known, "y", per_label, F.xxhash64("doc_id", F.lit(seed)))
+    # at most 2 x per_label keys by construction, so the broadcast has a fixed bound and texts stay where they are
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picks), "doc_id")
+    rows = rows.groupBy("y", "doc_id").agg(F.min(piece_of(F.col("text"), F.xxhash64("doc_id", F.lit(seed)))).alias("text"))
+    share = known.agg(F.avg("y")).first()[0]
+    return rows.select("y", "text").toArrow().sort_by([("y", "ascending"), ("text", "ascending")]), share
 
 
 def components(edges: DataFrame) -> DataFrame:
