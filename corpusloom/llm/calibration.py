@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+SMOOTH = 0.1  # rows of the other label that each label is thought to hold
+HELD = 20  # with fewer held-back rows of a label, a model is calibrated on all rows
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """Weights that sum to a half for each of the labels 0 and 1; other values have none."""
     return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.0))
@@ -12,9 +16,9 @@ def balanced(y: np.ndarray) -> np.ndarray:
 
 def platt(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     """(slope, shift) from logits of rows labelled y to probabilities at `share` of label 1: labels weigh alike, targets are
-    smoothed by one row each, and Newton steps are halved until the loss falls, so separable rows end as well."""
+    smoothed by a part of a row each, and Newton steps are halved until the loss falls, so separable rows end as well."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
-    target, weight = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), balanced(y) * len(y)
+    target, weight = np.where(y == 1, (n1 + SMOOTH) / (n1 + 2 * SMOOTH), SMOOTH / (n0 + 2 * SMOOTH)), balanced(y) * len(y)
     spread = float(z.std()) or 1.0
     x, ridge = z / spread, 1e-2
 

@@ -1,7 +1,7 @@
 """Language identification by partial matching: byte context trees per language give exact code lengths.
 
 Each language's tree holds the byte contexts of up to three bytes seen in a bounded sample of its training rows
-(`SAMPLE_PER_LANGUAGE` documents, chosen by hash, of up to `SAMPLE_TEXT_BYTES`). A byte that a context has seen
+(`SAMPLE_PER_LANGUAGE` documents, chosen by hash, long ones by a piece of `tables.PIECE_CHARS`). A byte that a context has seen
 costs its share of the context's count plus the escapes; any other byte pays the escape (method C: distinct
 followers over count plus distinct followers) and asks the context that is one byte shorter, down to a uniform
 order -1. Statistics are frozen, so the trees are compiled into one table: longest known context and byte to
@@ -23,10 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import runs, sums, text_bytes
-from .tables import bounded_batches, bounded_sample, crc_mod, read
+from .tables import bounded_batches, crc_mod, piece_of, read, threshold_sample
 
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_TEXT_BYTES = 32_768
 MAX_CONTEXTS = 16_384
 MIN_CONTEXT = 8
 SCALE = 1024
@@ -111,11 +110,14 @@ def code_lengths(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_on(documents: DataFrame) -> dict:
-    """Trees from the rows that may be learned from: a language and crc32(doc_id) mod 3 other than 1."""
-    allowed = documents.where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
-    picks = bounded_sample(allowed.select("doc_id", F.col("lang").alias("l")), "l", SAMPLE_PER_LANGUAGE, 2)
-    # languages x SAMPLE_PER_LANGUAGE keys at most, so the broadcast has a bound and texts stay where they are
-    rows = allowed.select("doc_id", "lang", "text").join(F.broadcast(picks.select("doc_id").distinct()), "doc_id").select("lang", "text").toArrow()
+    """Trees from the rows that may be learned from: a language and crc32(doc_id) mod 3 other than 1. Of rows that repeat id
+    and text one teaches; at most languages x SAMPLE_PER_LANGUAGE pieces reach the driver."""
+    turn = F.xxhash64("doc_id", "text", F.lit(2))
+    allowed = documents.where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & (F.octet_length("text") > 0))
+    near = threshold_sample(allowed.select("lang", turn.alias("turn")), "lang", SAMPLE_PER_LANGUAGE, F.col("turn"))
+    picks = near.distinct()
+    rows = allowed.select("lang", turn.alias("turn"), "text").join(F.broadcast(picks), ["lang", "turn"])
+    rows = rows.groupBy("lang", "turn").agg(F.min(piece_of(F.col("text"), F.col("turn"))).alias("text")).select("lang", "text").toArrow()
     rows = rows.sort_by([("lang", "ascending"), ("text", "ascending")]).combine_chunks()
     return train(rows["text"], rows["lang"].to_pylist())
 

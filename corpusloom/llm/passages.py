@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, mix, random_u64, runs, sums, text_bytes
-from .calibration import balanced, platt
+from .calibration import HELD, balanced, platt
 from .tables import bounded_batches, crc_mod, labelled_sample, read
 
 PASSAGE = 64
@@ -31,7 +31,6 @@ SAMPLE_PER_LABEL = 1_500
 BUCKETS = 1 << 15  # of each family
 FAMILIES = 4
 GATE = 8  # rows of V and U
-HELD = 20  # with fewer held-back documents of a label all are used for attention and calibration
 PREDICT_AT = 0.7
 SLICE_BYTES = 1 << 18
 

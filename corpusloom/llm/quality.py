@@ -1,8 +1,8 @@
 """Quality rules: base counts of every text, and a hashed n-gram logistic regression over words and characters.
 
-The model is fitted on a bounded sample of labelled rows (`SAMPLE_PER_LABEL` of each label, chosen by hash,
-texts of up to `SAMPLE_TEXT_BYTES`), calibrated on a held-back fifth of it, and moved to the label shares of the
-whole label table. Texts are scored in Arrow batches, a block of documents at a time; the feature space is
+The model is fitted on a bounded sample of labelled rows (`SAMPLE_PER_LABEL` of each label, chosen by hash, long texts
+by a piece of `tables.PIECE_CHARS`), calibrated on a held-back fifth of it, and moved to the label shares of all
+labelled documents. Texts are scored in Arrow batches, a block of documents at a time; the feature space is
 shares of byte 1- to 3-grams and of word 1- and 2-grams, so a score is one look-up and one sum per n-gram.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base rule and has the score
@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, code_points, is_space, mix, random_u64, runs, shingles, sums, text_bytes
-from .tables import bounded_batches, bounded_sample, read
+from .calibration import HELD, platt
+from .tables import bounded_batches, labelled_sample, read
 
 SAMPLE_PER_LABEL = 2_000
-SAMPLE_TEXT_BYTES = 32_768
 BUCKETS = 1 << 15  # of each feature family
-KEEP_AT = 0.2
+KEEP_AT = 0.5  # likelier good than not
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -78,30 +78,14 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float | None = None, steps:
         move = 0.5 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     z = np.bincount(rows, weights=vals * w[cols], minlength=n) + bias
-    # Platt scaling with smoothed targets, by Newton steps on the held-back rows
-    zh, yh = (z[held], y[held]) if 0 < y[held].sum() < held.sum() else (z, y)
-    target = np.where(yh == 1, (yh.sum() + 1) / (yh.sum() + 2), 1 / ((1 - yh).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * zh + b, -30, 30)))
-        q = p * (1 - p) + 1e-9
-        grad = np.array([((p - target) * zh).sum(), (p - target).sum()])
-        hess = np.array([[(q * zh * zh).sum(), (q * zh).sum()], [(q * zh).sum(), q.sum()]]) + 1e-6 * np.eye(2)
-        a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
-    if prior is not None and 0 < prior < 1:  # from the shares of the sample to those of all labels
-        was = float(np.clip(yh.mean(), 1e-6, 1 - 1e-6))
-        b += np.log(prior / (1 - prior)) - np.log(was / (1 - was))
+    zh, yh = (z[held], y[held]) if min(y[held].sum(), (1 - y[held]).sum()) >= HELD else (z, y)
+    a, b = platt(zh, yh, 0.5 if prior is None else prior)
     return {"weights": w.astype(np.float32), "bias": float(bias), "a": float(a), "b": float(b)}
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, column: str = "quality") -> dict:
     """The model from a bounded sample of `documents` labelled 0 or 1 in `column`."""
-    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("y"))
-    share = known.agg(F.avg("y")).first()[0]
-    picks = bounded_sample(known, "y", SAMPLE_PER_LABEL, 1)
-    # at most 2 x SAMPLE_PER_LABEL keys by construction, so the broadcast has a fixed bound and texts stay put
-    rows = (documents.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-            .join(F.broadcast(picks), "doc_id").select("y", "text").toArrow().sort_by([("y", "ascending"), ("text", "ascending")]))
+    rows, share = labelled_sample(documents, labels, column, SAMPLE_PER_LABEL, 1)
     order = np.argsort(np.arange(rows.num_rows) % 7, kind="stable")  # labels and lengths in every fifth row alike
     return fit(rows["text"].take(pa.array(order)).combine_chunks(), np.asarray(rows["y"])[order], share)
 

@@ -47,13 +47,14 @@ def threshold_sample(rows: DataFrame, group: str, per_group: int, key: Column) -
 PIECE_CHARS = 8_192  # of a text that a model learns from
 
 
-def piece_of(text: Column, key: Column) -> Column:
-    """The text, or of a longer one `PIECE_CHARS` characters from a place that `key` chooses."""
-    room = F.greatest(F.char_length(text) - F.lit(PIECE_CHARS) + 1, F.lit(1))
-    return F.substring(text, F.lit(1) + F.pmod(key, room).cast("int"), F.lit(PIECE_CHARS))
+def piece_of(text: Column, key: Column, chars: int = PIECE_CHARS) -> Column:
+    """The text, or of a longer one `chars` characters from a place that `key` chooses."""
+    room = F.greatest(F.char_length(text) - F.lit(chars) + 1, F.lit(1))
+    return F.substring(text, F.lit(1) + F.pmod(key, room).cast("int"), F.lit(chars))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_label: int, seed: int, allowed: Column | None = None):
+def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_label: int, seed: int, allowed: Column | None = None,
+                    piece_chars: int = PIECE_CHARS):
     """(table of y and text, share of label 1): at most `per_label` documents of each label 0 and 1 in `column`, one row
     for a doc_id, texts by a piece (`piece_of`), sorted by label and text. The bound holds whatever repeats: ids that
     are labelled both ways or have no text teach nothing, and of rows that repeat an id the least piece is taken,
@@ -65,7 +66,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_la
     picks = threshold_sample(known, "y", per_label, F.xxhash64("doc_id", F.lit(seed)))
     # at most 2 x per_label keys by construction, so the broadcast has a fixed bound and texts stay where they are
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picks), "doc_id")
-    rows = rows.groupBy("y", "doc_id").agg(F.min(piece_of(F.col("text"), F.xxhash64("doc_id", F.lit(seed)))).alias("text"))
+    rows = rows.groupBy("y", "doc_id").agg(F.min(piece_of(F.col("text"), F.xxhash64("doc_id", F.lit(seed)), piece_chars)).alias("text"))
     share = known.agg(F.avg("y")).first()[0]
     return rows.select("y", "text").toArrow().sort_by([("y", "ascending"), ("text", "ascending")]), share
 

@@ -10,7 +10,7 @@ labelled rows: words, and stems of three to eight letters with several words, wh
 `MIN_RATIO` times that among others and `MIN_SIGMAS` standard errors over chance; a word's own weight goes before its
 stem's. Copies and near copies, by sketches of their three-word shingles, count once, so a group of copies teaches
 nothing; texts that only begin alike count each. The
-rows are a bounded sample, `SAMPLE_PER_LABEL` of each label chosen by hash, of texts up to `SAMPLE_TEXT_BYTES`.
+rows are a bounded sample, `SAMPLE_PER_LABEL` of each label chosen by hash, long texts by a piece.
 The weight of each mark and the calibration are a logistic regression on the same rows.
 
 Whole texts are searched for terms by an Aho-Corasick automaton; only clauses that hold one are read by the machine,
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, random_u64, shingles, text_bytes
 from .neardup import Forest
-from .tables import bounded_batches, bounded_sample, crc_mod, read
+from .tables import bounded_batches, crc_mod, labelled_sample, read
 
 SAMPLE_PER_LABEL = 3_000
-SAMPLE_TEXT_BYTES = 32_768
+PIECE_CHARS = 32_768  # of a text: a toxic one may hold a single toxic clause
 MIN_DOCUMENTS, MIN_RATIO, MIN_SIGMAS = 4, 8.0, 5.0
 STEM_WORDS, STEM_SIZES = 3, (3, 4, 5, 6, 7, 8)
 MAX_TERMS = 4_000
@@ -267,12 +267,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None) -> dict:
 
 def fit_on(documents: DataFrame, labels: DataFrame) -> dict:
     """The model from the rows that may be learned from: crc32(doc_id) mod 4 other than 2."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("toxic").alias("y"))
-    share = known.agg(F.avg("y")).first()[0]
-    picks = bounded_sample(known, "y", SAMPLE_PER_LABEL, 3)
-    # 2 x SAMPLE_PER_LABEL keys at most, so the broadcast has a fixed bound
-    rows = (documents.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-            .join(F.broadcast(picks), "doc_id").select("y", "text").toArrow())
+    rows, share = labelled_sample(documents, labels, "toxic", SAMPLE_PER_LABEL, 3, crc_mod(F.col("doc_id"), 4) != 2, PIECE_CHARS)
     pairs = sorted(zip(rows["text"].to_pylist(), rows["y"].to_pylist()))
     return fit([t for t, _ in pairs], [y for _, y in pairs], share)
 

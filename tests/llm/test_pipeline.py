@@ -12,7 +12,7 @@ from test_neardup import plain
 def test_stages_are_registered():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mixing", "bpe"]
     names = set(entry.queries())
-    assert "pipeline" in names and {n for n in range(1, 11)} == {int(k[2:].split("_")[0]) for k in names if k.startswith("op")}
+    assert "pipeline" in names and {n for n in range(1, 14)} == {int(k[2:].split("_")[0]) for k in names if k.startswith("op")}
 
 
 def test_each_stage_on_its_own_input(spark, sf):

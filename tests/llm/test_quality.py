@@ -55,3 +55,19 @@ def test_without_labels_the_base_rule_decides(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit_on(edge(spark), none)
     assert {r["_q"].score for r in quality.quality(edge(spark), model).collect()} == {1.0}
+
+
+def test_long_texts_and_repeated_ids_teach_within_the_bound(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y, share: seen.append((len(texts), int(y.sum()), min(map(len, texts.to_pylist())), share)))
+    monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 30)
+    hot = spark.range(60_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    long = spark.range(10, 500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a long text "), 5_000).alias("text"))
+    docs = hot.union(long).repartition(211)
+    labels = docs.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    quality.fit_on(docs, labels)
+    assert seen[0][:2] == (60, 30) and 0.4 < seen[0][3] < 0.6
+    quality.fit_on(long, labels.union(labels))
+    assert seen[1][:2] == (60, 30) and seen[1][2] == 8_192
