@@ -39,10 +39,11 @@ from .bpe import byte_characters
 from .tables import bounded_batches, read
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-PIECES = 100_000  # pieces held in a task
-STEP = 8_192  # pieces encoded at a time
+PIECES = 400_000  # pieces held in a task
+STEP, LINE = 16_384, 128  # pieces aligned at a time, and encoded in one text
 FLUSH = 400_000  # pair counters held in a task
 HOT_PAIRS = 1 << 19
+PLAIN = "[\x00-ɏ‐-‧€™]*"
 SPACE = "▁"  # stands for a space in B's pieces
 
 PAIRS = "a int, b int, n long"
@@ -65,23 +66,40 @@ def load(a_path: str, b_path: str) -> dict:
     if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
         raise ValueError(f"{b_path} has pieces that go across a word's start")
     b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    return {"a": a_file, "b": b_file, "a_bytes": [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)], "b_bytes": b_bytes}
+    special = {t["content"] for t in model["added_tokens"]}
+    ranks = {a_bytes[i]: i for t, i in a_ids.items() if t not in special}
+    return {"a": a_file, "b": b_file, "a_ranks": ranks, "a_bytes": [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)], "b_bytes": b_bytes}
+
+
+class Tokens:
+    """Bytes of a vocabulary's tokens, laid end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.append(0, np.cumsum(self.size))[:-1]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def give(self, ids: np.ndarray, raw: np.ndarray) -> bool:
+        """Whether the tokens' bytes are `raw`."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        if (ends[-1] if len(ends) else 0) != len(raw):
+            return False
+        return bool((self.flat[np.repeat(self.first[ids] - (ends - n), n) + np.arange(len(raw))] == raw).all())
 
 
 class Spans:
     """Tokens of pieces laid end to end on one axis of bytes."""
 
-    def __init__(self, ids: list[list[int]], size_of: np.ndarray):
-        self.count = np.array([len(x) for x in ids], np.int64)
-        self.ids = np.fromiter((i for x in ids for i in x), np.int64, int(self.count.sum()))
+    def __init__(self, ids: list[np.ndarray], count: list[np.ndarray], size_of: np.ndarray):
+        self.ids, self.count = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ids, count))
         self.size = size_of[self.ids]
-        self.at = np.append(0, np.cumsum(self.count))  # of each piece's tokens
 
     def place(self, base: np.ndarray) -> None:
         """Start and end bytes, where piece k begins at base[k]."""
-        before = np.append(0, np.cumsum(self.size))[:-1]
-        first = np.append(before, self.size.sum())[self.at[:-1]]
-        self.start = before - np.repeat(first, self.count) + np.repeat(base, self.count)
+        before = np.append(0, np.cumsum(self.size))
+        first = before[np.cumsum(self.count) - self.count]
+        self.start = before[:-1] + np.repeat(base - first, self.count)
         self.end = self.start + self.size
 
 
@@ -107,12 +125,13 @@ def overlaps(a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Aligns each different piece once."""
+    """Aligns each different piece once. Pieces are encoded in lines of many, which neither vocabulary joins."""
 
     def __init__(self, vocabularies: dict, pieces: int = PIECES):
         import os
 
         import sentencepiece
+        import tiktoken
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
@@ -121,12 +140,15 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        # the same merges on text whose character classes every table of Unicode agrees on
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabularies["a_ranks"], special_tokens={})
+        self.plain = re.compile(PLAIN).fullmatch
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies["b"])
-        self.bytes = [np.array([len(t) for t in vocabularies[f"{side}_bytes"]], np.int64) for side in "ab"]
-        self.tokens = [vocabularies[f"{side}_bytes"] for side in "ab"]
-        digits = max(len(str(len(t))) for t in self.tokens) + 1
+        self.tokens = [Tokens(vocabularies[f"{side}_bytes"]) for side in "ab"]
+        most = max(len(t.size) for t in self.tokens)
         # id and the sign behind it, in cells of one width
-        self.names = {sign: np.array([f"{i}{sign}".encode() for i in range(max(map(len, self.tokens)))], f"S{digits}") for sign in ",|;"}
+        self.names = {sign: np.array([f"{i}{sign}".encode() for i in range(most)], f"S{len(str(most)) + 1}") for sign in ",|;"}
+        self.width = np.char.str_len(self.names[","])
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
         self.limit = pieces
         self.clear()
@@ -156,19 +178,45 @@ class Aligner:
             self.align(fresh[k:k + STEP])
         return np.concatenate([*codes, np.zeros(0, np.int64)]), np.cumsum(counts)
 
+    def encoded(self, text: str) -> np.ndarray:
+        """A's ids of a text."""
+        if self.plain(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def lines(self, fresh: list[str], step: int = LINE) -> Iterator[tuple[int, list[np.ndarray] | None, np.ndarray]]:
+        """For runs of pieces: (how many, the ids of both sides or None, bytes of each piece). None stands for one piece that a
+        side doesn't give back; a longer run that has such a piece is taken apart."""
+        runs_of = [fresh[k:k + step] for k in range(0, len(fresh), step)]
+        # B puts the space before a text by itself
+        texts = [" ".join(x) for x in runs_of]
+        for run, text, b in zip(runs_of, texts, self.b.encode(texts, num_threads=1)):
+            size = np.array([len(p.encode()) + 1 for p in run], np.int64)
+            raw = np.frombuffer(f" {text}".encode(), np.uint8)
+            ids = [self.encoded(f" {text}"), np.array(b, np.int64)]
+            if all(side.give(x, raw) for side, x in zip(self.tokens, ids)):
+                yield len(run), ids, size
+            elif len(run) > 1:
+                yield from self.lines(run, 1)
+            else:
+                yield 1, None, size
+
     def align(self, fresh: list[str]) -> None:
-        """Adds pieces. Each stands without the space before it, which B puts there by itself."""
-        raw = [f" {p}".encode() for p in fresh]
-        ids = [[e.ids for e in self.a.encode_batch_fast([f" {p}" for p in fresh], add_special_tokens=False)], self.b.encode(fresh, num_threads=1)]
-        fits = np.ones(len(fresh), bool)
-        for side, tokens in zip(ids, self.tokens):
-            for k, own in enumerate(side):
-                fits[k] &= b"".join([tokens[i] for i in own]) == raw[k]
-        for side in ids:
-            for k in np.flatnonzero(~fits):
-                side[k] = []
-        a, b = (Spans(side, size) for side, size in zip(ids, self.bytes))
-        base = np.append(0, np.cumsum([len(r) for r in raw]))[:-1]
+        """Adds pieces. Each stands without the space before it."""
+        ids, count, fits, sizes = ([], []), ([], []), [], []
+        for n, both, size in self.lines(fresh):
+            fits.append(np.full(n, both is not None))
+            sizes.append(size)
+            for side in (0, 1):
+                if both is None:
+                    count[side].append(np.zeros(1, np.int64))
+                    continue
+                last = np.searchsorted(np.cumsum(self.tokens[side].size[both[side]]), np.cumsum(size))
+                count[side].append(np.diff(last, prepend=-1))
+                ids[side].append(both[side])
+        fits, sizes = np.concatenate(fits), np.concatenate(sizes)
+        a, b = (Spans(ids[side], count[side], self.tokens[side].size) for side in (0, 1))
+        base = np.cumsum(sizes) - sizes
         for side in (a, b):
             side.place(base)
         group_a, group_b = coalesced(a, b)
@@ -183,9 +231,10 @@ class Aligner:
         written[at_a], written[at_b] = self.names[","][a.ids], self.names[","][b.ids]
         last_a, last_b = first_a + in_a - 1, first_b + in_b - 1
         written[at_a[last_a]], written[at_b[last_b]] = self.names["|"][a.ids[last_a]], self.names[";"][b.ids[last_b]]
-        ends = np.cumsum(a.count + b.count).tolist()
-        for s, e in zip([0, *ends], ends):
-            self.groups.append(written[s:e].tobytes().translate(None, b"\0")[:-1])
+        length = np.empty(len(written), np.int64)
+        length[at_a], length[at_b] = self.width[a.ids], self.width[b.ids]
+        flat, ends = written.tobytes().translate(None, b"\0"), np.append(0, np.cumsum(length))[np.append(0, np.cumsum(a.count + b.count))].tolist()
+        self.groups += [flat[s:e - 1] for s, e in zip(ends, ends[1:])]
         left, right = overlaps(a, b)
         owner = np.repeat(np.arange(len(fresh)), a.count)
         links = np.bincount(owner[left], minlength=len(fresh))
