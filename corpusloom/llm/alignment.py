@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -164,19 +165,18 @@ class Aligner:
         """(piece of each place, offsets by text); pieces are numbers into this object's lists."""
         if len(self.known) > self.limit:
             self.clear()
-        codes, counts, fresh = [], [0], []
         known = self.known
-        for text in texts:
-            own = self.cuts(text) if text else []
-            new = [p for p in dict.fromkeys(own) if p not in known]
-            for p in new:
-                known[p] = len(known)
-            fresh += new
-            codes.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
-            counts.append(len(own))
-        for k in range(0, len(fresh), STEP):
-            self.align(fresh[k:k + STEP])
-        return np.concatenate([*codes, np.zeros(0, np.int64)]), np.cumsum(counts)
+        own = [self.cuts(text) if text else [] for text in texts]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(own)) if p not in known]
+        # only pieces without white space at their ends, which a text's first and last may have, may stand in one line
+        solid = [p for p in fresh if not (p[0].isspace() or p[-1].isspace())]
+        for group, line in ((solid, LINE), ([p for p in fresh if p[0].isspace() or p[-1].isspace()], 1)):
+            for k in range(0, len(group), STEP):
+                part = group[k:k + STEP]
+                known.update(zip(part, range(len(known), len(known) + len(part))))
+                self.align(part, line)
+        counts = np.array([0, *map(len, own)])
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(own)), np.int64, int(counts.sum())), np.cumsum(counts)
 
     def encoded(self, text: str) -> np.ndarray:
         """A's ids of a text."""
@@ -184,7 +184,7 @@ class Aligner:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def lines(self, fresh: list[str], step: int = LINE) -> Iterator[tuple[int, list[np.ndarray] | None, np.ndarray]]:
+    def lines(self, fresh: list[str], step: int) -> Iterator[tuple[int, list[np.ndarray] | None, np.ndarray]]:
         """For runs of pieces: (how many, the ids of both sides or None, bytes of each piece). None stands for one piece that a
         side doesn't give back; a longer run that has such a piece is taken apart."""
         runs_of = [fresh[k:k + step] for k in range(0, len(fresh), step)]
@@ -201,10 +201,10 @@ class Aligner:
             else:
                 yield 1, None, size
 
-    def align(self, fresh: list[str]) -> None:
+    def align(self, fresh: list[str], line: int) -> None:
         """Adds pieces. Each stands without the space before it."""
         ids, count, fits, sizes = ([], []), ([], []), [], []
-        for n, both, size in self.lines(fresh):
+        for n, both, size in self.lines(fresh, line):
             fits.append(np.full(n, both is not None))
             sizes.append(size)
             for side in (0, 1):
