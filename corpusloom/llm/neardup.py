@@ -12,16 +12,17 @@ close to the Jaccard similarity.
    two blocks of at most `BLOCK`. Only a spanning forest of the plausible pairs leaves the task, at most a row for
    each member, so no task and no join emits the pairs of a group. Its components are clusters: both ends of
    every link are in one.
-4. Whole texts of the clusters meet by cluster, again in tiles of blocks, bounded in rows and bytes. Pairs that the
+4. Whole texts of the clusters, one for each class, meet by cluster, again in tiles of blocks, bounded in rows and bytes. Pairs that the
    registers don't rule out are estimated by likelihood from `FINE` registers, and from the likeliest down every
    pair that is not connected yet is verified on the full shingle sets. A spanning forest of the links leaves.
-5. Connected components of the links, brought back to all rows by the digests.
+5. Connected components of the links, brought back to all rows by the digests; components that share an id are one.
 
 A pair is ruled out only `FLOOR_SIGMAS` standard errors under the threshold.
 With 20 bands of 4 a pair at 0.85 shares a bucket with probability 1 - (1 - 0.85^4)^20 = 0.9999996, at 0.8 0.99997.
 
 Defined results: null and empty texts and texts without words have no set, link with nothing and are kept. A null
-doc_id links with nothing, its component is null and it is kept. Rows that repeat a doc_id are one vertex.
+doc_id links with nothing, its component is null and it is kept. Rows that repeat a doc_id are one vertex, whatever
+their texts: what one of them reaches, all reach. `without_copies` takes rows, not ids, as vertices.
 """
 
 from __future__ import annotations
@@ -75,8 +76,13 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
+def told_apart(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, t, u): rows of one id are told apart by two hashes of their text."""
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("t"), F.xxhash64(F.lit("u"), "text").alias("u"))
+
+
 def sketches(documents: DataFrame, width: int, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, regs, bands) of every row; d1 and d2 are 64-bit digests of the set."""
+    """(doc_id, t, u, n_shingles, d1, d2, regs, bands) of every row; t and u are 64-bit hashes of the text, d1 and d2 of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(17, lower)
         salt, odd = random_u64(REGISTERS, 23).astype(np.uint32), random_u64(REGISTERS, 29).astype(np.uint32) | _U32(1)
@@ -104,13 +110,12 @@ def sketches(documents: DataFrame, width: int, lower: bool = True) -> DataFrame:
                 for r in range(ROWS):
                     bands = mix(bands + regs[:, r::ROWS].astype(np.uint64) + _U64(1))
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"].cast(pa.int64()), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                batch["doc_id"].cast(pa.int64()), batch["t"], batch["u"], pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel())),
-            ], names=["doc_id", "n_shingles", "d1", "d2", "regs", "bands"])
+            ], names=["doc_id", "t", "u", "n_shingles", "d1", "d2", "regs", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>")
+    return told_apart(documents).mapInArrow(run, "doc_id long, t long, u long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>")
 
 
 def floor_of(percent: int, registers: int) -> float:
@@ -276,26 +281,55 @@ def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `documents`."""
     table = cut(sketches(bounded_batches(documents), width, lower))
-    classes = cut(table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
-                  .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
-                       F.first("bands").alias("bands")))
+    # a class is a set; one row stands for it, and it has a number of its own, as an id may have several texts
+    classes = (table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
+               .agg(F.min(F.struct("doc_id", "t", "u")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
+                    F.first("bands").alias("bands")))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = (rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
               .select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     # registers are looked up only for the members of a bucket
     members = rows.join(shared, ["band", "key"]).join(classes.select("id", "n_shingles", "regs"), "id")
     clusters = cut(components(cut(plausible(members, percent))))
-    texts = cut(documents.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id")).select("component", "id", "text"))
+    chosen = clusters.join(classes.select("id", "row.doc_id", "row.t", "row.u"), "id")
+    # rows that repeat id and text are one
+    texts = cut(told_apart(documents).join(chosen, ["doc_id", "t", "u"]).groupBy("component", "id").agg(F.min("text").alias("text")))
     sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
     joined = components(cut(linked(texts.join(sizes, "component"), width, percent, lower)))
-    final = (classes.select("d1", "d2", "id").join(joined, "id", "left")
-             .select("d1", "d2", F.coalesce("component", "id").alias("component_id")))
-    # a table's own rows find their class by the digest; rows without a set stand alone
-    some = F.col("n_shingles") > 0
-    placed = table.select("doc_id", "n_shingles", F.when(some, F.col("d1")).alias("d1"), F.when(some, F.col("d2")).alias("d2")).join(final, ["d1", "d2"], "left")
+    group = classes.select("d1", "d2", "id").join(joined, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("group"))
+    # a table's own rows find their class by the digest; rows without a set or an id have none
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    placed = cut(table.select("doc_id", "n_shingles", F.when(some, F.col("d1")).alias("d1"), F.when(some, F.col("d2")).alias("d2"))
+                 .join(group, ["d1", "d2"], "left").select("doc_id", "n_shingles", "group"))
+    vertices = cut(one_group(cut(placed.where(F.col("group").isNotNull()).select("doc_id", "group").distinct())))
+    least = vertices.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = vertices.join(least, "group").select("doc_id", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_group(vertices: DataFrame) -> DataFrame:
+    """(doc_id, group) with one group for each id: groups that share an id are one."""
+    several = vertices.groupBy("doc_id").agg(F.min("group").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc_id", "a")
+    links = cut(vertices.join(several, "doc_id").where(F.col("group") != F.col("a")).select("a", F.col("group").alias("b")))
+    if links.isEmpty():
+        return vertices
+    up = components(links).select(F.col("id").alias("group"), F.col("component"))
+    return vertices.join(up, "group", "left").select("doc_id", F.coalesce("component", "group").alias("group")).distinct()
+
+
+def without_copies(documents: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """Rows of `documents`, all columns, one of each group of near-duplicates and copies: the smallest doc_id, a null one
+    last, of equal ids any one row. Here every row is a vertex of its own, so a repeated id with another text stays
+    and a repeated row does not; rows without words stay, each."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    keyed = cut(documents.select(row.alias("row"), F.col("doc_id").alias("own_id"), "text").withColumn("doc_id", F.monotonically_increasing_id()))
+    found = near_duplicates(keyed.select("doc_id", "text"), width, percent, lower).select("doc_id", "component_id")
+    order = F.struct(F.col("own_id").isNull(), "own_id", "doc_id")
+    first = keyed.select("doc_id", "own_id").join(found, "doc_id").groupBy("component_id").agg(F.min(order).alias("first")).select("first.doc_id")
+    return keyed.join(first, "doc_id", "left_semi").select("row.*")
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,15 @@ def test_edges(spark):
     assert neardup.near_duplicates(edge(spark), 3, 85).count() == docs.count()
 
 
+def test_an_id_of_several_texts_joins_their_groups(spark):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(rnd.choice("abcdefghijklm") * rnd.randint(1, 5) + str(rnd.randint(0, 99)) for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (7, ""), (8, c), (9, c), (9, None), (11, "")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted(
+        (i, c, i == c) for i, c in [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (7, 3), (8, 8), (9, 8), (9, 8), (11, 11)])
+
+
 def test_registers_merge_and_estimate():
     rnd = np.random.default_rng(1)
     a, b = rnd.integers(0, 2 ** 32, (2, 64), dtype=np.uint32)
