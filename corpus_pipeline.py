@@ -1,9 +1,11 @@
 """A training-corpus pipeline over `documents`: each stage's rows are written as Parquet and read by the next.
 
     quality_rules   documents that fail the base rules or the quality model go
-    language_id     documents in none of the learned languages, or without a letter, go
-    near_dedup      of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays,
-                    the smallest doc_id; rows with a null doc_id stay
+    language_id     documents in none of the learned languages, or without a letter, go; `lang` stays as it came, the
+                    language found is op8_language_id's result
+    near_dedup      of each group of near-duplicates (five-word shingles, similarity 0.8 or more) and copies one row stays,
+                    that of the smallest doc_id, null ids last; rows are told apart, so a repeated id with another
+                    text stays and a repeated row does not; rows without words stay
     mixing          sources are brought to tempered weights: the largest source once, no source over
                     mixing.REPEAT_LIMIT times; a row taken twice is two rows, none is left out
     bpe             ids of every text and the text they decode to, as digests
@@ -21,22 +23,26 @@ from corpusloom.llm.tables import read
 from corpusloom.session import cut
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as one struct beside the columns that a stage reads, so that no name of a stage meets one of the rows'."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_on(docs, read(spark, sf_dir, "labels"))
-    return quality.quality(docs, model).where("_q.kept").select(*docs.columns)
+    return quality.quality(packed(docs, "text"), model).where("_q.kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.identify(docs, language.train_on(docs)).where("_l.accepted").select(*docs.columns)
+    return language.identify(packed(docs, "text"), language.train_on(docs)).where("_l.accepted").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.without_copies(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.realised(docs, repeat_limit=mixing.REPEAT_LIMIT)
+    return mixing.realised(packed(docs, "doc_id", "source", "text"), repeat_limit=mixing.REPEAT_LIMIT).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
