@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import last_key_wins
+
 # Java's plain (?i) ignores accents and keeps \w, \s and \b ASCII; U makes both follow Unicode.
 UNICODE_IGNORE_CASE = "(?iU)"
 
@@ -31,10 +33,6 @@ def joined_text(cols: Sequence[str | Column], sep: str = " ") -> Column:
     return F.concat_ws(sep, *parts)
 
 
-def is_blank(col: Column) -> Column:
-    return col.isNull() | (F.length(F.trim(col)) == 0)
-
-
 def tail(col: Column, n: int) -> Column:
     return F.right(col, F.lit(n))
 
@@ -49,10 +47,30 @@ def within_size(col: Column, max_bytes: int) -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)) <= max_bytes
 
 
-# Limits of the JSON reader, lifted: a string may be as long as a row holds.
-_JSON = {"maxStringLen": str(2 ** 31 - 1), "maxNestingDepth": "100000", "allowNonNumericNumbers": "true"}
+# Objects and lists may lie so deep in each other: the readers and writers of VARIANT call themselves for each level, and a
+# stack bears thousands of levels, not hundreds of thousands.
+MAX_DEPTH = 1_000
+_JSON = {"maxStringLen": str(2 ** 31 - 1), "maxNestingDepth": str(MAX_DEPTH), "allowNonNumericNumbers": "true"}
 
 
 def parse_json(c: str | Column) -> Column:
-    """VARIANT of a JSON text, null where it is none. NaN and the infinities are read as numbers."""
+    """VARIANT of a JSON text, null where it is none or nested deeper than `MAX_DEPTH`. NaN and the infinities are read as
+    numbers. A key that an object repeats keeps its last value, which the session is set to here: without it the
+    object would be unreadable, and results would depend on what ran before."""
+    last_key_wins(SparkSession.active())
     return F.from_json(F.col(c) if isinstance(c, str) else c, "variant", _JSON)
+
+
+def nested_too_deep(text: Column, limit: int = MAX_DEPTH) -> Column:
+    """True where brackets outside strings nest deeper than `limit`. Only texts with so many opening brackets are looked
+    at; a string is skipped by possessive loops, which need no stack."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["now"] + F.when(x.isin("[", "{"), 1).when(x == "", 0).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    opening = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return F.coalesce(F.when(opening > limit, depth > limit), F.lit(False))

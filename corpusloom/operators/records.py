@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_json, strip
+from ..functions.text import nested_too_deep, parse_json, strip
 from ..functions.values import (
     bare_text,
     describe,
@@ -19,7 +19,6 @@ from ..functions.values import (
     tally_items,
     unwrap,
 )
-from ..session import last_key_wins
 from .compute import once
 from .ordering import first_per_key, top_k, top_k_per_group
 from .profile import row_total
@@ -31,16 +30,15 @@ GROUP_PREFIX = {"publics_extended": "pub", "prerequis_extended": "pre"}
 
 def parse_lines(lines: DataFrame, line: str = "line", id_field: str = "service_id") -> DataFrame:
     """Add `record` (VARIANT), `id` and `problem` to non-blank lines. `problem` is null for a usable record,
-    else bad_json, not_object or no_id."""
-    last_key_wins(lines.sparkSession)
+    else bad_json, too_deep (nested beyond `MAX_DEPTH`), not_object or no_id."""
     text = once(lines, _text=strip(F.col(line))).where(F.col("_text") != "")
-    parsed = once(text, record=parse_json("_text")).drop("_text")
+    parsed = once(text, record=parse_json("_text"))
     key = F.try_variant_get("record", f"$.{id_field}", "string")
     is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT<"), F.lit(False))
-    problem = (F.when(F.col("record").isNull(), "bad_json")
+    problem = (F.when(F.col("record").isNull(), F.when(nested_too_deep(F.col("_text")), "too_deep").otherwise("bad_json"))
                .when(F.coalesce(key, F.lit("")) != "", None)  # only objects have a key
                .when(~is_object, "not_object").otherwise("no_id"))
-    return once(parsed, id=key, problem=problem)
+    return once(parsed, id=key, problem=problem).drop("_text")
 
 
 def good_records(parsed: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import RAW_LINE_CHARS, SUMMARY_CHARS, TOOL_RESULT_CHARS
 from ..functions.text import parse_json, strip
-from ..session import last_key_wins
 from .compute import once
 from .ordering import top_k_per_group
 
@@ -42,7 +41,6 @@ def normalise_session(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Blank lines vanish, unreadable ones become `raw_line`. Stateless: the same call serves streams.
     """
-    last_key_wins(lines.sparkSession)
     keep = [c for c in lines.columns if c != line]
     text = once(once(lines, _s=strip(F.col(line))).where(F.col("_s") != ""), _v=parse_json("_s"))
     v = F.col("_v")

@@ -146,3 +146,18 @@ def test_exports(spark, tmp_path):
     assert text == '{"id":1,"t":"é","s":null,"a":["x"]}\n'
     write_subset(df, spark.createDataFrame([(2,), (9,)], "id int"), str(tmp_path / "p"))
     assert [r.id for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [2]
+
+
+@pytest.mark.parametrize("depth, problem", [(900, None), (998, None), (1_001, "too_deep"), (100_000, "too_deep")])
+def test_deep_lines_are_quarantined_and_leave_the_others_alone(spark, depth, problem):
+    deep = '{"service_id":"deep","k":' + "[" * depth + "1" + "]" * depth + "}"
+    text = '{"service_id":"text","k":"' + "[{" * 5_000 + '\\"' * 20_000 + '"}'
+    parsed = parse(spark, [record("ok"), deep, text, "[" * 200_000, "{bad"])
+    assert {r.line_no: r.problem for r in parsed.select("line_no", "problem").collect()} == {0: None, 1: problem, 2: None, 3: "too_deep", 4: "bad_json"}
+
+
+def test_repeated_keys_do_not_depend_on_what_ran_before(spark):
+    from corpusloom.functions.uris import payload_text
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    df = spark.createDataFrame([('{"prompt":"a","prompt":"b"}',)], "body string")
+    assert df.select(payload_text("body").alias("p")).select("p.*").first() == ("b", None)
