@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.ordering import positions
 from ..operators.records import good_records, parse_lines, quarantine
+from ..session import cut
+from .artifacts import file_path
 
 # Columns that order the lines of one file: split start, then place inside the task.
 LINE_ORDER = ("block_start", "line_in_task")
@@ -28,6 +31,28 @@ def read_records(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataF
     return good_records(parsed), quarantine(parsed)
 
 
+def run_of(path: Column, pattern: str = r"run=([^/]+)") -> Column:
+    """The run that a file's path names."""
+    return F.url_decode(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
+
+
+def read_run_lines(spark: SparkSession, path: str, pattern: str = r"run=([^/]+)") -> DataFrame:
+    """(run_id, line_no, line) of the files below `path`: lines numbered from 1 in the order of their run's files, and of
+    the lines in each, however files were split among tasks and however large one run is."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    placed = lines.select(run_of(file_path(), pattern).alias("run_id"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
+                          F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_in_task"))
+    return positions(cut(placed), ["path", *LINE_ORDER], by=["run_id"], out="line_no").select("run_id", "line_no", "line")
+
+
+def expected_files(manifest: DataFrame, listing: DataFrame, pattern: str = r"run=([^/]+)") -> DataFrame:
+    """`manifest` (run_id, chunk_id) with the files and bytes that were found of each run; a run without a file is MISSING."""
+    found = listing.groupBy(run_of(F.col("key"), pattern).alias("run_id")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    joined = manifest.join(found, "run_id", "left")
+    return joined.select("run_id", "chunk_id", F.when(F.col("files").isNull(), "MISSING").otherwise("ok").alias("status"),
+                         F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
 def resolve_outputs(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     """First existing path of each run: candidates (run_id, priority, path) against listed paths."""
     found = candidates.join(listing.select("path"), "path", "left_semi")
