@@ -136,8 +136,7 @@ def value_tally(df: DataFrame, value: str, example: str, order: str, k: int = 3)
 # Wordings of an age limit. Group 1 is the age.
 AGE_BELOW = [r"\bmoins\s*de\s*([0-9]{1,3})\s*ans"]
 AGE_MAX = [r"\bjusqu['’]?\s*[àa]\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*ans\s*(?:inclus|max\b|maximum)",
-           r"\b[0-9]{1,3}\s*(?:-|–|à|a)\s*([0-9]{1,3})\s*ans", r"\bmaximum\s*([0-9]{1,3})\s*ans",
-           r"\bdans\s+la\s+limite\s+de\s*([0-9]{1,3})\s*ans"]
+           r"\b[0-9]{1,3}\s*(?:-|–|à|a)\s*([0-9]{1,3})\s*ans", r"\b(?:limite|maximum)\s*(?:de\s*)?([0-9]{1,3})\s*ans"]
 AGE_MIN = [r"\b([0-9]{1,3})\s*ans\s*(?:et\s*\+|et\s*plus|minimum|ou\s*plus)", r"[àa]\s*partir\s*de\s*([0-9]{1,3})\s*ans",
            r"\bplus\s*de\s*([0-9]{1,3})\s*ans", r"\+\s*([0-9]{1,3})\s*ans", r"\b([0-9]{1,3})\s*(?:-|–|à|a)\s*[0-9]{1,3}\s*ans"]
 AGE_ANY = r"[0-9]\s*ans"  # part of every wording above
@@ -152,13 +151,18 @@ def _ages(text: Column, patterns: Sequence[str]) -> Column:
 
 def age_bounds(text: Column) -> Column:
     """struct(age_min, age_max). "Less than N" is N - 1; several mentions give the widest range; the
-    0..120 placeholder means no bound."""
-    mentioned = text.rlike(ignore_case(AGE_ANY))
-    low = F.when(mentioned, F.array_min(_ages(text, AGE_MIN)))
-    high = F.when(mentioned, F.array_max(F.concat(F.transform(_ages(text, AGE_BELOW), lambda x: x - 1), _ages(text, AGE_MAX))))
-    placeholder = text.rlike(ignore_case(AGE_SENTINEL_TEXT)) | \
-        F.coalesce((low == AGE_SENTINEL[0]) & (high == AGE_SENTINEL[1]), F.lit(False))
-    return F.struct(F.when(~placeholder, low).alias("age_min"), F.when(~placeholder, high).alias("age_max"))
+    0..120 placeholder means no bound. Each wording is searched once, and only in texts that mention an age."""
+    found = F.when(text.rlike(ignore_case(AGE_ANY)), F.struct(
+        F.array_min(_ages(text, AGE_MIN)).alias("low"),
+        F.array_max(F.concat(F.transform(_ages(text, AGE_BELOW), lambda x: x - 1), _ages(text, AGE_MAX))).alias("high"),
+        text.rlike(ignore_case(AGE_SENTINEL_TEXT)).alias("placeholder")))
+
+    def bounds(a: Column) -> Column:
+        none = a["placeholder"] | F.coalesce((a["low"] == AGE_SENTINEL[0]) & (a["high"] == AGE_SENTINEL[1]), F.lit(False))
+        return F.struct(F.when(~none, a["low"]).alias("age_min"), F.when(~none, a["high"]).alias("age_max"))
+
+    # a lambda binds what was found, where a plain reuse would search again for every mention of it
+    return F.get(F.transform(F.array(found), bounds), F.lit(0))
 
 
 def tri_state(text: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:

@@ -38,7 +38,8 @@ def _json_text(expr: str) -> str:
 def _record_lines(shift: int) -> str:
     """Extraction output of one run as JSON lines, with bad, blank, id-less and repeated records."""
     n = f"(doc_id + {shift})"
-    word = "regexp_extract(text, '[A-Za-z]{3,}', 0)"
+    # evidence stands at the start, within and towards the end of texts
+    word = "regexp_extract(substr(text, CAST(floor(length(text) * (0.3 * (doc_id % 4))) AS INTEGER) + 1), '[A-Za-z]{3,}', 0)"
     proof = f"\"source_field\":\"description\",\"evidence_substring\":\"', {word}, '\""
     return f"""
 SELECT doc_id AS line_no, source AS run_id,

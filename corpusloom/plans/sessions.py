@@ -20,17 +20,25 @@ tools AS (SELECT run_id, line_no, CAST(row_number() OVER (PARTITION BY run_id, l
 used AS (SELECT DISTINCT run_id, line_no FROM blocks WHERE b->>'$.type' = 'tool_use')"""
 
 
-@query("session_events", oracle("""SELECT run_id, line_no, 0 AS block_no, 'raw_line' AS event_type, left(s, 500) AS text, NULL AS tool_use_id FROM lines WHERE j IS NULL
-  UNION ALL SELECT run_id, line_no, 0, 'assistant_message', coalesce(text, ''), NULL FROM lines LEFT JOIN spoken USING (run_id, line_no) LEFT JOIN used u USING (run_id, line_no)
-    WHERE j->>'$.type' = 'assistant' AND (text IS NOT NULL OR (run_id, line_no) IN (SELECT (run_id, line_no) FROM used))
-  UNION ALL SELECT run_id, line_no, block_no, 'tool_result', left(b->>'$.content', 2000), b->>'$.tool_use_id' FROM tools
-  UNION ALL SELECT run_id, line_no, 0, j->>'$.type', j->>'$.subtype', NULL FROM lines WHERE j->>'$.type' IN ('result', 'system')
-  UNION ALL SELECT run_id, line_no, 0, 'claude_error', NULL, NULL FROM lines WHERE j->>'$.type' = 'error'
-  UNION ALL SELECT run_id, line_no, 0, 'message', j->>'$.type', NULL FROM lines WHERE j->>'$.type' NOT IN ('assistant', 'user', 'result', 'system', 'error')""",
-                                "session_lines_v", extra=_LINES))
+_SHOWN = rf"""shown AS (SELECT run_id, line_no, string_agg(concat_ws(chr(31), b->>'$.type', CASE WHEN b->>'$.type' = 'text' THEN {_STRIP.format(x="b->>'$.text'")} ELSE '' END,
+    coalesce(b->>'$.name', ''), coalesce(b->>'$.id', ''), coalesce(CAST(b->'$.input' AS VARCHAR), '')), chr(30) ORDER BY no) AS blocks
+   FROM blocks JOIN lines USING (run_id, line_no) WHERE j->>'$.type' = 'assistant'
+     AND (b->>'$.type' = 'tool_use' OR (b->>'$.type' = 'text' AND {_STRIP.format(x="b->>'$.text'")} <> '')) GROUP BY run_id, line_no)"""
+_USAGE = "json_object(" + ", ".join(f"'{k}', j->'$.{k}'" for k in sessions.RESULT_KEYS) + ")"
+
+
+@query("session_events", oracle(f"""SELECT run_id, line_no, 0 AS block_no, 'raw_line' AS event_type, left(s, 500) AS text, NULL AS tool_use_id, NULL AS blocks, NULL AS payload FROM lines WHERE j IS NULL
+  UNION ALL SELECT run_id, line_no, 0, 'assistant_message', coalesce(text, ''), NULL, blocks, NULL FROM shown JOIN lines USING (run_id, line_no) LEFT JOIN spoken USING (run_id, line_no)
+  UNION ALL SELECT run_id, line_no, block_no, 'tool_result', left(b->>'$.content', 2000), b->>'$.tool_use_id', NULL, NULL FROM tools
+  UNION ALL SELECT run_id, line_no, 0, 'result', j->>'$.subtype', NULL, NULL, CAST({_USAGE} AS VARCHAR) FROM lines WHERE j->>'$.type' = 'result'
+  UNION ALL SELECT run_id, line_no, 0, 'system', j->>'$.subtype', NULL, NULL, j->>'$.message' FROM lines WHERE j->>'$.type' = 'system'
+  UNION ALL SELECT run_id, line_no, 0, 'claude_error', NULL, NULL, NULL, CAST(json_object('code', j->'$.code', 'type', j->'$.type') AS VARCHAR) FROM lines WHERE j->>'$.type' = 'error'
+  UNION ALL SELECT run_id, line_no, 0, 'message', j->>'$.type', NULL, NULL, NULL FROM lines WHERE j->>'$.type' NOT IN ('assistant', 'user', 'result', 'system', 'error')""",
+                                "session_lines_v", extra=f"{_LINES}, {_SHOWN}"))
 def session_events(spark, sf):
     events = sessions.normalise_session(view(spark, sf, "session_lines_v"))
-    return events.select("run_id", "line_no", "block_no", "event_type", "text", "tool_use_id")
+    shown = F.array_join(F.transform("blocks", lambda b: F.concat_ws("\x1f", *[F.coalesce(b[c], F.lit("")) for c in ("type", "text", "name", "id", "input")])), "\x1e")
+    return events.select("run_id", "line_no", "block_no", "event_type", "text", "tool_use_id", shown.alias("blocks"), "payload")
 
 
 @query("session_text", oracle("SELECT run_id, line_no, 0 AS block_no, text FROM spoken", "session_lines_v", extra=_LINES))

@@ -59,7 +59,8 @@ def test_context_of_a_pattern_with_a_dot(spark):
 
 def test_age_wordings(spark):
     cases = {"18–25 ans": (18, 25), "dans la limite de 25 ans": (None, 25), "maximum 25 ans": (None, 25), "25 ans max.": (None, 25),
-             "jusqu’à 30 ans": (None, 30), "jusqu'à 30 ans": (None, 30)}
+             "jusqu’à 30 ans": (None, 30), "jusqu'à 30 ans": (None, 30), "limite de 25 ans": (None, 25), "limite 25 ans": (None, 25), "maximum de 25 ans": (None, 25),
+             "Limite de 30 ans, 18 ans minimum": (18, 30), "illimité 25 ans": (None, None)}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: (r.a.age_min, r.a.age_max) for r in df.select("t", concepts.age_bounds(F.col("t")).alias("a")).collect()}
     assert got == cases
