@@ -125,9 +125,8 @@ def keep_status(events: DataFrame, path: str, delay_s: int, terminal: Sequence[s
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Status of every run: those put aside by any batch, and the open ones of the last."""
-    last = spark.read.parquet(f"{path}/mark").agg(F.max("batch").alias("last"))
-    runs = spark.read.parquet(f"{path}/runs").join(F.broadcast(last))  # one row
-    whole = _merged(runs.where(F.col("closed") | (F.col("batch") == F.col("last"))))
+    last = spark.read.parquet(f"{path}/mark").agg(F.max("batch")).scalar()
+    whole = _merged(spark.read.parquet(f"{path}/runs").where(F.col("closed") | (F.col("batch") == last)))
     names = F.array(*[F.lit(s) for s in RUN_STATUSES])
     status = F.when(F.col("forced_at").isNotNull(), "failed").otherwise(F.get(names, F.coalesce("end.code", "step.code", F.lit(RUN_STATUSES.index("queued")))))
     return whole.select("run_id", status.alias("status"), "started_at", F.coalesce("forced_at", "end.ts", "blocked.ts").alias("finished_at"),
