@@ -39,7 +39,8 @@ def threshold_sample(rows: DataFrame, group: str, per_group: int, key: Column) -
     sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
     slack = per_group + 5 * per_group ** 0.5 + 25
     unit = F.pmod(F.col("_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    near = rows.withColumn("_key", key).join(sizes, group).where(unit * F.col("_rows") <= slack)
+    # a row for each group, which are fewer than what a model keeps of each; a shuffle by group would gather all rows
+    near = rows.withColumn("_key", key).join(F.broadcast(sizes), group).where(unit * F.col("_rows") <= slack)
     return (near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_key"))).where(F.col("_rank") <= per_group)
             .drop("_rank", "_rows", "_key"))
 

@@ -71,3 +71,16 @@ def test_long_texts_and_repeated_ids_teach_within_the_bound(spark, monkeypatch):
     assert seen[0][:2] == (60, 30) and 0.4 < seen[0][3] < 0.6
     quality.fit_on(long, labels.union(labels))
     assert seen[1][:2] == (60, 30) and seen[1][2] == 8_192
+
+
+def test_the_sample_is_cut_before_it_is_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.tables import threshold_sample
+    rows = spark.range(200_000).select("id", (F.col("id") % 2).alias("y")).repartition(20)
+    picked = threshold_sample(rows, "y", 300, F.xxhash64("id"))
+    assert {r.y: r["count"] for r in picked.groupBy("y").count().collect()} == {0: 300, 1: 300}
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert window.index("BroadcastHashJoin") > window.index("hashpartitioning(y")  # the join with the counts is below the shuffle
+    assert "SortMergeJoin" not in plan
