@@ -9,8 +9,9 @@ shortest notices and towards 0.5 for long ones, so they meet with probability 1
 Documents are read once. Before windows are cut, one lossless test: a template cannot be contained unless one of any
 floor(0.2 s) + 1 of its s shingles is there (pigeonhole), so a text without the longest word of each of these shingles is
 done. It leaves out no match and keeps ordinary prose from being hashed. Long texts are worked on in segments of
-`SEGMENT` words, whose shingles are hashed once; only windows that hold some template's shingle are sketched, as
-no other can contain one.
+`SEGMENT` words, whose shingles are hashed once; only windows that hold a shingle of a template of their size are
+kept, as no other can contain one. They are written as a table with their own words; equal windows of the corpus are
+sketched and verified once, so texts made of license lines cost in proportion to their length.
 
 Words are runs of letters and digits, in lower case. Defined results: null and empty texts have no match. Matching
 windows of one license are one row, with the best containment and the first word of the first such window.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compute import once
+from ..session import cut
 from .tables import read
 
 WIDTH = 3
@@ -102,32 +104,39 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
     segments = once(segments, part=F.slice("words", F.col("at") + 1, SEGMENT + 2 * sizes[-1]), left=F.size("words") - F.col("at")).drop("words")
     table = spark.createDataFrame([(len(w), name, w, sorted(set(grams(w)))) for name, w in held], "t_size int, license string, t_words array<string>, own array<string>")
     table = table.withColumn("t_keys", keyed(F.col("t_words"))).withColumn("t_least", minima(F.col("t_keys"))).drop("t_words")
-    told = table.select("t_keys", "t_least").collect()  # templates x (shingles + HASHES) numbers, a parameter's size
-    shingle_keys, known = (F.array(*map(F.lit, sorted({v for r in told for v in r[k]}))) for k in (0, 1))
+    told = table.select("t_size", "t_keys", "t_least").collect()  # templates x (shingles + HASHES) numbers, a parameter's size
+    known = F.array(*map(F.lit, sorted({v for r in told for v in r["t_least"]})))
+    of_size = [F.array(*map(F.lit, sorted({v for r in told if r["t_size"] == n for v in r["t_keys"]}))) for n in sizes]
     segments = once(segments, keys=keyed(F.col("part")))
-    # a window without any template's shingle holds no template
-    hits = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.array_contains(shingle_keys, F.get("keys", i)))
-    segments = once(segments, hits=hits).where(F.size("hits") > 0)
+    # a window without any shingle of a template of its size holds no such template
+    segments = once(segments, present=F.array(*[F.array_intersect("keys", own) for own in of_size])).where(F.exists("present", lambda p: F.size(p) > 0))
 
-    def starts(n: int) -> Column:
-        """The windows of 2n words that begin in the segment and hold a hit, with their minima."""
+    def starts(k: int, n: int) -> Column:
+        """The windows of 2n words that begin in the segment and hold a hit, with their words."""
         last = F.least(F.lit(SEGMENT), F.col("left")) - 1
-        holding = F.flatten(F.transform("hits", lambda i: F.transform(F.array(F.lit(0), F.lit(n)), lambda back: (
+        present = F.get("present", F.lit(k))
+        hits = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.array_contains(present, F.get("keys", i)))
+        holding = F.flatten(F.transform(hits, lambda i: F.transform(F.array(F.lit(0), F.lit(n)), lambda back: (
             F.floor((F.col("at") + i) / n) * n - F.col("at") - back).cast("int"))))
         begin = F.filter(F.array_distinct(holding), lambda s: (s >= 0) & (s <= last))
-        return F.transform(begin, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), minima(F.slice("keys", s + 1, 2 * n - (WIDTH - 1))).alias("least")))
-
-    windows = segments.select("doc_id", "at", "part", F.explode(F.concat(*map(starts, sizes))).alias("w"))
-    bands = windows.select("doc_id", "at", "w.size", "w.start", "part", F.arrays_zip(F.sequence(F.lit(0), F.lit(HASHES - 1)).alias("band"), F.col("w.least").alias("least")).alias("b"))
-    # a window goes on only if some template has one of its minima
-    near = bands.where(F.arrays_overlap(F.transform("b", lambda x: x["least"]), known))
-    keys = table.select("t_size", "license", "own", F.posexplode("t_least").alias("t_band", "t_value"))
-    met = (near.select("doc_id", "at", "size", "start", "part", F.inline("b"))
-           .join(F.broadcast(keys), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_value"))))
-    shingles = F.transform(F.sequence(F.lit(1), 2 * F.col("size") - (WIDTH - 1)), lambda i: F.array_join(F.slice("part", F.col("start") + i, WIDTH), " "))
+        windows = F.transform(begin, lambda s: F.struct(F.lit(n).alias("size"), (F.col("at") + s).alias("word"), F.slice("part", s + 1, 2 * n).alias("words")))
+        return F.when(F.size(present) > 0, windows).otherwise(F.array().cast("array<struct<size:int,word:int,words:array<string>>>"))
+
+    # windows carry their own words and no more; equal ones of the whole corpus are sketched and verified once
+    windows = segments.select("doc_id", F.explode(F.concat(*[starts(k, n) for k, n in enumerate(sizes)])).alias("w")).select("doc_id", "w.*")
+    windows = cut(windows)
+    different = once(windows.select("size", "words").distinct(), least=minima(keyed(F.col("words"))))
+    near = different.where(F.arrays_overlap("least", known))  # some template has one of the minima
+    keys = table.select("t_size", "license", "own", "t_least", F.posexplode("t_least").alias("t_band", "t_value"))
+    met = (near.select("*", F.posexplode("least").alias("band", "value"))
+           .join(F.broadcast(keys), (F.col("size") == F.col("t_size")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value"))))
+    # a window and a template that meet in several bands are verified in the first of them
+    met = met.where(F.array_position(F.zip_with("least", "t_least", lambda a, b: a == b), True) == F.col("band") + 1)
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (WIDTH - 1))), lambda i: F.array_join(F.slice("words", i, WIDTH), " "))
     share = F.size(F.array_intersect(shingles, "own")) / F.size("own")
-    pairs = met.withColumn("share", share).where(F.col("share") * 100 >= CONTAINED).withColumn("word", F.col("at") + F.col("start"))
-    # bands that met in the same window are one window
+    verified = once(met.select("size", "words", "license", "own"), share=share).drop("own").where(F.col("share") * 100 >= CONTAINED)
+    pairs = windows.join(verified, ["size", "words"])
+    # rows that share a doc_id are one document: its windows of one place are one
     once_each = pairs.groupBy("doc_id", "license", "word").agg(F.max("share").alias("share"))
     return once_each.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.count("*").alias("windows"), F.min("word").cast("long").alias("first_word"))
 

@@ -37,6 +37,25 @@ def test_table(spark, sf):
     assert got == plain([(r.doc_id, r.text) for r in docs.collect()]) and got
 
 
+def test_a_whole_license_text_as_template(spark):
+    import random
+    rnd = random.Random(5)
+    whole = " ".join(rnd.choice("licence grant copy work software notice permit terms party patent claim any the of to".split()) + str(rnd.randrange(40)) for _ in range(1500))
+    words = whole.split(" ")
+    templates = {"long": whole, "MIT": licenses.TEMPLATES["MIT"]}
+    filler = [f"w{k}" for k in range(900)]
+    rows = [(1, " ".join(filler[:333] + words + filler)), (2, " ".join(words[:1300])), (3, " ".join(words[:1100] + filler)),
+            (4, " ".join(filler)), (5, " ".join(words[:700] + ["changed"] + words[701:]) + " Released under the MIT License")]
+    got = {(r.doc_id, r.license): (r.containment, r.windows, r.first_word) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert got == plain(rows, templates) and {k for k in got if k[1] == "long"} == {(1, "long"), (2, "long"), (5, "long")} and (5, "MIT") in got
+
+
+def test_texts_made_of_license_lines(spark):
+    rows = [(1, "All rights reserved. " * 3_000), (2, " ".join(licenses.TEMPLATES.values()) * 20)]
+    got = {(r.doc_id, r.license): (r.containment, r.windows, r.first_word) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows) and got[1, "All rights reserved"] == (1.0, 3_000, 0)
+
+
 def test_no_python_on_the_main_path(spark, sf):
     plan = licenses.scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
