@@ -6,11 +6,12 @@ compress alike share phrases, so the share of equal registers is a likeness from
 
 The next document, for `near_next` and the edited text, comes from a shuffle of rows into ranges of doc_id: each
 range is sorted in its task, and the first row of a range is sent to the range before it as well, so no order passes
-through one task. The bounds are the distinct quantiles of the ids, a list as long as the number of
-ranges, `MAX_RANGES` at most; beyond, ranges grow and are still read as a stream.
+through one task. The bounds are the quantiles of the ids, a list as long as the number of
+ranges, `MAX_RANGES` at most; beyond, ranges grow and are still read as a stream. An id of very many rows (also the null
+id) is several quantiles and is split into as many ranges by the hash of the text; only rows equal in both stay together.
 
 Defined results: a null text is empty. The empty text's fingerprint is all zeros; two empty texts have likeness 1, an empty
-and another text 0. Rows with equal doc_id are ordered by text. Rows with a null doc_id come first in the order. In a
+and another text 0. Rows with equal doc_id are ordered by the text's hash (xxhash64), then by text. Rows with a null doc_id come first in the order. In a
 table of one row the next document is itself.
 """
 
@@ -108,36 +109,52 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _bounds_passed(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at or under the key: counted among the heads of chunks, then in one chunk."""
+def _bounds_passed(key: Column, bounds: list[int], strict: bool = False) -> Column:
+    """How many of the sorted bounds are at or under (strict: under) the key: counted among the heads of chunks, then in
+    one chunk."""
     if not bounds:
         return F.lit(0)
     width = math.isqrt(len(bounds) - 1) + 1
     chunks = [bounds[k:k + width] for k in range(0, len(bounds), width)]
-    under = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    under = lambda values: F.size(F.filter(values, lambda b: b < key if strict else b <= key))
     chunk = under(F.array(*[F.lit(c[0]) for c in chunks]))
     inner = F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), chunk - 1)
     return F.when(chunk == 0, 0).otherwise((chunk - 1) * width + under(inner)).cast("int")
 
 
+def _part(key: Column, tie: Column, bounds: list[int]) -> Column:
+    """The range of a row. An id that is m >= 2 of the quantiles holds the rows of about m ranges, and is given m of them,
+    by `tie`; ids over it follow in the last."""
+    passed = _bounds_passed(key, bounds)
+    hot = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    if not hot:
+        return passed
+    before = _bounds_passed(key, bounds, strict=True)
+    share = tie / F.lit(float(1 << 63)) * 0.5 + 0.5  # 0 to 1, in the order of the ties
+    within = F.least(F.floor(share * (passed - before)), passed - before - 1)
+    return F.when(_bounds_passed(key, hot) > _bounds_passed(key, hot, strict=True), before + 1 + within).otherwise(passed).cast("int")
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """Rows (part, doc_id, text, guest) of `documents`: each part is a range of ids, its guest row the first of the
     next part, or for the last part the first row of all."""
     spark = documents.sparkSession
-    keyed = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
     rows = keyed.count()
     parts = min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS)))
     step = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(keyed.select(F.percentile_approx("key", step, 10 * parts)).first()[0] or [])) if step and rows else []
-    placed = keyed.withColumn("part", _bounds_passed(F.col("key"), bounds))
-    first = {r["part"]: r["key"] for r in placed.groupBy("part").agg(F.min("key").alias("key")).collect()}  # a row per part
+    bounds = sorted(keyed.select(F.percentile_approx("key", step, 10 * parts)).first()[0] or []) if step and rows else []
+    placed = keyed.withColumn("part", _part(F.col("key"), F.col("tie"), bounds))
+    first = {r["part"]: r["r"] for r in placed.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("r")).collect()}  # a row per part
     order = sorted(first)
-    guests = [(first[p], order[k - 1]) for k, p in enumerate(order)]  # the first row of all goes to the last part
-    guest_of = spark.createDataFrame(guests or [(0, 0)], "key long, guest_part int").where(F.lit(bool(guests)))
-    firsts = (placed.drop("part").join(F.broadcast(guest_of), "key").groupBy("key", "guest_part")  # a row per part
-              .agg(F.min(F.struct("text", "doc_id")).alias("r")).select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), F.col("guest_part").alias("part")))
-    every = placed.select("part", "key", "doc_id", "text", F.lit(0).alias("guest")).union(firsts.select("part", "key", "doc_id", "text", F.lit(1)))
-    return every.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "key", "text")
+    guests = [(*first[p], order[k - 1]) for k, p in enumerate(order)]  # the first row of all goes to the last part
+    guest_of = spark.createDataFrame(guests or [(0, 0, 0)], "key long, tie long, guest_part int").where(F.lit(bool(guests)))
+    firsts = (placed.drop("part").join(F.broadcast(guest_of), ["key", "tie"]).groupBy("key", "tie", "guest_part")  # a row per part
+              .agg(F.min(F.struct("text", "doc_id")).alias("r"))
+              .select("key", "tie", F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), F.col("guest_part").alias("part")))
+    every = placed.select("part", "key", "tie", "doc_id", "text", F.lit(0).alias("guest")).union(firsts.select("part", "key", "tie", "doc_id", "text", F.lit(1)))
+    return every.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "key", "tie", "text")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 from edge import clashing, edge, empty
+from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprint as fp
 
@@ -31,7 +32,8 @@ def test_phrases_follow_the_definition():
 
 def check(df):
     got = fp.fingerprints(df).collect()
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()))
+    hashed = df.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = [(known, i, t) for known, i, _, t in sorted((r.doc_id is not None, r.doc_id or 0, r._tie, r.text or "") for r in hashed.collect())]
     expected = []
     hasher = fp.Hasher()
     prints = [hasher.fingerprint(t.encode(), phrases(t.encode())) for _, _, t in rows]
@@ -51,6 +53,17 @@ def test_next_documents_and_likeness(spark, sf, monkeypatch):
         check(docs.where("doc_id < 60") if rows == 1 else docs)
 
 
+def test_rows_of_one_id_are_split(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 40)
+    rows = [(i, f"text number {i} of many") for i in range(300)] + [(150, f"again {i} {i * i}") for i in range(700)] + [(None, f"none {i}") for i in range(300)]
+    rows += [(150, "the same words")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    check(df)
+    own = fp.with_next(df).where("guest = 0")
+    assert own.where("doc_id = 150").select("part").distinct().count() >= 10 and own.where("doc_id is null").select("part").distinct().count() >= 4
+    assert own.groupBy("part").count().agg(F.max("count")).first()[0] <= 200
+
+
 def test_edges(spark, monkeypatch):
     small = edge(spark).where("doc_id is null or doc_id <> 10")
     check(small)
