@@ -10,7 +10,8 @@
    template text; a slot whose own text is mostly links is a menu. Pages of one main text count as one:
    copies, and near copies that differ in what is around the article or in blocks of a `MINOR_SHARE` of its characters.
 4. Every page is parsed again and its nodes are judged by slot: template text, the own text of menus and elements whose
-   tag, role, class or id names page furniture go; the rest is content, within the article or main element if there is
+   tag, role, class or id names page furniture go (inside an article only whole names count, of paragraphs, headings and
+   cells only those of adverts); the rest is content, within the article or main element if there is
    one. What is nested in a menu is judged by its own slot, so a link beside an article does not take it along.
 
 Defined results: a null html is empty and gives the empty text, 0 characters; so does a page without content. A null url
@@ -54,6 +55,12 @@ ad ads adv advert adverts advertisement advertising adsense sponsor sponsored pr
 notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus
 respond reply replies related recommended recommendations pagination pager skip copyright legal disclaimer search toolbar""".split())
 ASIDE_ARTICLES = set("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
+# Inside an article names are judged whole: "related-posts" is furniture, "related-work" and "share-price" are not.
+WORDS_INSIDE = FURNITURE - set("header masthead banner bottom rail skip copyright legal disclaimer notice notices notification alert search login menu".split())
+NEUTRAL = set("box block list section wrapper wrap container area item items bar link links post posts article articles button buttons inner outer top bottom left right site page content main unit slot story stories news form media icons".split())
+ADVERTS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+# Elements of an article's own text, of whose names only those of adverts count.
+PROSE = set("p h1 h2 h3 h4 h5 h6 li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address figcaption".split())
 # Deeper elements are laid into the last block of this depth.
 MAX_DEPTH = 150
 BARRIERS = set("table ul ol div article section body nav main".split())
@@ -70,16 +77,28 @@ class Node:
         self.tag, self.name, self.furniture, self.items, self.index = tag, name, furniture, [], -1
 
 
-def attributes(tag: str, raw: str) -> tuple[str, bool]:
-    """(class, furniture) of an element."""
+def named_inside(tag: str, names: str) -> bool:
+    """Whether a class or id of an element inside an article is made of furniture words, with none that says otherwise."""
+    own = ADVERTS if tag in PROSE else WORDS_INSIDE
+    split = ([w.lower() for w in NAME.findall(name)] for name in names.split())
+    return any(not own.isdisjoint(words) and all(w in FURNITURE or w in NEUTRAL for w in words) for words in split)
+
+
+def attributes(tag: str, raw: str, inside: bool = False) -> tuple[str, bool]:
+    """(class, furniture) of an element, which an article holds or not."""
     if not raw.strip(" /\n\t"):
         return "", tag in FURNITURE_TAGS
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
-    words = {w.lower() for k in ("class", "id") for w in NAME.findall(found.get(k, ""))}
+    names = [found.get(k, "") for k in ("class", "id")]
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    whole = tag not in ("html", "body", "main", "h1")  # a page-wide name says nothing of these
-    return found.get("class", ""), (tag in FURNITURE_TAGS or found.get("role", "").lower() in FURNITURE_ROLES or hidden
-                                    or whole and bool(words & (ASIDE_ARTICLES if tag == "article" else FURNITURE)))
+    if tag in FURNITURE_TAGS or hidden or found.get("role", "").lower() in FURNITURE_ROLES:
+        return names[0], True
+    if tag in ("html", "body", "main", "h1"):  # a page-wide name says nothing of these
+        return names[0], False
+    if inside and tag != "article":
+        return names[0], named_inside(tag, " ".join(names))
+    words = {w.lower() for n in names for w in NAME.findall(n)}
+    return names[0], bool(words & (ASIDE_ARTICLES if tag == "article" else FURNITURE))
 
 
 def parse(page: str) -> Node:
@@ -127,7 +146,7 @@ def parse(page: str) -> Node:
                     flush()
                 text.append(" ")
                 continue
-            name, furniture = attributes(tag, raw)
+            name, furniture = attributes(tag, raw, still["article"] > 0)
             links += tag == "a"
             if tag not in BLOCKS and not furniture:
                 continue  # inline: its text belongs to the block

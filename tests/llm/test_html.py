@@ -26,6 +26,20 @@ def test_content_of_a_page(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("block", ["<section id=related-work><p>x</p></section>", "<div class=legal>x</div>", "<p class=notice>x</p>", "<div class=share-price>x</div>",
+                                   "<table><tr><td class=social>x</td></tr></table>", "<h2 class=section-header>x</h2>", "<div class='search-method'>x</div>",
+                                   "<p class='comment'>x</p>", "<div id=reply-to-critics>x</div>", "<div class=navigation-history>x</div>"])
+def test_names_inside_an_article_keep_its_text(block):
+    assert text_of(f"<body><article><h1>T</h1><p>a</p>{block}<p>b</p></article></body>") == "T\na\nx\nb"
+
+
+@pytest.mark.parametrize("block", ["<section class=comments><p>x</p></section>", "<div class='ad'>x</div>", "<p class=advert>x</p>", "<div class='related-posts'>x</div>",
+                                   "<div class='social-share'>x</div>", "<div id=newsletterSignup>x</div>", "<ul class='share-buttons'><li>x</ul>", "<form>x</form>",
+                                   "<div class='comment-list'>x</div>", "<span class=sponsored>x</span>", "<nav>x</nav>", "<div role=complementary>x</div>", "<div class='cookie-notice'>x</div>"])
+def test_furniture_inside_an_article_goes(block):
+    assert text_of(f"<body><article><h1>T</h1><p>a</p>{block}<p>b</p></article></body>") == "T\na\nb"
+
+
 def tree(tag, *children):
     return [tag, "", list(children)]
 
