@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import FactorIndex, fold
 from ..functions.text import any_of, ignore_case, joined_text
 from .compute import once
 from .ordering import top_k_per_group
@@ -19,9 +20,16 @@ def _found(text: Column, patterns: Sequence[str]) -> Column:
     return any_of([text.rlike(ignore_case(p)) for p in patterns])
 
 
-def hit_count(text: Column, concept: Concept, lowered: Column | None = None) -> Column:
-    """Non-overlapping matches summed over the patterns, so overlapping patterns add up."""
-    hits = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(ignore_case(p))) for p in concept.patterns])
+def hit_count(text: Column, concept: Concept, lowered: Column | None = None, index: FactorIndex | None = None,
+              present: Column | None = None) -> Column:
+    """Non-overlapping matches summed over the patterns, so overlapping patterns add up. With an index, a pattern
+    runs only where one of its literal factors is present."""
+    def count(p: str) -> Column:
+        hits = F.regexp_count(text, F.lit(ignore_case(p)))
+        may = index.may_match(present, [p]) if index else None
+        return hits if may is None else F.when(may, hits).otherwise(F.lit(0))
+
+    hits = reduce(lambda a, b: a + b, map(count, concept.patterns))
     if concept.stem and lowered is not None:
         return F.when(lowered.contains(concept.stem), hits).otherwise(F.lit(0))
     return hits
@@ -44,24 +52,29 @@ def match_context(text: Column, patterns: Sequence[str], around: int = 20, limit
     return F.left(F.replace(F.coalesce(*[one(p) for p in patterns]), F.lit("\n"), F.lit(" / ")), F.lit(limit))
 
 
-def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column) -> Column:
+def _index(dictionary: Sequence[Concept]) -> FactorIndex:
+    return FactorIndex([p for c in dictionary for p in c.patterns])
+
+
+def _tags(text: Column, dictionary: Sequence[Concept], lowered: Column, index: FactorIndex, present: Column) -> Column:
     rows = [F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("concept"),
-                     hit_count(text, c, lowered).alias("hits")) for c in dictionary]
+                     hit_count(text, c, lowered, index, present).alias("hits")) for c in dictionary]
     return F.filter(F.array(*rows), lambda t: t["hits"] > 0)
 
 
-def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """`keep` plus one newline-joined text column and its lower-case form."""
+def with_text(df: DataFrame, text_cols: Sequence[str], keep: Sequence[str], index: FactorIndex) -> DataFrame:
+    """`keep` plus one newline-joined text column, its folded form and the literal factors in it."""
     columns = list(dict.fromkeys([*keep, *text_cols]))
-    return (df.select(*columns).select(*keep, joined_text(text_cols, "\n").alias("_text"))
-                                       .withColumn("_lower", F.lower("_text")))
+    texts = df.select(*columns).select(*keep, joined_text(text_cols, "\n").alias("_text"))
+    return once(once(texts, _lower=fold(F.col("_text"))), _present=index.present(F.col("_lower")))
 
 
 def with_tags(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
               keep: Sequence[str]) -> DataFrame:
     """`keep`, the joined `_text` and `tags`, the (category, concept, hits) found in each row, possibly none."""
-    texts = with_text(df, text_cols, keep)
-    return once(texts, tags=_tags(F.col("_text"), dictionary, F.col("_lower"))).drop("_lower")
+    index = _index(dictionary)
+    texts = with_text(df, text_cols, keep, index)
+    return once(texts, tags=_tags(F.col("_text"), dictionary, F.col("_lower"), index, F.col("_present"))).drop("_lower", "_present")
 
 
 def tag_concepts(df: DataFrame, text_cols: Sequence[str], dictionary: Sequence[Concept],
@@ -112,9 +125,10 @@ def concept_scan(df: DataFrame, text_cols: Sequence[str], source: str, dictionar
 def concept_examples(df: DataFrame, id_col: str, text_cols: Sequence[str], dictionary: Sequence[Concept],
                      k: int = 2) -> DataFrame:
     """Up to `k` contexts per concept, lowest ids first. Only ids and short contexts are ranked."""
-    texts = with_text(df, text_cols, [id_col])
+    index = _index(dictionary)
+    texts = with_text(df, text_cols, [id_col], index)
     text, lowered = F.col("_text"), F.col("_lower")
-    rows = [F.when(hit_count(text, c, lowered) > 0,
+    rows = [F.when(hit_count(text, c, lowered, index, F.col("_present")) > 0,
                    F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("concept"),
                             match_context(text, c.patterns).alias("context"))) for c in dictionary]
     found = once(texts, _found=F.array_compact(F.array(*rows))).select(id_col, F.inline("_found"))

@@ -19,6 +19,10 @@ DICTIONARY = [
     Concept("noise", "thing", [r"thing"], stem="thing"),
     Concept("noise", "shouting", [r"[#*]{3}"]),
 ]
+# A dictionary of 121 concepts by a rule: words that hold three syllables in a row, or with a letter between.
+_SYLLABLES = "th er en on ti re an in de le st".split()
+MANY = [Concept("syllables", f"{a}-{b}", [f"{a}{b}{c}[a-z]", f"{b}{c}[a-z]{a}"]) for a in _SYLLABLES
+        for b, c in zip(_SYLLABLES, _SYLLABLES[1:] + _SYLLABLES[:1])]
 CONFLICTS = [
     ConflictRule("under_specification", "publics", "quality", "german", unless=["de"]),
     ConflictRule("contradiction", "publics", "toxic", "licence"),
@@ -49,25 +53,34 @@ _CONTEXT = ("substr(text, greatest(length(regexp_extract(text, '(?is)^(.*?)(?:{p
             " + length(regexp_extract(text, {q}, 0)) + 20 - greatest(length(regexp_extract(text, '(?is)^(.*?)(?:{p})', 1)) - 20, 0))").replace("{3}", "{{3}}")
 
 
-def _found(extra: str) -> str:
+def _found(extra: str, dictionary: list[Concept] = DICTIONARY) -> str:
     return "found AS (" + " UNION ALL ".join(
         f"""SELECT doc_id, source, '{c.category}' AS category, '{c.name}' AS concept, {i} AS no, {_hits(c)} AS hits{extra and ', ' + _first(c, extra)}
-  FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) WHERE {_hits(c)} > 0""" for i, c in enumerate(DICTIONARY)) + ")"
+  FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) WHERE {_hits(c)} > 0""" for i, c in enumerate(dictionary)) + ")"
 
 
 def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return table(spark, sf, "documents").select(*cols)
 
 
-@query("concept_scan", oracle(f"""SELECT category, concept, coalesce(rows_n, 0) AS rows_n, coalesce(rows_n, 0) / (SELECT count(*) FROM documents) AS share,
+def _scan_sql(dictionary: list[Concept]) -> str:
+    return oracle(f"""SELECT category, concept, coalesce(rows_n, 0) AS rows_n, coalesce(rows_n, 0) / (SELECT count(*) FROM documents) AS share,
    coalesce(hits_n, 0) AS hits_n, coalesce(sources_n, 0) AS sources_n, top_source, coalesce(top_source_n, 0) AS top_source_n
-  FROM (VALUES {", ".join(f"('{c.category}', '{c.name}')" for c in DICTIONARY)}) names(category, concept) LEFT JOIN
+  FROM (VALUES {", ".join(f"('{c.category}', '{c.name}')" for c in dictionary)}) names(category, concept) LEFT JOIN
    (SELECT category, concept, CAST(sum(n) AS BIGINT) AS rows_n, CAST(sum(h) AS BIGINT) AS hits_n, count(*) AS sources_n, first(source ORDER BY n DESC, source) AS top_source, max(n) AS top_source_n
-    FROM (SELECT category, concept, source, count(*) AS n, sum(hits) AS h FROM found GROUP BY ALL) GROUP BY ALL) USING (category, concept)""", extra=_found("")))
+    FROM (SELECT category, concept, source, count(*) AS n, sum(hits) AS h FROM found GROUP BY ALL) GROUP BY ALL) USING (category, concept)""", extra=_found("", dictionary))
+
+
+@query("concept_scan", _scan_sql(DICTIONARY))
 def concept_scan(spark, sf):
     return concepts.concept_scan(documents(spark, sf, "text", "source"), ["text"], "source", DICTIONARY)
 
 
+@query("concept_scan_many", _scan_sql(MANY))
+def concept_scan_many(spark, sf):
+    return concepts.concept_scan(documents(spark, sf, "text", "source"), ["text"], "source", MANY)
+
+
 @query("concept_examples", oracle("""SELECT doc_id, category, concept, CAST(rn AS INTEGER) AS rank, left(replace(context, chr(10), ' / '), 120) AS context FROM
    (SELECT *, row_number() OVER (PARTITION BY category, concept ORDER BY doc_id) AS rn FROM found) WHERE rn <= 2""",
                                   extra=_found(_CONTEXT).replace(" END\n", " END AS context\n")))
