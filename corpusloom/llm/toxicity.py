@@ -1,14 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read the word classes of a clause and are composed into one machine: insult and threat mark a
-match, target marks it as aimed at somebody, negation as denied within three words, reported speech as quoted. Words
-alone don't score: a clause scores the sum of its matches' term weights, by the marks that the machine puts on them,
-and a document the calibrated sum over its clauses.
+Five small transducers read the word classes of a clause and are composed into one machine:
 
-Words of the target, negation, reported-speech and threat classes are fixed lists. Insult terms are learned from
+* target marks what follows a person within `TARGET_REACH` words as aimed; a copula starts the reach anew;
+* negation marks what follows within `NEGATION_REACH` words as denied;
+* reported speech, and talk about a word as a word, marks the rest of the clause as reported;
+* threat makes a match of subject, intent, verb and object: "I will kill you", "ich werde dich töten". A verb without
+  them is an ordinary word, as in "they will kill the weeds";
+* insult makes a match of a term that is aimed, or stands within `INSULT_REACH` words after another term. A term alone
+  leaves as a mention, a weaker symbol with a weight of its own.
+
+A clause scores the sum of its matches' term weights by the symbols and marks that leave the machine, a document the
+calibrated sum over its clauses. Where labelled rows hold no case of a mark, its weight stays at a fixed one.
+
+Words of all classes but insults are fixed lists. Insult terms are learned from
 labelled rows: words, and stems of three to eight letters with several words, whose share among toxic documents is
 `MIN_RATIO` times that among others and `MIN_SIGMAS` standard errors over chance; a word's own weight goes before its
-stem's. Copies and near copies, by sketches of their three-word shingles, count once, so a group of copies teaches
+stem's; at most `MAX_TERMS`, those of the largest weights, make the model. Copies and near copies, by sketches of their three-word shingles, count once, so a group of copies teaches
 nothing; texts that only begin alike count each. The
 rows are a bounded sample, `SAMPLE_PER_LABEL` of each label chosen by hash, long texts by a piece.
 The weight of each mark and the calibration are a logistic regression on the same rows.
@@ -26,6 +34,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +52,18 @@ STEM_WORDS, STEM_SIZES = 3, (3, 4, 5, 6, 7, 8)
 MAX_TERMS = 4_000
 BANDS, ROWS, COPY_SHARE = 20, 4, 0.7  # of a sketch; copies agree in such a share of its minima
 TOXIC_AT = 0.3
-NEGATION_REACH = 3
+TARGET_REACH, NEGATION_REACH, INSULT_REACH, OBJECT_REACH = 6, 3, 3, 2  # words
 
 # Fixed word lists (English, German, French, Spanish).
-TARGETS = "you your yourself u he she they him her them du dich dein ihr euch sie tu te toi vous ton votre tú usted ustedes vosotros ti".split()
+TARGETS = "you your yourself u he she they him her them you're he's she's they're du dein ihr sie tu vous ton votre tú usted ustedes vosotros".split()
+OBLIQUES = "dich dir euch te toi ti os".split()  # persons that may be a verb's object before it
+COPULAS = "are is am was were be been being r bist seid ist sind war es est êtes sont eres sois son".split()
 NEGATIONS = "not no never none isn't aren't don't won't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
-REPORTS = "said says say wrote writes called reported quoted according claims sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split()
+REPORTS = """said says say wrote writes called reported quoted according claims word words term terms phrase sagte sagt schrieb laut wort begriff
+dit disait écrit selon mot terme dijo dice escribió según palabra término""".split()
+SUBJECTS = "i we i'm we're someone somebody ich wir jemand je nous yo nosotros alguien".split()
+INTENTS = "will shall gonna going must should werde werden wird vais va vont allons".split()
+PLEDGES = "i'll we'll he'll she'll they'll voy vamos".split()  # subject and intent in one word
 THREATS = "kill murder hurt destroy strangle stab töten umbringen vernichten tuer frapper détruire matar golpear destruir".split()
 INSULTS = "idiot moron scum imbecile stupid worthless pathetic disgusting".split()
 
@@ -56,9 +71,12 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[^.,;:!?\n]+")
 
 # symbols of the machine: classes of words, and marked matches
-OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
-MARKS = {"aimed": 8, "denied": 16, "reported": 32}
-WORD_CLASS = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT)}
+OTHER, TARGET, OBLIQUE, COPULA, NEGATION, REPORT, SUBJECT, INTENT, PLEDGE, INSULT, THREAT, MENTION = range(12)
+CLASS = 15
+MARKS = {"aimed": 16, "denied": 32, "reported": 64}
+SOFT = MARKS["denied"] | MARKS["reported"]
+WORD_CLASS = {w: c for c, words in ((TARGET, TARGETS), (OBLIQUE, OBLIQUES), (COPULA, COPULAS), (NEGATION, NEGATIONS), (REPORT, REPORTS),
+                                    (SUBJECT, SUBJECTS), (INTENT, INTENTS), (PLEDGE, PLEDGES)) for w in words}
 
 
 class Transducer:
@@ -72,8 +90,8 @@ class Transducer:
 
 
 def symbols() -> list[int]:
-    marked = [m + sum(flags) for m in (INSULT, THREAT) for flags in _subsets(list(MARKS.values()))]
-    return [OTHER, TARGET, NEGATION, REPORT, *marked]
+    marked = [m + sum(flags) for m in (INSULT, THREAT, MENTION) for flags in _subsets(list(MARKS.values()))]
+    return [*range(INSULT), *marked]
 
 
 def _subsets(items: list[int]) -> Iterator[list[int]]:
@@ -82,12 +100,12 @@ def _subsets(items: list[int]) -> Iterator[list[int]]:
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The machine that feeds the output of `first` to `second`, over their reachable pairs of states."""
+    """The machine that feeds the output of `first`, which reads words without marks, to `second`, over their reachable pairs of states."""
     number = {(first.start, second.start): 0}
     todo, arcs = [(first.start, second.start)], {}
     while todo:
         p, q = pair = todo.pop()
-        for s in symbols():
+        for s in range(MENTION):
             p2, middle = first.step(p, s)
             q2, out = second.step(q, middle)
             if (p2, q2) not in number:
@@ -97,31 +115,59 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(0, arcs)
 
 
-def matches(mark: int, flag_symbol: int, reach: int | None) -> Transducer:
-    """Adds `mark` to matches after `flag_symbol`: for `reach` words, or to the end of the clause."""
+def matches(mark: int, flags: set[int], reach: int | None, renew: int | None = None) -> Transducer:
+    """Adds `mark` to matches after a symbol of `flags`: for `reach` words, or to the end of the clause. `renew` starts a
+    running reach anew."""
     arcs, last = {}, reach or 1
     for state in range(last + 1):  # state: words left of the reach, 0 for none
         for s in symbols():
             then = state if reach is None else max(0, state - 1)
-            out = s | mark if state and s & 7 in (INSULT, THREAT) else s
-            arcs[state, s] = (last if s == flag_symbol else then, out)
+            out = s | mark if state and s & CLASS in (INSULT, THREAT) else s
+            arcs[state, s] = (last if s in flags or state and s == renew else then, out)
     return Transducer(0, arcs)
 
 
-def insult_transducer() -> Transducer:
-    """A second insult right after the first keeps its marks; alone it is passed on."""
-    return Transducer(0, {})
+def threat_transducer() -> Transducer:
+    """A match of subject, intent, verb and object in this order, made at the object with the verb's marks; an oblique person
+    before the verb is its object too, the match then is the verb. Other verbs leave as ordinary words."""
+    arcs, start = {}, (0, False, 0, 0)  # 1 subject, 2 intent; an oblique person; words left for the object; marks of the verb
+    todo, seen = [start], {start}
+    while todo:
+        phase, oblique, left, marks = state = todo.pop()
+        for s in symbols():
+            c = s & CLASS
+            if c == THREAT and phase == 2:
+                then, out = ((phase, oblique, 0, 0), THREAT | s & SOFT) if oblique else ((phase, oblique, OBJECT_REACH, s & SOFT), OTHER)
+            elif c == THREAT:
+                then, out = (phase, oblique, 0, 0), OTHER
+            elif left and c in (TARGET, OBLIQUE):
+                then, out = (phase, oblique, 0, 0), THREAT | marks
+            else:
+                now = 2 if c == PLEDGE or c == INTENT and phase else max(phase, int(c in (SUBJECT, TARGET)))
+                then, out = (now, oblique or c == OBLIQUE, max(0, left - 1), marks if left > 1 else 0), s
+            arcs[state, s] = (then, out)
+            if then not in seen:
+                seen.add(then)
+                todo.append(then)
+    return Transducer(start, arcs)
 
 
-def threat_transducer() -> Transducer:
-    """A threat counts only when it is aimed at somebody before it in the clause; else it is an ordinary word."""
-    return Transducer(0, {(0, s): (0, OTHER) for s in symbols() if s & 7 == THREAT and not s & MARKS["aimed"]})
+def insult_transducer() -> Transducer:
+    """A term is a match if it is aimed or comes within `INSULT_REACH` words after another term, else a mention."""
+    arcs = {}
+    for state in range(INSULT_REACH + 1):  # words left since the last term
+        for s in symbols():
+            term = s & CLASS == INSULT
+            alone = term and not state and not s & MARKS["aimed"]
+            arcs[state, s] = (INSULT_REACH if term else max(0, state - 1), s - INSULT + MENTION if alone else s)
+    return Transducer(0, arcs)
 
 
+@cache
 def grammar() -> Transducer:
-    machine = matches(MARKS["aimed"], TARGET, None)
-    machine = compose(machine, matches(MARKS["denied"], NEGATION, NEGATION_REACH))
-    machine = compose(machine, matches(MARKS["reported"], REPORT, None))
+    machine = matches(MARKS["aimed"], {TARGET, OBLIQUE}, TARGET_REACH, COPULA)
+    machine = compose(machine, matches(MARKS["denied"], {NEGATION}, NEGATION_REACH))
+    machine = compose(machine, matches(MARKS["reported"], {REPORT}, None))
     return compose(compose(machine, threat_transducer()), insult_transducer())
 
 
@@ -148,12 +194,16 @@ class Matcher:
 
     def clause(self, clause: str) -> list[tuple[int, float]]:
         """(marked match, weight) of each match of a clause, in order."""
-        state, out = self.machine.start, []
+        state, out, threat = self.machine.start, [], 0.0
         for m in WORD.finditer(clause):
             known = self.term(m[0])
             symbol = known[0] if known else WORD_CLASS.get(m[0], OTHER)
             state, mark = self.machine.step(state, symbol)
-            if known and mark & 7 in (INSULT, THREAT):
+            if symbol == THREAT:
+                threat = known[1]
+            if mark & CLASS == THREAT:  # at the verb or at its object
+                out.append((mark, threat))
+            elif mark & CLASS in (INSULT, MENTION):
                 out.append((mark, known[1]))
         return out
 
@@ -176,12 +226,18 @@ class Matcher:
         return total
 
 
+# Weights of `vector` before labels are seen, and of the bias.
+WEIGHTS, BIAS = [1.0, 1.0, 1.0, 1.0, 0.2], -3.5
+
+
 def vector(total: dict[int, float], length: int) -> list[float]:
-    """Evidence of a text: matches said outright, in all and for its length, aimed ones, and denied or reported ones."""
-    soft = MARKS["denied"] | MARKS["reported"]
-    plain = sum(w for m, w in total.items() if not m & soft)
-    aimed = sum(w for m, w in total.items() if not m & soft and m & MARKS["aimed"])
-    return [math.log1p(plain), math.log1p(1000 * plain / (length + 500)), math.log1p(aimed), math.log1p(sum(w for m, w in total.items() if m & soft))]
+    """Evidence of a text: what is said outright, in all and for its length, its insults, its threats, and what is denied or reported."""
+    def of(*classes: int) -> float:
+        return sum(w for m, w in total.items() if not m & SOFT and m & CLASS in classes)
+
+    outright = of(INSULT, THREAT, MENTION)
+    soft = sum(w for m, w in total.items() if m & SOFT)
+    return [math.log1p(x) for x in (outright, 1000 * outright / (length + 500), of(INSULT), of(THREAT), soft)]
 
 
 def originals(texts: list[str]) -> list[int]:
@@ -243,23 +299,24 @@ def learn_terms(texts: list[str], labels: list[int]) -> dict[tuple[str, bool], t
 
 def fit(texts: list[str], labels: list[int], prior: float | None) -> dict:
     """Terms, weights of the marks and calibration."""
-    fixed = {(w, False): (INSULT, 1.0) for w in INSULTS} | {(w, False): (THREAT, 2.0) for w in THREATS}
+    fixed = {(w, False): (INSULT, 1.0) for w in INSULTS} | {(w, False): (THREAT, 3.0) for w in THREATS}
     if len(set(labels)) < 2:
-        return {"terms": fixed, "weights": [2.0, 1.0, 1.0, 0.5], "bias": -3.0}
+        return {"terms": fixed, "weights": WEIGHTS, "bias": BIAS}
     # terms from four fifths of the rows, the regression on all: a term that fits copies only meets rows without it
     part = [k for k in range(len(texts)) if k % 5]
     terms = {t: v for t, v in fixed.items() if v[0] == THREAT} | learn_terms([texts[k] for k in part], [labels[k] for k in part])
     matcher = Matcher(terms)
     x = np.array([[*vector(matcher.text(t), len(t)), 1.0] for t in texts])
     y = np.array(labels, float)
-    w = np.array([1.0, 0.0, 0.0, 0.2, -2.0])
+    before = np.array([*WEIGHTS, BIAS])
+    w = before.copy()
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     prior = min(max(prior or 0.5, 1e-4), 1 - 1e-4)
     share = share * np.where(y == 1, 2 * prior, 2 * (1 - prior))
-    ridge = 1e-3 * np.array([1, 1, 1, 1, 0.1])
+    ridge = 1e-3 * np.array([1, 1, 1, 1, 1, 0.1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (p - y)) + ridge * w
+        grad = x.T @ (share * (p - y)) + ridge * (w - before)  # a mark that no row holds keeps its weight
         hess = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         w = w - np.linalg.solve(hess, grad)
     return {"terms": terms, "weights": np.maximum(w[:-1], 0.0).tolist(), "bias": float(w[-1])}  # no match speaks for a text

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from edge import clashing, edge, rows_of
 
@@ -8,41 +9,94 @@ AIMED, DENIED, REPORTED = tox.MARKS["aimed"], tox.MARKS["denied"], tox.MARKS["re
 
 @pytest.fixture(scope="module")
 def matcher():
-    return tox.Matcher({("idiot", False): (tox.INSULT, 1.0), ("grum", True): (tox.INSULT, 2.0), ("hurt", False): (tox.THREAT, 2.0)})
+    return tox.Matcher({("idiot", False): (tox.INSULT, 1.0), ("grum", True): (tox.INSULT, 2.0), ("hurt", False): (tox.THREAT, 2.0), ("töten", False): (tox.THREAT, 2.0)})
 
 
 @pytest.mark.parametrize("clause,marks", [
-    ("what an idiot", [tox.INSULT]), ("you are an idiot", [tox.INSULT | AIMED]), ("idiot is what you are", [tox.INSULT]),
-    ("you are not an idiot", [tox.INSULT | AIMED | DENIED]), ("not that it matters to any idiot", [tox.INSULT]),
-    ("she said idiot", [tox.INSULT | AIMED | REPORTED]), ("grumbler and grumpy", [tox.INSULT, tox.INSULT]), ("grum", []),
-    ("we hurt", []), ("they will hurt", [tox.THREAT | AIMED]), ("nothing here", []), ("idiotic", []),
+    ("what an idiot", [tox.MENTION]), ("you are an idiot", [tox.INSULT | AIMED]), ("idiot is what you are", [tox.MENTION]),
+    ("you are not an idiot", [tox.INSULT | AIMED | DENIED]), ("not that it matters to any idiot", [tox.MENTION]),
+    ("she said idiot", [tox.INSULT | AIMED | REPORTED]), ("grumbler and grumpy", [tox.MENTION, tox.INSULT]), ("grum", []),
+    ("grumbler of the town and an idiot", [tox.MENTION, tox.MENTION]), ("nothing here", []), ("idiotic", []),
+    ("you were in all that time an idiot", [tox.INSULT | AIMED]), ("you went from here to the town where an idiot", [tox.MENTION]),
+    ("the word idiot is listed", [tox.MENTION | REPORTED]),
+    ("we hurt", []), ("they will hurt", []), ("they will hurt the weeds", []), ("they will hurt them", [tox.THREAT]),
+    ("will this hurt you", []), ("i will not hurt you", [tox.THREAT | DENIED]), ("he said i will hurt you", [tox.THREAT | REPORTED]),
+    ("i will hurt all of you", []), ("i will hurt all you idiot", [tox.THREAT, tox.INSULT | AIMED]),
+    ("ich werde dich töten", [tox.THREAT]), ("te voy a töten", [tox.THREAT]), ("ich werde es töten", []), ("i'll töten him", [tox.THREAT]),
 ])
 def test_marks_of_a_clause(matcher, clause, marks):
     assert [m for m, _ in matcher.clause(clause)] == marks
 
 
+def test_a_threat_weighs_as_its_verb(matcher):
+    assert matcher.clause("i will hurt you idiot") == [(tox.THREAT, 2.0), (tox.INSULT | AIMED, 1.0)]
+
+
 def test_marks_end_with_the_clause(matcher):
-    assert dict(matcher.text("You said so. Idiot! NOT me, IDIOT")) == {tox.INSULT: 2.0}
+    assert dict(matcher.text("You said so. Idiot! NOT me, IDIOT")) == {tox.MENTION: 2.0}
     assert not matcher.text("") and not matcher.text("idiotic grum words")
 
 
 def test_composition_is_one_after_the_other():
-    first, second = tox.matches(AIMED, tox.TARGET, None), tox.matches(DENIED, tox.NEGATION, 3)
-    both = tox.compose(first, second)
+    machines = [tox.matches(AIMED, {tox.TARGET, tox.OBLIQUE}, tox.TARGET_REACH, tox.COPULA), tox.matches(DENIED, {tox.NEGATION}, 3),
+                tox.matches(REPORTED, {tox.REPORT}, None), tox.threat_transducer(), tox.insult_transducer()]
     import random
     rnd = random.Random(4)
-    for _ in range(200):
-        word = [rnd.choice((tox.OTHER, tox.TARGET, tox.NEGATION, tox.INSULT, tox.THREAT)) for _ in range(12)]
-        p, q, s, one, two = first.start, second.start, both.start, [], []
-        for x in word:
-            p, middle = first.step(p, x)
-            q, out = second.step(q, middle)
-            s, joint = both.step(s, x)
-            one.append(out)
+    whole = tox.grammar()
+    for _ in range(400):
+        states, s, one, two = [m.start for m in machines], whole.start, [], []
+        for _ in range(16):
+            x = y = rnd.randrange(tox.MENTION)
+            for k, m in enumerate(machines):
+                states[k], y = m.step(states[k], y)
+            s, joint = whole.step(s, x)
+            one.append(y)
             two.append(joint)
         assert one == two
 
 
+def test_threats_equal_a_plain_search(matcher):
+    """The threat transducer against a search of each clause for its verb, what is before it and its object."""
+    import random
+    rnd = random.Random(6)
+    for _ in range(3_000):
+        clause = [rnd.choice(["i", "will", "voy", "hurt", "you", "dich", "weeds", "the", "them"]) for _ in range(rnd.randint(1, 8))]
+        persons, taken, expected = {"you", "them", "dich"}, set(), 0
+        for k, w in enumerate(clause):
+            if w != "hurt":
+                continue
+            subject = next((j for j in range(k) if j not in taken and clause[j] in {"i", "you", "them"}), k)
+            intent = any(v == "voy" or v == "will" and j > subject for j, v in enumerate(clause[:k]))
+            if not intent:
+                continue
+            if any(v == "dich" and j not in taken for j, v in enumerate(clause[:k])):
+                expected += 1
+                continue
+            for j in range(k + 1, min(len(clause), k + 1 + tox.OBJECT_REACH)):
+                if clause[j] == "hurt":
+                    break  # the next verb takes over
+                if clause[j] in persons:
+                    taken.add(j)
+                    expected += 1
+                    break
+        assert sum(m == tox.THREAT for m, _ in matcher.clause(" ".join(clause))) == expected, clause
+
+
+def test_sentences():
+    """With the weights that unlabelled marks keep: who is threatened or called names counts, a dictionary does not."""
+    model = tox.fit([], [], None)
+    matcher = tox.Matcher(model["terms"] | {("trash", False): (tox.INSULT, 3.0)})
+
+    def score(text):
+        z = model["bias"] + sum(a * b for a, b in zip(model["weights"], tox.vector(matcher.text(text), len(text))))
+        return 1 / (1 + np.exp(-z))
+
+    toxic = ["You are a trash.", "I will kill you", "I'm going to hurt them", "Ich werde dich töten", "Je vais te tuer", "Te voy a matar", "stupid moron"]
+    clean = ["The word trash is listed in a dictionary.", "They will kill the weeds.", "You are not trash", "She said I will kill you", "I will not hurt you", ""]
+    assert all(score(t) >= tox.TOXIC_AT for t in toxic) and all(score(t) < tox.TOXIC_AT for t in clean)
+    assert score("You are a trash.") > score("A trash, here.")
+
+
 def test_learned_terms_are_those_of_toxic_texts():
     texts = [f"some plain words {i} and grum{w} here" for i, w in enumerate(["pel", "sty", "mox", "tel"] * 10)] + [f"some plain words {i} and nothing here {i}" for i in range(200)]
     terms = tox.learn_terms([f"{chr(97 + i % 26)}{chr(97 + i // 26)} {t}" for i, t in enumerate(texts)], [1] * 40 + [0] * 200)
