@@ -9,12 +9,14 @@ close to the Jaccard similarity.
    are not kept.
 2. Documents with equal sets are one class, gathered by a partial aggregate, so a huge group of copies is one row.
 3. Bands of `ROWS` registers: the classes of a bucket are compared register by register inside a task, in tiles of
-   two blocks of at most `BLOCK`. Only a spanning forest of the plausible pairs leaves the task, at most a row for
+   blocks of about `BLOCK`. Only a spanning forest of the plausible pairs leaves the task, at most a row for
    each member, so no task and no join emits the pairs of a group. Its components are clusters: both ends of
    every link are in one.
 4. Whole texts of the clusters, one for each class, meet by cluster, again in tiles of blocks, bounded in rows and bytes. Pairs that the
    registers don't rule out are estimated by likelihood from `FINE` registers, and from the likeliest down every
    pair that is not connected yet is verified on the full shingle sets. A spanning forest of the links leaves.
+   In both steps, members of a group of several blocks are held against a few pivots first (`forest_of`): those
+   that the pivots connect need not meet each other, only the rest meets all.
 5. Connected components of the links, brought back to all rows by the digests; components that share an id are one.
 
 A pair is ruled out only `FLOOR_SIGMAS` standard errors under the threshold.
@@ -27,11 +29,11 @@ their texts: what one of them reaches, all reach. `without_copies` takes rows, n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -43,6 +45,7 @@ REGISTERS = BANDS * ROWS
 BASE, LIMIT = 1.001, 65_534  # spacing of register values and the largest one
 RATE = 20.0
 FINE, BLOCK, BLOCK_BYTES = 1_024, 1_024, 8 << 20
+PIVOTS = 8  # of a group of more than a block
 FLOOR_SIGMAS = 6.0  # an estimate so many standard errors under the threshold ends a pair
 
 _U64, _U32 = np.uint64, np.uint32
@@ -163,12 +166,12 @@ class Forest:
         return [(self.ids[r], self.ids[k]) for k, r in enumerate(roots) if r != k]
 
 
-def tiles(rows: DataFrame, keys: list[str], blocks: str) -> DataFrame:
-    """`rows` dealt into the pairs (x, y) of their group's `blocks` blocks, sorted by group and tile; `own` is a row's block."""
-    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-             .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other"))
-    return dealt.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
+def blocked(column: str, seed: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.col(blocks)).cast("int")
+
+
+def all_blocks(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
@@ -186,96 +189,182 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[
         yield held
 
 
+EVERY, LEFT, RIGHT = 0, 1, 2  # sides of a tile: all members meet each other, or those of the left meet those of the right
+
+
 def sides(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Members to compare with each other: all of a block, or those of one block with those of the other."""
-    own = np.array([r["own"] for r in rows])
-    x, y = rows[0]["x"], rows[0]["y"]
-    if x == y:
+    """Members of a tile to compare with each other."""
+    side = np.array([r["side"] for r in rows])
+    if side[0] == EVERY:
         every = np.arange(len(rows))
         return every, every
-    return np.flatnonzero(own == x), np.flatnonzero(own == y)
+    return np.flatnonzero(side == LEFT), np.flatnonzero(side == RIGHT)
 
 
 def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def plausible(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the plausible pairs of each tile of `members` (band, key, id, n_shingles, regs, blocks)."""
-    keys = ["band", "key"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def core_of(kinds: list) -> int:
+    """The pivots, as bits, of the largest tree that the members' masks make of a group's pivots."""
+    forest = Forest(list(range(PIVOTS)))
+    for k in kinds:
+        bits = [b for b in range(PIVOTS) if k["mask"] >> b & 1]
+        for b in bits[1:]:
+            forest.join(bits[0], b)
+    held = [0] * PIVOTS
+    for k in kinds:
+        if k["mask"]:
+            held[forest.root((k["mask"] & -k["mask"]).bit_length() - 1)] += k["n"]
+    top = max(range(PIVOTS), key=lambda b: held[b])
+    return sum(1 << b for b in range(PIVOTS) if held[top] and forest.root(b) == top)
+
+
+def forest_of(members: Callable[[DataFrame], DataFrame], sizes: DataFrame, keys: list[str], columns: list[str], weight: Column,
+              meets: Callable[[list[dict], list[dict]], np.ndarray], tile: Callable[[list[dict], np.ndarray, np.ndarray], Forest]) -> DataFrame:
+    """(a, b): a spanning forest of the pairs that meet, in each group of `members(sizes)` (keys, id, columns, blocks).
+
+    A group of one block is one tile. In a larger one, `PIVOTS` members are chosen by hash and every member is held against
+    them, in salted parts, each of which gets a copy of the pivots. The largest tree of pivots with its members is
+    the core; two members of it need not meet, as they are connected. The rest meets all members of the group, in tiles
+    of blocks. So the rows that are shuffled grow with n, and with n²/`BLOCK` only by the share of the rest."""
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for rows in groups(batches, [*keys, "x", "y"]):
-            n = np.array([r["n_shingles"] for r in rows], np.int64)
-            regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
-            forest = Forest([r["id"] for r in rows])
-            for p, q in close(*sides(rows), n, regs, percent):
-                label = np.array([forest.root(k) for k in range(len(rows))])
-                apart = label[p] != label[q]  # most pairs of a tight group are connected after the first rows
-                for i, j in zip(p[apart].tolist(), q[apart].tolist()):
-                    forest.join(i, j)
-            found += forest.edges()
+            found += tile(rows, *sides(rows)).edges()
             if len(found) > 10_000:
                 yield edges_of(found)
                 found = []
         yield edges_of(found)
 
-    return tiles(members, keys, "blocks").select(*keys, "x", "y", "own", "id", "n_shingles", "regs").mapInArrow(run, "a long, b long").distinct()
-
-
-def linked(texts: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
-    """(a, b): a spanning forest of the links of each tile of `texts` (component, id, text, blocks)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(17, lower)
+    def within(dealt: DataFrame) -> DataFrame:
+        at = [*keys, "x", "y"]
+        rows = dealt.select(*at, "side", "id", *columns).repartition(*at).sortWithinPartitions(*at)
+        return rows.mapInArrow(tiles, "a long, b long").where("a <> b").distinct()
+
+    alone = within(members(sizes.where("blocks = 1")).withColumns({"x": F.lit(0), "y": F.lit(0), "side": F.lit(EVERY)}))
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return alone
+    hot = cut(members(large))
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*((k, batches_schema[k]) for k in keys), ("id", pa.int64()), ("mask", pa.int32()), ("pivot_id", pa.int64())])
+        for rows in groups(batches, [*keys, "x"]):
+            pivots, own = [r for r in rows if r["pivot"] < PIVOTS], [r for r in rows if r["pivot"] == PIVOTS]
+            met = meets(pivots, own)
+            out = [{**{k: r[k] for k in keys}, "id": r["id"], "mask": int(sum(1 << pivots[j]["pivot"] for j in np.flatnonzero(m))),
+                    "pivot_id": pivots[int(np.flatnonzero(m)[0])]["id"] if m.any() else None} for r, m in zip(own, met)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    batches_schema = {k: pa.int64() if dict(hot.dtypes)[k] == "bigint" else pa.int32() for k in keys}
+    pivots = cut(hot.withColumn("pivots", F.lit(PIVOTS)).groupBy(*keys, blocked("id", "pivot", "pivots").alias("pivot")).agg(F.min("id").alias("id")))
+    parts = hot.select(*keys, "id", *columns, blocked("id", "part", "blocks").alias("x"), F.lit(PIVOTS).alias("pivot")).unionByName(
+        hot.join(pivots, [*keys, "id"]).select(*keys, "id", *columns, all_blocks("blocks").alias("x"), "pivot"))
+    parts = parts.repartition(*keys, "x").sortWithinPartitions(*keys, "x", "pivot", "id")
+    kinds = ", ".join(f"{k} {dict(hot.dtypes)[k]}" for k in keys)
+    masks = cut(parts.mapInArrow(masked, f"{kinds}, id long, mask int, pivot_id long"))
+    stars = masks.where(F.col("pivot_id") != F.col("id")).select(F.col("pivot_id").alias("a"), F.col("id").alias("b"))
+    by_mask = masks.groupBy(*keys, "mask").agg(F.count("*").alias("n"), F.min("id").alias("b"))
+    # one member of each mask ties its pivots to each other
+    ties = by_mask.join(pivots, keys).where((F.col("mask").bitwiseAND(F.expr("shiftleft(1, pivot)")) != 0) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+    core = by_mask.groupBy(*keys).agg(F.collect_list(F.struct("mask", "n")).alias("kinds")).select(*keys, F.udf(core_of, "int", useArrow=False)("kinds").alias("core"))
+    rest = masks.join(core, keys).where(F.col("mask").bitwiseAND(F.col("core")) == 0).select(*keys, "id")
+    rest = cut(hot.join(rest, [*keys, "id"], "left_semi"))
+    found = alone.unionByName(stars).unionByName(ties)
+    if rest.isEmpty():
+        return found
+    few = rest.groupBy(*keys).agg(weight.cast("long").alias("rest_blocks"))
+    left = rest.join(few, keys).withColumns({"x": blocked("id", "rest", "rest_blocks"), "side": F.lit(LEFT)}).withColumn("y", all_blocks("blocks"))
+    right = hot.join(few, keys).withColumns({"y": blocked("id", "part", "blocks"), "side": F.lit(RIGHT)}).withColumn("x", all_blocks("rest_blocks"))
+    return found.unionByName(within(left.unionByName(right)))
+
+
+def plausible(members: Callable[[DataFrame], DataFrame], sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the plausible pairs of each bucket of `members` (band, key, id, n_shingles, regs, blocks)."""
+    def arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r["n_shingles"] for r in rows], np.int64), np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(len(rows), -1)
+
+    def meets(pivots: list[dict], rows: list[dict]) -> np.ndarray:
+        n, regs = arrays([*pivots, *rows])
+        out = np.zeros((len(rows), len(pivots)), bool)
+        for p, q in close(np.arange(len(pivots)), np.arange(len(pivots), len(n)), n, regs, percent):
+            out[q - len(pivots), p] = True
+        return out
+
+    def tile(rows: list[dict], left: np.ndarray, right: np.ndarray) -> Forest:
+        n, regs = arrays(rows)
+        forest = Forest([r["id"] for r in rows])
+        for p, q in close(left, right, n, regs, percent):
+            label = np.array([forest.root(k) for k in range(len(rows))])
+            apart = label[p] != label[q]  # most pairs of a tight group are connected after the first rows
+            for i, j in zip(p[apart].tolist(), q[apart].tolist()):
+                forest.join(i, j)
+        return forest
+
+    return forest_of(members, sizes, ["band", "key"], ["n_shingles", "regs"], F.ceil(F.count("*") / BLOCK), meets, tile)
+
+
+def linked(texts: DataFrame, sizes: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
+    """(a, b): a spanning forest of the links of each component of `texts` (component, id, text)."""
+    fine_floor = floor_of(percent, FINE)
+
+    def sets_of(rows: list[dict]) -> list[np.ndarray]:
+        words, sets = Words(17, lower), []
+        for r in rows:
+            data, offsets = text_bytes(pa.array([r.pop("text")], pa.string()))
+            _, _, hashes, at = words.of(data, offsets)
+            sets.append(np.unique(shingles(hashes, at, width)[0]))
+        return sets
+
+    def minhashes(own: np.ndarray, k: int) -> np.ndarray:
         salt, odd = random_u64(FINE, 37).astype(np.uint32), random_u64(FINE, 43).astype(np.uint32) | _U32(1)
-        fine_floor = floor_of(percent, FINE)
-
-        def minhashes(own: np.ndarray, k: int) -> np.ndarray:
-            small, out = (own >> _U64(20)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
-            for s in range(0, len(small), 256):  # a part of the set at a time
-                out = np.minimum(out, ((small[s:s + 256, None] ^ salt[:k]) * odd[:k]).min(0))
-            return registers(out)
-
-        found: list[tuple[int, int]] = []
-        for rows in groups(batches, ["component", "x", "y"]):
-            left, right = sides(rows)
-            sets = []
-            for r in rows:
-                data, offsets = text_bytes(pa.array([r.pop("text")], pa.string()))
-                _, _, hashes, at = words.of(data, offsets)
-                sets.append(np.unique(shingles(hashes, at, width)[0]))
-            n = np.array([len(s) for s in sets], np.int64)
-            regs = np.stack([minhashes(s, REGISTERS) for s in sets]) if len(rows) > 8 else np.zeros((len(rows), 1), np.uint16)
-            fine: dict[int, np.ndarray] = {}
-            forest = Forest([r["id"] for r in rows])
-
-            def sharp(k: int) -> np.ndarray:
-                if k not in fine:
-                    fine[k] = minhashes(sets[k], FINE)
-                return fine[k]
-
-            p, q = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *close(left, right, n, regs, percent)))
-            estimate = np.ones(len(p))
-            if len(p) > 64:
-                for s in range(0, len(p), 1000):
-                    a, b = (np.stack([sharp(k) for k in side[s:s + 1000].tolist()]) for side in (p, q))
-                    estimate[s:s + 1000] = jaccard_estimate(a, b, n[p[s:s + 1000]].astype(float), n[q[s:s + 1000]].astype(float))
-            for k in np.argsort(-estimate, kind="stable"):
-                if estimate[k] < fine_floor:
-                    break
-                i, j = int(p[k]), int(q[k])
-                if forest.root(i) != forest.root(j):
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if common and 100 * common >= percent * (n[i] + n[j] - common):
-                        forest.join(i, j)
-            found += forest.edges()
-            if len(found) > 10_000:
-                yield edges_of(found)
-                found = []
-        yield edges_of(found)
-
-    return tiles(texts, ["component"], "blocks").select("component", "x", "y", "own", "id", "text").mapInArrow(run, "a long, b long").distinct()
+        small, out = (own >> _U64(20)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
+        for s in range(0, len(small), 256):  # a part of the set at a time
+            out = np.minimum(out, ((small[s:s + 256, None] ^ salt[:k]) * odd[:k]).min(0))
+        return registers(out)
+
+    def link(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+    def meets(pivots: list[dict], rows: list[dict]) -> np.ndarray:
+        at, own = sets_of(pivots), sets_of(rows)
+        return np.array([[link(a, b) for a in at] for b in own], bool).reshape(len(own), len(at))
+
+    def tile(rows: list[dict], left: np.ndarray, right: np.ndarray) -> Forest:
+        sets = sets_of(rows)
+        n = np.array([len(s) for s in sets], np.int64)
+        regs = np.stack([minhashes(s, REGISTERS) for s in sets]) if len(rows) > 8 else np.zeros((len(rows), 1), np.uint16)
+        fine: dict[int, np.ndarray] = {}
+        forest = Forest([r["id"] for r in rows])
+
+        def sharp(k: int) -> np.ndarray:
+            if k not in fine:
+                fine[k] = minhashes(sets[k], FINE)
+            return fine[k]
+
+        p, q = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *close(left, right, n, regs, percent)))
+        estimate = np.ones(len(p))
+        if len(p) > 64:
+            for s in range(0, len(p), 1000):
+                a, b = (np.stack([sharp(k) for k in side[s:s + 1000].tolist()]) for side in (p, q))
+                estimate[s:s + 1000] = jaccard_estimate(a, b, n[p[s:s + 1000]].astype(float), n[q[s:s + 1000]].astype(float))
+        for k in np.argsort(-estimate, kind="stable"):
+            if estimate[k] < fine_floor:
+                break
+            i, j = int(p[k]), int(q[k])
+            if forest.root(i) != forest.root(j) and link(sets[i], sets[j]):
+                forest.join(i, j)
+        return forest
+
+    return forest_of(lambda few: texts.join(few, "component"), sizes, ["component"], ["text"], blocks_of_texts(), meets, tile)
+
+
+def blocks_of_texts() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -287,16 +376,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, low
                     F.first("bands").alias("bands")))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     rows = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = (rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-              .select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    # registers are looked up only for the members of a bucket
-    members = rows.join(shared, ["band", "key"]).join(classes.select("id", "n_shingles", "regs"), "id")
-    clusters = cut(components(cut(plausible(members, percent))))
+    shared = cut(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+                 .select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+
+    def members(buckets: DataFrame) -> DataFrame:
+        """Registers are looked up only for the members of a bucket."""
+        return rows.join(buckets, ["band", "key"]).join(classes.select("id", "n_shingles", "regs"), "id")
+
+    clusters = cut(components(cut(plausible(members, shared, percent))))
     chosen = clusters.join(classes.select("id", "row.doc_id", "row.t", "row.u"), "id")
     # rows that repeat id and text are one
     texts = cut(told_apart(documents).join(chosen, ["doc_id", "t", "u"]).groupBy("component", "id").agg(F.min("text").alias("text")))
-    sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
-    joined = components(cut(linked(texts.join(sizes, "component"), width, percent, lower)))
+    sizes = cut(texts.groupBy("component").agg(blocks_of_texts().cast("long").alias("blocks")))
+    joined = components(cut(linked(texts, sizes, width, percent, lower)))
     group = classes.select("d1", "d2", "id").join(joined, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("group"))
     # a table's own rows find their class by the digest; rows without a set or an id have none
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

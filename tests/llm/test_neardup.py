@@ -55,6 +55,38 @@ def test_components_equal_those_of_all_pairs(spark, drifting, width, percent, bl
     assert got == plain(drifting, width, percent)
 
 
+def test_cores_of_pivots():
+    kind = lambda mask, n: {"mask": mask, "n": n}
+    assert neardup.core_of([kind(0b11, 2), kind(0b110, 1), kind(0b1000, 4), kind(0, 9)]) == 0b1000
+    assert neardup.core_of([kind(0b11, 2), kind(0b110, 3), kind(0b1000, 4)]) == 0b111
+    assert neardup.core_of([kind(0, 5)]) == 0
+
+
+def test_a_large_group_with_far_members(spark, monkeypatch):
+    """Near copies of one text, a chain that drifts away from it, and a second family that shares some of its buckets."""
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(500)]
+    base = [rnd.choice(vocabulary) for _ in range(150)]
+
+    def near(text, edits):
+        out = list(text)
+        for _ in range(edits):
+            out[rnd.randrange(len(out))] = rnd.choice(vocabulary)
+        return out
+
+    texts = [near(base, 2) for _ in range(150)]
+    drifting = base
+    for _ in range(40):
+        drifting = near(drifting, 4)
+        texts.append(drifting)
+    other = near(base, 16)
+    texts += [near(other, 3) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == plain(rows, 3, 85)
+
+
 def test_table_equals_all_pairs(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
