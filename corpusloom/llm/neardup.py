@@ -249,29 +249,28 @@ def forest_of(members: Callable[[DataFrame], DataFrame], sizes: DataFrame, keys:
     hot = cut(members(large))
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((k, batches_schema[k]) for k in keys), ("id", pa.int64()), ("mask", pa.int32()), ("pivot_id", pa.int64())])
         for rows in groups(batches, [*keys, "x"]):
             pivots, own = [r for r in rows if r["pivot"] < PIVOTS], [r for r in rows if r["pivot"] == PIVOTS]
             met = meets(pivots, own)
-            out = [{**{k: r[k] for k in keys}, "id": r["id"], "mask": int(sum(1 << pivots[j]["pivot"] for j in np.flatnonzero(m))),
-                    "pivot_id": pivots[int(np.flatnonzero(m)[0])]["id"] if m.any() else None} for r, m in zip(own, met)]
+            out = [{**{k: r[k] for k in keys}, "id": r["id"], "mask": sum(1 << pivots[j]["pivot"] for j in np.flatnonzero(m))} for r, m in zip(own, met)]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    batches_schema = {k: pa.int64() if dict(hot.dtypes)[k] == "bigint" else pa.int32() for k in keys}
+    types = dict(hot.dtypes)
+    schema = pa.schema([*((k, pa.int64() if types[k] == "bigint" else pa.int32()) for k in keys), ("id", pa.int64()), ("mask", pa.int32())])
     pivots = cut(hot.withColumn("pivots", F.lit(PIVOTS)).groupBy(*keys, blocked("id", "pivot", "pivots").alias("pivot")).agg(F.min("id").alias("id")))
     parts = hot.select(*keys, "id", *columns, blocked("id", "part", "blocks").alias("x"), F.lit(PIVOTS).alias("pivot")).unionByName(
         hot.join(pivots, [*keys, "id"]).select(*keys, "id", *columns, all_blocks("blocks").alias("x"), "pivot"))
     parts = parts.repartition(*keys, "x").sortWithinPartitions(*keys, "x", "pivot", "id")
-    kinds = ", ".join(f"{k} {dict(hot.dtypes)[k]}" for k in keys)
-    masks = cut(parts.mapInArrow(masked, f"{kinds}, id long, mask int, pivot_id long"))
-    stars = masks.where(F.col("pivot_id") != F.col("id")).select(F.col("pivot_id").alias("a"), F.col("id").alias("b"))
-    by_mask = masks.groupBy(*keys, "mask").agg(F.count("*").alias("n"), F.min("id").alias("b"))
-    # one member of each mask ties its pivots to each other
-    ties = by_mask.join(pivots, keys).where((F.col("mask").bitwiseAND(F.expr("shiftleft(1, pivot)")) != 0) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
-    core = by_mask.groupBy(*keys).agg(F.collect_list(F.struct("mask", "n")).alias("kinds")).select(*keys, F.udf(core_of, "int", useArrow=False)("kinds").alias("core"))
-    rest = masks.join(core, keys).where(F.col("mask").bitwiseAND(F.col("core")) == 0).select(*keys, "id")
+    masks = cut(parts.mapInArrow(masked, ", ".join([*(f"{k} {types[k]}" for k in keys), "id long", "mask int"])))
+    kinds = masks.groupBy(*keys, "mask").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.collect_list(F.struct("mask", "n")).alias("kinds"))
+    core = kinds.select(*keys, F.udf(core_of, "int", useArrow=False)("kinds").alias("core")).join(pivots, keys)
+    # the core hangs under its pivot of the smallest id, so that most groups that find a tree name it alike
+    core = core.groupBy(*keys, "core").agg(F.min(F.when(F.col("core").bitwiseAND(F.expr("shiftleft(1, pivot)")) != 0, F.col("id"))).alias("a"))
+    placed = masks.join(cut(core), keys)
+    inside = F.col("mask").bitwiseAND(F.col("core")) != 0
+    found = alone.unionByName(placed.where(inside & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
+    rest = placed.where(~inside).select(*keys, "id")
     rest = cut(hot.join(rest, [*keys, "id"], "left_semi"))
-    found = alone.unionByName(stars).unionByName(ties)
     if rest.isEmpty():
         return found
     few = rest.groupBy(*keys).agg(weight.cast("long").alias("rest_blocks"))
@@ -308,6 +307,7 @@ def plausible(members: Callable[[DataFrame], DataFrame], sizes: DataFrame, perce
 def linked(texts: DataFrame, sizes: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
     """(a, b): a spanning forest of the links of each component of `texts` (component, id, text)."""
     fine_floor = floor_of(percent, FINE)
+    salt, odd = random_u64(FINE, 37).astype(np.uint32), random_u64(FINE, 43).astype(np.uint32) | _U32(1)
 
     def sets_of(rows: list[dict]) -> list[np.ndarray]:
         words, sets = Words(17, lower), []
@@ -318,7 +318,6 @@ def linked(texts: DataFrame, sizes: DataFrame, width: int, percent: int, lower:
         return sets
 
     def minhashes(own: np.ndarray, k: int) -> np.ndarray:
-        salt, odd = random_u64(FINE, 37).astype(np.uint32), random_u64(FINE, 43).astype(np.uint32) | _U32(1)
         small, out = (own >> _U64(20)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
         for s in range(0, len(small), 256):  # a part of the set at a time
             out = np.minimum(out, ((small[s:s + 256, None] ^ salt[:k]) * odd[:k]).min(0))
