@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.uris import normalise_uri, payload_text, redact_uri, split_s3, strip_query
 from ..operators import ledger, records
 from ..sources.tables import read_events, read_runs
-from ..streaming import append_to_files, latest_status, stream_dedupe, stream_events, stream_status
-from .catalog import mapped, oracle, query, table, view
+from ..streaming import append_to_files, latest_status, stream_dedupe, stream_status
+from .catalog import mapped, oracle, query, table, table_stream, view
 
 NOW = "1998-06-01 00:01:40"
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -184,7 +184,7 @@ def artifact_keys(spark, sf):
 # -- the log as a stream ---------------------------------------------------------------------------
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return stream_events(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    return table_stream(spark, sf, "events")
 
 
 @query("stream_dedupe", "SELECT user_id AS run_id, event_id AS seq, event_type, value FROM events")

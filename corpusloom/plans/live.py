@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import live, stream_events
-from .catalog import mapped, oracle, query, table, view
+from .catalog import mapped, oracle, query, table, table_stream, view
 from .ledger import _status_sql
 from .records import _oracle
 
@@ -52,7 +52,7 @@ spells AS (SELECT run_id, max(ts) AS last_seen, count(*) AS events_n, bool_or(ev
   WHERE NOT ended AND last_seen + INTERVAL 90 SECOND <= (SELECT date_trunc('millisecond', max(ts)) FROM alive)""", "raw_events_v", extra=_SPELLS))
 def stream_stale(spark, sf):
     # the last spells of the log are open: nothing later says that they are over
-    events = stream_events(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    events = table_stream(spark, sf, "events")
     log = mapped(spark, "raw_events_v", events=events).withColumn("at", F.col("ts").cast("timestamp"))
     found = live.stream_stale(log, "at", delay="0 seconds")
     return found.select("run_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "due_at")], "events_n")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sessions
-from ..streaming import stream_events, stream_fragments, stream_transcript
-from .catalog import oracle, query, table, view
+from ..streaming import stream_fragments, stream_transcript
+from .catalog import oracle, query, table, table_stream, view
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _LINES = rf"""lines AS (SELECT run_id, line_no, {_STRIP.format(x='line')} AS s, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j
@@ -67,5 +67,5 @@ def transcript_summary(spark, sf):
 
 @query("stream_transcript", oracle("SELECT run_id, transcript FROM whole", extra=_FRAGMENTS))
 def stream_text(spark, sf):
-    stream = stream_events(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
+    stream = table_stream(spark, sf, "conversations")
     return stream_transcript(stream_fragments(stream, "conv_id", "turn", "text", "role = 'assistant'"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ledger, records
 from corpusloom.operators.sessions import assemble_transcript
+from corpusloom.plans import QUERIES
+from corpusloom.plans.catalog import table
 from corpusloom.streaming import live, stream_events
 
 T0 = dt.datetime(2026, 5, 4)
@@ -109,3 +111,11 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert kept[-1] == rows_of(good) and good.count() == 2
     parsed = records.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
     assert rows_of(bad.select("value", "problem")) == rows_of(records.quarantine(parsed).select("value", "problem"))
+
+
+@pytest.mark.parametrize("name", ["stream_transcript", "stream_dedupe", "stream_status", "stream_stale"])
+def test_streams_read_tables_of_several_files(spark, sf, tmp_path, name):
+    for t in ("conversations", "events"):
+        table(spark, sf, t).repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    whole = sorted(map(repr, QUERIES[name](spark, sf).collect()))
+    assert whole and sorted(map(repr, QUERIES[name](spark, str(tmp_path)).collect())) == whole
