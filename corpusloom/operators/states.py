@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.artifacts import file_path, list_files
+from ..sources.artifacts import file_path, list_data
 from .ordering import top_k, top_k_per_group
 
 KLL_K = 400
@@ -43,7 +43,7 @@ def update_file_states(spark: SparkSession, data: str, states: str, values: dict
     """Add the states of the files below `data` (Parquet) that `states` does not hold yet, and say how many files were
     read. `values` maps a field's name to its SQL expression. A file that was changed is another file: its older state
     is left out on read. The names of new files pass through the driver, as in any listing."""
-    listing = list_files(spark, data, "*.parquet").select(F.col("key").alias("file"), "bytes", "modified")
+    listing = list_data(spark, data, "*.parquet").select(F.col("key").alias("file"), "bytes", "modified")
     names = ["file", "bytes", "modified"]
     try:
         listing = listing.join(spark.read.parquet(states).select(*names).distinct(), names, "left_anti")
@@ -63,7 +63,7 @@ def update_file_states(spark: SparkSession, data: str, states: str, values: dict
 
 def profile_from_states(spark: SparkSession, data: str, states: str, probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """The profile of the files that are below `data` now, from their states alone."""
-    now = list_files(spark, data, "*.parquet").select(F.col("key").alias("file"), "bytes", "modified")
+    now = list_data(spark, data, "*.parquet").select(F.col("key").alias("file"), "bytes", "modified")
     return merged_values(spark.read.parquet(states).join(now, ["file", "bytes", "modified"], "left_semi"), ["field"], probs)
 
 

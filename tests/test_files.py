@@ -55,3 +55,40 @@ def test_lines_are_numbered_in_file_order_though_files_are_split(spark, tmp_path
     manifest = spark.createDataFrame([("a b", 1), ("gone", 2)], "run_id string, chunk_id int")
     found = {r.run_id: (r.status, r.files) for r in expected_files(manifest, artifacts.list_files(spark, str(tmp_path))).collect()}
     assert found == {"a b": ("ok", 2), "gone": ("MISSING", 0)}
+
+
+@pytest.fixture
+def jobs(spark):
+    """Runs a step and says how many jobs it took, and the most tasks in one."""
+    def run(step):
+        sc, group = spark.sparkContext, f"files-{step}"
+        sc.setLocalProperty("spark.jobGroup.id", group)
+        try:
+            step()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        found = sc.statusTracker().getJobIdsForGroup(group)
+        stages = [sc.statusTracker().getStageInfo(s) for j in found for s in sc.statusTracker().getJobInfo(j).stageIds]
+        return len(found), max(s.numTasks for s in stages if s)
+    return run
+
+
+def test_files_are_written_by_many_tasks_and_listed_in_few_rounds(spark, tmp_path, jobs):
+    path = str(tmp_path / "out")
+    keys = [f"runs/{a}/{b}/output.md" for a in range(20) for b in range(40)]
+    rows = spark.createDataFrame([(k, k) for k in keys], "key string, text string").coalesce(1)
+    assert jobs(lambda: artifacts.write_files(rows, path, "key", "text"))[1] > 1
+    assert jobs(lambda: artifacts.list_files(spark, path))[0] < 10
+    assert {(r.key, r.text) for r in artifacts.read_files(spark, path).collect()} == {(k, k) for k in keys}
+
+
+def test_folders_left_by_a_task_are_dealt_out_again(spark, tmp_path):
+    path = str(tmp_path / "out")
+    keys = [f"a{i % 3}/b{i % 7}/c{i}/{name}" for i in range(60) for name in ("x.md", "y.txt", "_z.md", ".w.md")]
+    artifacts.write_files(spark.createDataFrame([(k, k) for k in keys], "key string, text string"), path, "key", "text")
+    seen = [k for k in keys if "/_" not in k and "/." not in k]
+    for pattern, ends in (("*", (".md", ".txt")), ("*.md", (".md",)), ("?.{txt,csv}", (".txt",)), ("[^x]*", ("y.txt",))):
+        got = sorted((r.key, r.bytes) for r in artifacts.list_files(spark, path, pattern, walk=5).collect())
+        assert got == sorted((k, len(k)) for k in seen if k.endswith(ends))
+        old = sorted((r.key, r.bytes, r.modified) for r in artifacts.list_data(spark, path, pattern).collect())
+        assert sorted((r.key, r.bytes, r.modified) for r in artifacts.list_files(spark, path, pattern).collect()) == old
