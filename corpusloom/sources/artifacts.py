@@ -184,11 +184,30 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", walk: int = W
     return files.select("key", "bytes", F.timestamp_millis("modified").alias("modified"))
 
 
+def _read(path: str, batches: Iterator) -> Iterator:
+    """(key, bytes) of the files that the rows name, some at a time."""
+    import pyarrow as pa
+
+    store, root = _store(path)
+    keys: list[str] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for key in batch.column(0).to_pylist():
+            with store.open_input_file(f"{root}/{key}") as file:
+                texts.append(file.read())
+            keys.append(key)
+            size += len(texts[-1])
+            if len(keys) >= READ_FILES or size >= READ_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.binary())], names=["key", "bytes"])
+                keys, texts, size = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.binary())], names=["key", "bytes"])
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(key, text) of the files below `path`, each a row; files without a byte have none."""
-    root = path.rstrip("/")
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return found.select(_below(file_path(), root).alias("key"), F.col("value").alias("text"))
+    """(key, text) of the files that `list_files` names, each a row; files without a byte have none."""
+    named = list_files(spark, path, pattern).select("key").repartition(_tasks(spark), "key")
+    return named.mapInArrow(lambda batches: _read(path, batches), "key string, bytes binary").select("key", F.col("bytes").cast("string").alias("text"))
 
 
 def file_path() -> Column:
