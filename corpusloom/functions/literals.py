@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +43,40 @@ def factors(pattern: str) -> frozenset[str]:
     return frozenset() if tree.state.flags & re.VERBOSE else _best(tree)
 
 
+@cache
+def folds(pattern: str) -> bool:
+    """Whether the case-insensitive matches in a text are the matches of the pattern as it stands in the folded text: each
+    character of a match is a given ASCII one, no capital, so folding keeps the matches and adds none."""
+    if _DOUBTFUL.search(pattern):
+        return False
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            tree = re._parser.parse(pattern)
+    except (re.error, RecursionError, Warning, OverflowError):
+        return False
+    return not tree.state.flags & re.VERBOSE and _given(tree)
+
+
+def _given(tree) -> bool:
+    def same(low: int, high: int) -> bool:
+        return 32 <= low <= high < 127 and (high < ord("A") or low > ord("Z"))
+
+    def one(op, arg) -> bool:
+        name = str(op)
+        if name in ("LITERAL", "RANGE"):
+            return same(*(arg if name == "RANGE" else (arg, arg)))
+        if name == "IN":
+            return all(str(op) != "NEGATE" and one(op, arg) for op, arg in arg)
+        if name == "BRANCH":
+            return all(map(_given, arg[1]))
+        if name == "SUBPATTERN":
+            return not (arg[1] or arg[2]) and _given(arg[3])
+        return name in ("MAX_REPEAT", "MIN_REPEAT") and _given(arg[2])
+
+    return all(one(op, arg) for op, arg in tree)
+
+
 def _items(tree) -> Iterable[tuple]:
     """The items of a sequence, plain groups opened."""
     for op, arg in tree:

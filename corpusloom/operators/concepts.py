@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import FactorIndex, fold
+from ..functions.literals import FactorIndex, fold, folds
 from ..functions.text import any_of, ignore_case, joined_text
 from .compute import once
 from .ordering import top_k_per_group
@@ -23,9 +23,10 @@ def _found(text: Column, patterns: Sequence[str]) -> Column:
 def hit_count(text: Column, concept: Concept, lowered: Column | None = None, index: FactorIndex | None = None,
               present: Column | None = None) -> Column:
     """Non-overlapping matches summed over the patterns, so overlapping patterns add up. With an index, a pattern
-    runs only where one of its literal factors is present."""
+    runs only where one of its literal factors is present. `lowered` is the folded text: patterns of plain characters
+    run on it with their case, which takes a fraction of the time."""
     def count(p: str) -> Column:
-        hits = F.regexp_count(text, F.lit(ignore_case(p)))
+        hits = F.regexp_count(lowered, F.lit(p)) if lowered is not None and folds(p) else F.regexp_count(text, F.lit(ignore_case(p)))
         may = index.may_match(present, [p]) if index else None
         return hits if may is None else F.when(may, hits).otherwise(F.lit(0))
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions import literals
 from corpusloom.functions.literals import FactorIndex, factors, fold
 from corpusloom.operators import concepts
 from corpusloom.operators.rules import Concept
@@ -58,3 +59,28 @@ def test_few_patterns_run_on_a_text(spark):
     index = FactorIndex([f"word{i}x[0-9]" for i in range(200)])
     df = spark.createDataFrame([("here is WORD7x1 and word19x", )], "t string")
     assert set(df.select(index.present(fold(F.col("t")))).first()[0]) == {"word7x", "word19x"}
+
+
+@pytest.mark.parametrize("pattern, plain", [
+    ("ther[a-z]th", True), ("(?:un|deux) mots", True), ("a{2,3}b+?", True), ("[0-9]{3}-[0-9]{4}", True), ("", True),
+    ("There", False), ("[A-z]x", False), ("[^a]b", False), (r"\bword", False), (r"a\s", False), ("a.c", False), ("é", False), ("(?i:a)b", False),
+    ("(a)\\1", False), ("a(?=b)", False), ("^a", False), ("a&&b", False), ("[a", False)])
+def test_patterns_of_given_characters_run_on_the_folded_text(pattern, plain):
+    assert literals.folds(pattern) is plain
+
+
+def test_folded_counts_are_the_counts_of_case_insensitive_matching(spark):
+    patterns = ["st[a-z]", "k[i-k]", "[s-t]i+", "(?:is|sk)", "i[a-z]s", "x{2}", "ther[a-z]th", "[0-9]k"]
+    texts = ["ſTa ſtſ", "KKkK Kİ ki", "Sİı tII ſı", "ıs İS ſK", "iſs İİS", "XxXX xXx", "THERATHERATH therath", "7K 8K", "éSTÉsté ΣIS ẞIS ŉIS", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", literals.fold(F.col("t")).alias("f"))
+    for p in patterns:
+        concept = Concept("c", "c", [p])
+        assert literals.folds(p)
+        rows = df.select("t", concepts.hit_count(F.col("t"), concept, F.col("f")).alias("a"), concepts.hit_count(F.col("t"), concept).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows], p
+
+
+def test_plain_patterns_take_no_case_insensitive_search(spark):
+    df = spark.createDataFrame([("Theren",)], "t string")
+    plan = concepts.with_tags(df, ["t"], [Concept("c", "c", ["theren", "ther[a-z]n"])], [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ther[a-z]n" in plan and "(?iU)" not in plan
