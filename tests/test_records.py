@@ -161,3 +161,10 @@ def test_repeated_keys_do_not_depend_on_what_ran_before(spark):
     spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
     df = spark.createDataFrame([('{"prompt":"a","prompt":"b"}',)], "body string")
     assert df.select(payload_text("body").alias("p")).select("p.*").first() == ("b", None)
+
+
+def test_runs_are_joined_before_fields_are_unfolded(spark):
+    runs = [spark.range(3).selectExpr("cast(id as string) AS id", "parse_json('{}') AS record") for _ in "ab"]
+    plan = compare.paired(*runs, field_rules(CONTRACT))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "transform(" in above and "transform(" not in below
