@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.fixed_values import CONTRACT
 from corpusloom.operators import compare, records
 from corpusloom.operators.rules import contract_from_schema, field_rules
+from corpusloom.plans import QUERIES
 from corpusloom.sources.records import LINE_ORDER, merge_runs, read_lines, read_records, resolve_outputs
 from corpusloom.sources.tables import export_jsonl, write_subset
 
@@ -168,3 +169,11 @@ def test_runs_are_joined_before_fields_are_unfolded(spark):
     plan = compare.paired(*runs, field_rules(CONTRACT))._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner", 1)
     assert "transform(" in above and "transform(" not in below
+
+
+@pytest.mark.parametrize("name", ["top_disagreements"])
+def test_queries_on_two_runs_sort_records_and_no_unfolded_fields(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert below.count("Window [") == 2  # the last record per id of both runs
+    assert "transform(" not in below and "transform(" in above
