@@ -171,7 +171,7 @@ def test_runs_are_joined_before_fields_are_unfolded(spark):
     assert "transform(" in above and "transform(" not in below
 
 
-@pytest.mark.parametrize("name", ["top_disagreements"])
+@pytest.mark.parametrize("name", ["top_disagreements", "compare_fields"])
 def test_queries_on_two_runs_sort_records_and_no_unfolded_fields(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner", 1)
