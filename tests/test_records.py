@@ -172,7 +172,7 @@ def test_runs_are_joined_before_fields_are_unfolded(spark):
 
 
 @pytest.mark.parametrize("name", ["top_disagreements", "compare_fields"])
-def test_queries_on_two_runs_sort_records_and_no_unfolded_fields(spark, sf, name):
+def test_queries_on_two_runs_join_records_and_no_unfolded_fields(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner", 1)
     assert below.count("Window [") == 2  # the last record per id of both runs
